@@ -118,7 +118,7 @@ def verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str
     """All columns of ``df`` with the features ``_quality`` (struct), ``base_failed`` and ``kept``."""
     df = df.drop("_quality", "_limits", "base_failed", "kept")
     limits = thresholds(sketches(df, text, lang, source)).select(F.struct("*").alias("_limits"))
-    rows = features(df, text).withColumn("base_failed", F.expr("_quality.n_words < 10 or 100 * q.n_repeat_words > 20 * q.n_words"))
+    rows = features(df, text).withColumn("base_failed", F.expr("_quality.n_words < 10 or 100 * _quality.n_repeat_words > 20 * _quality.n_words"))
     rows = rows.join(limits, F.col(lang).eqNullSafe(F.col("_limits.lang")) & F.col(source).eqNullSafe(F.col("_limits.source")), "left")
     inside = F.lit(True)
     for m, (_, _, _, below) in METRICS.items():

@@ -5,8 +5,9 @@ Each query gets its rows through its operator and derives digest columns.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm import bpe_codec, language_id, packing, quality, simhash, sstable, token_counts, warc
+from memlake.llm import bpe_codec, html_extract, language_id, media, packing, quality, simhash, sstable, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +50,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.with_media(_table(spark, sf_dir, "documents"))
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column("media"):
+                data = data.as_py()
+                video = media.Video(data)
+                payload, shots = video.payload(), video.shots()
+                feature = f"frames={len(video.avi.frames)};clips={len(shots)};starts={','.join(str(a * video.avi.frame_us // 1000) for a, _, _ in shots)}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-media.UNIT :]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    return files.mapInArrow(digest, schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs)
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.verdicts(docs).select("doc_id", *(f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
@@ -74,7 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sstable": op1_sstable,
         "op2_bpe_codec": op2_bpe_codec,
+        "op3_media": op3_media,
         "op4_language_id": op4_language_id,
+        "op5_html": op5_html,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op8_token_counts": op8_token_counts,
