@@ -22,17 +22,9 @@ HEADER_KEYS = ("memory_id", "source_document_id", "artifact_path", "entry_type",
 
 def with_policy(queries: DataFrame, policy: DataFrame, base_top_k: int, route: str = "route") -> DataFrame:
     """Policy of each query's route (unknown: OTHER) and k for each source."""
-    known = F.upper(F.trim(F.col(route)))
-    names = policy.select(F.col("route").alias("policy_route"), *policy.columns[1:])
-    keyed = queries.withColumn("policy_route", known).join(F.broadcast(names), "policy_route", "left")
-    missing = names.where("policy_route = 'OTHER'").select(F.struct("*").alias("o"))
-    keyed = keyed.crossJoin(F.broadcast(missing))  # one row
-    for c in names.columns:
-        keyed = keyed.withColumn(c, F.when(F.col("retrieval_multiplier").isNull(), F.col(f"o.{c}")).otherwise(F.col(c))) if c == "policy_route" else keyed
-    for c in names.columns[2:]:
-        keyed = keyed.withColumn(c, F.when(F.col("retrieval_multiplier").isNull(), F.col(f"o.{c}")).otherwise(F.col(c)))
-    keyed = keyed.withColumn("retrieval_multiplier", F.coalesce("retrieval_multiplier", "o.retrieval_multiplier")).drop("o")
-    return keyed.withColumn("per_source_k", per_source_k(base_top_k))
+    names = policy.select(F.col("route").alias("known_route"))
+    keyed = queries.join(F.broadcast(names), F.upper(F.trim(F.col(route))) == F.col("known_route"), "left").withColumn("policy_route", F.coalesce("known_route", F.lit("OTHER"))).drop("known_route")
+    return keyed.join(F.broadcast(policy.withColumnRenamed("route", "policy_route")), "policy_route").withColumn("per_source_k", per_source_k(base_top_k))
 
 
 def per_source_k(base: int) -> Column:
