@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,47 +79,72 @@ def codec(tokenizer_json: str) -> Codec:
     return _CODECS[tokenizer_json]
 
 
-def bpe_encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column of token ids (array of int).  No shuffle, memory bounded by a slice."""
-    df = df.drop(ids)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+Batches = Iterator[pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoding(tokenizer_json: str, text: str = "text", ids: str = "ids") -> Callable[[Batches], Batches]:
+    """A step that adds the column of token ids to record batches, slice by slice."""
+
+    def run(batches: Batches) -> Batches:
         c = codec(tokenizer_json)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 4 << 20):
                 flat, counts = c.encode(part.column(text))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def bpe_decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text of an ids column; null ids give the empty text."""
-    df = df.drop(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
+def decoding(tokenizer_json: str, ids: str = "ids", text: str = "decoded") -> Callable[[Batches], Batches]:
+    """A step that adds the text of an ids column; null ids give the empty text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         c = codec(tokenizer_json)
         for batch in batches:
-            texts = [c.decode(np.array(row if row is not None else [], np.int64)) for row in (x.values.to_numpy() if x.is_valid else None for x in batch.column(ids))]
+            column = batch.column(ids)
+            offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
+            texts = [c.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def digests(df: DataFrame, key: str = "doc_id", ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Number of ids, SHA-256 of the ids (little-endian 32-bit) and of the decoded text."""
-    schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digesting(key: str = "doc_id", ids: str = "ids", text: str = "decoded") -> Callable[[Batches], Batches]:
+    """A step to (key, number of ids, SHA-256 of the ids as little-endian 32-bit integers and of the decoded text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            rows = [x.values.to_numpy() for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([len(r) for r in rows], pa.int64()), pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch.column(text).to_pylist()])],
-                names=schema.names,
-            )
+            column = batch.column(ids)
+            offsets, flat = np.asarray(column.offsets), np.asarray(column.values).astype("<u4")
+            shas = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            decoded = [hashlib.sha256(t.as_buffer()).hexdigest() for t in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(offsets), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def bpe_encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add the column of token ids (array of int).  No shuffle, memory bounded by a slice."""
+    df = df.drop(ids)
+    return df.mapInArrow(encoding(tokenizer_json, text, ids), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+
+
+def bpe_decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add the text of an ids column; null ids give the empty text."""
+    df = df.drop(text)
+    return df.mapInArrow(decoding(tokenizer_json, ids, text), T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+
+
+def round_trip(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode, decode and digest in one Python stage, so that ids and texts never leave the worker."""
+    steps = encoding(tokenizer_json, text), decoding(tokenizer_json), digesting(key)
+
+    def run(batches: Batches) -> Batches:
+        for step in steps:
+            batches = step(batches)
+        return batches
 
-    return df.select(key, ids, text).mapInArrow(run, schema)
+    rows = df.select(key, text)
+    return rows.mapInArrow(run, T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))

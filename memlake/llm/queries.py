@@ -34,10 +34,7 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_codec.bpe_encode(docs, path).select("doc_id", "ids")
-    return bpe_codec.digests(bpe_codec.bpe_decode(ids, path))
+    return bpe_codec.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
