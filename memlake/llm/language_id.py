@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         table = PieceTable(model.code_lengths)
         names = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 8 << 20):
                 codes, counts, words = _cut(part.column(text))
                 flat, starts, _ = table.rows(words, np.bincount(codes, minlength=len(words)))
                 rows = flat.reshape(-1, width + 1)[starts // (width + 1)][codes]

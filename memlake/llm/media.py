@@ -21,7 +21,7 @@ it has no clips; repeated rows repeat; extra columns are ignored.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -367,8 +367,8 @@ def pad(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % UNIT or (0 if raw else UNIT))
 
 
-def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, media): each text's UTF-8 bytes as a video file.  No shuffle."""
+def storing(key: str = "doc_id", text: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step from texts to (doc_id, n_bytes, media) record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,7 +376,12 @@ def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 raw = [(t or "").encode() for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(list(map(len, raw)), pa.int64()), pa.array([write_avi(pad(r)) for r in raw], pa.binary())], names=MEDIA.names)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, MEDIA)
+    return run
+
+
+def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_bytes, media): each text's UTF-8 bytes as a video file.  No shuffle."""
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(storing(key, text), MEDIA)
 
 
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media", strict: bool = True) -> DataFrame:

@@ -48,11 +48,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = media.with_media(_table(spark, sf_dir, "documents"))
+    docs, store = _table(spark, sf_dir, "documents").select("doc_id", "text"), media.storing()
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Files are written and read back in one Python stage: they never cross to the JVM.
+        for batch in store(batches):
             rows = []
             for data in batch.column("media"):
                 data = data.as_py()
@@ -65,7 +66,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return files.mapInArrow(digest, schema)
+    return docs.mapInArrow(digest, schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
