@@ -10,9 +10,12 @@ are cut by a slower path with the same result.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -129,18 +132,52 @@ class LibraryIds:
         self._mark_id = self._tok.token_to_id(self._mark)
         lossless = self._tok.normalizer is None and isinstance(self._tok.pre_tokenizer, pre_tokenizers.ByteLevel)
         self._sizes = np.array([len(self._tok.id_to_token(i) or "") for i in range(self._tok.get_vocab_size())]) if lossless else None
+        with open(tokenizer_json, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self._ends = np.array([(self._tok.id_to_token(i) or "").endswith(suffix) for i in range(self._tok.get_vocab_size())]) if suffix else None
+        self._stops = {x: self._tok.encode(x, add_special_tokens=False).ids[0] for x in ".,"}
         self._table = PieceTable(self._encode)
 
     def _encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of pieces from rows of their cores.
+
+        A full stop or comma after an ASCII letter or digit at the end of a piece is a
+        word of its own, and vocabularies that fold case and drop spaces do not tell
+        pieces apart that differ only in those; so fewer cores than pieces are encoded.
+        """
+        cores: defaultdict[str, int] = defaultdict(count().__next__)
+        at, tail, fold = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.uint32), self._sizes is None
+        for i, x in enumerate(distinct):
+            if x.isascii():
+                if x[-1:] in self._stops and x[-2:-1].isalnum():
+                    tail[i], x = self._stops[x[-1]], x[:-1]
+                if fold and x not in self.specials:
+                    x = x.lower().lstrip(" ")
+            at[i] = cores[x]
+        ids, lengths = self._encode_cores(list(cores))
+        starts = np.cumsum(lengths) - lengths
+        # Tail ids are put behind the cores' ids, so that a piece is two runs of one array.
+        begin, size = np.repeat(starts[at], 2), np.repeat(lengths[at], 2)
+        stopped = tail > 0
+        begin[1::2], size[1::2] = len(ids) + np.cumsum(stopped) - stopped, stopped
+        return ragged_take(np.concatenate([ids, tail[stopped]]), begin, size), lengths[at] + stopped
+
+    def _encode_cores(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = {i: self._tok.token_to_id(x) for i, x in enumerate(distinct) if x in self.specials}
-        plain = [i for i in range(len(distinct)) if i not in own]
-        safe = self._sizes is not None and np.fromiter((len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in distinct), bool, len(distinct))
-        first = [i for i in plain if self._sizes is not None and safe[i]]
-        rest = [i for i in plain if self._sizes is None or not safe[i]]
-        parts = [self._by_size([distinct[i] for i in first]), self._by_mark([distinct[i] for i in rest]), (np.array(list(own.values()), np.uint32), np.ones(len(own), np.int64))]
+        if self._ends is not None:
+            safe = np.fromiter((x.isalpha() for x in distinct), bool, len(distinct))
+        elif self._sizes is None:
+            safe = np.zeros(len(distinct), bool)
+        else:
+            safe = np.fromiter((len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in distinct), bool, len(distinct))
+        plain = np.ones(len(distinct), bool)
+        plain[list(own)] = False
+        first, rest = np.flatnonzero(plain & safe), np.flatnonzero(plain & ~safe)
+        fast = self._by_size if self._ends is None else self._by_word
+        parts = [fast([distinct[i] for i in first]), self._by_mark([distinct[i] for i in rest]), (np.array(list(own.values()), np.uint32), np.ones(len(own), np.int64))]
         ids, lengths = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
         order = np.empty(len(distinct), np.int64)
-        order[[*first, *rest, *own]] = np.arange(len(distinct))
+        order[np.concatenate([first, rest, np.array(list(own), np.int64)])] = np.arange(len(distinct))
         return ragged_take(ids, (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
 
     def _run(self, groups: list[str]) -> np.ndarray:
@@ -153,6 +190,14 @@ class LibraryIds:
         lengths = np.diff(np.concatenate([[-1], np.flatnonzero(ids == self._mark_id)])) - 1
         return ids[ids != self._mark_id], lengths.astype(np.int64)
 
+    def _by_word(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters only, joined by spaces; tokens with the word-end mark tell where each ends."""
+        ids = self._run([" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)])
+        ends = np.flatnonzero(self._ends[ids]) if len(words) else np.zeros(0, np.int64)
+        if len(ends) != len(words):  # letters of another Unicode version
+            return self._by_mark(words)
+        return ids, np.diff(np.concatenate([[-1], ends]))
+
     def _by_size(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with one space, simply joined; the tokens' bytes tell where each ends."""
         ids = self._run(["".join(words[i : i + 2000]) for i in range(0, len(words), 2000)])
