@@ -298,7 +298,7 @@ def flt9(s, d):
 
 
 _Q = "q AS (SELECT CAST(item_id % 3 AS VARCHAR) AS project_id, item_id AS question_no, text AS question, CASE WHEN item_id % 2 = 0 THEN 'answer_local' ELSE 'answer_remote' END AS resolution FROM benchmark)"
-_IDEAS = "ideas AS (SELECT CAST(item_id % 3 AS VARCHAR) AS project_id, item_id AS idea_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN substring(text, 5, 60) WHEN 2 THEN '"' || text || '" AND more' ELSE 'nothing like it ' || item_id END AS origin_text FROM benchmark)"
+_IDEAS = "ideas AS (SELECT CAST(item_id % 3 AS VARCHAR) AS project_id, item_id AS idea_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN substring(text, 5, 60) WHEN 2 THEN '\"' || text || '\" AND more' ELSE 'nothing like it ' || item_id END AS origin_text FROM benchmark)"
 _MATCH = f"""WITH {_Q}, {_IDEAS}, a AS (SELECT project_id, idea_id, {KEY.format(x='origin_text')} AS ka FROM ideas), b AS (SELECT project_id, question_no, resolution, {KEY.format(x='question')} AS kb FROM q),
  m AS (SELECT a.project_id, idea_id, question_no, resolution, ka = kb AS exact FROM a JOIN b ON a.project_id = b.project_id AND ka <> '' AND kb <> '' AND (ka = kb OR (length(ka) >= 24 AND contains(ka, kb)) OR (length(kb) >= 24 AND contains(kb, ka))))"""
 
