@@ -29,7 +29,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memlake.llm.bpe import IntMap
 from memlake.llm.tokens import PieceTable, slices, text_sums
@@ -37,6 +36,8 @@ from memlake.llm.tokens import PieceTable, slices, text_sums
 ORDER = 4
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 15
 UNKNOWN = "und"
+#: Words that a Python worker remembers.
+REMEMBERED = 150_000
 
 
 def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -151,26 +152,38 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (the best language's share of probability).  No shuffle."""
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """Add ``lang_pred`` and ``score`` (the best language's share of probability).  No shuffle.
+
+    Only the text goes to Python and only the two results come back.
+    """
+    docs = docs.drop("lang_pred", "score", "_language")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    result = pa.struct([pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, width = shared.value, len(shared.value.langs)
-        table = PieceTable(model.code_lengths)
-        names = np.array([*model.langs, UNKNOWN], object)
+    @F.arrow_udf("lang_pred string, score double")
+    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        table = PieceTable(model.code_lengths, REMEMBERED)
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
-                codes, counts, words = _cut(part.column(text))
-                flat, starts, _ = table.rows(words, np.bincount(codes, minlength=len(words)))
-                rows = flat.reshape(-1, width + 1)[starts // (width + 1)][codes]
-                bits = np.stack([text_sums(rows[:, k].astype(float), counts) for k in range(width + 1)], 1)
-                known = (bits[:, width] > 0) & (width > 0)
-                lengths = bits[:, :width]
-                best = lengths.argmin(axis=1) if width else np.zeros(len(bits), np.int64)
-                least = lengths[np.arange(len(best)), best][:, None] if width else lengths
-                score = 1 / np.exp2(np.maximum(least - lengths, -1000)).sum(axis=1) if width else np.zeros(len(bits))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[np.where(known, best, width)], pa.string()), pa.array(np.where(known, score, 0.0))], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+            parts = [_predict(model, table, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([batch], names=["t"]), "t", 4 << 20)]
+            best, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, object), np.zeros(0))
+            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score)], fields=list(result))
+
+    found = docs.withColumn("_language", identify(F.col(text).cast("string")))
+    return found.select(*docs.columns, "_language.lang_pred", "_language.score")
+
+
+def _predict(model: Model, table: PieceTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a slice."""
+    width = len(model.langs)
+    codes, counts, words = _cut(texts)
+    flat, starts, _ = table.rows(words, np.bincount(codes, minlength=len(words)))
+    of = lambda k: text_sums(flat[starts + k][codes].astype(float), counts)
+    known = of(width) > 0
+    if not width:
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    lengths = np.stack([of(k) for k in range(width)], 1)
+    best = lengths.argmin(axis=1)
+    least = lengths[np.arange(len(best)), best][:, None]
+    score = 1 / np.exp2(np.maximum(least - lengths, -1000)).sum(axis=1)
+    return np.where(known, np.array(model.langs, object)[best], UNKNOWN), np.where(known, score, 0.0)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.llm.storage import materialize
+
 WINDOW = 5
 MIN_ROWS = 100
 SPREAD = 8
@@ -117,7 +119,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 def verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """All columns of ``df`` with the features ``_quality`` (struct), ``base_failed`` and ``kept``."""
     df = df.drop("_quality", "_limits", "base_failed", "kept")
-    limits = thresholds(sketches(df, text, lang, source)).select(F.struct("*").alias("_limits"))
+    # Written first, so that Spark knows its size and need not shuffle whole texts for a small table.
+    limits = materialize(thresholds(sketches(df, text, lang, source)), "quality-thresholds").select(F.struct("*").alias("_limits"))
     rows = features(df, text).withColumn("base_failed", F.expr("_quality.n_words < 10 or 100 * _quality.n_repeat_words > 20 * _quality.n_words"))
     rows = rows.join(limits, F.col(lang).eqNullSafe(F.col("_limits.lang")) & F.col(source).eqNullSafe(F.col("_limits.source")), "left")
     inside = F.lit(True)

@@ -109,5 +109,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_BUCKET = "(v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6)"
+
+
+def _quartiles(by: str) -> str:
+    """Quartiles of merged sketches for groups of some columns, in SQL."""
+    keys = f"{by}, " if by else ""
+    return f"""SELECT {keys}metric, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= total * 2 THEN bucket END) AS q2, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3
+ FROM (SELECT {keys}metric, bucket, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM sketch GROUP BY {keys}metric, bucket)) GROUP BY {keys}metric"""
+
+
+QUALITY_SQL = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+ win AS (SELECT doc_id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+ cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+ f AS (SELECT l.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM l LEFT JOIN cov USING (doc_id)),
+ m AS (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS metric, unnest([word_chars * 1000 // n_words, n_symbols * 1000 // n_words, n_dup_lines * 1000 // n_words]) AS v FROM f WHERE n_words >= 10),
+ sketch AS (SELECT lang, source, metric, {_BUCKET} AS bucket, count(*) AS n FROM m GROUP BY ALL),
+ g AS ({_quartiles("lang, source")}), gl AS ({_quartiles("lang")}), ga AS ({_quartiles("")}),
+ b AS (SELECT g.lang, g.source, g.metric, CASE WHEN g.n >= 100 THEN g.q1 WHEN gl.n >= 100 THEN gl.q1 ELSE ga.q1 END AS q1, CASE WHEN g.n >= 100 THEN g.q2 WHEN gl.n >= 100 THEN gl.q2 ELSE ga.q2 END AS q2, CASE WHEN g.n >= 100 THEN g.q3 WHEN gl.n >= 100 THEN gl.q3 ELSE ga.q3 END AS q3 FROM g JOIN gl ON g.lang IS NOT DISTINCT FROM gl.lang AND g.metric = gl.metric JOIN ga ON g.metric = ga.metric),
+ h AS (SELECT *, greatest(CASE metric WHEN 'word_length' THEN 4000 WHEN 'symbols' THEN 200 ELSE 100 END, least(q2 - q1, q3 - q2) * 8) AS half FROM b),
+ t AS (SELECT lang, source, max(CASE WHEN metric = 'word_length' THEN q2 - half END) AS wl, max(CASE WHEN metric = 'word_length' THEN q2 + half END) AS wh, max(CASE WHEN metric = 'symbols' THEN q2 + half END) AS sh, max(CASE WHEN metric = 'dup_lines' THEN q2 + half END) AS dh FROM h GROUP BY lang, source)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(word_chars * 1000 // n_words BETWEEN wl AND wh AND n_symbols * 1000 // n_words <= sh AND n_dup_lines * 1000 // n_words <= dh, true) AS kept
+ FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source"""
+
+WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+ b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(5), lambda k: CAST(substring(bits, CAST(i * 5 + k + 1 AS INTEGER), 1) AS INTEGER) * (16 >> k))) AS INTEGER) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are tested against brute force."""
+    return {"op6_quality": QUALITY_SQL, "op9_warc": WARC_SQL}

@@ -265,11 +265,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their component: those with its smallest id.
 
-    Rows that repeat an id and a fingerprint are kept once; rows with null ids, which
-    cannot be told apart, are kept.
+    Of rows that repeat an id one is kept; rows with null ids, which cannot be told
+    apart, are all kept.  Only repeated ids cost a grouping of whole rows.
     """
-    keep = near_duplicates(df, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = df.where(F.col(key).isNotNull()).join(keep, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return first.unionByName(df.where(F.col(key).isNull()))
-
-
+    found = near_duplicates(df, key, text)
+    keep = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")).withColumnRenamed("doc_id", "_kept"), "simhash-kept")
+    rows = df.join(keep.where("_copies = 1"), F.col(key) == F.col("_kept"), "left_semi")
+    twice = keep.where("_copies > 1")
+    if not twice.isEmpty():
+        rows = rows.unionByName(df.join(twice, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key]))
+    return rows.unionByName(df.where(F.col(key).isNull()))

@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 from memlake.llm.bpe import ragged_take
 
 #: Bytes of text that are tokenised at once; bounds the memory of a task.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Pieces that a Python worker remembers between slices.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _SEP = "\x1f"
 _ODD = r"[\t-\r\x1c-\x20\x{85}\p{Z}][\t-\r\x1c-\x20\x{85}\p{Z}]|\x1f"
 
