@@ -10,6 +10,7 @@ are cut by a slower path with the same result.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -24,9 +25,14 @@ import pyarrow.compute as pc
 from memlake.llm.bpe import ragged_take
 
 #: Bytes of text that are tokenised at once; bounds the memory of a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces that a Python worker remembers between slices.
 REMEMBERED = 300_000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 _SEP = "\x1f"
 _ODD = r"[\t-\r\x1c-\x20\x{85}\p{Z}][\t-\r\x1c-\x20\x{85}\p{Z}]|\x1f"
 
@@ -38,6 +44,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since idle Python workers keep theirs for the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def split_special(text: str, specials: tuple[str, ...]) -> list[str]:
