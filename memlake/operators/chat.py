@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from memlake.functions import dates as dt
 from memlake.functions import text as tx
 
-BY_TURN = Window.partitionBy("project_id").orderBy("id")
+def by_turn():
+    """A project's messages in order."""
+    return Window.partitionBy("project_id").orderBy("id")
+
 
 
 def ordered(messages: DataFrame) -> DataFrame:
     """Position of each message in its project."""
-    return messages.withColumn("pos", F.row_number().over(BY_TURN))
+    return messages.withColumn("pos", F.row_number().over(by_turn()))
 
 
 def mark_pairs(messages: DataFrame) -> DataFrame:
     """``is_pair`` on each user row that an assistant row follows directly; pairs cannot overlap."""
-    return ordered(messages).withColumn("is_pair", F.coalesce((F.col("role") == "user") & (F.lead("role").over(BY_TURN) == "assistant"), F.lit(False)))
+    return ordered(messages).withColumn("is_pair", F.coalesce((F.col("role") == "user") & (F.lead("role").over(by_turn()) == "assistant"), F.lit(False)))
 
 
 def pairs(messages: DataFrame) -> DataFrame:
     """One row a pair with both texts and the pair's number from the oldest."""
-    rows = mark_pairs(messages).withColumn("assistant_id", F.lead("id").over(BY_TURN)).withColumn("assistant_text", F.lead("content").over(BY_TURN)).withColumn("pair_forget", F.lead("forget").over(BY_TURN))
+    rows = mark_pairs(messages).withColumn("assistant_id", F.lead("id").over(by_turn())).withColumn("assistant_text", F.lead("content").over(by_turn())).withColumn("pair_forget", F.lead("forget").over(by_turn()))
     found = rows.where("is_pair").select("project_id", "pos", F.col("id").alias("user_id"), "assistant_id", F.col("content").alias("user_text"), "assistant_text", F.coalesce("pair_forget", F.lit(False)).alias("forget"))
     return found.withColumn("pair_no", F.row_number().over(Window.partitionBy("project_id").orderBy("pos")))
 
@@ -33,8 +36,8 @@ def roll_off(messages: DataFrame, limit: int) -> DataFrame:
 
     Rows of older pairs roll; unpaired rows in front of the last rolled pair are deleted.
     """
-    rows = mark_pairs(messages).withColumn("member", F.when(F.col("is_pair"), F.col("pos")).when(F.coalesce(F.lag("is_pair").over(BY_TURN), F.lit(False)), F.col("pos") - 1))
-    newer = F.sum(F.col("is_pair").cast("int")).over(BY_TURN.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = mark_pairs(messages).withColumn("member", F.when(F.col("is_pair"), F.col("pos")).when(F.coalesce(F.lag("is_pair").over(by_turn()), F.lit(False)), F.col("pos") - 1))
+    newer = F.sum(F.col("is_pair").cast("int")).over(by_turn().rowsBetween(Window.currentRow, Window.unboundedFollowing))
     mine = F.when(F.col("is_pair"), newer).otherwise(newer + 1)  # an assistant row belongs to the pair before it
     rows = rows.withColumn("rolls", F.col("member").isNotNull() & (mine > limit))
     last = F.max(F.when(F.col("rolls"), F.col("pos"))).over(Window.partitionBy("project_id"))

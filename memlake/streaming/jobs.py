@@ -17,7 +17,7 @@ from memlake.operators import questions as qs
 from memlake.operators import telemetry as tm
 
 ROLLED = "project_id string, user_id long, assistant_id long, user_text string, assistant_text string"
-_STATE = "id long, role string, content string"
+_STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
 
 class RollOff(StatefulProcessor):
@@ -31,7 +31,7 @@ class RollOff(StatefulProcessor):
         self._limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._held = handle.getListState("held", T._parse_datatype_string(_STATE))
+        self._held = handle.getListState("held", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self._held.get()]
