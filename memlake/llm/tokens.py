@@ -1,8 +1,8 @@
 """Tokenising whole columns of text through their distinct pieces.
 
 Every tokenizer used here splits a text at white space before it looks for
-tokens, so a text may be cut at each single space that has no other white space
-beside it, and the pieces encoded apart.  Natural text repeats its pieces, so a
+tokens, so a text may be cut before each single space, and around each single line
+end, that has no other white space beside it, and the pieces encoded apart.  Natural text repeats its pieces, so a
 slice of a column is cut and dictionary-encoded by Arrow and only *distinct*
 pieces are encoded.  Texts with other white space, separators or special strings
 are cut by a slower path with the same result.  Nulls count as empty texts.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from memlake.llm.bpe import ragged_take
+from memlake.llm.bpe import byte_alphabet, ragged_take
 
 #: Bytes of text that are tokenised at once; bounds the memory of a task.
 SLICE_BYTES = 4 << 20
@@ -68,7 +68,8 @@ def pieces(texts: pa.Array, specials: tuple[str, ...]) -> tuple[np.ndarray, np.n
     for s in specials:
         odd = odd | np.asarray(pc.match_substring(texts, s))
     plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
-    cut = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), " ", _SEP + " "), _SEP)
+    marked = pc.replace_substring(pc.replace_substring(texts.take(pa.array(plain)), " ", _SEP + " "), "\n", f"{_SEP}\n{_SEP}")
+    cut = pc.split_pattern(marked, _SEP)
     counts = np.zeros(len(texts), np.int64)
     counts[plain] = np.diff(np.asarray(cut.offsets)) if len(plain) else 0
     flat = cut.flatten()
@@ -126,6 +127,11 @@ class PieceTable:
         return all_flat, starts[at], all_lengths[at]
 
 
+def _latin_word(x: str) -> bool:
+    """Letters below U+0250 whose lower case is one letter each."""
+    return x.isalpha() and (x.isascii() or (max(x) < "\u0250" and "\u0130" not in x))
+
+
 class LibraryIds:
     """Token ids of the ``tokenizers`` library for whole texts.
 
@@ -149,6 +155,9 @@ class LibraryIds:
         with open(tokenizer_json, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
         self._ends = np.array([(self._tok.id_to_token(i) or "").endswith(suffix) for i in range(self._tok.get_vocab_size())]) if suffix else None
+        self._space, self._spell = byte_alphabet()[32], {b: c for b, c in enumerate(byte_alphabet()) if b > 127}
+        self._plain = Tokenizer(self._tok.model)
+        self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._stops = {x: self._tok.encode(x, add_special_tokens=False).ids[0] for x in ".,"}
         self._table = PieceTable(self._encode)
 
@@ -178,6 +187,7 @@ class LibraryIds:
 
     def _encode_cores(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = {i: self._tok.token_to_id(x) for i, x in enumerate(distinct) if x in self.specials}
+        letters = np.fromiter((_latin_word(x if self._sizes is None or x[:1] != " " else x[1:]) for x in distinct), bool, len(distinct))
         if self._ends is not None:
             safe = np.fromiter((x.isalpha() for x in distinct), bool, len(distinct))
         elif self._sizes is None:
@@ -186,18 +196,38 @@ class LibraryIds:
             safe = np.fromiter((len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in distinct), bool, len(distinct))
         plain = np.ones(len(distinct), bool)
         plain[list(own)] = False
-        first, rest = np.flatnonzero(plain & safe), np.flatnonzero(plain & ~safe)
-        fast = self._by_size if self._ends is None else self._by_word
-        parts = [fast([distinct[i] for i in first]), self._by_mark([distinct[i] for i in rest]), (np.array(list(own.values()), np.uint32), np.ones(len(own), np.int64))]
+        groups = [np.flatnonzero(g) for g in (plain & letters, plain & safe & ~letters, plain & ~safe & ~letters)]
+        ways = [self._by_letters, self._by_size if self._ends is None else self._by_word, self._by_mark]
+        parts = [way([distinct[i] for i in g]) for way, g in zip(ways, groups, strict=True)]
+        parts.append((np.array(list(own.values()), np.uint32), np.ones(len(own), np.int64)))
         ids, lengths = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
         order = np.empty(len(distinct), np.int64)
-        order[np.concatenate([first, rest, np.array(list(own), np.int64)])] = np.arange(len(distinct))
+        order[np.concatenate([*groups, np.array(list(own), np.int64)])] = np.arange(len(distinct))
         return ragged_take(ids, (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
 
-    def _run(self, groups: list[str]) -> np.ndarray:
-        found = self._tok.encode_batch_fast(groups, add_special_tokens=False)
+    def _run(self, groups: list[str], tok=None) -> np.ndarray:
+        found = (tok or self._tok).encode_batch_fast(groups, add_special_tokens=False)
         return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
 
+    def _by_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of Latin letters are one word each, already in NFC.
+
+        So they are spelled in the byte alphabet here and go to the library's model split
+        at white space only.
+        """
+        if self._sizes is None:
+            words = [x if x.isascii() else x.lower().encode().decode("latin-1").translate(self._spell) for x in words]
+        else:
+            words = [self._space + x[1:] if x[0] == " " else x for x in (x if x.isascii() else x.encode().decode("latin-1").translate(self._spell) for x in words)]
+        ids = self._run([" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)], self._plain)
+        if not words:
+            return ids, np.zeros(0, np.int64)
+        if self._ends is not None:
+            last = np.flatnonzero(self._ends[ids])
+        else:
+            last = np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        return ids, np.diff(np.concatenate([[-1], last]))
+
     def _by_mark(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces joined by a special token, whose id tells where each ends."""
         ids = self._run([self._mark.join(words[i : i + 2000]) + self._mark for i in range(0, len(words), 2000)])
