@@ -62,6 +62,18 @@ def blank_before_markers(text: Column, markers: Markers = DEFAULT) -> Column:
     return F.regexp_replace(tx.normalize_lf(text), r"(?<!\n\n)(?<!\A)(?=" + markers.begin.replace("!", "\\!") + ")", "\n")
 
 
+def normalize_wrappers(text: Column) -> Column:
+    """Old ``=== BEGIN/END kind MEMORY: mm/dd/yyyy ===`` lines: the first becomes a header line, the rest go."""
+    found = F.regexp_extract(text, r"(?m)^=== BEGIN (DAILY|DREAM) MEMORY:\s*(\d{2}/\d{2}/\d{4}) ===", 2)
+    plain = F.regexp_replace(tx.normalize_lf(text), r"(?m)^=== (?:BEGIN|END) (?:DAILY|DREAM) MEMORY:\s*\d{2}/\d{2}/\d{4} ===[ \t]*\n?", "")
+    return F.when(found == "", tx.normalize_lf(text)).otherwise(F.concat(F.lit("# Memory "), F.replace(found, F.lit("/"), F.lit("-")), F.lit("\n\n"), plain))
+
+
+def ensure_heading(entry: Column, entry_type: Column, handle: Column) -> Column:
+    """An entry's text with a heading in front if none of its lines is one."""
+    return F.when(entry.rlike(r"(?m)^##\s+.+$"), entry).otherwise(F.concat(tx.entry_heading(entry_type, handle), F.lit("\n\n"), entry))
+
+
 def lines(docs: DataFrame, by: list[str], content: str, markers: Markers = DEFAULT) -> DataFrame:
     """Lines with number, offset and marker ids."""
     rows = docs.select(*by, F.posexplode(F.split(tx.normalize_lf(F.col(content)), "\n")).alias("line_no", "line"))

@@ -42,6 +42,11 @@ class HashEmbedder:
         return out / np.where(length > 0, length, 1)
 
 
+def with_text(rows: DataFrame) -> DataFrame:
+    """Rows whose text to embed (``embed_text``, else ``text``) is not blank."""
+    return rows.withColumn("to_embed", F.coalesce(F.nullif("embed_text", F.lit("")), F.col("text"))).where(F.col("to_embed").rlike(r"\S"))
+
+
 def chunk(docs: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
     """One row for each window, numbered after blank windows are dropped.  No shuffle."""
     return docs.select(*(c for c in docs.columns if c != text), F.posexplode(tx.windows(tx.normalize_lf(F.col(text)), size, overlap)).alias("chunk_index", "chunk"))

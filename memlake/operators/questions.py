@@ -157,3 +157,18 @@ def parse_log(lines: DataFrame) -> DataFrame:
     schema = "ts string, question string, topic string, resolution string, namespace string, semantic_handle string, pair_id string"
     rows = lines.where(F.trim("value").startswith("{")).withColumn("j", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     return rows.where("j is not null").select("project_id", "line_no", "j.*").where("coalesce(trim(question), '') <> ''")
+
+
+def remembered(items: DataFrame) -> DataFrame:
+    """Items that were accepted to be remembered."""
+    return items.where(F.coalesce("remember", F.lit(False)))
+
+
+def pending(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pending items with the new ones behind them."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def research_plan(items: DataFrame) -> DataFrame:
+    """One row for each idea and recommended topic."""
+    return items.select("project_id", "idea_id", F.posexplode("recommended_research").alias("at", "topic")).where(tx.strip("topic") != "")

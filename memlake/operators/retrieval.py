@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 
+#: Queries that are sent to all tasks at once.
+MOST_QUERIES = 100_000
 HEADER_KEYS = ("memory_id", "source_document_id", "artifact_path", "entry_type", "source_agent", "source_scope", "current_scope", "semantic_handle")
 
 
@@ -52,8 +54,8 @@ def top_k_scan(queries: list[tuple[int, list[float]]], items: DataFrame, k: int,
     The queries are sent to the tasks; their number is the caller's, checked here.  Only
     k rows a query and task are shuffled, however large the table is.
     """
-    if len(queries) > 100_000:
-        raise ValueError("send at most 100,000 queries at once")
+    if len(queries) > MOST_QUERIES:
+        raise ValueError(f"send at most {MOST_QUERIES} queries at once")
     ids, matrix = np.array([q for q, _ in queries]), np.array([v for _, v in queries], np.float64)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", items.schema[item].dataType), T.StructField("ip", T.DoubleType())])
 
@@ -81,6 +83,30 @@ def top_k_scan(queries: list[tuple[int, list[float]]], items: DataFrame, k: int,
     return local.withColumn("hit_rank", rank).where(F.col("hit_rank") <= k)
 
 
+def canonical(hits: DataFrame) -> DataFrame:
+    """Hits with one document and one index column, whichever of the older names they came with."""
+    have = lambda *names: F.coalesce(*(F.col(n) for n in names if n in hits.columns))
+    old = [c for c in ("source_document_id", "doc_id", "chunk_index", "chunk_seq") if c in hits.columns]
+    rest = [c for c in hits.columns if c not in old]
+    return hits.select(*rest, have("source_document_id", "doc_id").alias("source_document_id"), have("chunk_index", "chunk_seq").cast("int").alias("chunk_index"))
+
+
+def best_hit(hits: DataFrame, query: str = "query_id") -> DataFrame:
+    """The single best hit of each query."""
+    return hits.groupBy(query).agg(F.max_by("item_id", F.struct("score", -F.col("hit_rank"))).alias("item_id"), F.max("score").alias("score"))
+
+
+def response_json(rows: DataFrame) -> DataFrame:
+    """One JSON text a row, null fields left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("response"))
+
+
+def source_scores(hits: DataFrame, query: str = "query_id") -> DataFrame:
+    """Hits and mean score of each source of a query; 0.0 where a source has none."""
+    part = lambda s: F.coalesce(F.avg(F.when(F.col("source") == s, F.col("score"))), F.lit(0.0))
+    return hits.groupBy(query).agg(F.count_if(F.col("source") == "daily").alias("daily_hits"), F.count_if(F.col("source") == "ltm").alias("ltm_hits"), part("daily").alias("daily_mean"), part("ltm").alias("ltm_mean"))
+
+
 def score_gate(hits: DataFrame) -> DataFrame:
     """Strictly above the policy's score; a missing score counts as 0."""
     return hits.where(F.coalesce("score", F.lit(0.0)) > F.col("min_score"))

@@ -28,7 +28,7 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
     queries = asked.select(F.col("item_id").alias("query_id"), "text").withColumn("route", chat.route_of(F.col("text")))
     queries = rt.retrievable(rt.with_policy(queries, route_policy(spark), settings.base_top_k))
     vectors = _embedded(queries.select("query_id", "text"), "text", settings)
-    sent = [(r.query_id, list(r.vector)) for r in vectors.select("query_id", "vector").collect()]  # bounded by top_k_scan
+    sent = [(r.query_id, list(r.vector)) for r in vectors.select("query_id", "vector").limit(rt.MOST_QUERIES + 1).collect()]  # one more than allowed raises
     chunks = ck.chunk(documents, settings.chunk_size, settings.chunk_overlap)
     daily = pairs.select("project_id", F.concat(F.lit("d"), F.col("project_id"), F.lit("-"), F.col("pair_no").cast("string")).alias("item_id"), tx.compose_pair(F.col("user_text"), F.col("assistant_text")).alias("chunk"))
     ltm = chunks.withColumn("item_id", tx.chunk_id(F.col("doc_id"), F.col("chunk_index")))
