@@ -270,7 +270,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     found = near_duplicates(df, key, text)
     keep = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")).withColumnRenamed("doc_id", "_kept"), "simhash-kept")
-    rows = df.join(keep.where("_copies = 1"), F.col(key) == F.col("_kept"), "left_semi")
+    # The kept ids grow with the documents, so they are never broadcast, at any size.
+    rows = df.join(keep.where("_copies = 1").hint("shuffle_hash"), F.col(key) == F.col("_kept"), "left_semi")
     twice = keep.where("_copies > 1")
     if not twice.isEmpty():
         rows = rows.unionByName(df.join(twice, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key]))
