@@ -149,11 +149,16 @@ def tiers(kept: DataFrame, query: str = "query_id") -> DataFrame:
 
 
 def expand(kept: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks c-before .. c+after of each hit's document by an equi join; the centre always stays."""
+    """Chunks c-before .. c+after of each hit's document by an equi join; the centre always stays.
+
+    The centre's text is the hit's own (``n_text`` is null there), so only neighbours
+    are joined, inner, and the few wanted rows may be the broadcast side.
+    """
     want = kept.withColumn("idx", F.explode(F.sequence(F.col("chunk_index") - F.col("before_n"), F.col("chunk_index") + F.col("after_n"))))
     near = chunks.select(F.col("doc_id").alias("n_doc"), F.col("chunk_index").alias("n_idx"), F.col("chunk").alias("n_text"))
-    rows = want.join(near, (F.col("doc_id") == F.col("n_doc")) & (F.col("idx") == F.col("n_idx")), "left")
-    return rows.where(F.col("n_idx").isNotNull() | (F.col("idx") == F.col("chunk_index"))).drop("n_doc", "n_idx")
+    centre = want.where("idx = chunk_index").withColumn("n_text", F.lit(None).cast("string"))
+    others = want.where("idx <> chunk_index").join(near, (F.col("doc_id") == F.col("n_doc")) & (F.col("idx") == F.col("n_idx"))).drop("n_doc", "n_idx")
+    return centre.unionByName(others)
 
 
 def dedupe(expanded: DataFrame, query: str = "query_id") -> DataFrame:

@@ -36,9 +36,11 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
     scan = lambda rows, name: rt.top_k_scan(sent, _embedded(rows.select("item_id", "chunk"), "chunk", settings), most).withColumn("source", F.lit(name))
     hits = scan(daily, "daily").unionByName(scan(ltm, "ltm")).withColumn("score", F.round(vx.cosine_to_01(F.col("ip")), 9))
     policy = queries.select("query_id", "min_score", "max_keep", "expansion_before", "expansion_after", "per_source_k")
-    hits = hits.join(policy, "query_id").where(F.col("hit_rank") <= F.col("per_source_k"))
-    hits = hits.join(ltm.select("item_id", "doc_id", "chunk_index", "chunk"), "item_id", "left").join(daily.select("item_id", F.col("chunk").alias("daily_text")), "item_id", "left")
-    hits = hits.withColumn("chunk", F.coalesce("chunk", "daily_text")).drop("daily_text")
+    # Queries x k rows at most; kept, since they are used more than once and cost the scan.
+    hits = hits.join(policy, "query_id").where(F.col("hit_rank") <= F.col("per_source_k")).persist()
+    # Inner joins, so that the few hits may be the broadcast side and no text is shuffled.
+    found = hits.where("source = 'ltm'").join(ltm.select("item_id", "doc_id", "chunk_index", "chunk"), "item_id")
+    hits = found.unionByName(hits.where("source = 'daily'").join(daily.select("item_id", "chunk"), "item_id"), allowMissingColumns=True)
     kept = rt.tiers(rt.select_with_bonus(rt.score_gate(rt.order_hits(hits))))
     centre = kept.where("doc_id is null").withColumns({"idx": F.lit(None).cast("int"), "n_text": F.col("chunk")})
     rows = rt.expand(kept.where("doc_id is not null"), chunks).unionByName(centre).withColumn("n_text", F.coalesce("n_text", "chunk")).drop("chunk")
