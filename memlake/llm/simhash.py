@@ -27,7 +27,7 @@ components (their component is null); extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -262,13 +262,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component: those with its smallest id.
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", near: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``df`` that stand for their component by ``near``: those with its smallest id.
 
     Of rows that repeat an id one is kept; rows with null ids, which cannot be told
     apart, are all kept.  Only repeated ids cost a grouping of whole rows.
     """
-    found = near_duplicates(df, key, text)
+    found = near(df, key, text)
     keep = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")).withColumnRenamed("doc_id", "_kept"), "simhash-kept")
     # The kept ids grow with the documents, so they are never broadcast, at any size.
     rows = df.join(keep.where("_copies = 1").hint("shuffle_hash"), F.col(key) == F.col("_kept"), "left_semi")
