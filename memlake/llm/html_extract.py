@@ -1,7 +1,7 @@
 """Main text of web pages with a site style tree (operator 5).
 
 The pages of a host are merged into one style tree: its element nodes are paths of
-tags with their classes, and for each it is counted in how many pages it occurs,
+tags with their classes and their position among siblings that are equal in both, and for each it is counted in how many pages it occurs,
 with which row of child elements (presentation) and with which text (content).  The
 importance of an element over m pages is
 
@@ -69,11 +69,12 @@ def _hash(text: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "style", "path", "gone", "main", "kids", "text")
+    __slots__ = ("tag", "style", "path", "gone", "main", "kids", "equal", "text")
 
     def __init__(self, tag: str, style: str, path: int, gone: bool, main: bool):
         self.tag, self.style, self.path, self.gone, self.main = tag, style, path, gone, main
         self.kids: list[str] = []
+        self.equal: dict[str, int] = {}
         self.text = hashlib.blake2b(digest_size=8)
 
 
@@ -159,7 +160,9 @@ def walk(page: str, host_removed: frozenset[int] = frozenset(), branches: list |
         style, out = _named_out(m["attrs"])
         name = tag + style
         top.kids.append(name)
-        path = _hash(f"{top.path}/{name}")
+        # Equal siblings are nodes of their own, so that each is judged and removed by its own content.
+        nth = top.equal[name] = top.equal.get(name, 0) + 1
+        path = _hash(f"{top.path}/{name}/{nth}")
         out = out or tag in REMOVED or (tag == "header" and not top.main) or (path in host_removed and not top.main)
         if tag in ("html", "body"):
             out = False
@@ -192,7 +195,7 @@ def style_rows(pages: DataFrame) -> DataFrame:
                 own = _hash(page)
                 # A branch that holds the main text is never removed.
                 keep = {p for p, _, _, main in branches if main}
-                out += [(host, p, s, c, own) for p, s, c in {p: (p, s, c) for p, s, c, _ in branches if p not in keep}.values()]
+                out += [(host, p, s, c, own) for p, s, c, _ in branches if p not in keep]
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["host", "path", "presentation", "content", "page"])
 

@@ -130,3 +130,11 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[100].startswith("Welcome") and got[205].startswith("Welcome")
     assert got[101] == "" and got[102] == "x"
     assert hx.main_text(pages).count() == len(rows) and hx.main_text(pages.where("false")).count() == 0
+
+
+def test_equal_siblings_are_judged_apart(spark):
+    last = lambda k: f"<body><div><p>own text {k}</p></div><div>(c) site</div></body>"
+    first = lambda k: f"<body><div>Welcome</div><div><p>story {k}</p></div></body>"
+    rows = [(k, "http://a.example/", last(k)) for k in range(6)] + [(10 + k, "http://b.example/", first(k)) for k in range(6)]
+    got = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"own text {k}" for k in range(6)}, **{10 + k: f"story {k}" for k in range(6)}}
