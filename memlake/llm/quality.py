@@ -1,20 +1,31 @@
 """Quality rules with adaptive thresholds (operator 6), DataFrame functions only.
 
-Fixed cutoffs are replaced by fences around what is usual in a document's own
+Fixed cutoffs are replaced by fences that follow what is usual in a document's own
 language and source.  Each metric is summarised by a mergeable quantile sketch: a
-histogram over whole numbers cut to their six leading bits (relative error below
-1/32).  Sketches of (language, source) merge by adding counts into sketches of a
-language and of everything, which serve groups of fewer than ``MIN_ROWS`` rows.
-The fence is ``median +- max(width, SPREAD * smaller quartile distance)``; taking
-the smaller distance keeps it in place while up to half of a group is junk.
+histogram over whole numbers cut to their ``BITS`` leading bits (relative error below
+2**-8).  Sketches of (language, source) merge, by adding counts, into sketches of a
+language and of everything.  The quartiles of a group are drawn to those of the wider
+one as if that were ``PRIOR`` documents more, so small groups lean on their language and
+the weight of their own grows smoothly with their size.  With quartiles a, b, c:
+
+* word length must lie in ``b - SPREAD * (b - a) .. b + SPREAD * (c - b)``;
+* symbols and repeated lines are rates from zero up, and most texts have none.  A text of
+  n words without any does not show a rate of 0, only one that is not much over 1 / n, so
+  the sketch holds (count + 1) / n; a document's own rate may be up to ``SPREAD * c``.
+  A source where a quarter of the documents or more have symbols by nature keeps them.
+
+No fence has a fixed part: each is ``SPREAD`` times a distance that the sketches hold.
 
 The sketches see all rows.  They are built by partial counts before one small
 shuffle, so a hot source costs no more than others; the thresholds are joined to
 the documents by (language, source), null-safe.
 
-Defined results: a null text has no words and fails; null languages and sources
-are groups of their own; repeated rows count as often as they occur; extra columns
-pass through ``verdicts`` (those named like its results are replaced).  5-word windows are compared by a 64-bit hash.
+Defined results: a null text has no words and fails; null languages and sources are
+groups of their own; texts with fewer than ten words fail and are in no sketch; very long
+texts are one document each and measured whole; repeated rows count as often as they
+occur; a value on a fence is inside; an empty table gives an empty result.  Extra columns
+pass through ``verdicts``; those named like its results are replaced, unless other names
+are asked for.  5-word windows are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,14 +33,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.storage import materialize
+from memlake.llm.storage import fresh, materialize
 
-WINDOW = 5
-MIN_ROWS = 100
-SPREAD = 8
-#: Metric -> (per mille of what, of how many, least half-width of the fence, below too).
-#: Word length in thousandths of a character; symbols and repeated lines per thousand words.
-METRICS = {"word_length": ("word_chars", "n_words", 4000, True), "symbols": ("n_symbols", "n_words", 200, False), "dup_lines": ("n_dup_lines", "n_words", 100, False)}
+WINDOW, BITS = 5, 9
+PRIOR, SPREAD = 100, 16
+#: Metric -> (what, of how many, units a whole, added to what in sketches, whether it has a lower fence too).
+#: Word length in thousandths of a character; symbols and repeated lines per hundred thousand words.
+METRICS = {"word_length": ("word_chars", "n_words", 1000, 0, True), "symbols": ("n_symbols", "n_words", 100_000, 1, False), "dup_lines": ("n_dup_lines", "n_words", 100_000, 1, False)}
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
 
@@ -59,8 +69,8 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, 0).otherwise(_bind(windows, count))
 
 
-def features(df: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
-    """Add the column ``_quality`` with n_words, word_chars, n_symbols, n_dup_lines and, if asked, n_repeat_words."""
+def features(df: DataFrame, text: str = "text", repeats: bool = True, name: str = "_quality") -> DataFrame:
+    """Add the column ``_quality`` (or of another name) with n_words, word_chars, n_symbols, n_dup_lines and, if asked, n_repeat_words."""
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
@@ -73,57 +83,72 @@ def features(df: DataFrame, text: str = "text", repeats: bool = True) -> DataFra
         more = [_repeated_words(w).cast("long").alias("n_repeat_words")] if repeats else []
         return F.struct(*own, *more)
 
-    return df.withColumn("_quality", F.struct(_bind(words, all_of).alias("w"), symbols, dup)).withColumn(
-        "_quality", F.struct(*(F.col(f"_quality.w.{c}").alias(c) for c in ["n_words", "word_chars", *(["n_repeat_words"] if repeats else [])]), F.col("_quality.n_symbols").alias("n_symbols"), F.col("_quality.n_dup_lines").alias("n_dup_lines"))
-    )
+    df = df.withColumn(name, F.struct(_bind(words, all_of).alias("w"), symbols, dup))
+    own = ["n_words", "word_chars", *(["n_repeat_words"] if repeats else [])]
+    return df.withColumn(name, F.struct(*(F.col(f"{name}.w.{c}").alias(c) for c in own), *(F.col(f"{name}.{c}").alias(c) for c in ("n_symbols", "n_dup_lines"))))
 
 
-def _metric(name: str, row: str = "_quality") -> Column:
-    part, whole, _, _ = METRICS[name]
-    return F.expr(f"{row}.{part} * 1000 div {row}.{whole}")
+def _metric(metric: str, row: str, more: int = 0) -> Column:
+    part, whole, unit, _, _ = METRICS[metric]
+    return F.expr(f"({row}.{part} + {more}) * {unit} div {row}.{whole}")
 
 
 def sketches(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts by (lang, source, metric, bucket) of all documents with ten words or more."""
     rows = features(df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")), "text", repeats=False).where("_quality.n_words >= 10")
-    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _metric(m).alias("v")) for m in METRICS)))
-    cut = rows.select("lang", "source", values.alias("m")).select("lang", "source", "m.metric", F.expr("shiftleft(shiftright(m.v, greatest(0, length(bin(m.v)) - 6)), greatest(0, length(bin(m.v)) - 6))").alias("bucket"))
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _metric(m, "_quality", METRICS[m][3]).alias("v")) for m in METRICS)))
+    cut = rows.select("lang", "source", values.alias("m")).select("lang", "source", "m.metric", F.expr(f"m.v - m.v % {_width('m.v')}").alias("bucket"))
     return cut.groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _width(v: str) -> str:
+    """Width of the bucket of a whole number, in SQL."""
+    return f"shiftleft(1L, greatest(0, length(bin({v})) - {BITS}))"
+
+
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """n, q1, q2, q3 of each metric for each group of merged sketches."""
+    """n and the quartiles' edges of each metric for each group of merged sketches.
+
+    ``a`` and ``b`` begin the buckets of the first and second quartile, ``b_end`` and
+    ``c_end`` end those of the second and third.
+    """
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*by, "metric")
     run = merged.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("all", F.sum("n").over(whole))
     at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bucket")))
-    return run.groupBy(*by, "metric").agg(F.max("all").alias("n"), *(at(k).alias(f"q{k}") for k in (1, 2, 3)))
+    found = run.groupBy(*by, "metric").agg(F.max("all").alias("n"), *(at(k).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "c"))))
+    return found.select(*by, "metric", F.struct("n", "a", "b", F.expr(f"b + {_width('b')}").alias("b_end"), F.expr(f"c + {_width('c')}").alias("c_end")).alias("q"))
+
+
+def _drawn(own: str, wider: str) -> Column:
+    """Quartiles of a group with those of a wider group as so many documents more."""
+    return F.struct(F.col(f"{own}.n").alias("n"), *(F.expr(f"({own}.n * {own}.{c} + {PRIOR} * {wider}.{c}) div ({own}.n + {PRIOR})").alias(c) for c in ("a", "b", "b_end", "c_end")))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source): ``low_`` and ``high_`` of each metric."""
-    levels = [_quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"]), _quartiles(sketch, [])]
-    names = ["g", "l", "a"]
-    g, l, a = (x.select(*(c for c in x.columns if c in ("lang", "source", "metric")), F.struct("n", "q1", "q2", "q3").alias(k)) for x, k in zip(levels, names, strict=True))
-    l = l.withColumnRenamed("lang", "lang_l").withColumnRenamed("metric", "metric_l")
-    rows = g.join(l, F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("metric") == F.col("metric_l"))).join(a, "metric")
-    best = F.when(F.col("g.n") >= MIN_ROWS, F.col("g")).when(F.col("l.n") >= MIN_ROWS, F.col("l")).otherwise(F.col("a"))
-    rows = rows.select("lang", "source", "metric", best.alias("b"))
-    width = F.create_map(*(x for m, v in METRICS.items() for x in (F.lit(m), F.lit(v[2]))))[F.col("metric")]
-    half = F.greatest(width, F.least(F.col("b.q2") - F.col("b.q1"), F.col("b.q3") - F.col("b.q2")) * SPREAD)
-    rows = rows.select("lang", "source", "metric", (F.col("b.q2") - half).alias("low"), (F.col("b.q2") + half).alias("high"))
+    every = _quartiles(sketch, []).withColumnRenamed("q", "e")
+    language = _quartiles(sketch, ["lang"]).join(every, "metric").select(F.col("lang").alias("of"), F.col("metric").alias("same"), _drawn("q", "e").alias("l"))
+    rows = _quartiles(sketch, ["lang", "source"]).join(language, F.col("lang").eqNullSafe(F.col("of")) & (F.col("metric") == F.col("same")))
+    rows = rows.select("lang", "source", "metric", _drawn("q", "l").alias("q"))
+    both = F.col("metric").isin([m for m, v in METRICS.items() if v[4]])
+    low = F.when(both, F.col("q.b") - (F.col("q.b_end") - F.col("q.a")) * SPREAD)
+    high = F.when(both, F.col("q.b") + (F.col("q.c_end") - F.col("q.b")) * SPREAD).otherwise(F.col("q.c_end") * SPREAD)
+    rows = rows.select("lang", "source", "metric", low.alias("low"), high.alias("high"))
     pick = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
     return rows.groupBy("lang", "source").agg(*(pick(c, m) for m in METRICS for c in ("low", "high")))
 
 
-def verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """All columns of ``df`` with the features ``_quality`` (struct), ``base_failed`` and ``kept``."""
-    df = df.drop("_quality", "_limits", "base_failed", "kept")
+def verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", quality: str = "_quality", base_failed: str = "base_failed", kept: str = "kept") -> DataFrame:
+    """All columns of ``df`` with the features ``_quality`` (struct), ``base_failed`` and ``kept``, or of the names given."""
+    df = df.drop(quality, base_failed, kept)
+    (limits,) = fresh(df, "limits")
     # Written first, so that Spark knows its size and need not shuffle whole texts for a small table.
-    limits = materialize(thresholds(sketches(df, text, lang, source)), "quality-thresholds").select(F.struct("*").alias("_limits"))
-    rows = features(df, text).withColumn("base_failed", F.expr("_quality.n_words < 10 or 100 * _quality.n_repeat_words > 20 * _quality.n_words"))
-    rows = rows.join(limits, F.col(lang).eqNullSafe(F.col("_limits.lang")) & F.col(source).eqNullSafe(F.col("_limits.source")), "left")
+    known = materialize(thresholds(sketches(df, text, lang, source)), "quality-thresholds").select(F.struct("*").alias(limits))
+    rows = features(df, text, name=quality).withColumn(base_failed, F.expr(f"{quality}.n_words < 10 or 100 * {quality}.n_repeat_words > 20 * {quality}.n_words"))
+    rows = rows.join(known, F.col(lang).eqNullSafe(F.col(f"{limits}.lang")) & F.col(source).eqNullSafe(F.col(f"{limits}.source")), "left")
     inside = F.lit(True)
-    for m, (_, _, _, below) in METRICS.items():
-        inside &= F.when(F.col("_quality.n_words") > 0, (_metric(m) <= F.col(f"_limits.high_{m}")) & (F.lit(not below) | (_metric(m) >= F.col(f"_limits.low_{m}"))))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_limits")
+    for m, (_, _, _, _, both) in METRICS.items():
+        value = _metric(m, quality)
+        inside &= F.when(F.col(f"{quality}.n_words") > 0, (value <= F.col(f"{limits}.high_{m}")) & (F.lit(not both) | (value >= F.col(f"{limits}.low_{m}"))))
+    return rows.withColumn(kept, ~F.col(base_failed) & F.coalesce(inside, F.lit(True))).drop(limits)
