@@ -17,7 +17,8 @@ Training uses at most ``SAMPLE_ROWS`` whole documents of each language, of at mo
 and broadcast.  Everything else covers all rows.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, or
-if there is nothing to learn from; repeated rows repeat; extra columns pass through.
+if there is nothing to learn from; very long texts are coded whole; repeated rows repeat;
+an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.bpe import IntMap
+from memlake.llm.storage import bounded_batches, fresh
 from memlake.llm.tokens import PieceTable, slices, text_sums
 
 ORDER = 4
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 15
 UNKNOWN = "und"
-#: Words that a Python worker remembers.
-REMEMBERED = 150_000
+#: Words that a task remembers, and bytes of text that it codes at once.
+REMEMBERED, SLICE_BYTES = 100_000, 1 << 20
 
 
 def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -151,12 +153,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model(*(found[c].to_numpy() for c in ("lang", "depth", "gram", "n")))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (the best language's share of probability).  No shuffle.
+def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (the best language's share of probability), or columns of other names.  No shuffle.
 
-    Only the text goes to Python and only the two results come back.
+    Only the text goes to Python and only the two results come back.  A column that
+    already has one of the two names is replaced.
     """
-    docs = docs.drop("lang_pred", "score", "_language")
+    docs = bounded_batches(docs.drop(lang_pred, score))
+    (both,) = fresh(docs, "language")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     result = pa.struct([pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
 
@@ -165,12 +169,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = shared.value
         table = PieceTable(model.code_lengths, REMEMBERED)
         for batch in batches:
-            parts = [_predict(model, table, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([batch], names=["t"]), "t", 4 << 20)]
+            parts = [_predict(model, table, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([batch], names=["t"]), "t", SLICE_BYTES)]
             best, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, object), np.zeros(0))
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score)], fields=list(result))
 
-    found = docs.withColumn("_language", identify(F.col(text).cast("string")))
-    return found.select(*docs.columns, "_language.lang_pred", "_language.score")
+    found = docs.withColumn(both, identify(F.col(text).cast("string")))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(both)["lang_pred"].alias(lang_pred), F.col(both)["score"].alias(score))
 
 
 def _predict(model: Model, table: PieceTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
