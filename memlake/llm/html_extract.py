@@ -1,59 +1,70 @@
 """Main text of web pages with a site style tree (operator 5).
 
-The pages of a host are merged into one style tree: its element nodes are paths of
-tags with their classes and their position among siblings that are equal in both, and for each it is counted in how many pages it occurs,
-with which row of child elements (presentation) and with which text (content).  The
-importance of an element over m pages is
-
-    (1 - g**k) * H(presentation) + g**k * H(content),   g = 0.9, k = its presentations
-
-with H the entropy to the base m: 1 where all pages differ, 0 where all are alike.
-Branches of low importance are removed from every page of the host.
-
-A host needs ``LEAST_PAGES`` different pages before entropy says anything, so what
-HTML itself says comes first: navigation, page headers, footers, asides, forms,
-scripts and styles are removed by element, role or class words, and an ``article``
-or ``main`` element is the main text if there is one (entropy then removes nothing
-inside it, for a text may rightly be repeated in many pages).
-
-The tree is never built in one place: pages emit one row for each branch, counts are
-combined before the shuffle, and a host is reduced to hashes of its removed paths.
-Copies of a page count once.  The join back to the pages may be split by AQE, so a
-host with a third of all pages is no single task's work.
+The different pages of a host are merged into one style tree.  Its nodes are paths of
+tags with their classes and their position among equal siblings, at every depth.  A node
+has a *presentation* on each page, the row of its child elements, and a *content*, the
+text that stands directly in it.  P and C are the entropies (in nats) of both over the m
+pages that have the node.  Importance is composed along the path from the root, from 0 to 1:
+
+    C' = (1 - exp(-C)) / (1 - 1 / m)
+    importance = C' * (DAMPED + (1 - DAMPED) * max P around / max P of the host)
+
+where *around* is the element itself and all that it stands in.  So what repeats is of no
+importance anywhere, and what changes counts in full only where the layout changes from
+page to page about as much as anywhere on the host, as that of articles does, while
+menus, adverts and footers change their words more than their layout.
+
+A node that few pages of a host have says little, so both factors are drawn to those of
+the same path in a tree of all hosts (its C' is the hosts' mean) as if that were
+``PRIOR`` and, for content, ``CONTENT_PRIOR`` pages more, and these in turn to a prior: 1
+for content, and for the layout what HTML alone says, 0 for what elements or ARIA roles
+name as no main text (navigation, page headers and footers, asides, forms, nested
+articles, which are comments) and, on a page with an ``article`` or ``main`` element, for
+what stands outside of it; 1 for the rest.
+A host's first page is judged by that alone, the tree decides more with each page, and
+there is no switch.  Branches below ``LEAST`` are removed from each page, inside articles
+too; a page with nothing above it keeps what comes within ``LEAST`` of its best.
+
+The tree is never built in one place: pages emit their nodes, copies of a page once, and
+counts are combined before the shuffle.  A host is reduced to its nodes of low importance.
+The join back to the pages may be split by AQE, so a host with a third of all pages is no
+single task's work.
 
 Defined results: a null or empty page has the empty text; a null or odd url counts as
-a host of its own name; an unfinished tag at the end is dropped; extra columns are
-ignored; repeated rows repeat.
+a host of its own name; an unfinished tag at the end is dropped; scripts, styles, heads,
+hidden elements and form controls are never text; importance ties stay; very long pages
+are walked whole, in one pass; an empty table gives an empty result; extra columns are
+ignored; repeated rows repeat.  Hosts, paths and contents are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.storage import materialize
+from memlake.llm.storage import bounded_batches, materialize, workspace
 
-LEAST_PAGES, LEAST_IMPORTANCE, DAMPING, DEPTH = 5, 0.3, 0.9, 8
+PRIOR, CONTENT_PRIOR, LEAST, DAMPED = 8, 1, 0.5, 0.1
+#: The tree of all hosts, in place of a host's hash.
+ALL = 0
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|button"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
-REMOVED = frozenset("head nav footer aside form dialog menu fieldset audio video map frameset noframes".split())
+NAMED = frozenset("nav footer aside form dialog menu fieldset".split())
+NEVER = frozenset("head audio video map frameset noframes".split())
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-#: Class and id words of what is not main text.
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments respond reply replies disqus share sharing social related recommended widget skip".split()
-)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form comment".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>" + RAW + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)",
@@ -61,68 +72,53 @@ _TOKEN = re.compile(
 )
 _OPEN_END = re.compile(r"<[a-zA-Z/][^>]*\Z")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z]+")
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+_hash = xxhash.xxh3_64_intdigest
 
 
 class _Node:
-    __slots__ = ("tag", "style", "path", "gone", "main", "kids", "equal", "text")
+    __slots__ = ("tag", "path", "above", "hidden", "named", "main", "kids", "equal", "texts")
 
-    def __init__(self, tag: str, style: str, path: int, gone: bool, main: bool):
-        self.tag, self.style, self.path, self.gone, self.main = tag, style, path, gone, main
+    def __init__(self, tag: str, path: int, above: int, hidden: bool, named: bool, main: bool):
+        self.tag, self.path, self.above, self.hidden, self.named, self.main = tag, path, above, hidden, named, main
         self.kids: list[str] = []
         self.equal: dict[str, int] = {}
-        self.text = hashlib.blake2b(digest_size=8)
+        self.texts: list[str] = []
 
 
-def _named_out(attrs: str) -> tuple[str, bool]:
-    """Class words for the style of an element, and whether they say it is not main text."""
+def _read(attrs: str) -> tuple[str, bool, bool]:
+    """Classes for the style of an element, whether it is hidden, and whether its role is no main text."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return "", False
-    style, out = "", False
+        return "", False, False
+    style, hidden, named = "", False, False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            style += "." + value if name == "class" else ""
-            out |= not WORDS.isdisjoint(_SPLIT.split(value))
+        if name == "class":
+            style += "." + value
         elif name == "role":
-            out |= value in ROLES
+            named |= value in ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            out = True
+            hidden = True
         elif name == "style":
-            out |= "display:none" in value.replace(" ", "")
-    return style, out
+            hidden |= "display:none" in value.replace(" ", "")
+    return style, hidden, named
 
 
-def walk(page: str, host_removed: frozenset[int] = frozenset(), branches: list | None = None) -> str:
-    """The main text of a page; with ``branches`` also its style-tree rows (path, presentation, content)."""
-    stack = [_Node("", "", 0, False, False)]
-    main_blocks: list[str] = []
-    all_blocks: list[str] = []
-    block: list[str] = []
+def walk(page: str) -> tuple[list[_Node], list[tuple[_Node, str]], bool]:
+    """Elements of a page that can hold text, its blocks of text with their elements, whether it has a main element."""
+    stack = [_Node("", 0, 0, False, False, False)]
+    nodes, blocks, block = [stack[0]], [], []
+    has_main = False
 
     def flush() -> None:
         if block:
             text = " ".join("".join(block).split())
             block.clear()
-            if text:
-                node = stack[-1]
-                if branches is not None:
-                    data = text.encode("utf-8", "surrogatepass")
-                    for n in stack:
-                        n.text.update(data)
-                if not node.gone:
-                    all_blocks.append(text)
-                    if node.main:
-                        main_blocks.append(text)
-
-    def close() -> None:
-        node = stack.pop()
-        if branches is not None and len(stack) <= DEPTH and node.tag not in ("p", "li"):
-            branches.append((node.path, _hash(" ".join(node.kids)), int.from_bytes(node.text.digest(), "big", signed=True), node.main))
+            node = stack[-1]
+            if text and not node.hidden:
+                node.texts.append(text)
+                blocks.append((node, text))
 
     def text_of(raw: str) -> None:
         if raw:
@@ -145,36 +141,49 @@ def walk(page: str, host_removed: frozenset[int] = frozenset(), branches: list |
         if m["end"]:
             if any(n.tag == tag for n in stack[1:]):
                 flush()
-                while stack[-1].tag != tag:
-                    close()
-                close()
+                while stack.pop().tag != tag:
+                    pass
             continue
         flush()
         if tag in CLOSES_P and stack[-1].tag == "p":
-            close()
+            stack.pop()
         if stack[-1].tag in CLOSES_SAME.get(tag, ()):
-            close()
+            stack.pop()
         if tag == "hr":
             continue
         top = stack[-1]
-        style, out = _named_out(m["attrs"])
+        style, hidden, named = _read(m["attrs"])
         name = tag + style
         top.kids.append(name)
         # Equal siblings are nodes of their own, so that each is judged and removed by its own content.
         nth = top.equal[name] = top.equal.get(name, 0) + 1
-        path = _hash(f"{top.path}/{name}/{nth}")
-        out = out or tag in REMOVED or (tag == "header" and not top.main) or (path in host_removed and not top.main)
+        main = tag in MAIN
+        named |= tag in NAMED or (tag == "header" and not top.main) or (tag == "article" and top.main and any(n.tag == "article" for n in stack))
         if tag in ("html", "body"):
-            out = False
-        stack.append(_Node(tag, style, path, top.gone or out, top.main or tag in MAIN))
+            hidden = named = False
+        node = _Node(tag, _hash(f"{top.path}/{name}/{nth}"), top.path, top.hidden or hidden or tag in NEVER, top.named or named, top.main or main)
+        has_main |= main and not node.hidden and not node.named
         if m["attrs"].endswith("/") and tag not in ("p", "div"):
-            stack.pop()
-    rest = _OPEN_END.sub("", page[at:])
-    text_of(rest)
+            continue
+        stack.append(node)
+        nodes.append(node)
+    text_of(_OPEN_END.sub("", page[at:]))
     flush()
-    while len(stack) > 1:
-        close()
-    return "\n".join(main_blocks or all_blocks)
+    return [n for n in nodes if not n.hidden], blocks, has_main
+
+
+def prior(node: _Node, has_main: bool) -> float:
+    """Importance of an element by HTML alone."""
+    return float(not node.named and (node.main or not has_main))
+
+
+def chosen(page: str, low: dict[int, float] | None) -> str:
+    """Main text of a page: blocks of importance ``LEAST`` or more, or its best ones; without ``low`` by HTML alone."""
+    _, blocks, has_main = walk(page)
+    worth = [prior(n, has_main) if low is None else low.get(n.path, 1.0) for n, _ in blocks]
+    best = max(worth, default=1.0)
+    bar = LEAST if best >= LEAST else LEAST * best
+    return "\n".join(t for (_, t), w in zip(blocks, worth, strict=True) if w >= bar)
 
 
 def host_of(url: Column) -> Column:
@@ -184,50 +193,79 @@ def host_of(url: Column) -> Column:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """Rows (host, path, presentation, content) of all branches outside main text, copies of a page once."""
+    """Rows (site, page, nodes) of all pages: hashes of host and page, and the page's elements with presentation and content."""
+
+    def signed(values: list[int | None]) -> pa.Array:
+        return pa.array([None if v is None else v - (v >> 63 << 64) for v in values], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, out = batch.column("host").to_pylist(), []
-            for host, page in zip(hosts, batch.column("html").to_pylist(), strict=True):
-                branches: list = []
-                walk(page, branches=branches)
-                own = _hash(page)
-                # A branch that holds the main text is never removed.
-                keep = {p for p, _, _, main in branches if main}
-                out += [(host, p, s, c, own) for p, s, c, _ in branches if p not in keep]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["host", "path", "presentation", "content", "page"])
-
-    rows = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path long, presentation long, content long, page long")
-    return rows.distinct().drop("page")
-
-
-def removed_paths(pages: DataFrame) -> DataFrame:
-    """Rows (host, paths): hashes of the low-importance branches of each host that has any."""
-    rows = style_rows(pages).groupBy("host", "path", "presentation", "content").agg(F.count(F.lit(1)).alias("n"))
-
-    def entropy(kind: str) -> DataFrame:
-        counts = rows.groupBy("host", "path", kind).agg(F.sum("n").alias("n"))
-        sums = counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.count(F.lit(1)).alias("kinds"))
-        return sums.select("host", "path", "m", F.col("kinds").alias(f"{kind}_kinds"), F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.ln("m"))).otherwise(1.0).alias(kind))
-
-    both = entropy("presentation").join(entropy("content").drop("m"), ["host", "path"])
-    damp = F.pow(F.lit(DAMPING), F.col("presentation_kinds"))
-    low = both.where((F.col("m") >= LEAST_PAGES) & ((1 - damp) * F.col("presentation") + damp * F.col("content") < LEAST_IMPORTANCE))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+            found, ends = [], [0]
+            pages = batch.column("html").to_pylist()
+            for page in pages:
+                nodes, _, has_main = walk(page)
+                found += [(n.path, n.above, _hash(" ".join(n.kids)) if n.kids else None, _hash("\n".join(n.texts)) if n.texts else None, prior(n, has_main)) for n in nodes]
+                ends.append(len(found))
+            path, above, layout, content, by_html = zip(*found, strict=True) if found else ((),) * 5
+            parts = [signed(path), signed(above), signed(layout), signed(content), pa.array(by_html, pa.float32())]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["path", "above", "layout", "content", "by_html"]))
+            yield pa.RecordBatch.from_arrays([batch.column("site"), signed([_hash(p) for p in pages]), nodes], names=["site", "page", "nodes"])
+
+    rows = bounded_batches(pages.select("site", F.coalesce("html", F.lit("")).alias("html")))
+    return rows.mapInArrow(run, "site long, page long, nodes array<struct<path long, above long, layout long, content long, by_html float>>")
+
+
+def _entropy(nodes: DataFrame, kind: str) -> DataFrame:
+    """Rows (site, path, m, nats): pages that have the node, and the entropy of one of its hashes over them."""
+    counts = nodes.where(F.col(kind).isNotNull()).groupBy("site", "path", kind).agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy("site", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    return sums.select("site", "path", "m", F.greatest(F.lit(0.0), F.ln("m") - F.col("s") / F.col("m")).alias("nats"))
+
+
+def importance(pages: DataFrame) -> DataFrame:
+    """Rows (site, path, worth): importance of every node with text of every host (rows: ``site``, a hash, and ``html``)."""
+    with workspace(pages.sparkSession, "style-tree") as keep:
+        once = style_rows(pages).dropDuplicates(["site", "page"])  # copies of a page say nothing about a site
+        nodes = keep(once.select("site", F.explode("nodes").alias("n")).select("site", "n.*"), "nodes")
+        # All hosts together are one more tree, of presentations only.
+        both = nodes.unionByName(nodes.withColumn("site", F.lit(ALL)))
+        known = both.groupBy("site", "path").agg(F.max("above").alias("above"))
+        layouts = keep(_entropy(both, "layout").select("site", "path", "nats"), "layouts")
+        most = layouts.groupBy("site").agg(F.max("nats").alias("most"))
+        # The greatest entropy around each node: steps of 1, 2, 4, ... elements up the tree.
+        tree = keep(known.join(layouts, ["site", "path"], "left").select("site", "path", F.coalesce("nats", F.lit(0.0)).alias("around"), F.when(F.col("path") != 0, F.col("above")).alias("above")), "tree")
+        while not tree.where("above is not null").isEmpty():
+            up = tree.select("site", F.col("path").alias("above"), F.col("around").alias("further"), F.col("above").alias("next"))
+            tree = keep(tree.join(up, ["site", "above"], "left").select("site", "path", F.greatest("around", "further").alias("around"), F.col("next").alias("above")), "tree")
+        lively = F.when(F.col("most") > 0, F.col("around") / F.col("most")).otherwise(0.0)
+        tree = tree.join(most, "site", "left").select("site", "path", (DAMPED + (1 - DAMPED) * lively).alias("lively"))
+        varied = F.when(F.col("m") > 1, (1 - F.exp(-F.col("nats"))) / (1 - 1 / F.col("m"))).otherwise(0.0)
+        by_html = nodes.groupBy("site", "path").agg(F.max("by_html").alias("by_html"))
+        text = keep(_entropy(nodes, "content").select("site", "path", (F.col("m") - 1).alias("more"), varied.alias("varied")).join(tree, ["site", "path"]).join(by_html, ["site", "path"]), "text")
+        pool = text.groupBy("path").agg(F.sum("more").alias("all"), F.sum(F.col("more") * F.col("varied")).alias("sum"))
+        pool = pool.join(tree.where(F.col("site") == ALL).select("path", F.col("lively").alias("usual")), "path")
+        mixed = lambda n, value, weight, other: (n * value + weight * other) / (n + weight)
+        more, every = F.col("more"), F.col("all")
+        content = mixed(more, F.col("varied"), CONTENT_PRIOR, (F.col("sum") + CONTENT_PRIOR) / (every + CONTENT_PRIOR))
+        layout = mixed(more, F.col("lively"), PRIOR, mixed(every, F.col("usual"), PRIOR, F.col("by_html")))
+        rows = text.join(pool, "path").select("site", "path", (content * layout).alias("worth"))
+        return materialize(rows, "style-importance")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows (page_id, url, text): the main text of every page."""
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    gone = materialize(removed_paths(rows), "style-tree").withColumnRenamed("host", "site")
-    joined = rows.join(gone, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "paths")
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html")).withColumn("site", F.xxhash64(host_of(F.col("url"))))
+    low = importance(rows).where(F.col("worth") < LEAST).groupBy("site").agg(F.collect_list("path").alias("paths"), F.collect_list("worth").alias("worths"))
+    low = materialize(low, "style-low").withColumnRenamed("site", "of")
+    joined = bounded_batches(rows.join(low, F.col("site") == F.col("of"), "left").select("page_id", "url", "html", "paths", "worths"))
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [walk(page or "", frozenset(paths or ())) for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            texts = []
+            for page, paths, worths in zip(batch.column("html").to_pylist(), batch.column("paths"), batch.column("worths"), strict=True):
+                low = dict(zip(paths.values.to_numpy().view(np.uint64).tolist(), worths.values.to_numpy().tolist(), strict=True)) if paths.is_valid else {}
+                texts.append(chosen(page or "", low))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=schema.names)
 
     return joined.mapInArrow(run, schema)

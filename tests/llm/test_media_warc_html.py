@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import math
 import os
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,26 +111,97 @@ def test_archive_validation():
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href=/x>menu</a></ul></nav><!-- <p>no</p> --><div class="ad">buy</div><div id="cookie-notice">cookies</div>
 <article><header><h1>Head &amp;  line</h1></header><p>One <b>two
-three<p>four &lt;x&gt;<br>five</p><ul><li>a<li>b</ul><div class="comments"><p>nice!</p></div><form>mail<input></form></article>
+three<p>four &lt;x&gt;<br>five</p><ul><li>a<li>b</ul><article><p>nice!</p></article><form>mail<input></form></article>
 <aside>side</aside><footer>&copy; me</footer></body></html>"""
 
 
+def by_html(page):
+    return hx.chosen(page, None)
+
+
 def test_page():
-    assert hx.walk(PAGE) == "Head & line\nOne two three\nfour <x> five\na\nb"
-    assert hx.walk("<p>plain &eacute; text<p>cut &am") == "plain é text\ncut &am"
-    assert hx.walk("<p>open <a href='x>y'>link</a> end<di") == "open link end"
-    assert hx.walk("") == ""
+    assert by_html(PAGE) == "Head & line\nOne two three\nfour <x> five\na\nb"
+    assert by_html("<p>plain &eacute; text<p>cut &am") == "plain é text\ncut &am"
+    assert by_html("<p>open <a href='x>y'>link</a> end<di") == "open link end"
+    assert by_html("") == "" and by_html("<nav>only a menu</nav>") == "only a menu"
+    deep = "<div>" * 3000 + "far down" + "</div>" * 3000
+    assert by_html(deep) == "far down" and by_html("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
+
+
+def naive_importance(pages):
+    """The formulas of the module text over lists of pages by host, without Spark."""
+    def entropy(values):
+        n = Counter(values)
+        return -sum(k / len(values) * math.log(k / len(values)) for k in n.values())
+
+    seen, above, html_says = {}, {}, {}
+    for host, page in set(pages):
+        nodes, _, has_main = hx.walk(page)
+        for n in nodes:
+            above[n.path] = n.above
+            for where in (host, None):
+                own = seen.setdefault((where, n.path), ([], []))
+                own[0].extend([tuple(n.kids)] if n.kids else [])
+                own[1].extend(["\n".join(n.texts)] if n.texts else [])
+            html_says[host, n.path] = max(html_says.get((host, n.path), 0.0), hx.prior(n, has_main))
+
+    def lively(where, path):
+        most = max((entropy(v[0]) for (w, _), v in seen.items() if w == where and v[0]), default=0.0)
+        around = 0.0
+        while True:
+            around = max(around, entropy(seen[where, path][0]) if seen[where, path][0] else 0.0)
+            if path == 0:
+                return hx.DAMPED + (1 - hx.DAMPED) * (around / most if most else 0.0)
+            path = above[path]
+
+    def varied(host, path):
+        texts = seen[host, path][1]
+        return (1 - math.exp(-entropy(texts))) / (1 - 1 / len(texts)) if len(texts) > 1 else 0.0
+
+    out = {}
+    hosts = {h for h, _ in pages}
+    for (host, path), (_, texts) in seen.items():
+        if host is None or not texts:
+            continue
+        have = [(len(seen[h, path][1]) - 1, varied(h, path)) for h in hosts if seen.get((h, path), ((), ()))[1]]
+        every, more = sum(n for n, _ in have), len(texts) - 1
+        pool = (sum(n * v for n, v in have) + hx.CONTENT_PRIOR) / (every + hx.CONTENT_PRIOR)
+        content = (more * varied(host, path) + hx.CONTENT_PRIOR * pool) / (more + hx.CONTENT_PRIOR)
+        alike = (every * lively(None, path) + hx.PRIOR * html_says[host, path]) / (every + hx.PRIOR)
+        out[host, path] = content * (more * lively(host, path) + hx.PRIOR * alike) / (more + hx.PRIOR)
+    return out
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefgh") * rng.randrange(1, 4)
+    pages = []
+    for k in range(60):
+        paragraphs = "".join(f"<p>{word()} {word()}" for _ in range(rng.randrange(6)))
+        menu = "".join(f"<li>{word()}" for _ in range(rng.choice((2, 2, 3))))
+        wrap = ("<div class=x>" * (k % 9), "</div>" * (k % 9))
+        pages.append((f"h{k % 5 if k % 7 else 'lone' + str(k)}", f"<nav><ul>{menu}</ul></nav><div>{word()}</div>{wrap[0]}<article><h1>{word()}</h1>{paragraphs}</article>{wrap[1]}<footer>same</footer>"))
+    pages += pages[:5]
+    rows = spark.createDataFrame(pages, "host string, html string").selectExpr("xxhash64(host) as site", "html")
+    names = {r.site: r.host for r in spark.createDataFrame(pages, "host string, html string").selectExpr("xxhash64(host) as site", "host").distinct().collect()}
+    got = {(names[r.site], r.path & (1 << 64) - 1): r.worth for r in hx.importance(rows).collect()}
+    want = naive_importance(pages)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    low = {k for k, v in want.items() if v < hx.LEAST}
+    texts = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, (h, p) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert low and all(texts[k] == hx.chosen(p, {path: v for (host, path), v in want.items() if host == h and (host, path) in low}) for k, (h, p) in enumerate(pages))
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
     page = lambda k: f"<div class=top>Welcome to the site</div><div class=body><p>story {k} of many words</p></div><div class=same>Our standing line</div>"
     rows = [(k, "http://a.example/x", page(k)) for k in range(8)] + [(100, "http://b.example/", page(0)), (101, None, None), (102, "odd url", "<p>x")]
-    rows += [(k, "http://c.example/1", page(3)) for k in range(200, 212)]  # copies say nothing about a site
+    rows += [(k, "http://c.example/1", page(3)) for k in range(200, 212)]
     rows.append(rows[0])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as site", "3 as paths")
     got = {r.page_id: r.text for r in hx.main_text(pages).collect()}
     assert got[3] == "story 3 of many words"
-    assert got[100].startswith("Welcome") and got[205].startswith("Welcome")
+    # One page of its own, and copies of one, say nothing about a site; there the same path of other hosts counts.
+    assert got[100] == "story 0 of many words" and {got[k] for k in range(200, 212)} == {"story 3 of many words"}
     assert got[101] == "" and got[102] == "x"
     assert hx.main_text(pages).count() == len(rows) and hx.main_text(pages.where("false")).count() == 0
 
