@@ -10,19 +10,24 @@ are one node.  Nodes are searched as follows.
   pattern grows.  Free bits shrink by a third each time (64, 43, 29, 20, 14, 10),
   so a node that can no longer be split holds at most 2**10 fingerprints.  No
   bucket is capped and none is unbounded.
-* *Within a node* the fingerprints are sorted by Gray rank, so that neighbours
-  share long patterns.  Groups of ``FAN`` get an inner node with the mask and bits
-  on which they agree.  Two inner nodes whose common masked bits differ in more
-  than two places are pruned as a whole; only the rest is compared one by one.
+* *Within an upper node* the fingerprints are sorted by Gray rank, so that neighbours
+  share long patterns, and a tree is put over them: each tree node stands for ``FAN``
+  nodes below it and has the mask and bits on which they all agree.  The tree is walked
+  against itself from its root.  Going down, a pair of nodes adds the differences in the
+  bits that only now are known on both sides to those of the pair above; pairs with more
+  than two are pruned with all that stands below them, and at the leaves all 64 bits
+  have been added.  Many upper nodes are walked at once.
 * A node emits links as a spanning forest of its own near pairs, which loses no
   connection and grows with the number of fingerprints, not of pairs.
 
 Components come from alternating large-star and small-star steps on the links.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked
-like any other; equal ids with different texts are one id in two components'
-tables only if the ids are equal, so ids should be unique; null ids are left out of
-components (their component is null); extra columns are ignored.
+like any other; very long texts are hashed whole, in steps of bounded memory; a set bit
+needs over half, so ties give 0.  Each row gets the component of its own text, so rows
+that repeat an id and a text repeat the result, and rows that repeat an id with other
+texts have each their text's.  Rows with null ids have a null component and name none.
+An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +36,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.storage import materialize
+from memlake.llm.storage import bounded_batches, fresh, materialize, workspace
 from memlake.llm.tokens import slices
 
+Keep = Callable[[DataFrame, str], DataFrame]
 SHINGLE, SEED, RADIUS = 3, 42, 2
-SPLIT, FAN = 512, 16
+SPLIT, FAN = 512, 4
+#: Fingerprints that are walked at once, which bounds the pairs that a task holds.
+AT_ONCE = 8192
 #: Free bits below which an upper node is not split again.
 LEAST_FREE = 10
 
@@ -65,11 +74,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                found = np.fromiter((fingerprint(t) for t in part.column(text).to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            for part in slices(batch, "text"):
+                found = np.fromiter((fingerprint(t) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, "doc_id long, fp long")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 # -- one upper node ----------------------------------------------------------------
@@ -83,27 +93,43 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return rank
 
 
-def near_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of distinct fingerprints within the radius, by the two-level index."""
-    order = np.argsort(gray_rank(fps), kind="stable")
-    f = fps[order]
-    n = len(f)
-    heads = np.arange(0, n, FAN)
-    both, either = np.bitwise_and.reduceat(f, heads), np.bitwise_or.reduceat(f, heads)
-    mask, bits = both | ~either, both
-    lefts, rights = [], []
-    for g in range(len(heads)):
-        apart = np.bitwise_count((bits[g] ^ bits[g:]) & mask[g] & mask[g:])
-        close = np.flatnonzero(apart <= RADIUS) + g
-        own = np.arange(heads[g], min(heads[g] + FAN, n))
-        other = (heads[close][:, None] + np.arange(FAN)).ravel()
-        other = other[other < n]
-        i, j = np.nonzero(np.bitwise_count(f[own][:, None] ^ f[other][None, :]) <= RADIUS)
-        i, j = own[i], other[j]
-        keep = i < j
-        lefts.append(i[keep])
-        rights.append(j[keep])
-    return order[np.concatenate(lefts)], order[np.concatenate(rights)]
+def _tree(f: np.ndarray, heads: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Levels (bits, mask, first child) of one tree for each run of fingerprints, leaves first, roots last.
+
+    A node has the bits on which all below it agree; ``heads`` are the runs' first places.
+    """
+    bits, mask = f, np.full(len(f), ~np.uint64(0))
+    levels = [(bits, mask, np.arange(len(f) + 1))]
+    while len(bits) > len(heads):
+        nth = np.arange(len(bits)) - np.repeat(heads, np.diff(np.append(heads, len(bits))))
+        first = np.flatnonzero(nth % FAN == 0)
+        low, high = np.bitwise_and.reduceat(bits, first), np.bitwise_or.reduceat(bits, first)
+        mask = np.bitwise_and.reduceat(mask, first) & ~(low ^ high)
+        bits = low & mask
+        heads = np.searchsorted(first, heads)
+        levels.append((bits, mask, np.append(first, len(nth))))
+    return levels
+
+
+def near_pairs(fps: np.ndarray, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of distinct fingerprints within the radius, of the same run (upper node) each."""
+    run = np.zeros(len(fps), np.int64) if run is None else run
+    order = np.lexsort((gray_rank(fps), run))
+    levels = _tree(fps[order], np.flatnonzero(np.diff(run[order], prepend=-1)))
+    u = v = np.arange(len(levels[-1][0]))
+    apart = np.zeros(len(u), np.int64)
+    for (bits, mask, _), (_, above, first) in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        many, other = np.diff(first)[u], np.diff(first)[v]
+        pair = np.repeat(np.arange(len(u)), many * other)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(many * other) - many * other, many * other)
+        known = (above[u] & above[v])[pair]
+        u, v = first[u][pair] + nth // other[pair], first[v][pair] + nth % other[pair]
+        once = u <= v
+        u, v, pair, known = u[once], v[once], pair[once], known[once]
+        apart = apart[pair] + np.bitwise_count((bits[u] ^ bits[v]) & mask[u] & mask[v] & ~known)
+        close = apart <= RADIUS
+        u, v, apart = u[close], v[close], apart[close]
+    return order[u[u < v]], order[v[u < v]]
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -141,7 +167,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, keep: Keep = materialize) -> DataFrame:
     """Spanning links (a, b) between ids of nodes (id, fp) with distinct, near fingerprints."""
     out, todo, depth = None, nodes.select("id", "fp"), 0
     shapes = [("", 0)]
@@ -161,12 +187,12 @@ def links(nodes: DataFrame) -> DataFrame:
         depth += 1
         free_bits = min(bin(~m & (1 << 64) - 1).count("1") for _, m in shapes)
         last = free_bits <= LEAST_FREE
-        dealt = materialize(dealt, "simhash-nodes")
+        dealt = keep(dealt, "simhash-nodes")
         sizes = dealt.groupBy("path", "bits").agg(F.count(F.lit(1)).alias("n"))
         if last:
             small, large = sizes.where("n > 1"), None
         else:
-            large = materialize(sizes.where(F.col("n") > SPLIT), "simhash-large")
+            large = keep(sizes.where(F.col("n") > SPLIT), "simhash-large")
             small = sizes.where((F.col("n") > 1) & (F.col("n") <= SPLIT))
         found = _search(dealt.join(small.select("path", "bits"), ["path", "bits"], "left_semi"))
         out = found if out is None else out.unionByName(found)
@@ -182,38 +208,30 @@ def _children(children: list[tuple[str, int]]):
 def _search(dealt: DataFrame) -> DataFrame:
     """Links within each upper node of bounded size; nodes stream through a task in order."""
 
-    def node(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = near_pairs(fps)
-        if not len(left):
-            return ids[:0], ids[:0]
+    def walk(table: pa.Table) -> pa.RecordBatch:
+        path = np.asarray(table.column("path").combine_chunks().dictionary_encode().indices)
+        bits, ids, fps = (table.column(c).to_numpy() for c in ("bits", "id", "fp"))
+        node = np.cumsum(np.append(False, (path[1:] != path[:-1]) | (bits[1:] != bits[:-1])))
+        left, right = near_pairs(fps.view(np.uint64), node)
         root = forest(len(ids), left, right)
         child = np.flatnonzero(root != np.arange(len(ids)))
-        return ids[child], ids[root[child]]
+        return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in (*batches, None):
-            if batch is not None and not batch.num_rows:
-                continue
-            if batch is not None:
-                held.append(batch)
-            if not held:
-                continue
-            table = pa.Table.from_batches(held)
-            path = table.column("path").combine_chunks().dictionary_encode() if table.num_rows else None
-            codes = np.asarray((path.combine_chunks() if isinstance(path, pa.ChunkedArray) else path).indices)
-            bits, ids, fps = (table.column(c).to_numpy() for c in ("bits", "id", "fp"))
-            edges = np.flatnonzero((codes[1:] != codes[:-1]) | (bits[1:] != bits[:-1])) + 1
-            stop = len(bits) if batch is None else int(edges[-1]) if len(edges) else 0
-            a, b = [], []
-            for s, e in zip([0, *edges], [*edges, len(bits)], strict=True):
-                if e <= stop and e - s > 1:
-                    x, y = node(ids[s:e], fps[s:e].view(np.uint64))
-                    a.append(x)
-                    b.append(y)
-            held = table.slice(stop).to_batches()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        held: pa.Table | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = pa.Table.from_batches([batch.slice(at, AT_ONCE)])
+                held = part if held is None else pa.concat_tables([held, part])
+                # The last node may go on in the next part.
+                path, bits = held.column("path"), held.column("bits").to_numpy()
+                same = np.asarray(pc.equal(path, path[-1])) & (bits == bits[-1])
+                whole = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+                if whole:
+                    yield walk(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield walk(held)
 
     rows = dealt.select("path", "bits", "id", "fp").repartition("path", "bits").sortWithinPartitions("path", "bits")
     return rows.mapInArrow(run, "a long, b long")
@@ -222,7 +240,7 @@ def _search(dealt: DataFrame) -> DataFrame:
 # -- components --------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Keep = materialize) -> DataFrame:
     """Rows (id, component) of all ids in links: the smallest id reachable.
 
     Alternates large-star and small-star steps until the links are stars around the
@@ -235,7 +253,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return both.join(low, "u").where(keep)
 
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "simhash-links")
+    edges = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "simhash-links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -243,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = large
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
         small = pairs.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialize(small, "simhash-links")
+        edges = keep(small, "simhash-links")
         now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
@@ -256,9 +274,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     ``component_id`` is the smallest id reachable over links, the id itself included.
     """
     prints = materialize(fingerprints(df, key, text), "simhash-fingerprints")
-    nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    found = materialize(components(links(nodes)), "simhash-components")
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    with workspace(df.sparkSession, "simhash") as keep:
+        nodes = keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+        found = components(links(nodes, keep), keep)
+        named = materialize(nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "simhash-components")
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -268,11 +287,12 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", near: Ca
     Of rows that repeat an id one is kept; rows with null ids, which cannot be told
     apart, are all kept.  Only repeated ids cost a grouping of whole rows.
     """
+    (kept,) = fresh(df, "kept_id")
     found = near(df, key, text)
-    keep = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")).withColumnRenamed("doc_id", "_kept"), "simhash-kept")
+    keep = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count(F.lit(1)).alias("copies")), "simhash-kept")
+    once, twice = keep.where("copies = 1").select(kept), keep.where("copies > 1").select(kept)
     # The kept ids grow with the documents, so they are never broadcast, at any size.
-    rows = df.join(keep.where("_copies = 1").hint("shuffle_hash"), F.col(key) == F.col("_kept"), "left_semi")
-    twice = keep.where("_copies > 1")
+    rows = df.join(once.hint("shuffle_hash"), F.col(key) == F.col(kept), "left_semi")
     if not twice.isEmpty():
-        rows = rows.unionByName(df.join(twice, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key]))
+        rows = rows.unionByName(df.join(twice, F.col(key) == F.col(kept), "left_semi").dropDuplicates([key]))
     return rows.unionByName(df.where(F.col(key).isNull()))
