@@ -7,7 +7,8 @@ file: NFC, white-space runs to one space, lower case, word split, word-end
 symbols; special strings of the vocabulary are single ids.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
-repeated rows repeat; extra columns pass through.
+very long texts are coded whole, slice by slice, and words of over 96 bytes in O(n log n);
+repeated rows repeat; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from memlake.llm.bpe import Words, ragged_take, tables
+from memlake.llm.storage import bounded_batches
 from memlake.llm.tokens import PieceTable, pieces, slices, text_sums
 
 class Codec:
@@ -127,7 +129,7 @@ def digesting(key: str = "doc_id", ids: str = "ids", text: str = "decoded") -> C
 
 def bpe_encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the column of token ids (array of int).  No shuffle, memory bounded by a slice."""
-    df = df.drop(ids)
+    df = bounded_batches(df.drop(ids))
     return df.mapInArrow(encoding(tokenizer_json, text, ids), T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
@@ -146,5 +148,5 @@ def round_trip(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: st
             batches = step(batches)
         return batches
 
-    rows = df.select(key, text)
+    rows = bounded_batches(df.select(key, text))
     return rows.mapInArrow(run, T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))

@@ -39,8 +39,9 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), prefix="prefix", at="words")
+    tokens = token_counts.tokens_of("prefix")
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

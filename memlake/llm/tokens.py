@@ -26,8 +26,8 @@ from memlake.llm.bpe import byte_alphabet, ragged_take
 
 #: Bytes of text that are tokenised at once; bounds the memory of a task.
 SLICE_BYTES = 4 << 20
-#: Pieces that a Python worker remembers between slices.
-REMEMBERED = 300_000
+#: Pieces that a Python worker remembers between slices, and the characters of the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim  # noqa: B018
@@ -91,8 +91,8 @@ def pieces(texts: pa.Array, specials: tuple[str, ...]) -> tuple[np.ndarray, np.n
 class PieceTable:
     """Distinct pieces to rows of numbers (token ids, prefix counts, code lengths).
 
-    The first pieces are remembered for the next slices, up to a limit; when they
-    no longer cover most of a slice, remembering starts anew.
+    The first pieces of ordinary length are remembered for the next slices, up to a
+    limit; when they no longer cover most of a slice, remembering starts anew.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = REMEMBERED):
@@ -108,6 +108,8 @@ class PieceTable:
         get = self._known.get
         at = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
         new = np.flatnonzero(at < 0)
+        long = np.fromiter((len(distinct[i]) > LONGEST for i in new), bool, len(new))
+        new = np.concatenate([new[~long], new[long]])
         full = len(self._known) >= self._limit
         again = full and uses[new].sum() > 0.3 * uses.sum()
         flat, lengths = self._encode([distinct[i] for i in new])
@@ -120,7 +122,7 @@ class PieceTable:
         if again:
             self._clear()
         elif not full:
-            keep = self._limit - base
+            keep = min(self._limit - base, len(new) - int(long.sum()))
             self._known.update(zip([distinct[i] for i in new[:keep]], range(base, base + keep), strict=False))
             self._lengths = all_lengths[: base + keep]
             self._flat = all_flat[: int(self._lengths.sum())]

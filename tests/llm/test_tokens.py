@@ -177,3 +177,28 @@ def test_cut_at_needs_no_monotone_counts(spark):
     df = spark.createDataFrame([([1, 2, 3, 2, 3],)], "p array<int>")
     assert [df.select(token_counts.cut_at("p", b).alias("v")).first().v for b in (0, 1, 2, 3)] == [0, 1, 4, 5]
     assert spark.createDataFrame([([],)], "p array<int>").select(token_counts.cut_at("p", 3).alias("v")).first().v == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=4))
+def test_stored_prefixes(texts):
+    c = token_counts.PrefixCounter(BYTE)
+    chars, tok, counts = c.at_words(pa.array(texts))
+    flat, sizes = c.at_chars(pa.array(texts))
+    at = done = 0
+    for t, n, size in zip(texts, counts, sizes, strict=True):
+        assert size == len(t)
+        for a, b in zip(chars[at : at + n], tok[at : at + n], strict=True):
+            assert b == len(ids(BYTE, t[:a])) == (flat[done + a - 1] if a else 0)
+        at, done = at + n, done + size
+
+
+def test_long_text_prefixes(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdeé'123.") for _ in range(rng.randrange(1, 12))) + rng.choice(("", "", "\n", "  x")) for _ in range(4000))
+    for t in (text, text.replace("  ", " ")):
+        got = token_counts.counter(BYTE).prefixes(t)
+        assert len(got) == len(t) and all(got[k - 1] == len(ids(BYTE, t[:k])) for k in [*range(1, len(t), 4001), len(t)])
+    df = token_counts.with_token_counts(spark.createDataFrame([(text,), (None,), ("",)], "t string"), BYTE, text="t", prefix="p", at="words")
+    for r in df.select("t", "n_tokens", token_counts.tokens_of("p").alias("last"), token_counts.word_cut("p", 100).alias("cut")).collect():
+        assert r.n_tokens == r.last == len(ids(BYTE, r.t)) and len(ids(BYTE, (r.t or "")[: r.cut])) <= 100
