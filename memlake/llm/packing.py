@@ -12,8 +12,9 @@
    bounded by the number of patterns, not by the data.
 
 No document data passes through the driver.  Null texts are empty documents (only
-the end id); equal ids and repeated rows are packed as documents of their own;
-extra columns are ignored.
+the end id); texts of more tokens than a sequence holds are cut into pieces; equal ids and
+repeated rows are packed as documents of their own, ties among pieces of a length go by
+task and order; an empty table has no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.storage import materialize
+from memlake.llm.storage import bounded_batches, materialize
 from memlake.llm.tokens import library, slices
 
 #: Steps of the least-squares fit; the fit only guides rounding, best fit packs the rest.
@@ -153,17 +154,11 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...]
 
 
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeats that together hold every piece exactly once.
-
-    The fitted plan is compared with plain best fit and the shorter one taken.
-    """
+    """Patterns with repeats that together hold every piece exactly once: the fitted ones, then best fit for the rest."""
     rest = histogram.astype(np.int64).copy()
-    present = np.flatnonzero(rest)
-    patterns = enumerate_patterns(capacity, present)
+    patterns = enumerate_patterns(capacity, np.flatnonzero(rest))
     fitted = round_counts(patterns, fit_counts(patterns, rest.astype(float)), rest) if len(patterns) else []
-    fitted += best_fit(rest, capacity)
-    plain = best_fit(histogram.astype(np.int64).copy(), capacity)
-    return min(fitted, plain, key=lambda p: sum(t for _, t in p))
+    return fitted + best_fit(rest, capacity)
 
 
 def runs(plan_: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, np.ndarray]:
@@ -203,7 +198,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for c, n in zip(columns, PIECES.names, strict=True)], names=PIECES.names)
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(run, PIECES)
+    return bounded_batches(rows).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
