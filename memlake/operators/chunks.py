@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -23,6 +24,17 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Places(dict):
+    """Word to place, found once for each distinct word."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dims
+        return place
+
+
 class HashEmbedder:
     """Word counts hashed into ``dims`` places, scaled to length one; offline and deterministic."""
 
@@ -30,14 +42,10 @@ class HashEmbedder:
         self.dims = dims
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims))
-        place: dict[str, int] = {}
-        for i, text in enumerate(texts):
-            for w in text.lower().split():
-                p = place.get(w)
-                if p is None:
-                    p = place[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dims
-                out[i, p] += 1
+        words, places = [t.lower().split() for t in texts], _Places(self.dims)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        out = np.bincount(np.repeat(np.arange(len(words)) * self.dims, lengths) + at, minlength=len(words) * self.dims).reshape(len(words), self.dims).astype(float)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 

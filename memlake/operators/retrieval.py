@@ -1,7 +1,8 @@
 """Retrieval for a table of queries at once.
 
 Each query has a bounded number of hits after the top-k, so the windows that follow
-(by query) are over small groups; the only large step is the similarity scan.
+(by query) are over small groups; the only large step is the similarity search, which
+multiplies blocks of queries with blocks of items and moves k rows a query and block.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memlake.functions import text as tx
-from memlake.functions import vectors as vx
 
-#: Queries that are sent to all tasks at once.
-MOST_QUERIES = 100_000
+#: Queries that may be sent to all tasks at once; more are dealt over a grid of blocks.
+SENT_QUERIES = 8192
+#: Queries and items of a block of the grid, and of one product of matrices.
+QUERY_BLOCK, ITEM_BLOCK, PRODUCT = 8192, 65_536, (1024, 2048)
 HEADER_KEYS = ("memory_id", "source_document_id", "artifact_path", "entry_type", "source_agent", "source_scope", "current_scope", "semantic_handle")
 
 
@@ -38,49 +41,94 @@ def retrievable(queries: DataFrame) -> DataFrame:
     return queries.where("per_source_k > 0 and max_keep > 0")
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: Column, by: list[str], query: str = "query_id", item: str = "item_id") -> DataFrame:
-    """Exact inner-product top-k with expressions: an equi join on ``by`` and a ranked window.
-
-    ``queries`` has ``query_id`` and ``qvec``; ``items`` has ``item_id`` and ``vector``.
+class _Best:
+    """The k best items of each query so far: rounded score down, then smallest item."""
+
+    def __init__(self, matrix: np.ndarray, keys: list, k: int):
+        self.matrix, self.keys, self.k = matrix, np.array(keys, object), k
+        self.scores = np.full((len(matrix), k), -np.inf)
+        self.items = np.empty((len(matrix), k), object)
+
+    def add(self, items: list, vectors: np.ndarray, keys: list) -> None:
+        order = sorted(range(len(items)), key=items.__getitem__)
+        items, vectors, keys = np.array([items[i] for i in order], object), vectors[order], np.array([keys[i] for i in order], object)
+        for at in range(0, len(self.matrix), PRODUCT[0]):
+            rows = slice(at, at + PRODUCT[0])
+            score = np.round(self.matrix[rows] @ vectors.T, 9)
+            score[self.keys[rows, None] != keys[None, :]] = -np.inf
+            n = min(self.k, len(items))
+            least = np.partition(score, len(items) - n, axis=1)[:, len(items) - n, None]
+            above, tied = score > least, score == least
+            take = above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= n - above.sum(axis=1, keepdims=True)))
+            columns = np.nonzero(take)[1].reshape(len(score), n)
+            score = np.take_along_axis(score, columns, axis=1)
+            for q in np.flatnonzero(score.max(axis=1) >= self.scores[rows].min(axis=1)):
+                both = [*zip(-self.scores[at + q], self.items[at + q], strict=True), *zip(-score[q], items[columns[q]], strict=True)]
+                best = sorted((x for x in both if x[0] < np.inf))[: self.k]
+                self.scores[at + q, : len(best)] = [-x for x, _ in best]
+                self.items[at + q, : len(best)] = [x for _, x in best]
+
+    def rows(self, ids: list) -> tuple[list, list, list]:
+        q, k = np.nonzero(self.scores > -np.inf)
+        return [ids[i] for i in q], self.items[q, k].tolist(), self.scores[q, k].tolist()
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """Exact inner-product top-k: rows (query_id, item_id, ip, hit_rank), ip rounded to nine places.
+
+    ``queries`` has query_id and qvec, ``items`` item_id and vector; with ``by`` only
+    items with the same value of that column count.  Queries are sent to all tasks only
+    while there are at most ``SENT_QUERIES``; beyond that queries and items meet in a
+    grid of blocks of bounded size.  Ties go to the smallest item.  Null vectors are
+    left out.
     """
-    hits = items.join(queries, by).withColumn("ip", vx.dot(F.col("qvec"), F.col("vector"))).drop("qvec", "vector")
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("ip"), item))
-    return hits.withColumn("hit_rank", rank).where(F.col("hit_rank") <= k)
-
-
-def top_k_scan(queries: list[tuple[int, list[float]]], items: DataFrame, k: int, item: str = "item_id", vector: str = "vector", block: int = 2048) -> DataFrame:
-    """Exact top-k of a bounded list of queries: each task multiplies blocks and keeps its own k best.
-
-    The queries are sent to the tasks; their number is the caller's, checked here.  Only
-    k rows a query and task are shuffled, however large the table is.
-    """
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"send at most {MOST_QUERIES} queries at once")
-    ids, matrix = np.array([q for q, _ in queries]), np.array([v for _, v in queries], np.float64)
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", items.schema[item].dataType), T.StructField("ip", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                names = np.array(part.column(item).to_pylist(), object)
-                rows = part.column(vector)
-                score = matrix @ np.asarray(rows.flatten(), np.float64).reshape(len(rows), -1).T
-                for q in range(len(ids)):
-                    s, n = np.concatenate([best[q][0], score[q]]), np.concatenate([best[q][1], names])
-                    if len(s) > k:
-                        cut = np.partition(-s, k - 1)[k - 1]
-                        keep = np.flatnonzero(-s <= cut)  # ties stay until they are ranked by item
-                        s, n = s[keep], n[keep]
-                    best[q] = (s, n)
-        for q, (s, n) in enumerate(best):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[q]), pa.int64()), pa.array(n.tolist()), pa.array(s)], names=schema.names)
-
-    local = items.select(item, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("ip", 9)), "item_id"))
-    return local.withColumn("hit_rank", rank).where(F.col("hit_rank") <= k)
+    key = F.col(by) if by else F.lit(0)
+    queries = queries.where(F.col("qvec").isNotNull()).select("query_id", F.col("qvec").cast("array<double>").alias("qvec"), key.alias("key"))
+    items = items.where(F.col("vector").isNotNull()).select("item_id", F.col("vector").cast("array<double>").alias("vector"), key.alias("key"))
+    schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("ip", T.DoubleType())])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    n = queries.limit(SENT_QUERIES + 1).count()
+    if n <= SENT_QUERIES:
+        sent = queries.collect()  # at most SENT_QUERIES rows
+        ids, keys, matrix = [r.query_id for r in sent], [r.key for r in sent], np.array([r.qvec for r in sent], np.float64).reshape(len(sent), -1)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(matrix, keys, k)
+            for batch in batches if ids else ():
+                for at in range(0, batch.num_rows, PRODUCT[1]):
+                    part = batch.slice(at, PRODUCT[1])
+                    best.add(part.column("item_id").to_pylist(), _vectors(part.column("vector")), part.column("key").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(best.rows(ids), arrow, strict=True)], schema=arrow)
+
+        found = items.mapInArrow(scan, schema)
+    else:
+        wide, high = -(-items.count() // ITEM_BLOCK) or 1, -(-queries.count() // QUERY_BLOCK)
+        cell = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = queries.select("*", cell("query_id", high).cast("int").alias("y"), every(wide).alias("x"))
+        right = items.select("*", cell("item_id", wide).cast("int").alias("x"), every(high).alias("y"))
+
+        def meet(q: pa.Table, rows: pa.Table) -> pa.Table:
+            if not q.num_rows or not rows.num_rows:
+                return arrow.empty_table()
+            best = _Best(_vectors(q.column("qvec").combine_chunks()), q.column("key").to_pylist(), k)
+            for at in range(0, rows.num_rows, PRODUCT[1]):
+                part = rows.slice(at, PRODUCT[1])
+                best.add(part.column("item_id").to_pylist(), _vectors(part.column("vector").combine_chunks()), part.column("key").to_pylist())
+            return pa.table([pa.array(c, f.type) for c, f in zip(best.rows(q.column("query_id").to_pylist()), arrow, strict=True)], schema=arrow)
+
+        found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ip"), "item_id"))
+    return found.withColumn("hit_rank", rank).where(F.col("hit_rank") <= k)
+
+
+def two_sources(daily: DataFrame, ltm: DataFrame, entries: DataFrame) -> DataFrame:
+    """Hits of both sources in one table, the daily ones with their entries' columns; a hit without an entry stays."""
+    return daily.withColumn("source", F.lit("daily")).join(entries, "item_id", "left").unionByName(ltm.withColumn("source", F.lit("ltm")), allowMissingColumns=True)
 
 
 def canonical(hits: DataFrame) -> DataFrame:
@@ -192,21 +240,28 @@ def _overlap(left: Column, right: Column, most: int) -> Column:
 
 
 def trim_overlap(rows: DataFrame, most: int, text: str, query: str = "query_id") -> DataFrame:
-    """Drop from each row what repeats the end of the (already trimmed) row before of the same document."""
+    """Drop from each row what repeats the end of the (already trimmed) row before of the same document.
+
+    Runs of rows of one document are decided one after the other; only the lengths to
+    cut and the last ``most`` characters are carried on.
+    """
     if most <= 0:
         return rows
-    cells = F.array_sort(F.collect_list(F.struct("ord", "doc_id", F.col(text).alias("t"), F.struct(*(c for c in rows.columns if c not in (query, "ord", "doc_id", text))).alias("rest"))))
-    lists = rows.groupBy(query).agg(cells.alias("cells"))
+    w = Window.partitionBy(query).orderBy("ord")
+    same = F.coalesce(F.lag("doc_id").over(w) == F.col("doc_id"), F.lit(False))
+    others = [c for c in rows.columns if c not in (query, "ord", text)]
+    cells = F.array_sort(F.collect_list(F.struct("ord", F.col(text).alias("t"), F.struct(*others).alias("rest"))))
+    runs = rows.withColumn("run", F.sum((~same).cast("int")).over(w)).groupBy(query, "run").agg(cells.alias("cells"))
 
     def step(done: Column, cell: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (last["doc_id"] == cell["doc_id"])
-        cut = F.when(F.coalesce(same, F.lit(False)), _overlap(F.get(done, F.size(done) - 1)["t"], cell["t"], most)).otherwise(0)
-        return F.concat(done, F.array(F.struct(cell["ord"].alias("ord"), cell["doc_id"].alias("doc_id"), F.substring(cell["t"], cut + 1, F.char_length(cell["t"])).alias("t"), cell["rest"].alias("rest"))))
+        n, cut = F.char_length(cell["t"]), _overlap(done["tail"], cell["t"], most)
+        left = F.least(n - cut, F.lit(most))
+        return F.struct(F.concat(done["cuts"], F.array(cut)).alias("cuts"), F.substring(cell["t"], n - left + 1, left).alias("tail"))
 
-    empty = F.slice(F.col("cells"), 1, 0)
-    out = lists.select(query, F.explode(F.reduce("cells", empty, lambda d, c: F.when(F.size(d) == 0, F.array(c)).otherwise(step(d, c)))).alias("c"))
-    return out.select(query, "c.ord", "c.doc_id", F.col("c.t").alias(text), "c.rest.*")
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit("").alias("tail"))
+    out = runs.withColumn("cuts", F.aggregate("cells", start, step)["cuts"]).select(query, F.posexplode("cells").alias("at", "c"), "cuts")
+    trimmed = F.expr("substring(c.t, cuts[at] + 1)")
+    return out.select(query, "c.ord", trimmed.alias(text), "c.rest.*")
 
 
 def collapse(rows: DataFrame, text: str, query: str = "query_id") -> DataFrame:
@@ -229,22 +284,42 @@ def header_fields(row: dict[str, Column]) -> Column:
 
 
 def context_block(snippets: DataFrame, query: str = "query_id") -> DataFrame:
-    """The numbered context text of each query with token and source counts."""
-    head = F.format_string("Snippet %d (source=%s, cos=%.4f, score=%.4f, chunk_index=%s, source_document_id=%s)\n", "snippet_number", "source", 2 * F.col("score") - 1, "score", "chunk_range", F.col("doc_id").cast("string"))
-    rows = snippets.select(query, "snippet_number", "source", "score", F.concat(head, "text").alias("piece"), tx.count_tokens(F.col("text")).alias("tokens"))
+    """The numbered context text of each query, its tokens, and texts and scores of each source.
+
+    Identity columns of ``HEADER_KEYS`` that the snippets have are shown in the headers.
+    """
+    ids = {k: F.col(k) for k in HEADER_KEYS if k in snippets.columns} | ({"source_document_id": F.col("doc_id").cast("string")} if "source_document_id" not in snippets.columns else {})
+    head = F.format_string("Snippet %d (source=%s, cos=%.4f, score=%.4f, chunk_index=%s", "snippet_number", "source", 2 * F.col("score") - 1, "score", "chunk_range")
+    # A rule in a text that would be read as the start of a snippet gets a backslash more.
+    safe = F.regexp_replace("text", r"(\n\n\\*)---\n(?=Snippet )", r"$1\\---\n")
+    rows = snippets.select(query, "snippet_number", "source", "score", "text", F.concat(head, header_fields(ids), F.lit(")\n"), safe).alias("piece"), tx.count_tokens(F.col("text")).alias("tokens"))
+    daily = F.col("source") == "daily"
+    listed = lambda cond, c: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("snippet_number", c)))), lambda s: s[c])
+    mean = lambda cond: F.coalesce(F.avg(F.when(cond, F.col("score"))), F.lit(0.0))
     return rows.groupBy(query).agg(
-        F.concat(F.lit("Context:\n---\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snippet_number", "piece"))), lambda s: s["piece"]), "\n\n---\n")).alias("context"),
-        F.sum("tokens").alias("tokens"), F.count_if(F.col("source") == "daily").alias("daily_snippets"), F.count_if(F.col("source") != "daily").alias("ltm_snippets"),
-        F.coalesce(F.avg(F.when(F.col("source") == "daily", F.col("score"))), F.lit(0.0)).alias("daily_score"), F.coalesce(F.avg(F.when(F.col("source") != "daily", F.col("score"))), F.lit(0.0)).alias("ltm_score"),
+        F.concat(F.lit("Context:\n---\n"), F.array_join(listed(F.lit(True), "piece"), "\n\n---\n")).alias("context"),
+        F.sum("tokens").alias("tokens"), F.count_if(daily).alias("daily_snippets"), F.count_if(~daily).alias("ltm_snippets"), mean(daily).alias("daily_score"), mean(~daily).alias("ltm_score"),
+        listed(daily, "score").alias("daily_scores"), listed(~daily, "score").alias("ltm_scores"), listed(daily, "text").alias("daily_texts"), listed(~daily, "text").alias("ltm_texts"),
     )
 
 
 def parse_context(blocks: DataFrame, query: str = "query_id", context: str = "context") -> DataFrame:
-    """Snippet rows back from stored context blocks."""
+    """Snippet rows back from stored context blocks: header fields, chunk span, memory ids and text.
+
+    Blocks are cut only at rules in front of a snippet header, so texts may hold rules.
+    """
     body = F.regexp_replace(F.col(context), r"^Context:\n---\n", "")
-    parts = blocks.where(F.col(context) != "").select(query, F.posexplode(F.split(body, "\n\n---\n")).alias("at", "part"))
-    value = lambda k: F.nullif(F.regexp_extract("part", rf"^Snippet \d+ \([^\n]*?\b{k}=([^,)\n]*)", 1), F.lit(""))
-    return parts.select(query, F.regexp_extract("part", r"^Snippet (\d+)", 1).cast("int").alias("snippet_number"), value("source").alias("source"), value("score").cast("double").alias("score"), value("chunk_index").alias("chunk_range"), value("source_document_id").alias("source_document_id"), F.regexp_extract("part", r"^[^\n]*\n([\s\S]*)$", 1).alias("text"))
+    parts = blocks.where(F.col(context) != "").select(query, F.posexplode(F.split(body, r"\n\n---\n(?=Snippet \d+ \([^\n]*\)\n)")).alias("at", "part"))
+    head = F.regexp_extract("part", r"^Snippet (\d+) \(([^\n]*)\)\n", 2)
+    rows = parts.where(head != "").withColumn("fields", F.str_to_map(head, F.lit(", "), F.lit("=")))
+    value = lambda k: F.nullif(F.trim(F.try_element_at("fields", F.lit(k))), F.lit(""))
+    span = F.split(value("chunk_index"), r"\.\.")
+    text = F.regexp_replace(F.regexp_extract("part", r"^[^\n]*\n([\s\S]*)$", 1), r"(\n\n\\*)\\---\n(?=Snippet )", "$1---\n")
+    return rows.select(
+        query, F.regexp_extract("part", r"^Snippet (\d+)", 1).cast("int").alias("snippet_number"), value("source").alias("source"), value("score").try_cast("double").alias("score"), value("chunk_index").alias("chunk_range"),
+        F.get(span, F.lit(0)).try_cast("int").alias("chunk_from"), F.get(span, F.size(span) - 1).try_cast("int").alias("chunk_to"), value("source_document_id").alias("source_document_id"),
+        F.array_compact(F.array(value("memory_id"))).alias("memory_ids"), F.map_filter("fields", lambda k, _: ~k.isin("source", "cos", "score", "chunk_index", "source_document_id", "memory_id")).alias("more"), text.alias("text"),
+    )
 
 
 def merged(hits: DataFrame, chunks: DataFrame, overlap: int, text: str = "n_text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
@@ -17,33 +19,39 @@ def _embedded(rows: DataFrame, text: str, settings: Settings) -> DataFrame:
     return ck.embed(rows, text, lambda: ck.HashEmbedder(settings.dims))
 
 
-def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Computed once: in the session's checkpoint folder where it has one, else kept by Spark."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs: DataFrame, settings: Settings | None = None, policy: DataFrame | None = None, classify: Callable[[Column], Column] = chat.route_of) -> DataFrame:
     """Snippets of every query from long-term chunks and daily entries.
 
-    Queries (``item_id``, ``text``) are embedded once for both sources.  The scan keeps
-    texts out: only ids and vectors are scored, and the texts of the few hits are
-    joined back by key.
+    Queries (``item_id``, ``text``) are embedded once for both sources.  The search keeps
+    texts out: only ids and vectors are scored, and only the documents of the few hits
+    are cut again, for their texts and their neighbours'.
     """
-    settings = settings or Settings()
-    queries = asked.select(F.col("item_id").alias("query_id"), "text").withColumn("route", chat.route_of(F.col("text")))
-    queries = rt.retrievable(rt.with_policy(queries, route_policy(spark), settings.base_top_k))
-    vectors = _embedded(queries.select("query_id", "text"), "text", settings)
-    sent = [(r.query_id, list(r.vector)) for r in vectors.select("query_id", "vector").limit(rt.MOST_QUERIES + 1).collect()]  # one more than allowed raises
+    settings, policy = settings or Settings(), policy if policy is not None else route_policy(spark)
+    queries = asked.select(F.col("item_id").alias("query_id"), "text").withColumn("route", classify(F.col("text")))
+    queries = rt.retrievable(rt.with_policy(queries, policy, settings.base_top_k))
+    vectors = cut(_embedded(queries, "text", settings).select("query_id", F.col("vector").alias("qvec"), "min_score", "max_keep", "expansion_before", "expansion_after", "per_source_k"))
+    most = vectors.agg(F.coalesce(F.max("per_source_k"), F.lit(1))).first()[0]
+    daily = pairs.select(F.concat(F.lit("d"), F.col("project_id"), F.lit("-"), F.col("pair_no").cast("string")).alias("item_id"), tx.compose_pair(F.col("user_text"), F.col("assistant_text")).alias("chunk"))
     chunks = ck.chunk(documents, settings.chunk_size, settings.chunk_overlap)
-    daily = pairs.select("project_id", F.concat(F.lit("d"), F.col("project_id"), F.lit("-"), F.col("pair_no").cast("string")).alias("item_id"), tx.compose_pair(F.col("user_text"), F.col("assistant_text")).alias("chunk"))
-    ltm = chunks.withColumn("item_id", tx.chunk_id(F.col("doc_id"), F.col("chunk_index")))
-    most = 15  # the largest per-source k of the policy
-    scan = lambda rows, name: rt.top_k_scan(sent, _embedded(rows.select("item_id", "chunk"), "chunk", settings), most).withColumn("source", F.lit(name))
-    hits = scan(daily, "daily").unionByName(scan(ltm, "ltm")).withColumn("score", F.round(vx.cosine_to_01(F.col("ip")), 9))
-    policy = queries.select("query_id", "min_score", "max_keep", "expansion_before", "expansion_after", "per_source_k")
-    # Queries x k rows at most; kept, since they are used more than once and cost the scan.
-    hits = hits.join(policy, "query_id").where(F.col("hit_rank") <= F.col("per_source_k")).persist()
-    # Inner joins, so that the few hits may be the broadcast side and no text is shuffled.
-    found = hits.where("source = 'ltm'").join(ltm.select("item_id", "doc_id", "chunk_index", "chunk"), "item_id")
-    hits = found.unionByName(hits.where("source = 'daily'").join(daily.select("item_id", "chunk"), "item_id"), allowMissingColumns=True)
+    ltm = chunks.select(F.struct("doc_id", "chunk_index").alias("place"), "chunk")
+    search = lambda rows, item: rt.top_k(vectors, _embedded(rows, "chunk", settings).select(F.col(item).alias("item_id"), "vector"), most)
+    # The place of a chunk as text that sorts as numbers do, so that ties go to the first.
+    place = F.concat(F.lpad(F.col("place.doc_id").cast("string"), 20, "0"), F.lit(":"), F.lpad(F.col("place.chunk_index").cast("string"), 10, "0"))
+    hits = search(daily, "item_id").withColumn("source", F.lit("daily")).unionByName(search(ltm.withColumn("item", place), "item").withColumn("source", F.lit("ltm")))
+    hits = hits.withColumn("score", F.round(vx.cosine_to_01(F.col("ip")), 9)).join(vectors.drop("qvec"), "query_id").where(F.col("hit_rank") <= F.col("per_source_k"))
+    hits = cut(hits)  # queries x k rows at most
+    known = hits.where("source = 'ltm'").withColumns({"doc_id": F.substring("item_id", 1, 20).cast("long"), "chunk_index": F.substring("item_id", 22, 10).cast("int")})
+    near = ck.chunk(documents.join(known.select("doc_id").distinct(), "doc_id", "left_semi"), settings.chunk_size, settings.chunk_overlap)
+    found = known.join(near.select("doc_id", "chunk_index", "chunk"), ["doc_id", "chunk_index"])
+    hits = found.unionByName(hits.where("source = 'daily'").join(daily, "item_id"), allowMissingColumns=True)
     kept = rt.tiers(rt.select_with_bonus(rt.score_gate(rt.order_hits(hits))))
     centre = kept.where("doc_id is null").withColumns({"idx": F.lit(None).cast("int"), "n_text": F.col("chunk")})
-    rows = rt.expand(kept.where("doc_id is not null"), chunks).unionByName(centre).withColumn("n_text", F.coalesce("n_text", "chunk")).drop("chunk")
+    rows = rt.expand(kept.where("doc_id is not null"), near).unionByName(centre).withColumn("n_text", F.coalesce("n_text", "chunk")).drop("chunk")
     return rt.collapse(rt.trim_overlap(rt.order_documents(rt.dedupe(rows)), settings.chunk_overlap, "n_text"), "n_text")
 
 

@@ -17,22 +17,35 @@ from memlake.plans.inputs import CHUNKS, PAIRS, strip
 from memlake.plans.registry import query, table
 from memlake.settings import ROUTE_POLICY, Settings, route_policy
 
-_DOT = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+_VECTORS = f"vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / {_NORM}) AS v FROM embeddings)"
+_IP = "round(list_sum(list_transform(list_zip(q.v, i.v), lambda p: p[1] * p[2])), 9)"
 
 
-@query("vec5_top_k", f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), h AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {_DOT} AS ip FROM q JOIN embeddings v ON v.label = q.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, item_id) AS n FROM h) SELECT query_id, item_id, CAST(n AS INTEGER) AS hit_rank, round(ip, 5) AS ip FROM r WHERE n <= 5")
+def _vectors(s, d):
+    return table(s, d, "embeddings").select("vec_id", "label", vx.normalize(F.col("embedding")).alias("vector"))
+
+
+def _asked(s, d):
+    """Every vector whose id is divisible by 100, as a query against all vectors."""
+    return _vectors(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvec"), "label")
+
+
+def _top(by):
+    return f"WITH {_VECTORS}, h AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, {_IP} AS ip FROM vectors q JOIN vectors i ON {by} WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, item_id) AS n FROM h) SELECT query_id, item_id, CAST(n AS INTEGER) AS hit_rank, round(ip, 5) AS ip FROM r WHERE n <= 6"
+
+
+@query("vec5_top_k", _top("q.label = i.label"))
 def vec5(s, d):
-    e = table(s, d, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
-    hits = rt.top_k(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label"), F.lit(5), ["label"])
+    """Within the query's own label, as within a project."""
+    hits = rt.top_k(_asked(s, d), _vectors(s, d).withColumnRenamed("vec_id", "item_id"), 6, by="label")
     return hits.select("query_id", "item_id", "hit_rank", F.round("ip", 5).alias("ip"))
 
 
-@query("vec5_top_k_scan", f"WITH q AS (SELECT * FROM embeddings WHERE vec_id < 20), h AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {_DOT} AS ip FROM q, embeddings v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ip, 9) DESC, item_id) AS n FROM h) SELECT query_id, item_id, CAST(n AS INTEGER) AS hit_rank, round(ip, 5) AS ip FROM r WHERE n <= 6")
+@query("vec5_top_k_scan", _top("true"))
 def vec5_scan(s, d):
-    e = table(s, d, "embeddings")
-    asked = [(r.vec_id, list(r.embedding)) for r in e.where("vec_id < 20").collect()]  # a bounded list of queries
-    return rt.top_k_scan(asked, e, 6, item="vec_id", vector="embedding").select("query_id", "item_id", "hit_rank", F.round("ip", 5).alias("ip"))
+    hits = rt.top_k(_asked(s, d), _vectors(s, d).withColumnRenamed("vec_id", "item_id"), 6)
+    return hits.select("query_id", "item_id", "hit_rank", F.round("ip", 5).alias("ip"))
 
 
 _POLICY = "policy AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {m}::DOUBLE, {k}, {sc}::DOUBLE, {b}, {a})" for r, m, k, sc, b, a in ROUTE_POLICY) + ") p(route, retrieval_multiplier, max_keep, min_score, expansion_before, expansion_after))"
@@ -56,10 +69,12 @@ def flt3(s, d):
     return rt.retrievable(_routed(s, d)).select("query_id")
 
 
-# Hits made from the chunk table: every query finds chunks of ten documents with scores that repeat.
-_HITS = f"""{CHUNKS}, {_POLICY}, q AS (SELECT item_id AS query_id, p.* FROM benchmark JOIN policy p ON route = {_ROUTE} WHERE retrieval_multiplier > 0),
- h0 AS (SELECT query_id, CASE WHEN chunk_index % 4 = 0 THEN 'daily' ELSE 'ltm' END AS source, CAST(doc_id AS BIGINT) AS doc_id, chunk_index, chunk, round((50 + (doc_id * 7 + chunk_index // 2 * 13 + query_id) % 50) / 100.0, 4)::DOUBLE AS score, min_score, max_keep, expansion_before, expansion_after FROM chunks JOIN q ON doc_id % 40 = query_id % 40 WHERE chunk_index < 8),
- hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY doc_id, chunk_index) AS hit_rank FROM h0),
+# Hits of a search of two sources among all vectors; a vector stands for a chunk of a document.
+_VROUTE = "CASE vec_id // 100 % 5 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'PROCEDURAL' WHEN 2 THEN 'EXPLORATORY' WHEN 3 THEN 'SYNTHESIS' ELSE 'OTHER' END"
+_HITS = f"""{CHUNKS}, {_POLICY}, {_VECTORS}, q AS (SELECT vec_id AS query_id, v, CAST(greatest(0, ceil(6 * retrieval_multiplier)) AS INTEGER) AS per_source_k, p.* FROM vectors JOIN policy p ON route = {_VROUTE} WHERE vec_id % 100 = 0),
+ h0 AS (SELECT query_id, CASE WHEN label % 4 = 0 THEN 'daily' ELSE 'ltm' END AS source, vec_id, {_IP} AS ip, per_source_k, min_score, max_keep, expansion_before, expansion_after FROM vectors i, q),
+ h1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY ip DESC, vec_id) AS hit_rank FROM h0),
+ hits AS (SELECT query_id, source, vec_id // 4 AS doc_id, CAST(vec_id % 4 AS INTEGER) AS chunk_index, 'v' || vec_id AS chunk, round((greatest(-1, least(1, 2 * ip)) + 1) / 2, 2) AS score, hit_rank, min_score, max_keep, expansion_before, expansion_after FROM h1 WHERE hit_rank <= per_source_k),
  ord AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE source WHEN 'daily' THEN 0 ELSE 1 END, hit_rank, doc_id, chunk_index) - 1 AS pos FROM hits),
  gated AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS rn0 FROM ord WHERE score > min_score),
  bon AS (SELECT *, CASE WHEN lag(doc_id) OVER w = doc_id AND abs(chunk_index - lag(chunk_index) OVER w) = 1 THEN 1 ELSE 0 END AS bonus FROM gated WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
@@ -67,20 +82,21 @@ _HITS = f"""{CHUNKS}, {_POLICY}, q AS (SELECT item_id AS query_id, p.* FROM benc
  tier AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS k FROM sel),
  bud AS (SELECT *, CAST(CASE WHEN i < ceil(k / 3) THEN expansion_before WHEN i < ceil(2 * k / 3) THEN ceil(expansion_before / 2) ELSE least(1, expansion_before) END AS INTEGER) AS before_n, CAST(CASE WHEN i < ceil(k / 3) THEN expansion_after WHEN i < ceil(2 * k / 3) THEN ceil(expansion_after / 2) ELSE least(1, expansion_after) END AS INTEGER) AS after_n FROM tier),
  want AS (SELECT bud.*, unnest(range(chunk_index - before_n, chunk_index + after_n + 1)) AS idx FROM bud),
- expd AS (SELECT w.*, coalesce(c.chunk, w.chunk) AS n_text FROM want w LEFT JOIN chunks c ON c.doc_id = w.doc_id AND c.chunk_index = w.idx WHERE c.chunk IS NOT NULL OR w.idx = w.chunk_index),
+ expd AS (SELECT w.*, CASE WHEN w.idx = w.chunk_index THEN w.chunk ELSE c.chunk END AS n_text FROM want w LEFT JOIN chunks c ON c.doc_id = w.doc_id AND c.chunk_index = w.idx WHERE c.chunk IS NOT NULL OR w.idx = w.chunk_index),
  ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, idx ORDER BY pos, idx) AS cp FROM expd) WHERE cp = 1),
  dord AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fp, idx, pos) - 1 AS ordn FROM (SELECT *, min(pos) OVER (PARTITION BY query_id, doc_id) AS fp FROM ded))"""
 
 
 def _hits(s, d):
-    from pyspark.sql import Window
-
-    c = ck.chunk(i.documents(s, d), 600, 80)
-    q = rt.retrievable(_routed(s, d)).select("query_id", "min_score", "max_keep", "expansion_before", "expansion_after")
-    score = F.round((F.lit(50) + (F.col("doc_id") * 7 + F.floor(F.col("chunk_index") / 2) * 13 + F.col("query_id")) % 50) / 100, 4)
-    rows = c.where("chunk_index < 8").join(q, F.col("doc_id") % 40 == F.col("query_id") % 40).withColumn("source", F.when(F.col("chunk_index") % 4 == 0, "daily").otherwise("ltm")).withColumn("score", score).drop("project_id")
-    ranked = rows.withColumn("hit_rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("doc_id", "chunk_index")))
-    return ranked.withColumn("item_id", F.struct("doc_id", "chunk_index")), c
+    n = F.floor(F.col("query_id") / 100) % 5
+    route = F.when(n == 0, "DIRECT").when(n == 1, "procedural").when(n == 2, "EXPLORATORY").when(n == 3, "SYNTHESIS")
+    q = rt.retrievable(rt.with_policy(_asked(s, d).withColumn("route", route), route_policy(s), Settings().base_top_k))
+    v, daily = _vectors(s, d).withColumnRenamed("vec_id", "item_id"), F.col("label") % 4 == 0
+    search = lambda cond, name: rt.top_k(q, v.where(cond), 15).withColumn("source", F.lit(name))
+    hits = search(daily, "daily").unionByName(search(~daily, "ltm")).join(q.select("query_id", "per_source_k", "min_score", "max_keep", "expansion_before", "expansion_after"), "query_id").where(F.col("hit_rank") <= F.col("per_source_k"))
+    item = F.col("item_id")
+    rows = hits.withColumns({"doc_id": F.floor(item / 4), "chunk_index": (item % 4).cast("int"), "chunk": F.concat(F.lit("v"), item.cast("string")), "score": F.round(vx.cosine_to_01(2 * F.col("ip")), 2)})
+    return rows, ck.chunk(i.documents(s, d), 600, 80)
 
 
 def _kept(s, d):
@@ -143,13 +159,14 @@ def win10(s, d):
     return rt.order_documents(rt.dedupe(rt.expand(kept, c))).select("query_id", "doc_id", "idx", "ord")
 
 
-@query("win11_trim_overlap", f"WITH {CHUNKS} SELECT doc_id, chunk_index AS ord, CASE WHEN chunk_index = 0 OR length(chunk) <= 80 THEN chunk ELSE substring(chunk, 81) END AS chunk FROM chunks WHERE doc_id IN (SELECT doc_id FROM chunks GROUP BY doc_id HAVING max(chunk_index) * 520 < max(chunk_index * 520 + length(chunk)) AND min(length(chunk)) > 80)")
+@query("win11_trim_overlap", rf"""WITH RECURSIVE {CHUNKS}, b AS (SELECT doc_id, chunk_index, chunk AS t, 0 AS cut, right(chunk, 80) AS tail FROM chunks WHERE chunk_index = 0
+ UNION ALL SELECT doc_id, chunk_index, t, cut, right(t, CAST(least(length(t) - cut, 80) AS INTEGER)) FROM (SELECT doc_id, chunk_index, t, CASE WHEN k < length(t) THEN k ELSE 0 END AS cut FROM (SELECT c.doc_id, c.chunk_index, c.chunk AS t, coalesce(list_max(list_filter(range(1, 81), lambda n: n <= length(b.tail) AND n <= length(c.chunk) AND right(b.tail, CAST(n AS INTEGER)) = left(c.chunk, CAST(n AS INTEGER)))), 0) AS k FROM b JOIN chunks c ON c.doc_id = b.doc_id AND c.chunk_index = b.chunk_index + 1)))
+ SELECT doc_id, chunk_index AS ord, substring(t, CAST(cut + 1 AS INTEGER)) AS chunk FROM b""")
 def win11(s, d):
-    """Neighbouring chunks overlap by 80 characters, all of which go; documents with a shorter last window aside."""
+    """Neighbouring windows of all documents; a short last window may go on in what the one before left of it."""
     c = ck.chunk(i.documents(s, d), 600, 80)
-    whole = c.groupBy("doc_id").agg(F.min(F.char_length("chunk")).alias("least")).where("least > 80")
-    rows = c.join(whole, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "doc_id", F.col("chunk_index").alias("ord"), "chunk")
-    return rt.trim_overlap(rows.withColumn("keep", F.lit(1)), 80, "chunk").select("doc_id", "ord", "chunk")
+    rows = c.select(F.col("doc_id").alias("query_id"), "doc_id", F.col("chunk_index").alias("ord"), "chunk")
+    return rt.trim_overlap(rows, 80, "chunk").select("doc_id", "ord", "chunk")
 
 
 @query(
@@ -162,20 +179,20 @@ def win12(s, d):
     return rt.collapse(rt.order_documents(rt.dedupe(rows)), "n_text")
 
 
-@query("prj2_header_fields", "SELECT doc_id, ', memory_id=m' || doc_id || ', source_document_id=' || source || ', semantic_handle=' || trim(replace(replace(substring(text, 1, 30), chr(10), ' '), ',', ';')) AS fields FROM documents WHERE trim(replace(replace(substring(text, 1, 30), chr(10), ' '), ',', ';')) <> ''")
+_FLAT = "trim(replace(replace(text, chr(10), ' '), ',', ';'))"
+
+
+@query("prj2_header_fields", f"SELECT doc_id, ', memory_id=m' || doc_id || ', source_document_id=' || source || CASE WHEN {_FLAT} <> '' THEN ', semantic_handle=' || {_FLAT} ELSE '' END AS fields FROM documents")
 def prj2(s, d):
-    head = F.substring("text", 1, 30)
-    t = table(s, d, "documents").where(F.trim(F.replace(head, F.lit("\n"), F.lit(" "))) != "")
-    return t.select("doc_id", rt.header_fields({"memory_id": F.concat(F.lit("m"), F.col("doc_id").cast("string")), "source_document_id": F.col("source"), "artifact_path": F.lit(None).cast("string"), "entry_type": F.lit(" "), "semantic_handle": head}).alias("fields"))
+    return table(s, d, "documents").select("doc_id", rt.header_fields({"memory_id": F.concat(F.lit("m"), F.col("doc_id").cast("string")), "source_document_id": F.col("source"), "artifact_path": F.lit(None).cast("string"), "entry_type": F.lit(" "), "semantic_handle": F.col("text")}).alias("fields"))
 
 
-@query("set1_join1_daily_enrichment", "SELECT e.vec_id AS item_id, 'daily' AS source, d.lang AS entry_type FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id AND d.doc_id % 2 = 0 WHERE e.label < 3 UNION ALL SELECT vec_id, 'ltm', NULL FROM embeddings WHERE label >= 8")
+@query("set1_join1_daily_enrichment", "SELECT e.vec_id AS item_id, 'daily' AS source, d.lang AS entry_type FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id AND d.doc_id % 2 = 0 WHERE e.label < 5 UNION ALL SELECT vec_id, 'ltm', NULL FROM embeddings WHERE label >= 5 OR label IS NULL")
 def set1(s, d):
     """A join miss keeps the hit, without metadata."""
-    e = table(s, d, "embeddings")
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
     entries = table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("entry_type"))
-    daily = e.where("label < 3").select(F.col("vec_id").alias("item_id"), F.lit("daily").alias("source")).join(entries, "item_id", "left")
-    return daily.unionByName(e.where("label >= 8").select(F.col("vec_id").alias("item_id"), F.lit("ltm").alias("source")), allowMissingColumns=True)
+    return rt.two_sources(e.where("label < 5").drop("label"), e.where("label >= 5 or label is null").drop("label"), entries)
 
 
 @query("mem12_merged_retrieval")
@@ -190,14 +207,14 @@ def mem9(s, d):
 
 @query("mem10_parse_context")
 def mem10(s, d):
-    return rt.parse_context(mem9(s, d).select("query_id", "context"))
+    return rt.parse_context(mem9(s, d).select("query_id", "context")).drop("more")
 
 
 @query("mem13_topic_context")
 def mem13(s, d):
     """Every topic of a text is a query of its own; one job answers all."""
-    topics = table(s, d, "benchmark").select("item_id", F.posexplode(F.slice(tx.topics_list(F.col("text")), 1, 3)).alias("at", "topic"))
-    asked = topics.select((F.col("item_id") * 10 + F.col("at")).alias("item_id"), F.col("topic").alias("text"))
+    topics = table(s, d, "benchmark").select("item_id", F.posexplode(tx.topics_list(F.col("text"))).alias("at", "topic"))
+    asked = topics.select((F.col("item_id") * 1_000_000 + F.col("at")).alias("item_id"), F.col("topic").alias("text"))
     return rt.context_block(cycle.retrieve(s, i.documents(s, d), asked, i.pairs(s, d)).withColumn("score", F.round("score", 6)))
 
 
@@ -282,19 +299,22 @@ def agg14(s, d):
 
 def _expanded(s, d):
     found = ar.entries(_artifacts(s, d), ["project_id"], "content").select(F.col("project_id").alias("artifact_path"), "memory_id", "text")
-    docs = i.documents(s, d).where("doc_id % 2 = 0").select("doc_id", "text")
-    snippets = _entries(s, d).where("pair_no <= 2").select(F.col("project_id").alias("artifact_path"), F.when(F.col("pair_no") == 1, F.col("memory_id")).otherwise("missing").alias("memory_id"), F.col("project_id").cast("long").alias("doc_id"), F.lit("own").alias("text"))
+    docs = i.documents(s, d).select("doc_id", "text")
+    snippets = _entries(s, d).select(F.col("project_id").alias("artifact_path"), F.when(F.col("pair_no") % 2 == 1, F.col("memory_id")).otherwise("missing").alias("memory_id"), (F.col("project_id").cast("long") * 7).alias("doc_id"), F.lit("own").alias("text"))
     return ar.expand_entries(snippets, found, docs)
 
 
-@query("join8_entry_expansion", f"WITH {PAIRS} SELECT project_id AS artifact_path, CASE WHEN pair_no = 1 THEN 'artifact' WHEN CAST(project_id AS BIGINT) % 2 = 0 AND CAST(project_id AS BIGINT) IN (SELECT doc_id FROM documents) THEN 'chunks' ELSE 'original' END AS method FROM pairs WHERE pair_no <= 2")
+_METHOD = "CASE WHEN pair_no % 2 = 1 THEN 'artifact' WHEN CAST(project_id AS BIGINT) * 7 IN (SELECT doc_id FROM documents) THEN 'chunks' ELSE 'original' END"
+
+
+@query("join8_entry_expansion", f"WITH {PAIRS} SELECT project_id AS artifact_path, {_METHOD} AS method FROM pairs")
 def join8(s, d):
     return _expanded(s, d).select("artifact_path", "method")
 
 
-@query("agg13_expansion_summary")
+@query("agg13_expansion_summary", f"WITH {PAIRS}, m AS (SELECT {_METHOD} AS method, CAST(project_id AS BIGINT) * 7 AS doc_id FROM pairs) SELECT CASE WHEN method = 'original' THEN 'unexpanded' ELSE 'expanded' END AS status, method, count(*) AS n FROM m GROUP BY ALL")
 def agg13(s, d):
-    return stats.expansion_summary(_expanded(s, d).withColumn("truncated", F.char_length("expanded") > 2000))
+    return stats.expansion_summary(_expanded(s, d).withColumn("truncated", F.char_length("expanded") > 2000)).drop("truncated")
 
 
 @query("ord6_size_bounded")
