@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from memlake.settings import RESOLUTIONS
 
-MIDDLE_NOTICE = "\n...[middle omitted for tagging]...\n"
+#: What stands for the cut part of a long text.
+CUT_NOTICE = "\n...[text left out]...\n"
 
 
 def once(value: Column, use) -> Column:
@@ -102,7 +103,7 @@ def prefix_norm(x: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.translate(F.lower(x), "’‘", "''"), r"\s+", " ")), "[.!?]+$", "")
 
 
-def middle_cut(x: Column, percent: int, least: int) -> Column:
+def middle_cut(x: Column, percent: int, least: int, notice: str = CUT_NOTICE) -> Column:
     """Without the central part of long text; sides under 100 characters become 100."""
     percent = percent if 10 <= percent <= 90 else 50
     body = F.coalesce(x, F.lit(""))
@@ -112,7 +113,7 @@ def middle_cut(x: Column, percent: int, least: int) -> Column:
     right = keep - left
     short = (left < 100) | (right < 100)
     a, b = (F.when(short, 100).otherwise(v).cast("int") for v in (left, right))
-    return F.when((n <= least) | (a + b >= n), body).otherwise(F.concat(F.substring(body, F.lit(1), a), F.lit(MIDDLE_NOTICE), F.substring(body, n - b + 1, b)))
+    return F.when((n <= least) | (a + b >= n), body).otherwise(F.concat(F.substring(body, F.lit(1), a), F.lit(notice), F.substring(body, n - b + 1, b)))
 
 
 def contextual_turn(user: Column, tags_json: Column) -> Column:
@@ -208,8 +209,3 @@ def public_tags(tags: Column) -> Column:
 def has_content(text: Column) -> Column:
     """Whether a line other than ``===`` headings and blanks remains."""
     return F.exists(F.split(text, "\n"), lambda line: (strip(line) != "") & ~strip(line).startswith("==="))
-
-
-def first_json(text: Column) -> Column:
-    """First flat JSON object in noisy text; nested ones need :func:`memlake.operators.ingest.balanced_json`."""
-    return F.nullif(F.regexp_extract(text, r"\{[^{}]*\}", 0), F.lit(""))

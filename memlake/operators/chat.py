@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from memlake.functions import dates as dt
 from memlake.functions import text as tx
 
+
 def by_turn():
     """A project's messages in order."""
     return Window.partitionBy("project_id").orderBy("id")
 
 
-
 def ordered(messages: DataFrame) -> DataFrame:
     """Position of each message in its project."""
     return messages.withColumn("pos", F.row_number().over(by_turn()))
@@ -31,6 +31,24 @@ def pairs(messages: DataFrame) -> DataFrame:
     return found.withColumn("pair_no", F.row_number().over(Window.partitionBy("project_id").orderBy("pos")))
 
 
+def unforgotten(all_pairs: DataFrame) -> DataFrame:
+    """Pairs whose answer is not to be forgotten; a null counts as not."""
+    return all_pairs.where(~F.coalesce("forget", F.lit(False)))
+
+
+def staging_enabled(all_pairs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Pairs of projects that stage; a project without a setting does."""
+    off = projects.where(~F.coalesce("daily_rag_enabled", F.lit(True))).select("project_id").distinct()
+    return all_pairs.join(off, "project_id", "left_anti")
+
+
+def resolve_projects(asked: DataFrame, projects: DataFrame, project: str, name: str = "name") -> DataFrame:
+    """Project of each asked name, case and outer spaces aside; the first project of a name wins, unknown names go."""
+    key = F.lower(F.trim(name))
+    first = projects.groupBy(key.alias("known")).agg(F.min(project).alias(project))
+    return asked.join(first, key == F.col("known")).drop("known")
+
+
 def roll_off(messages: DataFrame, limit: int) -> DataFrame:
     """What happens to each message when only the newest ``limit`` pairs stay: keep, roll or delete.
 

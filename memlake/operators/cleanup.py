@@ -15,12 +15,23 @@ from memlake.functions import text as tx
 FRONT_PREFIXES = ("great question", "sure", "certainly", "of course", "absolutely", "happy to help", "thanks for asking")
 END_PREFIXES = ("let me know if", "feel free to", "i hope this helps", "would you like me to")
 SENTENCE = r"^\s*[^\s][\s\S]*?[.!?](?=\s|$)\s*"
-PROTECTED = (r"[0-9]", r"(?i)\b(?:FR|NFR)-\d", r"\b[A-Za-z_][A-Za-z0-9_]*\s*\(", r"\b[A-Za-z_][A-Za-z0-9]*_[A-Za-z0-9_]*\b", r"\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b")
+#: What makes a sentence exact: a digit, or a letter before an underscore, an inner dot or a bracket.
+EXACT = r"[0-9]|[A-Za-z](_|\.[A-Za-z]| *\()"
 
 
-def merge_rules(*lists: list[str]) -> list[str]:
-    """Ordered union of prefix lists."""
-    return list(dict.fromkeys(p for rules in lists for p in rules))
+def merge_rules(lists: DataFrame) -> DataFrame:
+    """Ordered union of rule lists: rows (at, rule) of rows (list_no, nth, rule); the first mention decides the place.
+
+    The rules are told apart in normal form and combined before they meet; only
+    distinct ones are numbered.
+    """
+    first = lists.where(tx.strip("rule") != "").groupBy(tx.prefix_norm(F.col("rule")).alias("norm")).agg(F.min(F.struct("list_no", "nth", "rule")).alias("f"))
+    return first.select((F.row_number().over(Window.orderBy("f")) - 1).alias("at"), "f.rule")
+
+
+def rule_conflicts(front: list[str], end: list[str]) -> list[str]:
+    """Rules that both sides have, or of which one side's begins another's."""
+    return sorted({a for a in front for b in end if a.startswith(b) or b.startswith(a)})
 
 
 def matching_prefix(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -77,18 +88,20 @@ def compact_whitespace(x: Column) -> Column:
     return tx.strip(F.aggregate(lines, start, step, lambda a: F.array_join(a["out"], "\n")))
 
 
+def sentence_list(x: Column) -> Column:
+    """Sentences of the prose outside fences; they end at ``.!?`` before white space."""
+    prose = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?s)```.*?(```|$)", "")
+    return F.filter(F.split(tx.strip(prose), r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\S"))
+
+
 def sentences(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Sentences of the prose outside fences, numbered; they end at ``.!?`` before white space."""
-    prose = F.regexp_replace(F.col(column), r"(?s)```.*?(```|$)", "")
-    return rows.select(key, F.posexplode(F.filter(F.split(tx.strip(prose), r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\S"))).alias("sentence_no", "sentence"))
+    """One numbered row for each sentence."""
+    return rows.select(key, F.posexplode(sentence_list(F.col(column))).alias("sentence_no", "sentence"))
 
 
 def protected(sentence: Column) -> Column:
-    """Sentences with digits, requirement ids, calls, snake_case or dotted names are never dropped."""
-    out = F.lit(False)
-    for p in PROTECTED:
-        out = out | sentence.rlike(p)
-    return out
+    """Sentences that name exact things (numbers, identifiers, calls) are never dropped."""
+    return sentence.rlike(EXACT)
 
 
 def _indel(a: str, b: str) -> float:
@@ -158,9 +171,9 @@ def similar_sentences(rows: DataFrame, key: str, column: str, threshold: int = 9
                     out.append((k, s["sentence_no"], s["sentence"], drop))
             yield pd.DataFrame(out, columns=[key, "sentence_no", "sentence", "dropped"])
 
-    cut = sentences(rows, key, column)
-    cell = F.struct("sentence_no", "sentence", tx.prefix_norm(F.col("sentence")).alias("norm"), protected(F.col("sentence")).alias("safe"))
-    return cut.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("whole")).mapInPandas(run, schema)
+    # A text's sentences are cut within its row: nothing is regrouped.
+    cell = lambda x, i: F.struct(i.alias("sentence_no"), x.alias("sentence"), tx.prefix_norm(x).alias("norm"), protected(x).alias("safe"))
+    return rows.select(key, F.transform(sentence_list(F.col(column)), cell).alias("whole")).mapInPandas(run, schema)
 
 
 def saved_tokens(rows: DataFrame, project: str, before: str, after: str, most: int = 200_000) -> DataFrame:
@@ -168,10 +181,3 @@ def saved_tokens(rows: DataFrame, project: str, before: str, after: str, most: i
     long = F.char_length(before) > most
     b, a = tx.count_tokens(F.col(before)), tx.count_tokens(F.when(long, F.col(before)).otherwise(F.col(after)))
     return rows.groupBy(project).agg(F.sum(b).alias("tokens_before"), F.sum(a).alias("tokens_after"), F.count_if(F.col(before) != F.col(after)).alias("changed"), F.count_if(long).alias("too_long"))
-
-
-def exact_repeats(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Sentences that repeat an earlier one of the text exactly, in normal form."""
-    cut = sentences(rows, key, column).withColumn("norm", tx.prefix_norm(F.col("sentence")))
-    nth = F.row_number().over(Window.partitionBy(key, "norm").orderBy("sentence_no"))
-    return cut.withColumn("repeated", (nth > 1) & ~protected(F.col("sentence")))

@@ -61,9 +61,11 @@ def snk3(s, d):
     return chat.daily_entries(staged, existing, F.lit("01-02-2024_03:04:05")).select("project_id", "day_sequence", "text", "tokens")
 
 
-@query("snk4_question_rows")
+@query("snk4_question_rows", rf"WITH {PAIRS}, t AS (SELECT project_id, pair_no, list_filter(list_transform(regexp_extract_all(CASE WHEN pair_no % 2 = 1 THEN replace(assistant_text, '.', '?') ELSE assistant_text END, '[^.!?\n]*\?'), lambda q: {strip('q')}), lambda q: q <> '') AS qs FROM pairs) SELECT project_id, pair_no, CAST(generate_subscripts(qs, 1) AS INTEGER) AS question_index, unnest(qs) AS question FROM t")
 def snk4(s, d):
-    return chat.question_rows(chat.tag(i.pairs(s, d))).select("project_id", "pair_no", "question_index", "question")
+    """Every second answer asks instead of telling."""
+    asking = i.pairs(s, d).withColumn("assistant_text", F.when(F.col("pair_no") % 2 == 1, F.replace("assistant_text", F.lit("."), F.lit("?"))).otherwise(F.col("assistant_text")))
+    return chat.question_rows(chat.tag(asking)).select("project_id", "pair_no", "question_index", "question")
 
 
 @query("win14_previous_pair", f"WITH {PAIRS}, t AS (SELECT project_id, pair_no, {PAIR_TEXT} AS pair_text FROM pairs) SELECT project_id, pair_no, lag(pair_text) OVER (PARTITION BY project_id ORDER BY pair_no) AS previous_text FROM t")
@@ -84,16 +86,14 @@ def win17(s, d):
 @query("flt5_staging_switch", f"WITH {PAIRS}, pr AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS project_id, conv_id % 3 > 0 AS on_ FROM conversations WHERE conv_id % 2 = 0) SELECT project_id, pair_no FROM pairs LEFT JOIN pr USING (project_id) WHERE coalesce(on_, true)")
 def flt5(s, d):
     projects = table(s, d, "conversations").where("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("project_id"), (F.col("conv_id") % 3 > 0).alias("daily_rag_enabled")).distinct()
-    return i.pairs(s, d).join(projects, "project_id", "left").where(F.coalesce("daily_rag_enabled", F.lit(True))).select("project_id", "pair_no")
+    return chat.staging_enabled(i.pairs(s, d), projects).select("project_id", "pair_no")
 
 
 @query("flt6_project_names", "SELECT item_id, min(n_nationkey) AS project FROM benchmark JOIN nation ON lower(n_name) = lower((SELECT n2.n_name FROM nation n2 WHERE n2.n_nationkey = item_id % 25)) GROUP BY item_id")
 def flt6(s, d):
-    """Case- and space-insensitive names; the first project of a name wins."""
-    n = table(s, d, "nation").select("n_nationkey", F.lower(F.trim("n_name")).alias("key"))
-    first = n.groupBy("key").agg(F.min("n_nationkey").alias("project"))
+    projects = table(s, d, "nation").select(F.col("n_nationkey").alias("project"), F.col("n_name").alias("name"))
     asked = table(s, d, "benchmark").select("item_id", (F.col("item_id") % 25).alias("k")).join(table(s, d, "nation"), F.col("k") == F.col("n_nationkey"))
-    return asked.select("item_id", F.lower(F.trim(F.concat(F.lit("  "), F.upper("n_name"), F.lit(" ")))).alias("key")).join(first, "key").select("item_id", "project")
+    return chat.resolve_projects(asked.select("item_id", F.concat(F.lit("  "), F.upper("n_name"), F.lit(" ")).alias("name")), projects, "project").select("item_id", "project")
 
 
 @query("flt7_routes", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'SYNTHESIS' ELSE 'OTHER' END AS route FROM events")
@@ -241,10 +241,10 @@ def agg9(s, d):
     return tm.run_projects(rows).withColumn("projects", F.array_join("projects", ","))
 
 
-@query("agg10_completeness", "SELECT item_id, CASE WHEN item_id % 2 = 0 AND item_id % 3 = 0 THEN 'full' ELSE 'partial' END AS completeness, array_to_string(list_filter([CASE WHEN item_id % 2 <> 0 THEN 'tokens' END, CASE WHEN item_id % 3 <> 0 THEN 'latency' END], lambda x: x IS NOT NULL), ',') AS missing FROM benchmark")
+@query("agg10_completeness", "SELECT event_id, CASE WHEN value IS NOT NULL AND props IS NOT NULL AND value > 10 THEN 'full' ELSE 'partial' END AS completeness, array_to_string(list_filter([CASE WHEN value IS NULL OR value <= 10 THEN 'tokens' END, CASE WHEN props IS NULL THEN 'latency' END], lambda x: x IS NOT NULL), ',') AS missing FROM events")
 def agg10(s, d):
-    rows = table(s, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, 1).alias("tokens"), F.when(F.col("item_id") % 3 == 0, 1).alias("latency"))
-    return tm.completeness(rows, ["tokens", "latency"]).select("item_id", "completeness", F.array_join("missing_fields", ",").alias("missing"))
+    rows = table(s, d, "events").select("event_id", F.when(F.col("value") > 10, F.col("value")).alias("tokens"), F.col("props").alias("latency"))
+    return tm.completeness(rows, ["tokens", "latency"]).select("event_id", "completeness", F.array_join("missing_fields", ",").alias("missing"))
 
 
 @query("join10_scores", "SELECT doc_id AS case_id, lang AS system, quality AS overall_score FROM documents LEFT JOIN labels USING (doc_id)")
@@ -275,13 +275,13 @@ def sessions(s, d):
 
 # -- questions and ideas -----------------------------------------------------------
 
-_LOG = f"log AS (SELECT CAST(conv_id % 7 AS VARCHAR) AS project_id, turn AS line_no0, conv_id * 100 + turn AS line_no, lpad(CAST(turn AS VARCHAR), 3, '0') AS ts, substring(text, 1, 3) AS question, role AS topic, CASE turn % 3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'answer_local' ELSE 'ANSWER_REMOTE' END AS resolution FROM conversations)"
+_LOG = f"log AS (SELECT CAST(conv_id % 7 AS VARCHAR) AS project_id, turn AS line_no0, conv_id * 100 + turn AS line_no, lpad(CAST(turn AS VARCHAR), 3, '0') AS ts, text AS question, role AS topic, CASE turn % 3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'answer_local' ELSE 'ANSWER_REMOTE' END AS resolution FROM conversations)"
 
 
 def _log(s, d):
     t = F.col("turn")
     return table(s, d, "conversations").select(
-        (F.col("conv_id") % 7).cast("string").alias("project_id"), (F.col("conv_id") * 100 + t).alias("line_no"), F.lpad(t.cast("string"), 3, "0").alias("ts"), F.substring("text", 1, 3).alias("question"), F.col("role").alias("topic"),
+        (F.col("conv_id") % 7).cast("string").alias("project_id"), (F.col("conv_id") * 100 + t).alias("line_no"), F.lpad(t.cast("string"), 3, "0").alias("ts"), F.col("text").alias("question"), F.col("role").alias("topic"),
         F.when(t % 3 == 0, "ignore").when(t % 3 == 1, "answer_local").otherwise("ANSWER_REMOTE").alias("resolution"),
     )
 
@@ -326,7 +326,7 @@ def join6(s, d):
 
 @query("join7_bridge")
 def join7(s, d):
-    return qs.bridge(_ideas(s, d).where("idea_id % 5 < 3"), _questions(s, d))
+    return qs.bridge(_ideas(s, d), _questions(s, d))
 
 
 @query("agg20_bridge_counts")
@@ -334,12 +334,12 @@ def agg20(s, d):
     return qs.bridge_counts(join7(s, d))
 
 
-_REC = "rec AS (SELECT user_id, event_id, unnest([event_type, upper(event_type), 'x' || event_id % 5]) AS topic, unnest([0, 1, 2]) AS k FROM events WHERE event_id % 3 = 0)"
+_REC = "rec AS (SELECT user_id, event_id, unnest([event_type, upper(event_type), 'x' || event_id % 5]) AS topic, unnest([0, 1, 2]) AS k FROM events)"
 
 
 @query("agg17_research_topics", f"WITH {_REC}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(topic) ORDER BY event_id, k) AS rn FROM rec) SELECT CAST(user_id AS VARCHAR) AS project_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id, k) AS INTEGER) AS topic_no, topic FROM f WHERE rn = 1")
 def agg17(s, d):
-    items = table(s, d, "events").where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("project_id"), F.col("event_id").alias("idea_id"), F.array("event_type", F.upper("event_type"), F.concat(F.lit("x"), (F.col("event_id") % 5).cast("string"))).alias("recommended_research"))
+    items = table(s, d, "events").select(F.col("user_id").cast("string").alias("project_id"), F.col("event_id").alias("idea_id"), F.array("event_type", F.upper("event_type"), F.concat(F.lit("x"), (F.col("event_id") % 5).cast("string"))).alias("recommended_research"))
     return qs.research_topics(items)
 
 
@@ -360,9 +360,9 @@ def flt10(s, d):
     return qs.validate_ideas(rows).select("idea", "reject_reason")
 
 
-@query("src4_json_lines", "SELECT item_id AS line_no, substring(text, 1, 10) AS question FROM benchmark WHERE item_id % 4 = 0 AND trim(substring(text, 1, 10)) <> ''")
+@query("src4_json_lines", "SELECT item_id AS line_no, text AS question FROM benchmark WHERE item_id % 4 = 0 AND trim(text) <> ''")
 def src4(s, d):
     n = F.col("item_id")
-    good = F.to_json(F.struct(F.substring("text", 1, 10).alias("question"), F.lit("t").alias("topic")))
+    good = F.to_json(F.struct(F.col("text").alias("question"), F.lit("t").alias("topic")))
     value = F.when(n % 4 == 0, good).when(n % 4 == 1, "").when(n % 4 == 2, "[1, 2]").otherwise("{broken")
     return qs.parse_log(table(s, d, "benchmark").select(F.lit("p").alias("project_id"), n.alias("line_no"), value.alias("value"))).select("line_no", "question")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
 from memlake.operators import artifacts as ar
+from memlake.operators import chat
 from memlake.operators import chunks as ck
 from memlake.operators import cleanup as cl
 from memlake.operators import ingest
@@ -44,7 +45,7 @@ def agg5(s, d):
 
 @query("flt4_forget", f"WITH {PAIRS} SELECT project_id, pair_no FROM pairs WHERE NOT forget")
 def flt4(s, d):
-    return i.pairs(s, d).where(~F.col("forget")).select("project_id", "pair_no")
+    return chat.unforgotten(i.pairs(s, d)).select("project_id", "pair_no")
 
 
 @query("flt8_public_tags", "SELECT event_id, 'type=' || event_type AS tags FROM events")
@@ -57,7 +58,7 @@ def flt8(s, d):
 def _items(s, d):
     n = F.col("item_id")
     entry = F.struct(F.lit("t").alias("research_topic"), F.when(n % 3 == 0, F.lit(" ")).otherwise(F.col("text")).alias("research_summary"))
-    return table(s, d, "benchmark").select(F.lit("p").alias("project_id"), n.alias("idea_id"), F.when(n % 2 == 0, "answer_remote").otherwise("answer_local").alias("source_resolution"), F.array(entry).alias("research"), (n % 4 == 0).alias("remember"))
+    return table(s, d, "benchmark").select(F.lit("p").alias("project_id"), n.alias("idea_id"), F.when(n % 2 == 0, "answer_remote").otherwise("answer_local").alias("source_resolution"), F.array(entry).alias("research"), (F.char_length("text") % 4 == 0).alias("remember"))
 
 
 @query("flt11_without_research", "SELECT item_id AS idea_id, NOT (item_id % 2 = 0 AND (item_id % 3 = 0 OR trim(text) = '')) AS kept FROM benchmark")
@@ -66,7 +67,7 @@ def flt11(s, d):
     return keep.select("idea_id", F.lit(True).alias("kept")).unionByName(drop.select("idea_id", F.lit(False).alias("kept")))
 
 
-@query("flt12_remembered", "SELECT item_id AS idea_id FROM benchmark WHERE item_id % 4 = 0")
+@query("flt12_remembered", "SELECT item_id AS idea_id FROM benchmark WHERE length(text) % 4 = 0")
 def flt12(s, d):
     return qs.remembered(_items(s, d)).select("idea_id")
 
@@ -78,23 +79,19 @@ def flt13(s, d):
     return ck.with_text(rows).select("doc_id", "to_embed")
 
 
-@query("flt14_has_content", r"SELECT doc_id, doc_id % 2 = 1 AND regexp_matches(text, '\S') AS full_ FROM documents WHERE NOT contains(text, '===')")
+@query("flt14_has_content", rf"SELECT doc_id, doc_id % 2 = 1 AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*==='))) > 0 AS full_ FROM documents")
 def flt14(s, d):
-    rows = table(s, d, "documents").where(~F.contains("text", F.lit("===")))
     body = F.concat(F.lit("=== HEAD\n \n=== TAIL"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("\n"), F.col("text"))).otherwise(""))
-    return rows.select("doc_id", tx.has_content(body).alias("full_"))
+    return table(s, d, "documents").select("doc_id", tx.has_content(body).alias("full_"))
 
 
-@query("set2_prefix_rules", "SELECT rule, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS at FROM (SELECT event_type AS rule, min(event_id) AS f FROM events GROUP BY event_type)")
+@query("set2_prefix_rules", "SELECT rule, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS at FROM (SELECT event_type AS rule, min((user_id, event_id)) AS f FROM events GROUP BY event_type)")
 def set2(s, d):
-    """Ordered union of rule lists: first mention decides the place."""
-    first = table(s, d, "events").groupBy("event_type").agg(F.min("event_id").alias("f"))
-    lists = first.agg(F.array_sort(F.collect_list(F.struct("f", "event_type"))).alias("x")).select(F.array_distinct(F.flatten(F.array(F.transform("x", lambda r: r["event_type"]), F.transform("x", lambda r: r["event_type"])))).alias("rules"))
-    assert cl.merge_rules(["a", "b"], ["b", "c"]) == ["a", "b", "c"]
-    return lists.select(F.posexplode("rules").alias("at", "rule"))
+    """Each user's kinds of events are a rule list."""
+    return cl.merge_rules(table(s, d, "events").select(F.col("user_id").alias("list_no"), F.col("event_id").alias("nth"), F.col("event_type").alias("rule")))
 
 
-@query("set3_pending", "SELECT item_id AS idea_id, item_id % 4 = 0 AS fresh FROM benchmark")
+@query("set3_pending", "SELECT item_id AS idea_id, length(text) % 4 = 0 AS fresh FROM benchmark")
 def set3(s, d):
     rows = _items(s, d)
     return qs.pending(rows.where("not remember").withColumn("fresh", F.lit(False)), rows.where("remember").withColumn("fresh", F.lit(True))).select("idea_id", "fresh")
@@ -111,23 +108,26 @@ def scl16(s, d):
     return table(s, d, "events").select("event_id", tx.hash_payload({"user": F.col("user_id"), "kind": F.when(F.col("event_id") % 2 == 0, F.col("event_type"))}).alias("payload"))
 
 
-@query("scl25_section_topics", "SELECT doc_id, 'Intro|' || source || CASE WHEN lang = source THEN '' ELSE '|' || lang END AS topics, 'kept' AS body FROM documents")
+_LF = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
+
+
+@query("scl25_section_topics", "SELECT doc_id, 'Intro|' || source || CASE WHEN lang = source THEN '' ELSE '|' || lang END AS topics, text AS body FROM documents")
 def scl25(s, d):
-    body = F.concat(F.lit("=== TOPIC: Intro ===\nx\n#topics: "), "source", F.lit(", "), "lang", F.lit(", Intro\n"))
-    tail = tx.strip_open_questions(F.concat(F.lit("kept\n=== OPEN QUESTIONS ===\n"), F.col("source")))
+    body = F.concat(F.lit("=== TOPIC: Intro ===\n"), "text", F.lit("\n#topics: "), "source", F.lit(", "), "lang", F.lit(", Intro\n"))
+    tail = tx.strip_open_questions(F.concat("text", F.lit("\n=== OPEN QUESTIONS ===\n"), F.col("source")))
     return table(s, d, "documents").select("doc_id", F.array_join(tx.section_topics(body), "|").alias("topics"), tail.alias("body"))
 
 
-@query("mem1_headers", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '---' || chr(10) || 'title: t' || chr(10) || '---' || chr(10) || 'x' ELSE '---' || chr(10) || 'title: p' || page_id || chr(10) || '---' || chr(10) || chr(10) || '# Memory 01-02-2024' || chr(10) || chr(10) || 'body' || chr(10) END AS content FROM pages")
+@query("mem1_headers", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'title: t' || chr(10) || '---' || chr(10) || {_LF} ELSE '---' || chr(10) || 'title: p' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '# Memory 01-02-2024' || chr(10) || chr(10) || {_LF} || chr(10) END AS content FROM documents")
 def mem1(s, d):
-    old = F.when(F.col("page_id") % 2 == 0, "---\ntitle: t\n---\nx").otherwise("=== BEGIN DAILY MEMORY: 01/02/2024 ===\nbody\n=== END DAILY MEMORY: 01/02/2024 ===\n")
-    return table(s, d, "pages").select("page_id", ar.ensure_header(ar.normalize_wrappers(old), F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("content"))
+    old = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\ntitle: t\n---\n"), "text")).otherwise(F.concat(F.lit("=== BEGIN DAILY MEMORY: 01/02/2024 ===\n"), "text", F.lit("\n=== END DAILY MEMORY: 01/02/2024 ===\n")))
+    return table(s, d, "documents").select("doc_id", ar.ensure_header(ar.normalize_wrappers(old), F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("content"))
 
 
-@query("mem2_headings", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '## Own' || chr(10) || 'x' ELSE '## Chat Pair: h' || page_id || chr(10) || chr(10) || 'plain' END AS entry, 'a' || chr(10) || chr(10) || '<!-- begin memory_id=x' AS marked FROM pages")
+@query("mem2_headings", rf"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '## Own' || chr(10) || text WHEN regexp_matches(text, '(?m)^##\s+.+$') THEN text ELSE '## Chat Pair: h' || doc_id || chr(10) || chr(10) || text END AS entry, {_LF} || CASE WHEN suffix({_LF}, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || '<!-- begin memory_id=x' AS marked FROM documents")
 def mem2(s, d):
-    entry = F.when(F.col("page_id") % 2 == 0, "## Own\nx").otherwise("plain")
-    return table(s, d, "pages").select("page_id", ar.ensure_heading(entry, F.lit("chat_pair"), F.concat(F.lit("h"), F.col("page_id").cast("string"))).alias("entry"), ar.blank_before_markers(F.lit("a\n<!-- begin memory_id=x")).alias("marked"))
+    entry = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## Own\n"), "text")).otherwise(F.col("text"))
+    return table(s, d, "documents").select("doc_id", ar.ensure_heading(entry, F.lit("chat_pair"), F.concat(F.lit("h"), F.col("doc_id").cast("string"))).alias("entry"), ar.blank_before_markers(F.concat("text", F.lit("\n<!-- begin memory_id=x"))).alias("marked"))
 
 
 @query("snk8_delete_file", "SELECT doc_id FROM documents WHERE doc_id % 10 > 0")
@@ -136,16 +136,14 @@ def snk8(s, d):
     return ingest.without(rows, rows.where("doc_id % 10 = 0"), ["doc_id"])
 
 
-@query("agg19_research_plan", "SELECT event_id AS idea_id, topic FROM (SELECT event_id, unnest([event_type, 'x']) AS topic FROM events WHERE event_id % 50 = 0)")
+@query("agg19_research_plan", "SELECT event_id AS idea_id, topic FROM (SELECT event_id, unnest([event_type, 'x']) AS topic FROM events)")
 def agg19(s, d):
-    rows = table(s, d, "events").where("event_id % 50 = 0").select(F.col("user_id").cast("string").alias("project_id"), F.col("event_id").alias("idea_id"), F.array("event_type", F.lit(" "), F.lit("x")).alias("recommended_research"))
+    rows = table(s, d, "events").select(F.col("user_id").cast("string").alias("project_id"), F.col("event_id").alias("idea_id"), F.array("event_type", F.lit(" "), F.lit("x")).alias("recommended_research"))
     return qs.research_plan(rows).select("idea_id", "topic")
 
 
 @query("win5_day_sequence", f"WITH {PAIRS} SELECT project_id, pair_no, row_number() OVER (PARTITION BY project_id ORDER BY pair_no) + 7 AS day_sequence FROM pairs")
 def win5(s, d):
-    from memlake.operators import chat
-
     p = i.pairs(s, d)
     existing = p.select("project_id").distinct().withColumn("day_sequence", F.lit(7))
     entries = chat.daily_entries(p, existing, F.lit("01-02-2024_03:04:05"))

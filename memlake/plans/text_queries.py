@@ -32,11 +32,10 @@ def scl3(s, d):
     return table(s, d, "documents").select("doc_id", tx.count_tokens(F.col("text")).alias("tokens"))
 
 
-@query("scl4_split_pair", f"WITH {PAIRS} SELECT project_id, pair_no, {strip('user_text')} AS u, {strip('assistant_text')} AS a FROM pairs WHERE NOT contains(user_text, chr(10) || 'Assistant:') AND NOT contains(user_text, 'User:')")
+@query("scl4_split_pair", rf"WITH {PAIRS}, c AS (SELECT project_id, pair_no, regexp_replace({PAIR_TEXT}, '\r\n?', chr(10), 'g') AS t FROM pairs), p AS (SELECT *, instr(t, chr(10) || 'Assistant:') AS spot FROM c) SELECT project_id, pair_no, {strip(r"regexp_replace(left(t, CAST(spot - 1 AS INTEGER)), '^([\s\S]*?)User:([\s\S]*)$', '\1\2')")} AS u, {strip("substring(t, CAST(spot + 11 AS INTEGER))")} AS a FROM p")
 def scl4(s, d):
-    p = i.pairs(s, d).where(~F.contains("user_text", F.lit("\nAssistant:")) & ~F.contains("user_text", F.lit("User:")))
     cut = tx.split_pair(tx.compose_pair(F.col("user_text"), F.col("assistant_text")))
-    return p.select("project_id", "pair_no", cut.alias("s")).select("project_id", "pair_no", F.col("s.user").alias("u"), F.col("s.assistant").alias("a"))
+    return i.pairs(s, d).select("project_id", "pair_no", cut.alias("s")).select("project_id", "pair_no", F.col("s.user").alias("u"), F.col("s.assistant").alias("a"))
 
 
 @query("scl5_pair_text", f"WITH {PAIRS} SELECT project_id, pair_no, {PAIR_TEXT} AS pair_text FROM pairs")
@@ -44,14 +43,14 @@ def scl5(s, d):
     return i.pairs(s, d).select("project_id", "pair_no", tx.compose_pair(F.col("user_text"), F.col("assistant_text")).alias("pair_text"))
 
 
-@query("scl6_snake_case", "SELECT doc_id, lower(regexp_replace(regexp_replace(substring(text, 1, 60), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS v FROM documents")
+@query("scl6_snake_case", "SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS v FROM documents")
 def scl6(s, d):
-    return table(s, d, "documents").select("doc_id", tx.snake_case(F.substring("text", 1, 60)).alias("v"))
+    return table(s, d, "documents").select("doc_id", tx.snake_case(F.col("text")).alias("v"))
 
 
-@query("scl7_topics", f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(substring(text, 1, 200), '[,;]'), lambda t: {strip('t')}), lambda t: t <> ''), '|') AS topics FROM documents")
+@query("scl7_topics", f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[,;]'), lambda t: {strip('t')}), lambda t: t <> ''), '|') AS topics FROM documents")
 def scl7(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(tx.topics_list(F.substring("text", 1, 200)), "|").alias("topics"))
+    return table(s, d, "documents").select("doc_id", F.array_join(tx.topics_list(F.col("text")), "|").alias("topics"))
 
 
 @query("scl8_labels", "SELECT event_id, upper(substring(event_type, 1, 1)) || lower(substring(event_type, 2)) || ' Event' AS label, '## ' || upper(substring(event_type, 1, 1)) || lower(substring(event_type, 2)) || ' Event: h' || user_id AS heading FROM events")
@@ -60,31 +59,30 @@ def scl8(s, d):
     return table(s, d, "events").select("event_id", tx.title_label(kind).alias("label"), tx.entry_heading(kind, F.concat(F.lit("h"), F.col("user_id").cast("string"))).alias("heading"))
 
 
-@query("scl9_question_key", f"SELECT item_id, {KEY.format(x='text')} || '||' || {KEY.format(x='substring(text, 1, 20)')} AS k FROM benchmark")
+@query("scl9_question_key", f"SELECT item_id, {KEY.format(x='text')} || '||' || {KEY.format(x='text')} AS k FROM benchmark")
 def scl9(s, d):
-    return table(s, d, "benchmark").select("item_id", tx.question_key(F.col("text"), F.substring("text", 1, 20)).alias("k"))
+    return table(s, d, "benchmark").select("item_id", tx.question_key(F.col("text"), F.col("text")).alias("k"))
 
 
-@query("scl10_prefix_norm", r"SELECT doc_id, regexp_replace(trim(regexp_replace(translate(lower(substring(text, 1, 300)), '’‘', ''''''), '\s+', ' ', 'g')), '[.!?]+$', '') AS v FROM documents")
+@query("scl10_prefix_norm", r"SELECT doc_id, regexp_replace(trim(regexp_replace(translate(lower(text), '’‘', ''''''), '\s+', ' ', 'g')), '[.!?]+$', '') AS v FROM documents")
 def scl10(s, d):
-    return table(s, d, "documents").select("doc_id", tx.prefix_norm(F.substring("text", 1, 300)).alias("v"))
+    return table(s, d, "documents").select("doc_id", tx.prefix_norm(F.col("text")).alias("v"))
 
 
 @query(
     "scl11_middle_cut",
     """WITH a AS (SELECT doc_id, text, length(text) AS n FROM documents), b AS (SELECT *, n - n * 40 // 100 AS keep FROM a),
  c AS (SELECT *, keep // 2 AS l0, keep - keep // 2 AS r0 FROM b), e AS (SELECT *, CASE WHEN l0 < 100 OR r0 < 100 THEN 100 ELSE l0 END AS l, CASE WHEN l0 < 100 OR r0 < 100 THEN 100 ELSE r0 END AS r FROM c)
- SELECT doc_id, CASE WHEN n <= 500 OR l + r >= n THEN text ELSE substring(text, 1, l) || chr(10) || '...[middle omitted for tagging]...' || chr(10) || substring(text, n - r + 1, r) END AS v FROM e""",
+ SELECT doc_id, CASE WHEN n <= 500 OR l + r >= n THEN text ELSE substring(text, 1, l) || chr(10) || '...[text left out]...' || chr(10) || substring(text, n - r + 1, r) END AS v FROM e""",
 )
 def scl11(s, d):
     return table(s, d, "documents").select("doc_id", tx.middle_cut(F.col("text"), 40, 500).alias("v"))
 
 
-@query("scl12_contextual_turn", f"SELECT doc_id, {strip('substring(text, 1, 80)')} || ' Context: ' || lang || '. Type: ' || source AS v FROM documents WHERE {strip('substring(text, 1, 80)')} <> ''")
+@query("scl12_contextual_turn", f"SELECT doc_id, CASE WHEN {strip('text')} <> '' THEN {strip('text')} || ' ' ELSE '' END || 'Context: ' || lang || '. Type: ' || source AS v FROM documents")
 def scl12(s, d):
-    t = table(s, d, "documents").where(tx.strip(F.substring("text", 1, 80)) != "")
     tags = F.to_json(F.struct(F.col("lang").alias("semantic_handle"), F.lit(" ").alias("intent"), F.col("source").alias("type")))
-    return t.select("doc_id", tx.contextual_turn(F.substring("text", 1, 80), tags).alias("v"))
+    return table(s, d, "documents").select("doc_id", tx.contextual_turn(F.col("text"), tags).alias("v"))
 
 
 @query("scl15_timestamps", "SELECT event_id, strftime(ts, '%m-%d-%Y_%H:%M:%S') AS local_ts, strftime(ts, '%Y%m%d_%H%M%S') AS a, strftime(ts, '%Y%m%d_%H%M%S') AS b, strftime(ts, '%m-%d-%Y') AS memory_date, strftime(ts, '%m-%d-%Y') AS dashed FROM events")
@@ -109,9 +107,9 @@ def scl19(s, d):
     return ck.chunk(i.documents(s, d), 600, 80).select(tx.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("item_id"))
 
 
-@query("scl21_capitalize", r"SELECT doc_id, '  ' || upper(substring(x, 1, 1)) || substring(x, 2) AS v FROM (SELECT doc_id, regexp_replace(lower(substring(text, 1, 50)), '^\s+', '') AS x FROM documents)")
+@query("scl21_capitalize", r"SELECT doc_id, '  ' || upper(substring(x, 1, 1)) || substring(x, 2) AS v FROM (SELECT doc_id, regexp_replace(lower(text), '^\s+', '') AS x FROM documents)")
 def scl21(s, d):
-    return table(s, d, "documents").select("doc_id", tx.capitalize_first(F.concat(F.lit("  "), F.regexp_replace(F.lower(F.substring("text", 1, 50)), r"^\s+", ""))).alias("v"))
+    return table(s, d, "documents").select("doc_id", tx.capitalize_first(F.concat(F.lit("  "), F.regexp_replace(F.lower("text"), r"^\s+", ""))).alias("v"))
 
 
 @query("scl22_resolution", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'answer_local' WHEN event_id % 4 = 1 THEN 'ignore' ELSE '' END AS v FROM events")
@@ -143,10 +141,10 @@ def scl27(s, d):
     return e.select("event_id", tx.usage_source(given, n % 5 != 2, n % 3).alias("usage_source"), dt.latency_ms(F.when(n % 2 == 0, n % 100).otherwise(F.lit(-1)), start, end).alias("ttlt"))
 
 
-@query("scl30_safe_path", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN NULL ELSE 'docs/' || page_id || '.md' END AS p FROM pages")
+@query("scl30_safe_path", r"SELECT page_id, CASE WHEN page_id % 3 = 2 AND NOT regexp_matches(p, '(^|/)\.\.(/|$)') THEN 'docs/' || p END AS p FROM (SELECT page_id, rtrim(replace(regexp_extract(url, '^[^/]*//[^/]*/(.*)$', 1), '\', '/')) AS p FROM pages)")
 def scl30(s, d):
-    n = F.col("page_id").cast("string")
-    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/etc/"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a/../"), n)).otherwise(F.concat(F.lit("docs\\"), n, F.lit(".md")))
+    n, path = F.col("page_id") % 3, F.regexp_extract("url", "^[^/]*//[^/]*/(.*)$", 1)
+    raw = F.when(n == 0, F.concat(F.lit("/"), path)).when(n == 1, F.concat(F.lit("a/../"), path)).otherwise(F.concat(F.lit("docs\\"), path))
     return table(s, d, "pages").select("page_id", tx.safe_relative(raw).alias("p"))
 
 
@@ -155,10 +153,9 @@ def ord5(s, d):
     return table(s, d, "documents").select("doc_id", tx.trim_to_tokens(F.col("text"), 50).alias("v"))
 
 
-@query("ord7_compact_list", "WITH w AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f) AS n FROM w) SELECT user_id, string_agg(event_type, ',' ORDER BY n) AS kinds FROM r WHERE n <= 2 GROUP BY user_id")
+@query("ord7_compact_list", f"WITH w AS (SELECT item_id, unnest({W(x='text')}) AS w, generate_subscripts({W(x='text')}, 1) AS spot FROM benchmark), f AS (SELECT item_id, lower(w) AS k, arg_min(w, spot) AS w, min(spot) AS spot FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY spot) AS n FROM f) SELECT item_id, string_agg(w, ',' ORDER BY n) AS kinds FROM r WHERE n <= 2 GROUP BY item_id")
 def ord7(s, d):
-    e = table(s, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.upper("event_type")).alias("k")))), lambda x: x["k"]).alias("k"))
-    return e.select("user_id", F.lower(F.array_join(tx.compact_list(F.col("k")), ",")).alias("kinds"))
+    return table(s, d, "benchmark").select("item_id", F.array_join(tx.compact_list(tx.words(F.col("text"))), ",").alias("kinds")).where("kinds <> ''")
 
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -183,12 +180,12 @@ def vec3(s, d):
 @query(
     "vec4_hash_embed",
     f"""WITH w AS (SELECT doc_id, unnest({W(x='lower(text)')}) AS w FROM documents), c AS (SELECT doc_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS p, count(*) AS n FROM w GROUP BY ALL),
- t AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM c GROUP BY doc_id) SELECT doc_id, round(sum(n / len * (p + 1)), 6) AS weighted, CAST(count(*) AS INTEGER) AS places FROM c JOIN t USING (doc_id) GROUP BY doc_id""",
+ t AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM c GROUP BY doc_id) SELECT doc_id, round(coalesce(sum(n / len * (p + 1)), 0), 6) AS weighted, CAST(count(p) AS INTEGER) AS places FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) GROUP BY doc_id""",
 )
 def vec4(s, d):
     rows = ck.embed(table(s, d, "documents").select("doc_id", "text"), "text", lambda: ck.HashEmbedder(64)).drop("text")
     weighted = F.aggregate(F.transform("vector", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", F.round(weighted, 6).alias("weighted"), F.size(F.filter("vector", lambda x: x > 0)).alias("places")).where("places > 0")
+    return rows.select("doc_id", F.round(weighted, 6).alias("weighted"), F.size(F.filter("vector", lambda x: x > 0)).alias("places"))
 
 
 @query("vec4_hash_embed_columns", f"""WITH w AS (SELECT item_id, unnest({W(x='lower(text)')}) AS w FROM benchmark), c AS (SELECT item_id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS p, count(*) AS n FROM w GROUP BY ALL),
@@ -207,11 +204,21 @@ def vec7(s, d):
 _FILLER = "CASE doc_id % 4 WHEN 0 THEN 'Great question! Sure, here it is. ' WHEN 1 THEN 'Certainly. ' ELSE '' END || text"
 
 
-@query("txt1_trim_front", "SELECT doc_id, text AS body, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS removed FROM documents WHERE regexp_matches(text, '^\\S') AND NOT regexp_matches(lower(text), '^(sure|certainly|great question|of course|absolutely|happy to help|thanks for asking)')")
+_FRONT = "(sure|certainly|great question|of course|absolutely|happy to help|thanks for asking)"
+
+
+def _front_step(name: str, of: str) -> str:
+    """One more leading sentence that begins with a rule, if something is left behind it."""
+    head = rf"regexp_extract(body, '^\s*[^\s][\s\S]*?[.!?](\s+|$)')"
+    norm = r"regexp_replace(trim(regexp_replace(translate(lower(trim(h)), '’‘', chr(39) || chr(39)), '\s+', ' ', 'g')), '[.!?]+$', '')"
+    goes = rf"go AND h <> '' AND NOT regexp_matches(h, '^\s*```') AND regexp_matches({norm}, '^{_FRONT}') AND regexp_matches(substring(body, length(h) + 1), '\S')"
+    return rf"{name} AS (SELECT doc_id, CASE WHEN g THEN substring(body, length(h) + 1) ELSE body END AS body, removed + CAST(g AS INTEGER) AS removed, g AS go FROM (SELECT *, coalesce({goes}, false) AS g FROM (SELECT *, {head} AS h FROM {of})))"
+
+
+@query("txt1_trim_front", f"WITH s0 AS (SELECT doc_id, {_FILLER} AS body, 0 AS removed, true AS go FROM documents), {_front_step('s1', 's0')}, {_front_step('s2', 's1')}, {_front_step('s3', 's2')} SELECT doc_id, body, CAST(removed AS INTEGER) AS removed FROM s3")
 def txt1(s, d):
-    t = table(s, d, "documents").where(F.col("text").rlike(r"^\S") & ~F.lower("text").rlike("^(sure|certainly|great question|of course|absolutely|happy to help|thanks for asking)"))
     filler = F.when(F.col("doc_id") % 4 == 0, "Great question! Sure, here it is. ").when(F.col("doc_id") % 4 == 1, "Certainly. ").otherwise("")
-    rows = cl.trim_front(t.select("doc_id", F.concat(filler, "text").alias("body")), "body")
+    rows = cl.trim_front(table(s, d, "documents").select("doc_id", F.concat(filler, "text").alias("body")), "body")
     return rows.select("doc_id", "body", F.size("front_prefixes").alias("removed"))
 
 
@@ -236,7 +243,7 @@ def txt4(s, d):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(F.char_length("sentence")).cast("long").alias("chars"))
 
 
-@query("txt5_protected", rf"WITH s AS (SELECT doc_id, unnest({_SENT}) AS x FROM documents) SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)\b(?:FR|NFR)-\d') OR regexp_matches(x, '\b[A-Za-z_][A-Za-z0-9_]*\s*\(') OR regexp_matches(x, '\b[A-Za-z_][A-Za-z0-9]*_[A-Za-z0-9_]*\b') OR regexp_matches(x, '\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b')) AS BIGINT) AS n FROM s GROUP BY doc_id")
+@query("txt5_protected", rf"WITH s AS (SELECT doc_id, unnest({_SENT}) AS x FROM documents) SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(x, '[0-9]|[A-Za-z](_|\.[A-Za-z]| *\()')) AS BIGINT) AS n FROM s GROUP BY doc_id")
 def txt5(s, d):
     rows = cl.sentences(table(s, d, "documents"), "doc_id", "text")
     return rows.groupBy("doc_id").agg(F.count_if(cl.protected(F.col("sentence"))).alias("n"))
