@@ -52,6 +52,18 @@ def export(entries: DataFrame, by: list[str], order: str, block: str) -> DataFra
     return entries.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, block))), lambda s: s[block]), "").alias("content"))
 
 
+def artifact_name(title: Column, timestamp: Column) -> Column:
+    """File name of a cycle's artifact: no colons, ends in ``.md``."""
+    return F.concat(tx.snake_case(title), F.lit("_"), F.replace(timestamp, F.lit(":"), F.lit("-")), F.lit(".md"))
+
+
+def without_collisions(names: DataFrame, by: list[str], name: str, order: str) -> DataFrame:
+    """Names of which the second and later of a group get ``-2``, ``-3``, ... before the extension."""
+    nth = F.row_number().over(Window.partitionBy(*by, name).orderBy(order))
+    stem, end = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    return names.withColumn("_nth", nth).withColumn(name, F.when(F.col("_nth") > 1, F.concat(stem, F.lit("-"), F.col("_nth").cast("string"), end)).otherwise(F.col(name))).drop("_nth")
+
+
 def ensure_header(text: Column, title: Column) -> Column:
     """Text with front matter; what has it already stays as it is."""
     return F.when(F.startswith(text, F.lit("---\n")), text).otherwise(F.concat(F.lit("---\ntitle: "), title, F.lit("\n---\n\n"), text))
@@ -100,7 +112,7 @@ def entries(docs: DataFrame, by: list[str], content: str, markers: Markers = DEF
     Well-formed entries have ``end_id = memory_id`` and ``copy = 1``.
     """
     rows = segments(lines(docs, by, content, markers), by).where("first_begin is not null and end_line is not null and line_no between first_begin and end_line")
-    body = F.filter(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: F.lit(True))
+    body = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     found = rows.groupBy(*by, "grp").agg(
         F.min_by("begin_id", "line_no").alias("memory_id"), F.max_by("end_id", "line_no").alias("end_id"), (F.min("line_no") + 1).alias("start_line"), (F.max("line_no") + 1).alias("end_line"),
         F.min("offset").alias("start_offset"), F.max(F.col("offset") + F.char_length("line") + 1).alias("end_offset"), body.alias("b"),
@@ -128,21 +140,82 @@ def warnings(docs: DataFrame, by: list[str], content: str, markers: Markers = DE
     return loose.unionByName(mismatched).unionByName(double)
 
 
+def _metadata_lines(text: Column, markers: Markers) -> Column:
+    """Struct of an entry's metadata block: its lines, the line of its heading, and whether the fence opens and closes."""
+    lines = F.transform(F.split(tx.normalize_lf(text), "\n"), lambda x: F.trim(x))
+
+    def read(x: Column) -> Column:
+        head = F.array_position(x, markers.heading)
+        opens = (F.get(x, head) == "") & (F.get(x, head + 1) == "```yaml")
+        rest = F.slice(x, head + 3, F.greatest(F.lit(0), F.size(x) - head - 2).cast("int"))
+        end = F.array_position(rest, "```")
+        body = F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(F.size(rest)).cast("int"))
+        none = F.array().cast("array<string>")
+        return F.struct(F.when((head > 0) & F.coalesce(opens, F.lit(False)), body).otherwise(none).alias("lines"), head.alias("head"), F.coalesce(opens, F.lit(False)).alias("opens"), (end > 0).alias("closes"))
+
+    return tx.once(lines, read)
+
+
+def _read_line(line: Column) -> Column:
+    """Struct (item, key, value) of a metadata line; ``item`` is the text behind a dash."""
+    return F.struct(F.when(F.startswith(line, F.lit("- ")), F.trim(F.substring(line, F.lit(3), F.char_length(line)))).alias("item"), F.when(F.contains(line, F.lit(":")), F.trim(F.regexp_extract(line, r"^([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1)).alias("value"))
+
+
+def metadata_map(text: Column, markers: Markers = DEFAULT) -> Column:
+    """Map of key to struct (list, flag, values): scalars are lists of one, ``flag`` is set for true and false.
+
+    Lines ``- item`` belong to the key of the bare ``key:`` line that they follow; a later
+    key of the same name wins; lines that say nothing are skipped (see :func:`metadata_warnings`).
+    """
+    rows = F.transform(F.filter(_metadata_lines(text, markers)["lines"], lambda x: x != ""), _read_line)
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.element_at(done["rows"], -1)
+        joins = r["item"].isNotNull() & done["open"]
+        longer = F.concat(F.slice(done["rows"], 1, F.size(done["rows"]) - 1), F.array(F.struct(last["key"].alias("key"), F.concat(last["values"], F.array(r["item"])).alias("values"), F.lit(True).alias("list"))))
+        good = F.coalesce(r["key"] != "", F.lit(False))
+        bare = r["value"] == ""
+        more = F.concat(done["rows"], F.array(F.struct(r["key"].alias("key"), F.when(bare, F.array().cast("array<string>")).otherwise(F.array(r["value"])).alias("values"), bare.alias("list"))))
+        return F.struct(F.when(joins, longer).when(good, more).otherwise(done["rows"]).alias("rows"), (joins | (good & bare)).alias("open"))
+
+    none = F.array().cast("array<struct<key:string,values:array<string>,list:boolean>>")
+    found = F.aggregate(rows, F.struct(none.alias("rows"), F.lit(False).alias("open")), step)["rows"]
+    flag = lambda x: F.when(~x["list"] & F.lower(F.get(x["values"], F.lit(0))).isin("true", "false"), F.lower(F.get(x["values"], F.lit(0))) == "true")
+    value = lambda x: F.struct(x["list"].alias("list"), flag(x).alias("flag"), F.when(flag(x).isNotNull(), F.array(F.lower(F.get(x["values"], F.lit(0))))).otherwise(x["values"]).alias("values"))
+    newest = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.map_from_arrays(F.array(x["key"]), F.array(value(x))))
+    return F.aggregate(found, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<list:boolean,flag:boolean,values:array<string>>>")), newest)
+
+
 def metadata(found: DataFrame, by: list[str], text: str = "text", markers: Markers = DEFAULT) -> DataFrame:
-    """Rows (key, values) of each entry's metadata block; scalars are lists of one."""
-    block = F.regexp_extract(text, markers.heading + r"\n[ \t]*\n```yaml\n([\s\S]*?)\n```", 1)
-    rows = found.select(*by, F.posexplode(F.split(block, "\n")).alias("at", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
-    item = F.startswith("line", F.lit("- "))
-    key = F.when(~item, F.nullif(F.trim(F.regexp_extract("line", r"^([^:]+):", 1)), F.lit("")))
-    rows = rows.withColumn("key", F.last(key, ignorenulls=True).over(Window.partitionBy(*by).orderBy("at")))
-    value = F.when(item, F.trim(F.substring("line", F.lit(3), F.char_length("line")))).otherwise(F.nullif(F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1)), F.lit("")))
-    rows = rows.withColumn("value", F.when(F.lower(value).isin("true", "false"), F.lower(value)).otherwise(value)).where("key is not null")
-    return rows.groupBy(*by, "key").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))), lambda s: s["value"]).alias("values"))
+    """Rows (key, list, flag, values) of each entry's metadata block."""
+    return found.select(*by, F.explode(metadata_map(F.col(text), markers)).alias("key", "v")).select(*by, "key", "v.*")
+
+
+def metadata_warnings(found: DataFrame, by: list[str], text: str = "text", markers: Markers = DEFAULT) -> DataFrame:
+    """Rows (line, kind) of what is wrong with the metadata blocks: fences, lines without a colon, empty keys."""
+    block = _metadata_lines(F.col(text), markers)
+
+    def judge(x: Column, i: Column) -> Column:
+        r = _read_line(x)
+        return F.struct((block["head"] + 3 + i).cast("int").alias("line"), F.when(x == "", None).when(r["key"].isNull() & r["item"].isNull(), "no_colon").when(r["item"].isNull() & (r["key"] == ""), "empty_key").alias("kind"))
+
+    own = F.transform(block["lines"], judge)
+    fence = F.when((block["head"] > 0) & ~block["opens"], "fence").when((block["head"] > 0) & ~block["closes"], "open_fence")
+    every = F.concat(own, F.array(F.struct(block["head"].cast("int").alias("line"), fence.alias("kind"))))
+    return found.select(*by, F.explode(every).alias("w")).select(*by, "w.line", "w.kind").where("kind is not null")
 
 
-def rescope(text: Column, scope: str = "ltm") -> Column:
-    """``current_scope`` lines of an entry's text set to ``scope``."""
-    return F.regexp_replace(text, r"(?m)^current_scope:[ \t]*\S+[ \t]*$", f"current_scope: {scope}")
+def with_metadata(found: DataFrame, keep: list[str], text: str = "text", markers: Markers = DEFAULT) -> DataFrame:
+    """Entries with their scalar metadata as a map ``meta`` of texts; lists are joined by commas."""
+    flat = F.transform_values(metadata_map(F.col(text), markers), lambda _, v: F.array_join(v["values"], ","))
+    return found.select(*keep, F.col(text).alias("text"), flat.alias("meta"))
+
+
+def rescope(text: Column, scope: str = "ltm", markers: Markers = DEFAULT) -> Column:
+    """``current_scope`` lines of the metadata blocks of bounded entries set to ``scope``; the same words elsewhere stay."""
+    begin = markers.begin.replace("!", "\\!") + r"mem_\d{8}_\d{6}_[0-9a-f]{4,8}" + markers.close
+    head = rf"({begin}[ \t]*\n(?:(?!<!--)[\s\S])*?{markers.heading}\n[ \t]*\n```yaml\n(?:(?!```)[^\n]*\n)*?)current_scope:[ \t]*\S+[ \t]*(?=\n)"
+    return F.regexp_replace(tx.normalize_lf(text), head, f"$1current_scope: {scope}")
 
 
 def unbounded(docs: DataFrame, by: list[str], content: str, markers: Markers = DEFAULT) -> DataFrame:
@@ -155,9 +228,25 @@ def unbounded(docs: DataFrame, by: list[str], content: str, markers: Markers = D
     return regions.where(F.col("region").rlike(r"\S")).drop("island")
 
 
+#: Fields of a chunk that an entry's metadata never overrides.
+IDENTITY = ("filename", "doc_id", "source_document_id")
+
+
 def regions_to_chunks(regions: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
-    """Chunk rows of entries or regions, numbered after blank windows are dropped."""
-    return regions.select(*(c for c in regions.columns if c != text), F.posexplode(tx.windows(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
+    """Chunk rows of entries or regions, numbered after blank windows are dropped.
+
+    With a map column ``meta``, each chunk gets the map ``fields``: its own identity and
+    numbers, overridden by the metadata except in ``IDENTITY``.
+    """
+    rows = regions.select(*(c for c in regions.columns if c != text), F.posexplode(tx.windows(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
+    if "meta" not in regions.columns:
+        return rows
+    own = [c for c in ("project_id", "filename", "doc_id", "source_document_id", "memory_id") if c in regions.columns]
+    pairs = [x for c in own for x in (F.lit(c), F.col(c).cast("string"))] + ([] if "source_document_id" in own else [F.lit("source_document_id"), F.col("doc_id").cast("string")])
+    index = F.col("chunk_index").cast("string")
+    fields = F.create_map(*pairs, F.lit("chunk_index"), index, F.lit("chunk_seq"), index)
+    kept = F.map_filter("meta", lambda k, _: ~k.isin(*IDENTITY))
+    return rows.withColumn("fields", F.map_concat(F.map_filter(fields, lambda k, _: ~F.map_contains_key(kept, k)), kept)).drop("meta")
 
 
 def expand_entries(snippets: DataFrame, found: DataFrame, rebuilt: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -134,46 +135,126 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(_indel(p, q), _indel(both, p) if both else 0.0, _indel(both, q) if both else 0.0)
 
 
-def similar_sentences(rows: DataFrame, key: str, column: str, threshold: int = 90) -> DataFrame:
-    """Sentences with ``dropped``: similar to an earlier kept sentence of the same text.
+Scorer = Callable[[str, str], float]
 
-    Whether a sentence is dropped depends on which were kept before it, so a text's
-    sentences are decided in order, one text at a time; earlier sentences are pruned
-    by bounds from their characters and shared tokens, which lose none.
+
+def _decide(whole: list, threshold: int, scorer: Scorer) -> list[bool]:
+    """Which sentences of a text go: similar to an earlier one that stays.
+
+    Whether a sentence goes depends on which were kept before it, so they are decided in
+    order.  For the built-in scorer, earlier sentences are pruned by bounds from their
+    characters and shared tokens, which lose none.
     """
+    kept: list[str] = []
+    by_token: dict[str, list[int]] = {}
+    bags, lengths, out = np.zeros((len(whole), 64), np.int32), np.zeros(len(whole)), []
+    for s in whole:
+        norm, drop = s["norm"], False
+        tokens = set(norm.split())
+        joined = " ".join(sorted(tokens))
+        bag, n = np.bincount(np.frombuffer(joined.encode("utf-32-le"), np.uint32) % 64, minlength=64), len(kept)
+        if not s["safe"] and n:
+            could = np.ones(n, bool)
+            if scorer is token_set_ratio:
+                shared = np.zeros(n)
+                for t in tokens:
+                    shared[by_token.get(t, [])] += len(t) + 1
+                # No pair can reach the threshold unless its characters or its shared tokens allow it.
+                alike = 200.0 * np.minimum(bags[:n], bag).sum(axis=1) >= threshold * (lengths[:n] + len(joined))
+                could = alike | ((200.0 - threshold) * shared >= threshold * np.minimum(lengths[:n], len(joined)))
+            drop = any(scorer(norm, kept[i]) >= threshold for i in np.flatnonzero(could))
+        if not drop:
+            for t in tokens:
+                by_token.setdefault(t, []).append(n)
+            bags[n], lengths[n] = bag, len(joined)
+            kept.append(norm)
+        out.append(drop)
+    return out
+
+
+def _cells(column: str) -> Column:
+    """Numbered sentences of a text with normal form and whether they are exact, cut within its row."""
+    return F.transform(sentence_list(F.col(column)), lambda x, i: F.struct(i.alias("sentence_no"), x.alias("sentence"), tx.prefix_norm(x).alias("norm"), protected(x).alias("safe")))
+
+
+def similar_sentences(rows: DataFrame, key: str, column: str, threshold: int = 90, scorer: Scorer = token_set_ratio) -> DataFrame:
+    """Sentences with ``dropped``: similar, by ``scorer`` (0 to 100), to an earlier kept sentence of the same text."""
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(key).dtypes) + ", sentence_no int, sentence string, dropped boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for k, whole in zip(frame[key], frame["whole"], strict=True):
-                kept: list[str] = []
-                by_token: dict[str, list[int]] = {}
-                bags, lengths = np.zeros((len(whole), 64), np.int32), np.zeros(len(whole))
-                for s in whole:
-                    norm, drop = s["norm"], False
-                    tokens = set(norm.split())
-                    joined = " ".join(sorted(tokens))
-                    bag, n = np.bincount(np.frombuffer(joined.encode("utf-32-le"), np.uint32) % 64, minlength=64), len(kept)
-                    if not s["safe"] and n:
-                        shared = np.zeros(n)
-                        for t in tokens:
-                            shared[by_token.get(t, [])] += len(t) + 1
-                        # No pair can reach the threshold unless its characters or its shared tokens allow it.
-                        alike = 200.0 * np.minimum(bags[:n], bag).sum(axis=1) >= threshold * (lengths[:n] + len(joined))
-                        inside = (200.0 - threshold) * shared >= threshold * np.minimum(lengths[:n], len(joined))
-                        drop = any(token_set_ratio(norm, kept[i]) >= threshold for i in np.flatnonzero(alike | inside))
-                    if not drop:
-                        for t in tokens:
-                            by_token.setdefault(t, []).append(n)
-                        bags[n], lengths[n] = bag, len(joined)
-                        kept.append(norm)
-                    out.append((k, s["sentence_no"], s["sentence"], drop))
+            out = [(k, s["sentence_no"], s["sentence"], drop) for k, whole in zip(frame[key], frame["whole"], strict=True) for s, drop in zip(whole, _decide(whole, threshold, scorer), strict=True)]
             yield pd.DataFrame(out, columns=[key, "sentence_no", "sentence", "dropped"])
 
-    # A text's sentences are cut within its row: nothing is regrouped.
-    cell = lambda x, i: F.struct(i.alias("sentence_no"), x.alias("sentence"), tx.prefix_norm(x).alias("norm"), protected(x).alias("safe"))
-    return rows.select(key, F.transform(sentence_list(F.col(column)), cell).alias("whole")).mapInPandas(run, schema)
+    return rows.select(key, _cells(column).alias("whole")).mapInPandas(run, schema)
+
+
+def without_similar(rows: DataFrame, column: str, threshold: int = 90, scorer: Scorer = token_set_ratio) -> DataFrame:
+    """The rows, their text without the sentences that repeat an earlier one, nor the white space behind those."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, cells: pd.Series) -> pd.Series:
+        out = []
+        for text, whole in zip(texts, cells, strict=True):
+            drops = _decide(whole, threshold, scorer) if text else []
+            parts, at, gone = [], 0, any(drops)
+            if gone:
+                for s, drop in zip(whole, drops, strict=True):
+                    start = text.find(s["sentence"], at)
+                    if start < 0:
+                        continue
+                    end = start + len(s["sentence"])
+                    parts.append(text[at:start] + ("" if drop else s["sentence"]))
+                    at = end + (len(text[end:]) - len(text[end:].lstrip()) if drop else 0)
+            out.append(("".join(parts) + text[at:]).rstrip() if gone else text)
+        return pd.Series(out)
+
+    return rows.withColumn(column, clean(F.col(column), _cells(column)))
+
+
+@dataclass(frozen=True)
+class Pruning:
+    """Which stages run, by which rules."""
+
+    front: tuple[str, ...] | None = FRONT_PREFIXES
+    end: tuple[str, ...] | None = END_PREFIXES
+    whitespace: bool = True
+    similarity: bool = True
+    threshold: int = 90
+    most_chars: int = 200_000
+
+
+def prune(rows: DataFrame, column: str, how: Pruning | None = None, scorer: Scorer = token_set_ratio) -> DataFrame:
+    """All stages in order: front, end, white space, similarity; adds ``result``, the column holds what is left.
+
+    ``result`` is a struct: original, changed, trimmed_side (none, front, end, both), matched
+    prefixes of both sides, sentences removed in front, the span (start, stop) of the
+    original removed at the end, and whether a text was kept from becoming empty.  Null and
+    over-long texts pass as they are.
+    """
+    how = how or Pruning()
+    names = rows.columns
+    take = F.col(column).isNotNull() & (F.char_length(column) <= how.most_chars)
+    work = rows.withColumns({"_original": F.col(column), "_take": take}).withColumn(column, F.when(take, F.col(column)).otherwise(F.lit("")))
+    none = F.array().cast("array<string>")
+    work = trim_front(work, column, how.front) if how.front is not None else work.withColumns({"front_prefixes": none, "front_blocked": F.lit(False)})
+    work = work.withColumn("_front", F.col(column))
+    work = trim_end(work, column, how.end) if how.end is not None else work.withColumns({"end_prefix": F.lit(None).cast("string"), "end_blocked": F.lit(False)})
+    work = work.withColumn("_end", F.col(column))
+    if how.whitespace:
+        work = work.withColumn(column, compact_whitespace(F.col(column)))
+    if how.similarity:
+        work = without_similar(work, column, how.threshold, scorer)
+    front, end = F.size("front_prefixes") > 0, F.col("end_prefix").isNotNull()
+    stop = F.char_length("_original")
+    start = stop - F.char_length("_front") + F.char_length("_end")
+    side = F.when(front & end, "both").when(front, "front").when(end, "end").otherwise("none")
+    left = F.when(F.col("_take"), F.col(column)).otherwise(F.col("_original"))
+    result = F.struct(
+        F.col("_original").alias("original"), (F.col("_take") & (front | end | (F.col(column) != F.col("_end")))).alias("changed"), side.alias("trimmed_side"), F.col("front_prefixes"), F.array_compact(F.array("end_prefix")).alias("end_prefixes"),
+        F.size("front_prefixes").alias("front_units_removed"), F.when(end, F.struct(start.alias("start"), stop.alias("stop"))).alias("end_span_removed"), (F.col("front_blocked") | F.coalesce("end_blocked", F.lit(False))).alias("blocked_by_safety"),
+    )
+    return work.withColumn("result", result).withColumn(column, left).select(*names, "result")
 
 
 def saved_tokens(rows: DataFrame, project: str, before: str, after: str, most: int = 200_000) -> DataFrame:

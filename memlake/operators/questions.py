@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
+from memlake.operators.steps import cut
 
 #: Characters by which a contained key meets its container.
 GRAM = 8
@@ -25,17 +23,27 @@ def consolidate(log: DataFrame) -> DataFrame:
 def _contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (left id, right id) of a project where one key is inside the other but not equal.
 
-    A container holds the first ``GRAM`` characters of what it contains (or all of a
-    shorter key), so keys meet in an equi join by project and gram and a filter
-    decides; no two keys of a project meet without sharing a gram.
+    A container holds every run of ``GRAM`` characters of what it contains, so a key
+    meets its containers in an equi join on the one of its runs that the fewest
+    containers of the project have, whole if it is shorter; a filter decides.  Common
+    beginnings are therefore no hot keys.
     """
 
     def within(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-        inner = a.select("project_id", a_id, F.col("key").alias("ka"), F.substring("key", 1, GRAM).alias("gram"))
         n = F.char_length("key")
-        grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), n - i + 1)), lambda g: F.substring(F.col("key"), i, g)))))
-        outer = b.where(n >= 24).select("project_id", b_id, F.col("key").alias("kb"), F.explode(grams).alias("gram"))
-        return inner.join(outer, ["project_id", "gram"]).where(F.contains("kb", "ka") & (F.col("ka") != F.col("kb"))).select("project_id", a_id, b_id)
+        runs = lambda size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(F.col("key"), i, F.lit(size))))
+        long = b.where(n >= 24)
+        outer = long.select("project_id", b_id, F.col("key").alias("kb"), F.explode(runs(GRAM)).alias("gram"))
+        usual = outer.groupBy("project_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+        own = a.where(n >= GRAM).select("project_id", a_id, F.col("key").alias("ka"), F.explode(runs(GRAM)).alias("gram"))
+        # A key of which any run is in no container has none.
+        chosen = own.join(usual, ["project_id", "gram"], "left").groupBy("project_id", a_id, "ka").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+        met = chosen.select("project_id", a_id, "ka", F.col("g.gram").alias("gram")).join(outer, ["project_id", "gram"])
+        short = a.where(n < GRAM).select("project_id", a_id, F.col("key").alias("ka"), F.col("key").alias("gram"))
+        parts = F.array_distinct(F.flatten(F.array(*(runs(size) for size in range(1, GRAM)))))
+        small = long.join(short.select("project_id").distinct(), "project_id", "left_semi").select("project_id", b_id, F.col("key").alias("kb"), F.explode(parts).alias("gram"))
+        met = met.unionByName(short.join(small, ["project_id", "gram"]))
+        return met.where(F.contains("kb", "ka") & (F.col("ka") != F.col("kb"))).select("project_id", a_id, b_id)
 
     both = within(left, right, "left_id", "right_id").unionByName(within(right, left, "right_id", "left_id").select("project_id", "left_id", "right_id"))
     return both.distinct()
@@ -63,45 +71,74 @@ def known_only(ideas: DataFrame, questions: DataFrame) -> DataFrame:
     return ideas.join(matches(ideas, questions), ["project_id", "idea_id"], "left_semi")
 
 
-def _key(text: str | None) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", re.sub("['\"`“”’]", "", (text or "").lower())).strip()
-
+def _settled(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (project_id, question_no, leader): which of the questions stand, and for the rest the first standing one that is equivalent.
 
-def _same(a: str, b: str) -> bool:
-    return bool(a and b) and (a == b or (len(a) >= 24 and b in a) or (len(b) >= 24 and a in b))
+    ``links`` are pairs (earlier, later).  A question stands unless an earlier one that
+    stands is equivalent; equivalence is not transitive, so this is settled in rounds,
+    each deciding the questions whose earlier ones are all decided.
+    """
+    state = cut(keys.withColumn("leader", F.lit(None).cast("long")))
+    while True:
+        open_ = links.join(state.select("project_id", F.col("question_no").alias("earlier"), F.col("leader").alias("of")), ["project_id", "earlier"])
+        seen = open_.groupBy("project_id", F.col("later").alias("question_no")).agg(F.min(F.when(F.col("of") == F.col("earlier"), F.col("earlier"))).alias("first"), F.min(F.when(F.col("of").isNull(), F.col("earlier"))).alias("undecided"))
+        joined = state.join(seen, ["project_id", "question_no"], "left")
+        # The first standing one counts once nothing before it can still turn out to stand.
+        sure = F.col("undecided").isNull() | (F.col("first") < F.col("undecided"))
+        leader = F.coalesce("leader", F.when(sure, F.coalesce("first", "question_no")))
+        state = cut(joined.select("project_id", "question_no", leader.alias("leader")))
+        if state.where("leader is null").isEmpty():
+            return state
 
 
 def bridge(ideas: DataFrame, questions: DataFrame) -> DataFrame:
-    """Decision for each remote question: matched to an idea, or injected as a new one.
+    """Decision for each remote question: matched to an idea, or injected as a new one that later questions can match.
 
-    An injected idea can be matched by later questions, and containment is not
-    transitive, so a project's remote questions are decided in order.  The equi step
-    comes first: a group holds only a project's remote questions and the ideas that
-    :func:`matches` found for them.
+    Rows (project_id, question_no, question, action, item, seeded): ``seeded`` says that
+    the question became a research topic of its idea.  Exact keys and ideas are resolved
+    by joins first; among the rest, equivalent questions meet by :func:`_contained` and
+    their order is settled in rounds.  No project is one task's work.
+    """
+    remote = questions.where(F.col("used_remote_research") & (tx.strip(F.coalesce("question", F.lit(""))) != "")).select("project_id", "question_no", tx.strip("question").alias("question"), tx.text_key(F.col("question")).alias("key"))
+    hits = matches(ideas, questions).groupBy("project_id", "question_no").agg(F.min_by("idea_id", F.struct(~F.col("exact"), "idea_id")).cast("string").alias("idea_id"))
+    rows = cut(remote.join(hits, ["project_id", "question_no"], "left"))
+    free = rows.where("idea_id is null")
+    # Equal keys are one: what the first of them matches, all match.  Blank keys match nothing.
+    keys = cut(free.where("key <> ''").groupBy("project_id", "key").agg(F.min("question_no").alias("question_no")))
+    side = lambda name: keys.select("project_id", F.col("question_no").alias(name), "key")
+    pairs = _contained(side("left_id"), side("right_id"))
+    links = cut(pairs.select("project_id", F.least("left_id", "right_id").alias("earlier"), F.greatest("left_id", "right_id").alias("later")).distinct())
+    leaders = _settled(keys.select("project_id", "question_no"), links).join(keys, ["project_id", "question_no"]).select("project_id", "key", "leader")
+    decided = free.join(leaders, ["project_id", "key"], "left").withColumn("leader", F.coalesce("leader", "question_no"))
+    injected = F.col("leader") == F.col("question_no")
+    decided = decided.select("project_id", "question_no", "question", F.when(injected, "injected_synthetic_item").otherwise("matched_existing_item").alias("action"), F.concat(F.lit("remote-"), F.col("leader").cast("string")).alias("item"))
+    every = rows.where("idea_id is not null").select("project_id", "question_no", "question", F.lit("matched_existing_item").alias("action"), F.col("idea_id").alias("item")).unionByName(decided)
+    has = F.col("recommended_research") if "recommended_research" in ideas.columns else F.array().cast("array<string>")
+    topics = ideas.select("project_id", F.col("idea_id").cast("string").alias("item"), F.transform(F.coalesce(has, F.array().cast("array<string>")), tx.strip).alias("has"))
+    first = F.row_number().over(Window.partitionBy("project_id", "item", "question").orderBy("question_no")) == 1
+    every = every.join(topics, ["project_id", "item"], "left").withColumn("seeded", first & ~F.coalesce(F.array_contains("has", F.col("question")), F.lit(False)))
+    return every.select("project_id", "question_no", "question", "action", "item", "seeded")
+
+
+def bridged_ideas(ideas: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Ideas after the bridge: matched ones are remote and get the seeded questions as research topics, injected ones are new.
+
+    ``ideas`` has project_id, idea_id, origin_text and, if they have any, source_resolution
+    and recommended_research.
     """
-    remote = questions.where("used_remote_research").select("project_id", "question_no", "question")
-    hits = matches(ideas, questions).groupBy("project_id", "question_no").agg(F.min_by("idea_id", F.struct(~F.col("exact"), "idea_id")).alias("idea_id"))
-    rows = remote.join(hits, ["project_id", "question_no"], "left")
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        injected: list[tuple[str, int]] = []
-        out = []
-        for r in group.sort_values("question_no").itertuples():
-            key = _key(r.question)
-            if r.idea_id is not None and r.idea_id == r.idea_id:
-                out.append((r.project_id, r.question_no, "matched_existing_item", str(r.idea_id)))
-                continue
-            earlier = next((n for k, n in injected if _same(k, key)), None)
-            if earlier is None:
-                injected.append((key, r.question_no))
-            out.append((r.project_id, r.question_no, "injected_synthetic_item" if earlier is None else "matched_existing_item", f"remote-{r.question_no if earlier is None else earlier}"))
-        return pd.DataFrame(out, columns=["project_id", "question_no", "action", "item"])
-
-    return rows.withColumn("idea_id", F.col("idea_id").cast("string")).groupBy("project_id").applyInPandas(decide, "project_id string, question_no long, action string, item string")
+    none = F.array().cast("array<string>")
+    if "recommended_research" not in ideas.columns:
+        ideas = ideas.withColumn("recommended_research", none)
+    if "source_resolution" not in ideas.columns:
+        ideas = ideas.withColumn("source_resolution", F.lit(None).cast("string"))
+    ideas = ideas.select("project_id", F.col("idea_id").cast("string").alias("idea_id"), "origin_text", "source_resolution", F.coalesce("recommended_research", none).alias("recommended_research"))
+    seeds = decisions.groupBy("project_id", F.col("item").alias("idea_id")).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("seeded"), F.struct("question_no", "question")))), lambda s: s["question"]).alias("seeds"), F.min_by("question", F.when(F.col("action") != "matched_existing_item", F.col("question_no"))).alias("own"))
+    rows = ideas.join(seeds, ["project_id", "idea_id"], "full_outer")
+    return rows.select("project_id", "idea_id", F.coalesce("origin_text", "own").alias("origin_text"), F.when(F.col("seeds").isNotNull(), "answer_remote").otherwise(F.col("source_resolution")).alias("source_resolution"), F.concat(F.coalesce("recommended_research", none), F.coalesce("seeds", none)).alias("recommended_research"))
 
 
 def bridge_counts(decisions: DataFrame) -> DataFrame:
-    return decisions.groupBy("project_id").agg(F.count(F.lit(1)).alias("remote_questions"), F.count_if(F.col("action") == "matched_existing_item").alias("matched_items"), F.count_if(F.col("action") != "matched_existing_item").alias("injected_items"))
+    return decisions.groupBy("project_id").agg(F.count(F.lit(1)).alias("remote_questions"), F.count_if(F.col("action") == "matched_existing_item").alias("matched_items"), F.count_if(F.col("action") != "matched_existing_item").alias("injected_items"), F.count_if("seeded").alias("seeded_research_topics"))
 
 
 REQUIRED = ("id", "agent", "timestamp", "origin_text", "origin_type", "assistant_response", "context_link")

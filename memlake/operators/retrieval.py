@@ -94,7 +94,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, by: str | None = None) -
     n = queries.limit(SENT_QUERIES + 1).count()
     if n <= SENT_QUERIES:
         sent = queries.collect()  # at most SENT_QUERIES rows
-        ids, keys, matrix = [r.query_id for r in sent], [r.key for r in sent], np.array([r.qvec for r in sent], np.float64).reshape(len(sent), -1)
+        ids, keys, matrix = [r.query_id for r in sent], [r.key for r in sent], np.array([r.qvec for r in sent], np.float64) if sent else np.zeros((0, 0))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(matrix, keys, k)
@@ -291,7 +291,7 @@ def context_block(snippets: DataFrame, query: str = "query_id") -> DataFrame:
     ids = {k: F.col(k) for k in HEADER_KEYS if k in snippets.columns} | ({"source_document_id": F.col("doc_id").cast("string")} if "source_document_id" not in snippets.columns else {})
     head = F.format_string("Snippet %d (source=%s, cos=%.4f, score=%.4f, chunk_index=%s", "snippet_number", "source", 2 * F.col("score") - 1, "score", "chunk_range")
     # A rule in a text that would be read as the start of a snippet gets a backslash more.
-    safe = F.regexp_replace("text", r"(\n\n\\*)---\n(?=Snippet )", r"$1\\---\n")
+    safe = F.regexp_replace("text", r"(\n\n\\*)---\n(?=Snippet )", "$1\\\\---\n")
     rows = snippets.select(query, "snippet_number", "source", "score", "text", F.concat(head, header_fields(ids), F.lit(")\n"), safe).alias("piece"), tx.count_tokens(F.col("text")).alias("tokens"))
     daily = F.col("source") == "daily"
     listed = lambda cond, c: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("snippet_number", c)))), lambda s: s[c])

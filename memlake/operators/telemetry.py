@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKIP_REASONS = ("disabled_by_route", "budget_zero", "retrieval_error", "no_candidates")
 
 
-def turn_rollup(invocations: DataFrame) -> DataFrame:
+def turn_rollup(invocations: DataFrame, *more: Column) -> DataFrame:
     """Tokens and latency of each turn, main against helper calls, by usage source.
 
-    The turn total is the main total plus the helpers' prompt tokens only.
+    The turn total is the main total plus the helpers' prompt tokens only.  ``more`` are
+    further grouping columns.
     """
     main = F.col("purpose") == "main"
     part = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
-    rows = invocations.groupBy("run_id", "turn_id").agg(
+    rows = invocations.groupBy("run_id", "turn_id", *more).agg(
         F.count(F.lit(1)).alias("invocations"), F.count_if(main).alias("main_count"), F.count_if(~main).alias("helper_count"),
         part(main, "total_tokens").alias("main_total"), part(~main, "prompt_tokens").alias("helper_prompt"), part(~main, "completion_tokens").alias("helper_completion"),
         part(F.col("usage_source") == "provider", "total_tokens").alias("provider_tokens"), part(F.col("usage_source") == "estimate", "total_tokens").alias("estimated_tokens"), part(F.col("usage_source") == "zero_fallback", "total_tokens").alias("zero_tokens"),
@@ -67,6 +68,27 @@ def monotone_turns(turns: DataFrame) -> DataFrame:
     return turns.withColumn("top", before).where("top is null or turn_id > top").drop("top")
 
 
+def screen_calls(events: DataFrame) -> DataFrame:
+    """``verdict`` of each telemetry event of a run in order of arrival.
+
+    ``events`` has run_id, arrival, kind (turn, start, end, run_end), turn_id and
+    invocation_id.  Turns must rise (``repeated`` or ``decreasing`` ones are skipped),
+    calls end after they started (``unknown``) and once (``repeated``), and nothing counts
+    after the run's end (``late``); the rest is ``accepted``.
+    """
+    before = Window.partitionBy("run_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    kind = lambda k: F.col("kind") == k
+    call = Window.partitionBy("run_id", "invocation_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("_top", F.max(F.when(kind("turn"), F.col("turn_id"))).over(before)).withColumn("_over", F.coalesce(F.max(kind("run_end")).over(before), F.lit(False)))
+    rows = rows.withColumn("_start", F.min(F.when(kind("start"), F.col("arrival"))).over(call)).withColumn("_end", F.max(F.when(kind("end"), F.col("arrival"))).over(call))
+    rows = rows.withColumn("_began", F.col("_start").isNotNull()).withColumn("_ended", F.coalesce(F.col("_end") > F.col("_start"), F.lit(False)))
+    verdict = (
+        F.when(F.col("_over"), "late").when(kind("turn") & (F.col("turn_id") == F.col("_top")), "repeated").when(kind("turn") & (F.col("turn_id") < F.col("_top")), "decreasing")
+        .when((kind("start") & F.col("_began")) | (kind("end") & F.col("_ended")), "repeated").when(kind("end") & ~F.col("_began"), "unknown").otherwise("accepted")
+    )
+    return rows.withColumn("verdict", verdict).drop("_top", "_over", "_start", "_end", "_began", "_ended")
+
+
 def cumulative(turns: DataFrame, values: list[str]) -> DataFrame:
     """Running sums by turn within each run."""
     w = Window.partitionBy("run_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -273,6 +273,22 @@ def sessions(s, d):
     return tm.sessions(table(s, d, "events").select(F.col("user_id").alias("run_id"), "ts")).withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+_CALLS = "calls AS (SELECT user_id AS run_id, event_id AS arrival, CASE event_id % 5 WHEN 0 THEN 'turn' WHEN 1 THEN 'start' WHEN 4 THEN CASE WHEN event_id % 97 = 4 THEN 'run_end' ELSE 'end' END ELSE 'end' END AS kind, event_id * 31 % 17 AS turn_id, event_id // 5 % 3 AS invocation_id FROM events)"
+
+
+@query(
+    "str5_screen_calls",
+    f"""WITH {_CALLS}, m AS (SELECT *, max(CASE WHEN kind = 'turn' THEN turn_id END) OVER b AS top, coalesce(bool_or(kind = 'run_end') OVER b, false) AS over, coalesce(bool_or(kind = 'start') OVER c, false) AS began, coalesce(max(CASE WHEN kind = 'end' THEN arrival END) OVER c > min(CASE WHEN kind = 'start' THEN arrival END) OVER c, false) AS ended FROM calls
+ WINDOW b AS (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY run_id, invocation_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT run_id, arrival, CASE WHEN over THEN 'late' WHEN kind = 'turn' AND turn_id = top THEN 'repeated' WHEN kind = 'turn' AND turn_id < top THEN 'decreasing' WHEN (kind = 'start' AND began) OR (kind = 'end' AND ended) THEN 'repeated' WHEN kind = 'end' AND NOT began THEN 'unknown' ELSE 'accepted' END AS verdict FROM m""",
+)
+def str5(s, d):
+    n = F.col("event_id")
+    kind = F.when(n % 5 == 0, "turn").when(n % 5 == 1, "start").when(n % 97 == 4, F.when(n % 5 == 4, "run_end").otherwise("end")).otherwise("end")
+    calls = table(s, d, "events").select(F.col("user_id").alias("run_id"), n.alias("arrival"), kind.alias("kind"), (n * 31 % 17).alias("turn_id"), (F.floor(n / 5) % 3).alias("invocation_id"))
+    return tm.screen_calls(calls).select("run_id", "arrival", "verdict")
+
+
 # -- questions and ideas -----------------------------------------------------------
 
 _LOG = f"log AS (SELECT CAST(conv_id % 7 AS VARCHAR) AS project_id, turn AS line_no0, conv_id * 100 + turn AS line_no, lpad(CAST(turn AS VARCHAR), 3, '0') AS ts, text AS question, role AS topic, CASE turn % 3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'answer_local' ELSE 'ANSWER_REMOTE' END AS resolution FROM conversations)"
@@ -329,6 +345,13 @@ def join7(s, d):
     return qs.bridge(_ideas(s, d), _questions(s, d))
 
 
+@query("join7_bridged_ideas")
+def join7_ideas(s, d):
+    ideas = _ideas(s, d)
+    rows = qs.bridged_ideas(ideas, qs.bridge(ideas, _questions(s, d)))
+    return rows.withColumn("recommended_research", F.array_join("recommended_research", "|"))
+
+
 @query("agg20_bridge_counts")
 def agg20(s, d):
     return qs.bridge_counts(join7(s, d))

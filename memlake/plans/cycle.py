@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,11 @@ from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 from memlake.operators import chat
 from memlake.operators import chunks as ck
+from memlake.operators import artifacts as ar
+from memlake.operators import questions as qs
 from memlake.operators import retrieval as rt
+from memlake.operators.steps import cut
+from memlake.sources import readers, writers
 from memlake.settings import Settings, route_policy
 
 
@@ -19,11 +25,6 @@ def _embedded(rows: DataFrame, text: str, settings: Settings) -> DataFrame:
     return ck.embed(rows, text, lambda: ck.HashEmbedder(settings.dims))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed once: in the session's checkpoint folder where it has one, else kept by Spark."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs: DataFrame, settings: Settings | None = None, policy: DataFrame | None = None, classify: Callable[[Column], Column] = chat.route_of) -> DataFrame:
     """Snippets of every query from long-term chunks and daily entries.
 
@@ -55,17 +56,60 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
     return rt.collapse(rt.trim_overlap(rt.order_documents(rt.dedupe(rows)), settings.chunk_overlap, "n_text"), "n_text")
 
 
-def consolidate(spark: SparkSession, messages: DataFrame, settings: Settings) -> DataFrame:
-    """One cycle of all projects: flush pairs, stage entries, rescope them, chunk them; one outcome row each.
+@dataclass(frozen=True)
+class Cycle:
+    """What one cycle of all projects makes; nothing is written until :func:`commit`."""
+
+    entries: DataFrame  #: staged entries of the flushed pairs, then those staged before
+    questions: DataFrame  #: open questions, newest wins
+    artifacts: DataFrame  #: one document a project, its entries rescoped to long-term memory
+    chunks: DataFrame  #: chunk rows of the artifacts' entries with vectors
+    left: DataFrame  #: messages that stay in the chat
+    outcome: DataFrame  #: one row a project
+
 
-    A project without anything to flush is skipped.
+def consolidate(spark: SparkSession, messages: DataFrame, settings: Settings, projects: DataFrame | None = None, log: DataFrame | None = None, staged_before: DataFrame | None = None, timestamp: str = "01-02-2024_03:04:05") -> Cycle:
+    """One cycle of all projects: flush pairs and stage them, consolidate questions, render and rescope artifacts, cut them for the index.
+
+    Projects that do not stage are left alone.  Entries staged before (``project_id``,
+    ``day_sequence``, ``memory_id``, ``text``, ``tokens``) are backfilled into the artifact.
+    A project without any entry is skipped.
     """
     all_pairs = chat.pairs(messages)
+    if projects is not None:
+        all_pairs = chat.staging_enabled(all_pairs, projects)
     flushed = chat.flush(all_pairs, settings.pair_limit)
-    none = spark.createDataFrame([], "project_id string, day_sequence int")
-    entries = chat.daily_entries(flushed.where("staged"), none, F.lit("01-02-2024_03:04:05"))
-    chunks = ck.chunk(entries.select("project_id", "memory_id", "text"), settings.chunk_size, settings.chunk_overlap).groupBy("project_id").agg(F.count(F.lit(1)).alias("chunks"))
-    outcome = messages.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_in"))
-    staged = entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_out"), F.sum("tokens").alias("tokens"))
-    rows = outcome.join(staged, "project_id", "left").join(chunks, "project_id", "left").fillna(0)
-    return rows.withColumn("status", F.when(F.col("items_out") > 0, "done").otherwise("skipped"))
+    before = staged_before if staged_before is not None else spark.createDataFrame([], "project_id string, day_sequence int, memory_id string, text string, tokens int")
+    new = chat.daily_entries(chat.unforgotten(flushed), before, F.lit(timestamp))
+    entries = cut(before.select("project_id", "day_sequence", "memory_id", "text", "tokens").unionByName(new.select("project_id", "day_sequence", "memory_id", "text", "tokens")))
+    pair = tx.split_pair(F.col("text"))
+    block = ar.metadata_block([("entry_type", F.lit("chat_pair")), ("current_scope", F.lit("daily")), ("day_sequence", F.col("day_sequence"))])
+    rendered = entries.withColumn("block", ar.render_entry(F.col("memory_id"), F.lit("chat_pair"), F.lit(""), block, pair["user"], pair["assistant"]))
+    docs = ar.export(rendered, ["project_id"], "day_sequence", "block")
+    artifacts = cut(docs.select("project_id", ar.artifact_name(F.col("project_id"), F.lit(timestamp)).alias("name"), ar.ensure_header(ar.rescope(F.col("content")), F.col("project_id")).alias("content")))
+    found = ar.entries(artifacts, ["project_id", "name"], "content").where("copy = 1")
+    regions = ar.with_metadata(found, ["project_id", "name", "memory_id"]).withColumnsRenamed({"name": "filename"}).withColumn("doc_id", F.col("memory_id"))
+    chunks = cut(_embedded(ar.regions_to_chunks(regions, settings.chunk_size, settings.chunk_overlap), "chunk", settings))
+    questions = cut(qs.consolidate(log)) if log is not None else spark.createDataFrame([], "project_id string, key string, question string")
+    gone = flushed.select("project_id", F.explode(F.array("user_id", "assistant_id")).alias("id"))
+    left = messages.join(gone, ["project_id", "id"], "left_anti")
+    count = lambda df, name: df.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
+    parts = [count(messages, "items_in"), count(flushed, "flushed"), entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_out"), F.sum("tokens").alias("tokens")), count(found, "rendered"), count(chunks, "chunks"), count(questions, "questions"), count(left, "left")]
+    rows = reduce(lambda a, b: a.join(b, "project_id", "left"), parts).fillna(0)
+    # Every staged entry must be in the artifact, else the project has failed and keeps its staging.
+    status = F.when(F.col("items_out") == 0, "skipped").when(F.col("rendered") == F.col("items_out"), "done").otherwise("failed")
+    return Cycle(entries, questions, artifacts, chunks, left, rows.withColumn("status", status).drop("rendered"))
+
+
+def commit(cycle: Cycle, path: str, settings: Settings) -> DataFrame:
+    """Write a cycle: artifacts, questions and index first, then verify the index, and only then the staging left over."""
+    spark = cycle.outcome.sparkSession
+    writers.write_artifacts(cycle.artifacts, f"{path}/artifacts")
+    writers.overwrite_projects(cycle.questions, f"{path}/questions")
+    writers.rebuild_index(cycle.chunks, f"{path}/index", settings.chunk_size, settings.chunk_overlap, settings.dims)
+    good, _ = readers.read_index(spark, f"{path}/index", settings.chunk_size, settings.chunk_overlap)
+    indexed = good.groupBy("project_id").agg(F.count(F.lit(1)).alias("indexed"))
+    outcome = cut(cycle.outcome.join(indexed, "project_id", "left").fillna(0).withColumn("status", F.when((F.col("status") == "done") & (F.col("indexed") != F.col("chunks")), "failed").otherwise(F.col("status"))))
+    done = cycle.entries.join(outcome.where("status = 'done'"), "project_id", "left_semi")
+    writers.overwrite_staging(writers.clear_consumed(cycle.entries, done, True), f"{path}/staging")
+    return outcome

@@ -13,9 +13,9 @@ from memlake.operators import retrieval as rt
 from memlake.operators import stats
 from memlake.plans import cycle
 from memlake.plans import inputs as i
-from memlake.plans.inputs import CHUNKS, PAIRS, strip
+from memlake.plans.inputs import CHUNKS, PAIR_TEXT, PAIRS, WORDS, strip
 from memlake.plans.registry import query, table
-from memlake.settings import ROUTE_POLICY, Settings, route_policy
+from memlake.settings import ROUTE_POLICY, Settings, policy_rows, route_policy
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 _VECTORS = f"vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / {_NORM}) AS v FROM embeddings)"
@@ -256,22 +256,39 @@ def mem4(s, d):
     return ar.warnings(_artifacts(s, d), ["project_id"], "content").select("project_id", "kind", "memory_id")
 
 
-@query("mem5_metadata", f"WITH {PAIRS} SELECT project_id, {_MID} AS memory_id, unnest(['entry_type', 'current_scope', 'pair', 'topics']) AS key, unnest(['chat_pair', 'daily', CAST(pair_no AS VARCHAR), 'a|' || project_id]) AS vals FROM pairs")
+@query("mem5_metadata", f"WITH {PAIRS} SELECT project_id, {_MID} AS memory_id, unnest(['entry_type', 'current_scope', 'pair', 'topics']) AS key, unnest(['chat_pair', 'daily', CAST(pair_no AS VARCHAR), 'a|' || project_id]) AS vals, unnest([false, false, false, true]) AS list FROM pairs")
 def mem5(s, d):
     found = ar.entries(_artifacts(s, d), ["project_id"], "content")
-    return ar.metadata(found, ["project_id", "memory_id"]).select("project_id", "memory_id", "key", F.array_join("values", "|").alias("vals"))
+    return ar.metadata(found, ["project_id", "memory_id"]).select("project_id", "memory_id", "key", F.array_join("values", "|").alias("vals"), "list")
 
 
-@query("mem6_rescope", f"WITH {PAIRS} SELECT project_id, {_MID} AS memory_id, true AS moved FROM pairs")
+@query("mem5_warnings", "SELECT doc_id, CAST(2 AS INTEGER) AS line, 'fence' AS kind FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CAST(5 AS INTEGER), 'no_colon' FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, CAST(7 AS INTEGER), 'empty_key' FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'open_fence' FROM documents WHERE doc_id % 3 = 2")
+def mem5_warnings(s, d):
+    n, first = F.col("doc_id") % 3, F.get(F.split("text", "\n"), F.lit(0))
+    word = F.regexp_replace(first, "[^A-Za-z]", "x")
+    block = F.when(n == 0, "\n```json\n```").when(n == 1, F.concat(F.lit("\n```yaml\n"), word, F.lit("\nflag: TRUE\n: none\n```"))).otherwise("\n```yaml\na: b")
+    rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("## head\n### Metadata\n"), block).alias("text"))
+    return ar.metadata_warnings(rows, ["doc_id"])
+
+
+@query("mem6_rescope", f"WITH {PAIRS} SELECT project_id, count(*) AS moved, 0::BIGINT AS stayed, true AS message_kept FROM pairs GROUP BY project_id")
 def mem6(s, d):
-    found = ar.entries(_artifacts(s, d), ["project_id"], "content")
-    return found.select("project_id", "memory_id", (ar.rescope(F.col("text")).rlike(r"(?m)^current_scope: ltm$") & ~ar.rescope(F.col("text")).rlike(r"(?m)^current_scope: daily$")).alias("moved"))
+    """Metadata lines move; a line of the same words outside the entries stays."""
+    docs = _artifacts(s, d).withColumn("content", F.concat("content", F.lit("\ncurrent_scope: daily outside\n")))
+    new = ar.rescope(F.col("content"))
+    times = lambda p: F.size(F.regexp_extract_all(new, F.lit(p), F.lit(0))).cast("long")
+    return docs.select("project_id", times(r"(?m)^current_scope: ltm$").alias("moved"), times(r"(?m)^current_scope: daily$").alias("stayed"), F.contains(new, F.lit("current_scope: daily outside")).alias("message_kept"))
+
 
+_BODY = f"'## Chat Pair: h' || chr(10) || chr(10) || '### Metadata' || chr(10) || chr(10) || '```yaml' || chr(10) || 'entry_type: chat_pair' || chr(10) || 'current_scope: daily' || chr(10) || 'pair: ' || pair_no || chr(10) || 'topics:' || chr(10) || '  - a' || chr(10) || '  - ' || project_id || chr(10) || '```' || chr(10) || chr(10) || '### User Message' || chr(10) || {strip('user_text')} || chr(10) || chr(10) || '### Assistant Message' || chr(10) || {strip('assistant_text')} || chr(10)"
 
-@query("mem7_region_chunks")
+
+@query("mem7_region_chunks", f"WITH {PAIRS}, e AS (SELECT project_id, {_MID} AS memory_id, pair_no, {_BODY} AS body FROM pairs), w AS (SELECT project_id, memory_id, pair_no, i, substring(body, CAST(i * 520 + 1 AS INTEGER), 600) AS chunk FROM e, LATERAL (SELECT unnest(range(0, CAST(ceil(length(body) / 520.0) AS BIGINT))) AS i)) SELECT project_id, memory_id, CAST(row_number() OVER (PARTITION BY project_id, memory_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, chunk, 'f' || project_id AS filename, CAST(pair_no AS VARCHAR) AS pair, 'daily' AS scope FROM w WHERE regexp_matches(chunk, '\\S')")
 def mem7(s, d):
-    found = ar.entries(_artifacts(s, d), ["project_id"], "content").where("copy = 1").select("project_id", "memory_id", "text")
-    return ar.regions_to_chunks(found, 600, 80)
+    found = ar.entries(_artifacts(s, d), ["project_id"], "content").where("copy = 1")
+    regions = ar.with_metadata(found, ["project_id", "memory_id"]).withColumns({"filename": F.concat(F.lit("f"), "project_id"), "doc_id": F.col("memory_id")})
+    rows = ar.regions_to_chunks(regions, 600, 80)
+    return rows.select("project_id", "memory_id", "chunk_index", "chunk", F.col("fields")["filename"].alias("filename"), F.col("fields")["pair"].alias("pair"), F.col("fields")["current_scope"].alias("scope"))
 
 
 @query("mem8_rebuild_text", f"WITH {CHUNKS} SELECT doc_id, string_agg(chunk, chr(10) ORDER BY chunk_index) AS text FROM chunks GROUP BY doc_id")
@@ -323,6 +340,31 @@ def ord6(s, d):
     return ar.size_bounded(rows, "text", 1000).select("doc_id", "truncated", F.char_length("text").alias("n_chars"), F.char_length(F.to_json(F.struct("doc_id", "text"))).alias("json_chars"))
 
 
-@query("mem14_cycle")
+@query(
+    "mem14_cycle",
+    f"""WITH {PAIRS}, b AS (SELECT *, coalesce(count(*) FILTER (WHERE NOT forget) OVER (PARTITION BY project_id ORDER BY pair_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM pairs), f AS (SELECT * FROM b WHERE done < 3), t AS (SELECT *, {PAIR_TEXT} AS text FROM f WHERE NOT forget)
+ SELECT m.project_id, m.n AS items_in, coalesce(f.n, 0) AS flushed, coalesce(e.n, 0) AS items_out, coalesce(e.tokens, 0) AS tokens, m.n - 2 * coalesce(f.n, 0) AS left, CASE WHEN coalesce(e.n, 0) > 0 THEN 'done' ELSE 'skipped' END AS status
+ FROM (SELECT project_id, count(*) AS n FROM messages GROUP BY 1) m LEFT JOIN (SELECT project_id, count(*) AS n FROM f GROUP BY 1) f USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS n, CAST(sum(len({WORDS.format(x='text')})) AS BIGINT) AS tokens FROM t GROUP BY 1) e USING (project_id)""",
+)
 def mem14(s, d):
-    return cycle.consolidate(s, i.messages(s, d), Settings())
+    return cycle.consolidate(s, i.messages(s, d), Settings()).outcome.drop("chunks", "questions")
+
+
+@query("mem14_chunks")
+def mem14_chunks(s, d):
+    """Chunk rows that a cycle puts into the index."""
+    return cycle.consolidate(s, i.messages(s, d), Settings()).chunks.select("project_id", "memory_id", "chunk_index", "chunk")
+
+
+@query("snk5_names", "SELECT event_id, event_type || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)")
+def snk5_names(s, d):
+    rows = table(s, d, "events").select("user_id", "event_id", F.concat("event_type", F.lit(".md")).alias("name"))
+    return ar.without_collisions(rows, ["user_id"], "name", "event_id").select("event_id", "name")
+
+
+@query("src8_policy_rows", "SELECT upper(n_name) AS route, n_nationkey / 10.0 AS retrieval_multiplier, CAST(n_nationkey AS INTEGER) AS max_keep, CASE WHEN n_nationkey % 4 = 1 THEN 'min_score missing' WHEN n_nationkey % 4 = 2 THEN 'expansion_after below 0' WHEN n_nationkey % 4 = 3 THEN 'min_score above 1' END AS problem FROM nation")
+def src8(s, d):
+    n = F.col("n_nationkey")
+    score = F.when(n % 4 == 1, F.lit(None)).when(n % 4 == 3, 1.5).otherwise(0.5)
+    value = F.to_json(F.struct((n / 10).alias("retrieval_multiplier"), n.alias("max_keep"), score.alias("min_score"), F.struct(n.alias("max_before"), F.when(n % 4 == 2, -1).otherwise(2).alias("max_after")).alias("expansion")))
+    return policy_rows(table(s, d, "nation").select(F.col("n_name").alias("route"), value.alias("value"))).select("route", "retrieval_multiplier", "max_keep", "problem")

@@ -118,7 +118,12 @@ def scl22(s, d):
     return table(s, d, "events").select("event_id", tx.resolution(raw).alias("v"))
 
 
-@query("scl23_previous_turn")
+@query(
+    "scl23_previous_turn",
+    f"""WITH {PAIRS}, b AS (SELECT project_id, pair_no, lag({strip('user_text')}) OVER w AS u, lag({strip('assistant_text')}) OVER w AS a, lag(pair_no) OVER w AS had FROM pairs WINDOW w AS (PARTITION BY project_id ORDER BY pair_no)),
+ c AS (SELECT *, length(a) AS n, (length(a) - length(a) * 50 // 100) // 2 AS h, (length(a) - length(a) * 50 // 100) - (length(a) - length(a) * 50 // 100) // 2 AS g FROM b WHERE had IS NOT NULL), d AS (SELECT *, CASE WHEN h < 100 OR g < 100 THEN 100 ELSE h END AS l, CASE WHEN h < 100 OR g < 100 THEN 100 ELSE g END AS r FROM c)
+ SELECT project_id, pair_no, 'PREVIOUS TURN' || CASE WHEN u <> '' THEN chr(10) || 'User: ' || u ELSE '' END || CASE WHEN a <> '' THEN chr(10) || 'Assistant: ' || CASE WHEN n <= 1000 OR l + r >= n THEN a ELSE left(a, CAST(l AS INTEGER)) || chr(10) || '...[text left out]...' || chr(10) || substring(a, CAST(n - r + 1 AS INTEGER), CAST(r AS INTEGER)) END ELSE '' END AS block FROM d""",
+)
 def scl23(s, d):
     from memlake.operators import chat
 
@@ -195,7 +200,12 @@ def vec4c(s, d):
     return rows.select("item_id", F.round(F.aggregate(F.transform("v", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"))
 
 
-@query("vec7_token_batches")
+@query(
+    "vec7_token_batches",
+    f"""WITH RECURSIVE t AS (SELECT source AS project_id, doc_id, CAST(len({W(x='text')}) AS INTEGER) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+ b AS (SELECT project_id, doc_id, tokens, n, 0::BIGINT AS batch_id, tokens::BIGINT AS used FROM t WHERE n = 1 UNION ALL
+ SELECT t.project_id, t.doc_id, t.tokens, t.n, CASE WHEN used + t.tokens > 2000 AND used > 0 THEN batch_id + 1 ELSE batch_id END, CASE WHEN used + t.tokens > 2000 AND used > 0 THEN t.tokens ELSE used + t.tokens END FROM b JOIN t ON t.project_id = b.project_id AND t.n = b.n + 1) SELECT project_id, doc_id, tokens, batch_id FROM b""",
+)
 def vec7(s, d):
     rows = i.documents(s, d).select("project_id", "doc_id", tx.count_tokens(F.col("text")).alias("tokens"))
     return ck.token_batches(rows, ["project_id"], ["doc_id"], "tokens", 2000)
@@ -228,7 +238,7 @@ def txt2(s, d):
     return cl.trim_end(t, "body").select("doc_id", "body", "end_prefix", "end_blocked")
 
 
-@query("txt3_whitespace")
+@query("txt3_whitespace", rf"WITH l AS (SELECT doc_id, list_transform(string_split(replace(text, '. ', '.   '), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\r]+$', ''), '(\S)[ \t]{{2,}}', '\1 ', 'g')) AS ls FROM documents) SELECT doc_id, {strip("regexp_replace(array_to_string(ls, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} AS body FROM l")
 def txt3(s, d):
     t = table(s, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".   ")).alias("body"))
     return t.select("doc_id", cl.compact_whitespace(F.col("body")).alias("body"))
@@ -269,3 +279,19 @@ def scl13(s, d):
     noisy = F.concat(F.lit("Answer: "), F.to_json(F.struct(F.col("lang").alias("topics"), F.lit("ask").alias("intent"), F.substring("text", 1, 30).alias("semantic_handle"), F.array(F.struct(F.substring("text", 1, 40).alias("question"), F.col("source").alias("topic"), F.lit("x").alias("resolution"))).alias("questions"))), F.lit(" trailing }"))
     rows = ingest.balanced_json(table(s, d, "documents").select("doc_id", noisy.alias("raw")), "raw").drop("raw")
     return ingest.tagger_fields(rows).drop("json")
+
+
+@query("txt7_prune")
+def txt7(s, d):
+    """Fillers at both ends go; the other stages are off."""
+    n = F.col("doc_id") % 4
+    filler = F.when(n == 0, "Great question! Sure, here it is. ").when(n == 1, "Certainly. ").otherwise("")
+    t = table(s, d, "documents").select("doc_id", F.concat(filler, "text", F.when(n % 2 == 0, "\n\nLet me know if this helps.").otherwise("")).alias("body"))
+    rows = cl.prune(t, "body", cl.Pruning(whitespace=False, similarity=False))
+    return rows.select("doc_id", "body", "result.changed", "result.trimmed_side", F.col("result.front_units_removed").alias("removed"), F.coalesce("result.end_span_removed.stop", F.lit(0)).alias("stop"))
+
+
+@query("txt7_prune_all")
+def txt7_all(s, d):
+    rows = cl.prune(table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "body")
+    return rows.select("doc_id", "body", "result.changed", "result.trimmed_side")

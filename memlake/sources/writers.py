@@ -24,10 +24,20 @@ def append_entries(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("project_id").parquet(path)
 
 
+def overwrite_staging(rows: DataFrame, path: str) -> None:
+    """Staged entries anew; written whole, since a project may have none left."""
+    rows.write.mode("overwrite").partitionBy("project_id").parquet(path)
+
+
 def append_questions(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def append_telemetry(rows: DataFrame, path: str, batch: int) -> None:
+    """Telemetry rows of one batch; a batch that is repeated after a failure replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def write_artifacts(docs: DataFrame, path: str) -> None:
     """One text file a project; the column ``content`` is written."""
     docs.select("project_id", F.col("content").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)

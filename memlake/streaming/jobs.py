@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from memlake.functions import text as tx
 from memlake.operators import chunks as ck
 from memlake.operators import questions as qs
 from memlake.operators import telemetry as tm
+from memlake.sources.writers import append_telemetry
 
 ROLLED = "project_id string, user_id long, assistant_id long, user_text string, assistant_text string"
 _STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
@@ -23,8 +25,9 @@ _STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("role",
 class RollOff(StatefulProcessor):
     """Keeps the newest pairs of a project as state and emits older ones.
 
-    State holds the messages from the oldest kept pair on, with unpaired tails, so it
-    stays a few rows a project.
+    A project's messages arrive in the order of their ids.  State holds the kept pairs
+    and the last message if it may still begin one: 2 * limit + 1 rows a project; what
+    can no longer be in a pair is dropped.
     """
 
     def __init__(self, limit: int):
@@ -41,7 +44,9 @@ class RollOff(StatefulProcessor):
         starts = [i for i in range(len(held) - 1) if held[i][1] == "user" and held[i + 1][1] == "assistant"]
         rolled = starts[: max(0, len(starts) - self._limit)]
         out = [(key[0], int(held[i][0]), int(held[i + 1][0]), held[i][2], held[i + 1][2]) for i in rolled]
-        self._held.put([(int(a), b, c) for a, b, c in (held[rolled[-1] + 2 :] if rolled else held)])
+        kept = [r for i in starts[len(rolled) :] for r in held[i : i + 2]]
+        kept += held[-1:] if held and held[-1][1] == "user" else []
+        self._held.put([(int(a), b, c) for a, b, c in kept])
         if out:
             yield pd.DataFrame(out, columns=[f.split()[0] for f in ROLLED.split(", ")])
 
@@ -61,19 +66,22 @@ def consolidated_questions(log: DataFrame, path: str, checkpoint: str) -> Stream
     newest rows also where they are ``ignore``, so that they go on cancelling.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("key", tx.question_key(F.col("question"), F.col("topic")))
         try:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(path).join(batch.select("project_id").distinct(), "project_id", "left_semi"))
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
+            before = spark.read.schema(rows.schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no table
                 raise
+        else:
+            rows = rows.unionByName(before.join(batch.select("project_id").distinct(), "project_id", "left_semi"))
         newest = Window.partitionBy("project_id", "key").orderBy(F.desc("ts"), F.desc("line_no"))
         kept = rows.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
-        kept = kept.checkpoint() if spark.sparkContext.getCheckpointDir() else kept.persist()
-        kept.count()
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+        # Written apart first: a table is never overwritten from itself, and a batch that fails between can be repeated.
+        aside = f"{path.rstrip('/')}_batches/{number}"
+        kept.write.mode("overwrite").parquet(aside)
+        spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -90,13 +98,61 @@ def appended_chunks(documents: DataFrame, path: str, checkpoint: str, size: int,
 
 
 def turn_totals(invocations: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Tokens of each turn; a turn comes out once the watermark has passed its last hour window.
+    """The rollup of each turn (see ``telemetry.turn_rollup``); a turn comes out once the watermark has passed its hour.
 
     Repeated invocations count once.
     """
     once = invocations.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "turn_id", "invocation_id"])
-    rows = once.groupBy(F.window("ts", "1 hour"), "run_id", "turn_id").agg(F.count(F.lit(1)).alias("invocations"), F.sum("total_tokens").alias("tokens"))
-    return rows.select("run_id", "turn_id", "invocations", "tokens")
+    return tm.turn_rollup(once, F.window("ts", "1 hour").alias("hour")).drop("hour")
+
+
+class Screen(StatefulProcessor):
+    """Telemetry events with verdicts, as ``telemetry.screen_calls`` gives them, over batches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._run = handle.getValueState("run", T.StructType([T.StructField("top", T.LongType()), T.StructField("over", T.BooleanType())]))
+        self._calls = handle.getMapState("calls", T.StructType([T.StructField("invocation_id", T.LongType())]), T.StructType([T.StructField("ended", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        top, over = self._run.get() if self._run.exists() else (None, False)
+        frame = pd.concat(rows).sort_values("arrival")
+        verdicts = []
+        for kind, turn, call in zip(frame["kind"], frame["turn_id"], frame["invocation_id"], strict=True):
+            verdict = "late" if over else "accepted"
+            if not over and kind == "turn":
+                turn = int(turn)
+                verdict = "repeated" if turn == top else "decreasing" if top is not None and turn < top else "accepted"
+                top = turn if top is None else max(top, turn)
+            elif not over and kind in ("start", "end"):
+                known = self._calls.getValue((int(call),)) if self._calls.containsKey((int(call),)) else None
+                if kind == "start":
+                    verdict = "repeated" if known else "accepted"
+                    if not known:
+                        self._calls.updateValue((int(call),), (False,))
+                else:
+                    verdict = "unknown" if not known else "repeated" if known[0] else "accepted"
+                    if known:
+                        self._calls.updateValue((int(call),), (True,))
+            elif kind == "run_end":
+                over = True
+            verdicts.append(verdict)
+        yield pd.DataFrame({"run_id": key[0], "arrival": frame["arrival"], "kind": frame["kind"], "verdict": verdicts})
+        self._run.update((top, over))
+        if over:
+            self._calls.clear()  # nothing counts any more
+
+    def close(self) -> None:
+        pass
+
+
+def screened(events: DataFrame) -> DataFrame:
+    """Stream of telemetry events to rows (run_id, arrival, kind, verdict); a batch's events are in order of arrival."""
+    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Screen(), outputStructType="run_id string, arrival long, kind string, verdict string", outputMode="Append", timeMode="None")
+
+
+def appended_telemetry(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Telemetry rows appended batch by batch; a batch that is repeated replaces itself."""
+    return rows.writeStream.foreachBatch(lambda batch, number: append_telemetry(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def volumes(invocations: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

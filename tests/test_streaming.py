@@ -58,13 +58,13 @@ def test_index_stream_and_reload(spark, tmp_path):
 
 
 def test_turn_totals_drop_repeats(spark, tmp_path):
-    schema = "run_id string, turn_id long, invocation_id long, total_tokens long, ts timestamp"
-    rows = spark.createDataFrame([("r", 1, 1, 10, "2024-01-01 00:01:00"), ("r", 1, 1, 10, "2024-01-01 00:01:00"), ("r", 1, 2, 5, "2024-01-01 00:02:00"), ("r", 2, 3, 1, "2024-01-01 05:00:00")], "run_id string, turn_id long, invocation_id long, total_tokens long, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    schema = "run_id string, turn_id long, invocation_id long, total_tokens long, ts timestamp, purpose string, model string, prompt_tokens long, completion_tokens long, usage_source string, ttlt_ms long"
+    rows = spark.createDataFrame([("r", 1, 1, 10, "2024-01-01 00:01:00"), ("r", 1, 1, 10, "2024-01-01 00:01:00"), ("r", 1, 2, 5, "2024-01-01 00:02:00"), ("r", 2, 3, 1, "2024-01-01 05:00:00")], "run_id string, turn_id long, invocation_id long, total_tokens long, t string").select("run_id", "turn_id", "invocation_id", "total_tokens", F.to_timestamp("t").alias("ts"), F.when(F.col("invocation_id") == 2, "tag").otherwise("main").alias("purpose"), F.lit("m").alias("model"), F.col("total_tokens").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"), F.lit("provider").alias("usage_source"), F.lit(7).cast("long").alias("ttlt_ms"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = jobs.turn_totals(stream).writeStream.format("memory").queryName("totals").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [(r.turn_id, r.invocations, r.tokens) for r in spark.table("totals").collect()] == [(1, 2, 15)]
+    assert [(r.turn_id, r.invocations, r.main_total, r.helper_prompt, r.turn_total, r.provider_tokens, r.main_ttlt_ms) for r in spark.table("totals").collect()] == [(1, 2, 10, 5, 15, 15, 7)]
 
 
 def test_uploads_and_json_lines(spark, tmp_path):
