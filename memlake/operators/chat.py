@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +96,14 @@ def last_handles(messages: DataFrame) -> DataFrame:
     return messages.where(handle != "").groupBy("project_id").agg(F.max_by(handle, "id").alias("last_handle"))
 
 
-def tag(all_pairs: DataFrame) -> DataFrame:
-    """Built-in deterministic tagger: frequent long words as topics, question sentences as candidates."""
+def tag(all_pairs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs with topics, intent, semantic_handle and questions, by ``tagger`` or the built-in rules.
+
+    The built-in, deterministic ones take frequent long words as topics and question
+    sentences as candidates.
+    """
+    if tagger is not None:
+        return tagger(all_pairs)
     body = F.lower(F.concat_ws(" ", "user_text", "assistant_text"))
     terms = F.filter(F.split(body, r"[^\p{L}]+"), lambda w: F.char_length(w) > 6)
     counted = F.transform(F.array_distinct(terms), lambda w: F.struct((-F.size(F.filter(terms, lambda x: x == w))).alias("n"), w.alias("w")))
@@ -116,15 +124,15 @@ def category_route(category: Column) -> Column:
     return F.when(c.isin("DIRECT", "PROCEDURAL", "EXPLORATORY", "SYNTHESIS"), c).otherwise("OTHER")
 
 
-def daily_entries(staged: DataFrame, existing: DataFrame, timestamp: Column, source: str = "chat") -> DataFrame:
-    """New daily records of a set of pairs: gap-free sequence after the existing ones, deterministic ids."""
+def daily_entries(staged: DataFrame, existing: DataFrame, timestamp: Column, source: str = "chat", count: Callable[[Column], Column] = tx.count_tokens) -> DataFrame:
+    """New daily records of a set of pairs: gap-free sequence after the existing ones, deterministic ids, tokens by ``count``."""
     base = existing.groupBy("project_id").agg(F.max("day_sequence").alias("top"))
     rows = staged.withColumn("timestamp", timestamp).join(base, "project_id", "left")
     rows = rows.withColumn("day_sequence", F.row_number().over(Window.partitionBy("project_id").orderBy("pair_no")) + F.coalesce("top", F.lit(0)))
     text = tx.compose_pair(F.col("user_text"), F.col("assistant_text"))
     payload = tx.hash_payload({"project_id": F.col("project_id"), "timestamp": F.col("timestamp"), "source": F.lit(source), "entry_type": F.lit("chat_pair"), "user_text": F.col("user_text"), "assistant_text": F.col("assistant_text")})
     now = F.lit("2000-01-01 00:00:00").cast("timestamp")
-    return rows.select("project_id", "day_sequence", tx.memory_id(dt.compact(F.col("timestamp"), now), payload).alias("memory_id"), "timestamp", text.alias("text"), tx.count_tokens(text).alias("tokens"), F.lit(source).alias("source"))
+    return rows.select("project_id", "day_sequence", tx.memory_id(dt.compact(F.col("timestamp"), now), payload).alias("memory_id"), "timestamp", text.alias("text"), count(text).alias("tokens"), F.lit(source).alias("source"))
 
 
 def question_rows(tagged: DataFrame) -> DataFrame:
