@@ -15,7 +15,9 @@ frames go through a general Huffman decoder.
 
 Defined results: null and empty texts are 64 zero bytes; equal payloads give equal
 files; a null or broken file raises ValueError in ``clips`` only if ``strict``, else
-it has no clips; repeated rows repeat; extra columns are ignored.
+it has no clips; a change equal to the shot's usual one is no cut; texts whose file would
+exceed the 32-bit sizes of RIFF (about two GiB of text) raise an error; an empty table gives an
+empty result; repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations

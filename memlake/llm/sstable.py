@@ -18,7 +18,8 @@ of ids before a shard is a running sum over the small manifest of shards.  Files
 are written under names of their own; only the manifest, a table written by
 Spark's committer, says which belong to the result, so a repeated task does no
 harm.  Rows with equal ids are kept, ordered by a hash of their text; null ids
-come first; null texts are empty.  Extra columns are ignored.
+come first; null texts are empty; a very long text is one value of a block of its own;
+an empty table gives an empty manifest and no documents.  Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ The dictionary is trained on at most ``SAMPLE_ROWS`` whole pages of at most
 ``SAMPLE_BYTES`` each; it changes sizes only, never contents.
 
 Defined results: a null payload is empty; a null url is left out; rows that repeat
-the smallest id of their payload are responses too; a null id revisits a known one.
-Extra columns are ignored.
+the smallest id of their payload are responses too; a null id revisits a known one; a very
+long page is one frame; an empty table gives no archive and no records.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
