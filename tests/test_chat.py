@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import random
+import re
 
 from pyspark.sql import functions as F
 
