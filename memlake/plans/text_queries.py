@@ -232,7 +232,10 @@ def txt1(s, d):
     return rows.select("doc_id", "body", F.size("front_prefixes").alias("removed"))
 
 
-@query("txt2_trim_end")
+_PARAGRAPHS = r"regexp_replace(regexp_replace(text, '\n[ \t]*\n\s*', chr(10) || chr(10), 'g'), '\s+$', '')"
+
+
+@query("txt2_trim_end", rf"SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN text WHEN regexp_matches(text, '\S') THEN {_PARAGRAPHS} ELSE text || chr(10) || chr(10) || 'Let me know if this helps.' END AS body, CASE WHEN doc_id % 2 = 0 AND regexp_matches(text, '\S') THEN 'let me know if' END AS end_prefix, doc_id % 2 = 0 AND NOT regexp_matches(text, '\S') AS end_blocked FROM documents")
 def txt2(s, d):
     t = table(s, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\n\nLet me know if this helps.").otherwise("")).alias("body"))
     return cl.trim_end(t, "body").select("doc_id", "body", "end_prefix", "end_blocked")
@@ -272,13 +275,14 @@ def txt8(s, d):
     return cl.saved_tokens(rows, "source", "before", "after", most=2_000_000)
 
 
-@query("scl13_14_tagger_json")
+@query("scl13_14_tagger_json", f"SELECT doc_id, lang AS topics, 'ask' AS intent, '' AS type, lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS semantic_handle, CASE WHEN {strip('text')} <> '' THEN {strip('text')} END AS question, CASE WHEN {strip('text')} <> '' THEN source END AS topic, CASE WHEN {strip('text')} <> '' THEN 'ignore' END AS resolution FROM documents")
 def scl13(s, d):
     from memlake.operators import ingest
 
-    noisy = F.concat(F.lit("Answer: "), F.to_json(F.struct(F.col("lang").alias("topics"), F.lit("ask").alias("intent"), F.substring("text", 1, 30).alias("semantic_handle"), F.array(F.struct(F.substring("text", 1, 40).alias("question"), F.col("source").alias("topic"), F.lit("x").alias("resolution"))).alias("questions"))), F.lit(" trailing }"))
+    noisy = F.concat(F.lit("Answer: "), F.to_json(F.struct(F.col("lang").alias("topics"), F.lit("ask").alias("intent"), F.col("text").alias("semantic_handle"), F.array(F.struct(F.col("text").alias("question"), F.col("source").alias("topic"), F.lit("x").alias("resolution"))).alias("questions"))), F.lit(" trailing }"))
     rows = ingest.balanced_json(table(s, d, "documents").select("doc_id", noisy.alias("raw")), "raw").drop("raw")
-    return ingest.tagger_fields(rows).drop("json")
+    return ingest.tagger_fields(rows).drop("json").withColumn("q", F.get("questions", F.lit(0))).select("doc_id", "topics", "intent", "type", "semantic_handle", "q.question", "q.topic", "q.resolution")
+
 
 
 @query("txt7_prune")
