@@ -60,10 +60,14 @@ def chunk(docs: DataFrame, size: int, overlap: int, text: str = "text") -> DataF
     return docs.select(*(c for c in docs.columns if c != text), F.posexplode(tx.windows(tx.normalize_lf(F.col(text)), size, overlap)).alias("chunk_index", "chunk"))
 
 
-def embed(rows: DataFrame, text: str, make: Callable[[], Embedder], vector: str = "vector") -> DataFrame:
-    """Add a vector column by a model, batch by batch; a change of dimension stops the job."""
+def embed(rows: DataFrame, text: str, make: Callable[[], Embedder], vector: str = "vector", keep: bool = True) -> DataFrame:
+    """Add a vector column by a model, batch by batch; a change of dimension stops the job.
+
+    Without ``keep`` the text does not come back from Python.
+    """
     rows = rows.drop(vector)
-    schema = T.StructType([*rows.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType()))])
+    back = [c for c in rows.columns if keep or c != text]
+    schema = T.StructType([*(rows.schema[c] for c in back), T.StructField(vector, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
@@ -73,7 +77,7 @@ def embed(rows: DataFrame, text: str, make: Callable[[], Embedder], vector: str
             if batch.num_rows and found.shape[1] != model.dims:
                 raise ValueError(f"a vector has {found.shape[1]} places, not {model.dims}")
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * model.dims
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in back), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -21,8 +21,8 @@ from memlake.sources import readers, writers
 from memlake.settings import Settings, route_policy
 
 
-def _embedded(rows: DataFrame, text: str, settings: Settings) -> DataFrame:
-    return ck.embed(rows, text, lambda: ck.HashEmbedder(settings.dims))
+def _embedded(rows: DataFrame, text: str, settings: Settings, keep: bool = True) -> DataFrame:
+    return ck.embed(rows, text, lambda: ck.HashEmbedder(settings.dims), keep=keep)
 
 
 def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs: DataFrame, settings: Settings | None = None, policy: DataFrame | None = None, classify: Callable[[Column], Column] = chat.route_of) -> DataFrame:
@@ -40,7 +40,7 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
     daily = pairs.select(F.concat(F.lit("d"), F.col("project_id"), F.lit("-"), F.col("pair_no").cast("string")).alias("item_id"), tx.compose_pair(F.col("user_text"), F.col("assistant_text")).alias("chunk"))
     chunks = ck.chunk(documents, settings.chunk_size, settings.chunk_overlap)
     ltm = chunks.select(F.struct("doc_id", "chunk_index").alias("place"), "chunk")
-    search = lambda rows, item: rt.top_k(vectors, _embedded(rows, "chunk", settings).select(F.col(item).alias("item_id"), "vector"), most)
+    search = lambda rows, item: rt.top_k(vectors, _embedded(rows.select(F.col(item).alias("item_id"), "chunk"), "chunk", settings, keep=False), most)
     # The place of a chunk as text that sorts as numbers do, so that ties go to the first.
     place = F.concat(F.lpad(F.col("place.doc_id").cast("string"), 20, "0"), F.lit(":"), F.lpad(F.col("place.chunk_index").cast("string"), 10, "0"))
     hits = search(daily, "item_id").withColumn("source", F.lit("daily")).unionByName(search(ltm.withColumn("item", place), "item").withColumn("source", F.lit("ltm")))
