@@ -173,7 +173,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
             best, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, object), np.zeros(0))
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score)], fields=list(result))
 
-    found = docs.withColumn(both, identify(F.col(text).cast("string")))
+    # Marked so that Spark does not run it once for a filter on the result and once for the result.
+    found = docs.withColumn(both, identify.asNondeterministic()(F.col(text).cast("string")))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(both)["lang_pred"].alias(lang_pred), F.col(both)["score"].alias(score))
 
 
