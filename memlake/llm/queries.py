@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm import bpe_codec, html_extract, language_id, media, packing, quality, simhash, sstable, token_counts, warc
+from memlake.llm import bpe_codec, conversations, html_extract, language_id, media, packing, quality, simhash, sstable, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, one kind for each of five remainders of a checksum; ``copies`` says how often a row stands."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    body = F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
+    role = F.when(kind == 4, F.lit("user")).otherwise(text("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), body.alias("text"), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(damaged(_table(spark, sf_dir, "conversations")), copies="copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sstable": op1_sstable,
@@ -107,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
