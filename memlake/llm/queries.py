@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm import bpe_codec, conversations, html_extract, language_id, media, packing, quality, simhash, sstable, token_counts, warc
+from memlake.llm import alignment, bpe_codec, conversations, html_extract, language_id, media, packing, quality, secret_scan, simhash, sstable, token_counts, warc
+from memlake.llm.storage import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +96,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are the versions at paths; the ledger is new, so every blob is unseen once.  The method adds no kinds: all spans are base ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secret_scan.BlobLedger(spark, scratch(spark, "secret-ledger"))
+    ledger.scan(docs)
+    number = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = secret_scan.joined(F.col("findings"))
+    return ledger.findings(docs).select("doc_id", *(number(r.kind) for r in secret_scan.RULES), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with planted faults, one kind for each of five remainders of a checksum; ``copies`` says how often a row stands."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -120,6 +135,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_token_alignment": op12_token_alignment,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
@@ -156,6 +173,26 @@ QUALITY_SQL = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS
  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(word_chars * 1000 // n_words BETWEEN wl AND wh AND n_symbols * 100000 // n_words <= sh AND n_dup_lines * 100000 // n_words <= dh, true) AS kept
  FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source"""
 
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_SECRETS = {
+    "assign": ("(" + _either_case("password|passwd|secret|token|api_?key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": ("(AKIA[A-Z0-9]+)", 0, 20),
+    "hex": ("([0-9a-f]+)", 0, 24),
+}
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {nth} AS nth, list_transform(string_split_regex(text, '{p}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(text, '{p}', 0), lambda x: length(x)) AS sizes, list_transform(regexp_extract_all(text, '{p}', {group}), lambda x: length(x) >= {least}) AS good FROM d"
+    for nth, (kind, (p, group, least)) in enumerate(_SECRETS.items())
+)
+SECRETS_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({_MATCHES}),
+ e AS (SELECT doc_id, kind, nth, i, gaps[i] AS gap, sizes[i] AS size, good[i] AS good FROM (SELECT *, unnest(range(1, len(sizes) + 1)) AS i FROM m)),
+ s AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM e),
+ k AS (SELECT doc_id, kind, nth, stop - size AS start, stop FROM s WHERE good),
+ g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans FROM k GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
 WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
  b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(5), lambda k: CAST(substring(bits, CAST(i * 5 + k + 1 AS INTEGER), 1) AS INTEGER) * (16 >> k))) AS INTEGER) + 1, 1)), '') AS payload_digest,
@@ -164,4 +201,4 @@ WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_b
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force."""
-    return {"op6_quality": QUALITY_SQL, "op9_warc": WARC_SQL}
+    return {"op6_quality": QUALITY_SQL, "op9_warc": WARC_SQL, "op11_secret_scan": SECRETS_SQL}
