@@ -25,6 +25,11 @@ def compact(x: Column, now: Column) -> Column:
     return F.date_format(F.coalesce(parse(F.coalesce(x, F.lit("")), LOCAL, SLASH, *ISO_FORMS), now), "yyyyMMdd_HHmmss")
 
 
+def iso(x: Column) -> Column:
+    """Any form to ISO text, which sorts by time; null where it cannot be read."""
+    return F.date_format(parse(x, LOCAL, SLASH, *ISO_FORMS), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def memory_date(x: Column, now: Column) -> Column:
     return F.date_format(F.coalesce(parse(F.coalesce(x, F.lit("")), LOCAL, SLASH, "MM/dd/yyyy"), now), "MM-dd-yyyy")
 

@@ -30,9 +30,10 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     if size <= 0:
         return F.array().cast("array<string>")
     step = max(1, size - max(0, min(overlap, size - 1)))
-    body = F.coalesce(text, F.lit(""))
-    cut = F.transform(F.sequence(F.lit(0), F.char_length(body) - 1, F.lit(step)), lambda i: F.substring(body, i + 1, F.lit(size)))
-    return F.when(F.char_length(body) > 0, F.filter(cut, lambda c: c.rlike(r"\S"))).otherwise(F.array().cast("array<string>"))
+    # One pass cuts the text into steps (a dot is a code point); a window is a step and as much of the next ones as it is longer.
+    steps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    more = 1 - (step - size) // step
+    return once(steps, lambda s: F.filter(F.transform(s, lambda _, i: F.substring(F.array_join(F.slice(s, i + 1, more), ""), 1, size)), lambda c: c.rlike(r"\S")))
 
 
 def words(text: Column) -> Column:

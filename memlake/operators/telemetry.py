@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.scans import Running, running
+
 SKIP_REASONS = ("disabled_by_route", "budget_zero", "retrieval_error", "no_candidates")
 
 
@@ -64,8 +66,7 @@ def with_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
 
 def monotone_turns(turns: DataFrame) -> DataFrame:
     """Turns whose id exceeds every id that arrived before it in the run."""
-    before = F.max("turn_id").over(Window.partitionBy("run_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    return turns.withColumn("top", before).where("top is null or turn_id > top").drop("top")
+    return running(turns, ["run_id"], "arrival", Running(maxima={"_top": F.col("turn_id")})).where("_top is null or turn_id > _top").drop("_top")
 
 
 def screen_calls(events: DataFrame) -> DataFrame:
@@ -76,10 +77,10 @@ def screen_calls(events: DataFrame) -> DataFrame:
     calls end after they started (``unknown``) and once (``repeated``), and nothing counts
     after the run's end (``late``); the rest is ``accepted``.
     """
-    before = Window.partitionBy("run_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     kind = lambda k: F.col("kind") == k
     call = Window.partitionBy("run_id", "invocation_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("_top", F.max(F.when(kind("turn"), F.col("turn_id"))).over(before)).withColumn("_over", F.coalesce(F.max(kind("run_end")).over(before), F.lit(False)))
+    rows = running(events, ["run_id"], "arrival", Running(maxima={"_top": F.when(kind("turn"), F.col("turn_id")), "_over": kind("run_end")}))
+    rows = rows.withColumn("_over", F.coalesce("_over", F.lit(False)))
     rows = rows.withColumn("_start", F.min(F.when(kind("start"), F.col("arrival"))).over(call)).withColumn("_end", F.max(F.when(kind("end"), F.col("arrival"))).over(call))
     rows = rows.withColumn("_began", F.col("_start").isNotNull()).withColumn("_ended", F.coalesce(F.col("_end") > F.col("_start"), F.lit(False)))
     verdict = (
@@ -91,10 +92,7 @@ def screen_calls(events: DataFrame) -> DataFrame:
 
 def cumulative(turns: DataFrame, values: list[str]) -> DataFrame:
     """Running sums by turn within each run."""
-    w = Window.partitionBy("run_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for v in values:
-        turns = turns.withColumn(f"cum_{v}", F.sum(v).over(w))
-    return turns
+    return running(turns, ["run_id"], "turn_id", Running(sums={f"cum_{v}": F.col(v) for v in values}, inclusive=True))
 
 
 def volumes(invocations: DataFrame, width: str = "5 minutes") -> DataFrame:

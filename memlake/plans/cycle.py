@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions import dates as dt
 from memlake.functions import text as tx
 from memlake.functions import vectors as vx
 from memlake.operators import chat
@@ -17,15 +18,16 @@ from memlake.operators import artifacts as ar
 from memlake.operators import questions as qs
 from memlake.operators import retrieval as rt
 from memlake.operators.steps import cut
-from memlake.sources import readers, writers
+from memlake.operators.hooks import Model
 from memlake.settings import Settings, route_policy
+from memlake.sources.lake import SCHEMAS, Lake, check_index, manifest_of
 
 
 def _embedded(rows: DataFrame, text: str, settings: Settings, keep: bool = True) -> DataFrame:
     return ck.embed(rows, text, lambda: ck.HashEmbedder(settings.dims), keep=keep)
 
 
-def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs: DataFrame, settings: Settings | None = None, policy: DataFrame | None = None, classify: Callable[[Column], Column] = chat.route_of) -> DataFrame:
+def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs: DataFrame, settings: Settings | None = None, policy: DataFrame | None = None, classify: Model | Callable[[Column], Column] = chat.route_of) -> DataFrame:
     """Snippets of every query from long-term chunks and daily entries.
 
     Queries (``item_id``, ``text``) are embedded once for both sources.  The search keeps
@@ -33,7 +35,8 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
     are cut again, for their texts and their neighbours'.
     """
     settings, policy = settings or Settings(), policy if policy is not None else route_policy(spark)
-    queries = asked.select(F.col("item_id").alias("query_id"), "text").withColumn("route", classify(F.col("text")))
+    queries = asked.select(F.col("item_id").alias("query_id"), "text")
+    queries = chat.with_route(queries, "text", classify)
     queries = rt.retrievable(rt.with_policy(queries, policy, settings.base_top_k))
     vectors = cut(_embedded(queries, "text", settings).select("query_id", F.col("vector").alias("qvec"), "min_score", "max_keep", "expansion_before", "expansion_after", "per_source_k"))
     most = vectors.agg(F.coalesce(F.max("per_source_k"), F.lit(1))).first()[0]
@@ -60,56 +63,138 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
 class Cycle:
     """What one cycle of all projects makes; nothing is written until :func:`commit`."""
 
-    entries: DataFrame  #: staged entries of the flushed pairs, then those staged before
+    entries: DataFrame  #: entries staged before, and those of the flushed pairs
+    log: DataFrame  #: question rows of the flushed pairs
     questions: DataFrame  #: open questions, newest wins
-    artifacts: DataFrame  #: one document a project, its entries rescoped to long-term memory
-    chunks: DataFrame  #: chunk rows of the artifacts' entries with vectors
-    left: DataFrame  #: messages that stay in the chat
+    uploads: DataFrame  #: files given to this cycle
+    artifacts: DataFrame  #: one new document a project, its entries rescoped to long-term memory
+    chunks: DataFrame  #: chunk rows with vectors of the new documents and of all the index had or must have again
+    consumed: DataFrame  #: ids of the messages that leave the chat
+    left: DataFrame  #: messages that stay
     outcome: DataFrame  #: one row a project
 
 
-def consolidate(spark: SparkSession, messages: DataFrame, settings: Settings, projects: DataFrame | None = None, log: DataFrame | None = None, staged_before: DataFrame | None = None, timestamp: str = "01-02-2024_03:04:05") -> Cycle:
-    """One cycle of all projects: flush pairs and stage them, consolidate questions, render and rescope artifacts, cut them for the index.
+def _no_rows(spark: SparkSession, table: str) -> DataFrame:
+    return spark.createDataFrame([], SCHEMAS[table])
 
-    Projects that do not stage are left alone.  Entries staged before (``project_id``,
-    ``day_sequence``, ``memory_id``, ``text``, ``tokens``) are backfilled into the artifact.
-    A project without any entry is skipped.
+
+def _project_ids(*tables: DataFrame | None) -> DataFrame:
+    return reduce(DataFrame.unionByName, (t.select("project_id") for t in tables if t is not None)).distinct()
+
+
+def artifact_chunks(artifacts: DataFrame, settings: Settings, markers: ar.Markers = ar.DEFAULT) -> DataFrame:
+    """Chunk rows of artifacts: an entry is a region with its own identity; a document with structural warnings is one region."""
+    found = ar.entries(artifacts, ["project_id", "name"], "content", markers).where("copy = 1")
+    bad = ar.warnings(artifacts, ["project_id", "name"], "content", markers).select("project_id", "name").distinct()
+    sound = found.join(bad, ["project_id", "name"], "left_anti")
+    regions = ar.with_metadata(sound, ["project_id", "name", "memory_id"], markers=markers).withColumn("doc_id", F.col("memory_id"))
+    whole = artifacts.join(bad, ["project_id", "name"], "left_semi").select("project_id", "name", F.lit(None).cast("string").alias("memory_id"), F.col("content").alias("text"), F.create_map().cast("map<string,string>").alias("meta"), F.col("name").alias("doc_id"))
+    rows = regions.unionByName(whole).withColumnRenamed("name", "filename")
+    return ar.regions_to_chunks(rows, settings.chunk_size, settings.chunk_overlap).withColumn("origin", F.lit("artifact"))
+
+
+def upload_chunks(uploads: DataFrame, settings: Settings) -> DataFrame:
+    """Chunk rows of uploaded files (project_id, doc_id, text)."""
+    rows = uploads.select("project_id", F.col("doc_id").alias("filename"), "doc_id", F.lit(None).cast("string").alias("memory_id"), "text", F.create_map().cast("map<string,string>").alias("meta"))
+    return ar.regions_to_chunks(rows, settings.chunk_size, settings.chunk_overlap).withColumn("origin", F.lit("upload"))
+
+
+def consolidate(
+    spark: SparkSession, messages: DataFrame, settings: Settings, projects: DataFrame | None = None, log: DataFrame | None = None, staged_before: DataFrame | None = None, timestamp: str = "01-02-2024_03:04:05",
+    lake: Lake | None = None, uploads: DataFrame | None = None, tagger: Callable[[DataFrame], DataFrame] | None = None,
+) -> Cycle:
+    """One cycle of all projects on top of what a lake holds.
+
+    Pairs are flushed, tagged and staged, their questions logged and all questions
+    consolidated; everything staged is rendered into one new artifact a project; the index
+    is the sound one of before, or a new one of all older artifacts, and the new artifact's
+    entries and the uploads.  Messages that an earlier cycle consumed are not seen again.
+
+    A project that does not stage keeps its messages; what it staged before is consolidated
+    all the same.  A project without any entry is skipped; one without messages but with
+    entries, questions or uploads has its turn.
     """
-    all_pairs = chat.pairs(messages)
-    if projects is not None:
-        all_pairs = chat.staging_enabled(all_pairs, projects)
-    flushed = chat.flush(all_pairs, settings.pair_limit)
-    before = staged_before if staged_before is not None else spark.createDataFrame([], "project_id string, day_sequence int, memory_id string, text string, tokens int")
-    new = chat.daily_entries(chat.unforgotten(flushed), before, F.lit(timestamp))
-    entries = cut(before.select("project_id", "day_sequence", "memory_id", "text", "tokens").unionByName(new.select("project_id", "day_sequence", "memory_id", "text", "tokens")))
+    if lake is not None:
+        messages = messages.join(lake.read("consumed"), ["project_id", "id"], "left_anti")
+        staged_before = _and_more(lake.read("staging").drop("version"), staged_before)
+        log = _and_more(lake.read("log").drop("version"), log)
+    before = staged_before if staged_before is not None else _no_rows(spark, "staging")
+    active = chat.staging_enabled(messages, projects) if projects is not None else messages
+    flushed = cut(chat.flush(chat.pairs(active), settings.pair_limit))
+    tagged = cut(chat.tag(chat.unforgotten(flushed), tagger))
+    when = F.lit(timestamp)
+    new = chat.daily_entries(tagged, before, when)
+    entries = cut(before.unionByName(new, allowMissingColumns=True).select(*(c for c in new.columns if c not in ("timestamp", "source"))))
+    new_log = cut(chat.question_rows(tagged, dt.iso(when)))
+    every_log = _and_more(log, new_log) if log is not None else new_log
+    questions = cut(qs.consolidate(every_log))
     pair = tx.split_pair(F.col("text"))
-    block = ar.metadata_block([("entry_type", F.lit("chat_pair")), ("current_scope", F.lit("daily")), ("day_sequence", F.col("day_sequence"))])
-    rendered = entries.withColumn("block", ar.render_entry(F.col("memory_id"), F.lit("chat_pair"), F.lit(""), block, pair["user"], pair["assistant"]))
+    block = ar.metadata_block([("entry_type", F.lit("chat_pair")), ("current_scope", F.lit("daily")), ("day_sequence", F.col("day_sequence"))], [("topics", F.when(F.size("topics") > 0, F.col("topics")))])
+    rendered = entries.withColumn("block", ar.render_entry(F.col("memory_id"), F.lit("chat_pair"), F.coalesce("semantic_handle", F.lit("")), block, pair["user"], pair["assistant"]))
     docs = ar.export(rendered, ["project_id"], "day_sequence", "block")
-    artifacts = cut(docs.select("project_id", ar.artifact_name(F.col("project_id"), F.lit(timestamp)).alias("name"), ar.ensure_header(ar.rescope(F.col("content")), F.col("project_id")).alias("content")))
+    docs = docs.select("project_id", ar.artifact_name(F.col("project_id"), when).alias("name"), ar.ensure_header(ar.rescope(F.col("content")), F.col("project_id")).alias("content"))
+    older = lake.read("artifacts").drop("version") if lake is not None else _no_rows(spark, "artifacts")
+    # Only names are compared: a file of a name that is taken gets the next number.
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    rivals = older.select("project_id", F.col("name").alias("taken")).join(docs.select("project_id", stem.alias("stem")), "project_id")
+    rivals = rivals.where(F.startswith("taken", "stem") & F.expr("substring(taken, char_length(stem) + 1)").rlike(r"^(-\d+)?\.[^.]*$")).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    numbered = F.when(F.col("n").isNull(), F.col("name")).otherwise(F.concat(stem, F.lit("-"), (F.col("n") + 1).cast("string"), F.lit(".md")))
+    artifacts = cut(docs.join(rivals, "project_id", "left").select("project_id", numbered.alias("name"), "content"))
     found = ar.entries(artifacts, ["project_id", "name"], "content").where("copy = 1")
-    regions = ar.with_metadata(found, ["project_id", "name", "memory_id"]).withColumnsRenamed({"name": "filename"}).withColumn("doc_id", F.col("memory_id"))
-    chunks = cut(_embedded(ar.regions_to_chunks(regions, settings.chunk_size, settings.chunk_overlap), "chunk", settings))
-    questions = cut(qs.consolidate(log)) if log is not None else spark.createDataFrame([], "project_id string, key string, question string")
-    gone = flushed.select("project_id", F.explode(F.array("user_id", "assistant_id")).alias("id"))
-    left = messages.join(gone, ["project_id", "id"], "left_anti")
+    given = uploads.select("project_id", "doc_id", "text") if uploads is not None else _no_rows(spark, "uploads")
+    made = [artifact_chunks(artifacts, settings), upload_chunks(given, settings)]
+    kept, broken = [], None
+    if lake is not None:
+        sound, wrong = lake.index(settings.chunk_size, settings.chunk_overlap)
+        broken = cut(wrong.select("project_id"))
+        replaced = given.select("project_id", "doc_id", F.lit("upload").alias("origin"))
+        changed = _project_ids(artifacts, given)
+        kept.append(sound.drop("version").join(changed, "project_id", "left_semi").join(replaced, ["project_id", "doc_id", "origin"], "left_anti"))
+        # An index of other settings or with anything missing is made again from all older files.
+        made.append(artifact_chunks(older.join(broken, "project_id", "left_semi"), settings))
+        made.append(upload_chunks(lake.uploads().join(broken, "project_id", "left_semi").join(given, ["project_id", "doc_id"], "left_anti"), settings))
+    touched = _project_ids(artifacts, given, broken)
+    embedded = _embedded(reduce(DataFrame.unionByName, made), "chunk", settings)
+    chunks = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept, embedded))
+    consumed = cut(chat.consumed(active, settings.pair_limit))
+    left = messages.join(consumed, ["project_id", "id"], "left_anti")
     count = lambda df, name: df.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
-    parts = [count(messages, "items_in"), count(flushed, "flushed"), entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_out"), F.sum("tokens").alias("tokens")), count(found, "rendered"), count(chunks, "chunks"), count(questions, "questions"), count(left, "left")]
-    rows = reduce(lambda a, b: a.join(b, "project_id", "left"), parts).fillna(0)
+    columns = [count(messages, "items_in"), count(flushed, "flushed"), entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_out"), F.sum("tokens").alias("tokens")), count(found, "rendered"), count(chunks, "chunks"), count(questions, "questions"), count(left, "left")]
+    everyone = _project_ids(messages, entries, questions, touched)
+    rows = reduce(lambda a, b: a.join(b, "project_id", "left"), columns, everyone).fillna(0)
     # Every staged entry must be in the artifact, else the project has failed and keeps its staging.
-    status = F.when(F.col("items_out") == 0, "skipped").when(F.col("rendered") == F.col("items_out"), "done").otherwise("failed")
-    return Cycle(entries, questions, artifacts, chunks, left, rows.withColumn("status", status).drop("rendered"))
-
-
-def commit(cycle: Cycle, path: str, settings: Settings) -> DataFrame:
-    """Write a cycle: artifacts, questions and index first, then verify the index, and only then the staging left over."""
-    spark = cycle.outcome.sparkSession
-    writers.write_artifacts(cycle.artifacts, f"{path}/artifacts")
-    writers.overwrite_projects(cycle.questions, f"{path}/questions")
-    writers.rebuild_index(cycle.chunks, f"{path}/index", settings.chunk_size, settings.chunk_overlap, settings.dims)
-    good, _ = readers.read_index(spark, f"{path}/index", settings.chunk_size, settings.chunk_overlap)
-    indexed = good.groupBy("project_id").agg(F.count(F.lit(1)).alias("indexed"))
-    outcome = cut(cycle.outcome.join(indexed, "project_id", "left").fillna(0).withColumn("status", F.when((F.col("status") == "done") & (F.col("indexed") != F.col("chunks")), "failed").otherwise(F.col("status"))))
-    done = cycle.entries.join(outcome.where("status = 'done'"), "project_id", "left_semi")
-    writers.overwrite_staging(writers.clear_consumed(cycle.entries, done, True), f"{path}/staging")
+    status = F.when((F.col("items_out") == 0) & (F.col("chunks") == 0), "skipped").when(F.col("rendered") == F.col("items_out"), "done").otherwise("failed")
+    return Cycle(entries, new_log, questions, given, artifacts, chunks, consumed, left, rows.withColumn("status", status).drop("rendered"))
+
+
+def _and_more(rows: DataFrame, more: DataFrame | None) -> DataFrame:
+    return rows if more is None else rows.unionByName(more.select(*(c for c in rows.columns if c in more.columns)), allowMissingColumns=True)
+
+
+def commit(cycle: Cycle, lake: Lake, settings: Settings) -> DataFrame:
+    """Write a cycle as a new version of a lake and publish it; the outcome says what counts.
+
+    Everything is written apart from what readers see; the index is read back and checked
+    against what the cycle made; the pointers come last.  A project that fails keeps its
+    index and artifacts of before, and its entries stay staged for the next cycle.
+    """
+    version = lake.new_version()
+    size, overlap = settings.chunk_size, settings.chunk_overlap
+    for name in ("artifacts", "uploads", "log", "consumed", "questions", "chunks"):
+        lake.write(name, version, getattr(cycle, name))
+    manifest = manifest_of(cycle.chunks, size, overlap, settings.dims)
+    lake.write("manifest", version, manifest)
+    checked = check_index(lake.written("chunks", version), lake.written("manifest", version), size, overlap)
+    wrong = F.col("reason").isNotNull() | ((F.col("chunks") > 0) & ~F.coalesce("listed", F.lit(False)))
+    judged = cycle.outcome.join(checked.withColumn("listed", F.lit(True)), "project_id", "left")
+    outcome = cut(judged.withColumn("status", F.when((F.col("status") == "done") & wrong, "failed").otherwise(F.col("status"))).withColumn("indexed", F.when(F.coalesce("listed", F.lit(False)) & F.col("reason").isNull(), F.col("chunks")).otherwise(F.lit(0))).drop("reason", "listed"))
+    done = outcome.where("status = 'done'")
+    lake.write("staging", version, cycle.entries.join(done, "project_id", "left_anti"))
+    lake.publish(version, outcome.select("project_id", (F.col("status") == "done").alias("published")))
     return outcome
+
+
+def run_cycle(spark: SparkSession, lake: Lake, messages: DataFrame, settings: Settings | None = None, **more) -> DataFrame:
+    """One cycle from a lake to its next version; ``more`` goes to :func:`consolidate`."""
+    settings = settings or Settings()
+    return commit(consolidate(spark, messages, settings, lake=lake, **more), lake, settings)

@@ -340,22 +340,6 @@ def ord6(s, d):
     return ar.size_bounded(rows, "text", 1000).select("doc_id", "truncated", F.char_length("text").alias("n_chars"), F.char_length(F.to_json(F.struct("doc_id", "text"))).alias("json_chars"))
 
 
-@query(
-    "mem14_cycle",
-    f"""WITH {PAIRS}, b AS (SELECT *, coalesce(count(*) FILTER (WHERE NOT forget) OVER (PARTITION BY project_id ORDER BY pair_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM pairs), f AS (SELECT * FROM b WHERE done < 3), t AS (SELECT *, {PAIR_TEXT} AS text FROM f WHERE NOT forget)
- SELECT m.project_id, m.n AS items_in, coalesce(f.n, 0) AS flushed, coalesce(e.n, 0) AS items_out, coalesce(e.tokens, 0) AS tokens, m.n - 2 * coalesce(f.n, 0) AS left, CASE WHEN coalesce(e.n, 0) > 0 THEN 'done' ELSE 'skipped' END AS status
- FROM (SELECT project_id, count(*) AS n FROM messages GROUP BY 1) m LEFT JOIN (SELECT project_id, count(*) AS n FROM f GROUP BY 1) f USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS n, CAST(sum(len({WORDS.format(x='text')})) AS BIGINT) AS tokens FROM t GROUP BY 1) e USING (project_id)""",
-)
-def mem14(s, d):
-    return cycle.consolidate(s, i.messages(s, d), Settings()).outcome.drop("chunks", "questions")
-
-
-@query("mem14_chunks")
-def mem14_chunks(s, d):
-    """Chunk rows that a cycle puts into the index."""
-    return cycle.consolidate(s, i.messages(s, d), Settings()).chunks.select("project_id", "memory_id", "chunk_index", "chunk")
-
-
 @query("snk5_names", "SELECT event_id, event_type || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)")
 def snk5_names(s, d):
     rows = table(s, d, "events").select("user_id", "event_id", F.concat("event_type", F.lit(".md")).alias("name"))

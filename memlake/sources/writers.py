@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.steps import cut
+from memlake.sources.lake import manifest_of
+
 
 def overwrite_projects(rows: DataFrame, path: str) -> None:
     """Replace only the partitions of the projects that ``rows`` holds."""
@@ -12,10 +15,10 @@ def overwrite_projects(rows: DataFrame, path: str) -> None:
 
 
 def rebuild_index(chunks: DataFrame, path: str, size: int, overlap: int, dims: int) -> DataFrame:
-    """Write chunks with vectors, then one manifest row a project; the manifest comes last."""
+    """Write chunks with vectors, then one manifest row a project, of what the chunks were; the manifest comes last."""
+    chunks = cut(chunks)
     overwrite_projects(chunks, f"{path}/chunks")
-    written = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    manifest = written.groupBy("project_id").agg(F.count(F.lit(1)).alias("rows")).withColumns({"chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap), "index_dim": F.lit(dims), "score_mode": F.lit("cosine01")})
+    manifest = manifest_of(chunks, size, overlap, dims)
     overwrite_projects(manifest, f"{path}/manifest")
     return manifest
 
@@ -25,8 +28,11 @@ def append_entries(rows: DataFrame, path: str) -> None:
 
 
 def overwrite_staging(rows: DataFrame, path: str) -> None:
-    """Staged entries anew; written whole, since a project may have none left."""
-    rows.write.mode("overwrite").partitionBy("project_id").parquet(path)
+    """Staged entries anew; written whole, since a project may have none left.
+
+    Rows are written apart first: they may be read from the very table that they replace.
+    """
+    cut(rows).write.mode("overwrite").partitionBy("project_id").parquet(path)
 
 
 def append_questions(rows: DataFrame, path: str) -> None:
@@ -39,8 +45,9 @@ def append_telemetry(rows: DataFrame, path: str, batch: int) -> None:
 
 
 def write_artifacts(docs: DataFrame, path: str) -> None:
-    """One text file a project; the column ``content`` is written."""
-    docs.select("project_id", F.col("content").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path)
+    """Text files, one a document, below ``project_id=.../name=...``; documents of other names stay."""
+    rows = docs.select("project_id", "name", F.col("content").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "name").text(path)
 
 
 def clear_consumed(staging: DataFrame, consumed: DataFrame, verified: bool) -> DataFrame:

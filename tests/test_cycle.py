@@ -4,47 +4,167 @@ from __future__ import annotations
 
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import artifacts as ar
+from memlake.operators import chat
 from memlake.operators import cleanup as cl
 from memlake.operators import questions as qs
 from memlake.operators import telemetry as tm
+from memlake.operators.steps import cut
 from memlake.plans import cycle
 from memlake.settings import Settings, load_policy, load_rules
-from memlake.sources import readers
+from memlake.sources import readers, writers
+from memlake.sources.lake import Lake
 from memlake.streaming import jobs
 
 MESSAGE = "project_id string, id long, role string, content string, forget boolean"
 
 
+ENTRY = "project_id string, day_sequence int, memory_id string, text string, tokens int"
+LOG = "project_id string, line_no long, ts string, question string, topic string, resolution string"
+
+
+def chat_rows(project, turns):
+    return [(project, k, "user" if k % 2 == 0 else "assistant", f"text {k} of {project}" + ("?" if k % 2 else "") + "\ncurrent_scope: daily", False) for k in turns]
+
+
 def test_cycle_writes_verifies_and_clears(spark, tmp_path):
-    rows = [("a", k, "user" if k % 2 == 0 else "assistant", f"text {k} of a\ncurrent_scope: daily", k == 3) for k in range(8)]
+    rows = [(p, k, r, t, k == 3) for p, k, r, t, _ in chat_rows("a", range(8))]
     rows += [("b", 0, "assistant", "alone", False), ("c", 0, "user", "q", False), ("c", 1, "assistant", "r", False)]
     messages = spark.createDataFrame(rows, MESSAGE)
     projects = spark.createDataFrame([("c", False)], "project_id string, daily_rag_enabled boolean")
-    before = spark.createDataFrame([("a", 1, "mem_20230101_000000_abcdef01", "User: old\nAssistant: answer", 4)], "project_id string, day_sequence int, memory_id string, text string, tokens int")
-    log = spark.createDataFrame([("a", 1, "1", "What?", "t", "answer_local"), ("a", 2, "2", "what", "t", "ignore"), ("a", 3, "3", "Why?", "t", "answer_local")], "project_id string, line_no long, ts string, question string, topic string, resolution string")
+    before = spark.createDataFrame([("a", 1, "mem_20230101_000000_abcdef01", "User: old\nAssistant: answer", 4)], ENTRY)
+    log = spark.createDataFrame([("a", 1, "1", "What?", "t", "answer_local"), ("a", 2, "2", "what", "t", "ignore"), ("a", 3, "3", "Why?", "t", "answer_local")], LOG)
     made = cycle.consolidate(spark, messages, Settings(), projects, log, before)
-    got = {r.project_id: r for r in cycle.commit(made, str(tmp_path), Settings()).collect()}
+    lake = Lake(spark, str(tmp_path))
+    got = {r.project_id: r for r in cycle.commit(made, lake, Settings()).collect()}
     a, b, c = (got[k] for k in "abc")
-    assert (a.flushed, a.items_out, a.left, a.questions, a.status) == (4, 4, 0, 1, "done") and a.indexed == a.chunks > 0
-    assert (b.status, c.status, c.left) == ("skipped", "skipped", 2)
-    assert readers.read_staged(spark, str(tmp_path / "staging")).count() == 0 if any((tmp_path / "staging").glob("project_id=*")) else True
-    text = made.artifacts.where("project_id = 'a'").first().content
+    assert (a.flushed, a.items_out, a.left, a.questions, a.status) == (4, 4, 0, 1 + 3, "done") and a.indexed == a.chunks > 0
+    assert (b.status, b.left, c.status, c.left) == ("skipped", 1, "skipped", 2)
+    assert lake.read("staging").count() == 0
+    text = lake.read("artifacts").where("project_id = 'a'").first().content
     assert text.count("current_scope: ltm") == 4 and text.count("current_scope: daily") == 6 and text.index("old") < text.index("text 0")
-    fields = made.chunks.where("memory_id = 'mem_20230101_000000_abcdef01'").first().fields
+    fields = lake.read("chunks").where("memory_id = 'mem_20230101_000000_abcdef01'").first().fields
     assert fields["current_scope"] == "ltm" and fields["doc_id"] == "mem_20230101_000000_abcdef01" and fields["filename"].endswith(".md")
+    logged = lake.read("log").orderBy("line_no").first()
+    assert (logged.source, logged.pair_id, logged.question_index, logged.question, logged.resolution, logged.ts) == ("tagger_ingest", "0:1", 1, "text 1 of a?", "answer_local", "2024-01-02T03:04:05Z")
+
+
+def state(lake):
+    """What a reader of a lake sees."""
+    entry = lambda r: (r.project_id, r.memory_id, r.chunk_index, r.chunk, r.origin)
+    found = {"index": sorted(map(str, map(entry, lake.index(600, 80)[0].collect()))), "broken": lake.index(600, 80)[1].count()}
+    for name in ("artifacts", "staging", "questions", "consumed", "log"):
+        found[name] = sorted(map(str, lake.read(name).drop("version").collect()))
+    return found
+
+
+def test_two_cycles_add_up(spark, tmp_path):
+    """Two cycles over the same table of two projects: both cycles' entries stay, also those of the project that had no second one."""
+    messages = spark.createDataFrame(chat_rows("a", range(8)) + chat_rows("b", range(2)), MESSAGE)
+    lake, few = Lake(spark, str(tmp_path)), Settings(pair_limit=2)
+    first = {r.project_id: r for r in cycle.run_cycle(spark, lake, messages, few).collect()}
+    assert (first["a"].items_out, first["a"].left, first["b"].items_out) == (2, 4, 1)
+    one = state(lake)
+    second = {r.project_id: r for r in cycle.run_cycle(spark, lake, messages, few).collect()}
+    assert (second["a"].items_out, second["a"].items_in, second["a"].left, second["a"].status) == (2, 4, 0, "done") and "b" not in second or second["b"].status == "skipped"
+    two = state(lake)
+    assert set(one["artifacts"]) < set(two["artifacts"]) and len(two["artifacts"]) == 3 and set(one["index"]) < set(two["index"]) and two["broken"] == 0
+    names = {r.name for r in lake.read("artifacts").where("project_id = 'a'").collect()}
+    assert names == {"a_01-02-2024_03-04-05.md", "a_01-02-2024_03-04-05-2.md"}
+    body = "".join(r.chunk for r in lake.read("chunks").where("project_id = 'a'").collect())
+    assert all(f"text {k} of a" in body for k in range(8)) and len(two["consumed"]) == 10
+    assert cycle.run_cycle(spark, lake, messages, few).where("status <> 'skipped'").count() == 0
+    gone = lake.vacuum()
+    assert gone and state(lake)["index"] == two["index"] and state(lake)["artifacts"] == two["artifacts"]
+
+
+def test_staged_only_and_staging_off(spark, tmp_path):
+    """Staged entries have their turn without a message, and where the project stages no more; its messages stay then."""
+    lake = Lake(spark, str(tmp_path))
+    staged = spark.createDataFrame([("s", 1, "mem_20230101_000000_abcdef01", "User: old\nAssistant: answer", 4), ("off", 1, "mem_20230101_000000_abcdef02", "User: o\nAssistant: p", 4)], ENTRY)
+    messages = spark.createDataFrame(chat_rows("off", range(2)), MESSAGE)
+    projects = spark.createDataFrame([("off", False)], "project_id string, daily_rag_enabled boolean")
+    got = {r.project_id: r for r in cycle.run_cycle(spark, lake, messages, projects=projects, staged_before=staged).collect()}
+    assert (got["s"].items_in, got["s"].items_out, got["s"].status) == (0, 1, "done")
+    assert (got["off"].flushed, got["off"].left, got["off"].items_out, got["off"].status) == (0, 2, 1, "done")
+    assert lake.read("staging").count() == 0 and lake.read("consumed").count() == 0 and {r.project_id for r in lake.read("chunks").collect()} == {"s", "off"}
+
+
+def test_killed_between_writes(spark, tmp_path, monkeypatch):
+    """A cycle that ends before any of its writes leaves the state of before, and a second try ends as if nothing had been."""
+    messages = spark.createDataFrame(chat_rows("a", range(4)), MESSAGE)
+    uploads = spark.createDataFrame([("a", "f.txt", "an uploaded file")], "project_id string, doc_id string, text string")
+    base, few = Lake(spark, str(tmp_path / "base")), Settings(pair_limit=1)
+    cycle.run_cycle(spark, base, messages, few, uploads=uploads)
+    before, write, order = state(base), Lake.write, ["artifacts", "uploads", "log", "consumed", "questions", "chunks", "manifest", "staging", "pointers"]
+    made = cycle.consolidate(spark, messages, few, lake=base)
+    for step, name in enumerate(order):
+        shutil.copytree(tmp_path / "base", tmp_path / str(step))
+        lake, calls = Lake(spark, str(tmp_path / str(step))), []
+
+        def dies(self, name, version, rows, calls=calls, step=step):
+            calls.append(name)
+            if len(calls) > step:
+                raise RuntimeError("lost")
+            write(self, name, version, rows)
+
+        monkeypatch.setattr(Lake, "write", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            cycle.commit(made, lake, few)
+        monkeypatch.setattr(Lake, "write", write)
+        assert calls == order[: step + 1] and lake.versions() == base.versions() and len(lake.pointers().collect()) == 1
+        if name in ("artifacts", "chunks", "pointers"):  # before the first, amid, and before the last write
+            assert state(lake) == before
+    assert cycle.commit(made, lake, few).first().status == "done"
+    after = state(lake)
+    assert len(after["artifacts"]) == 2 and len(after["consumed"]) == 4 and any("uploaded" in x for x in after["index"])
+
+
+def test_a_broken_index_is_made_again(spark, tmp_path):
+    """Rows that are gone, wrong dimensions and other settings: the next cycle reads all older files again."""
+    messages = spark.createDataFrame(chat_rows("a", range(4)), MESSAGE)
+    uploads = spark.createDataFrame([("a", "f.txt", "an uploaded file")], "project_id string, doc_id string, text string")
+    lake, few = Lake(spark, str(tmp_path)), Settings(pair_limit=1)
+    cycle.run_cycle(spark, lake, messages, few, uploads=uploads)
+    version, whole = lake.versions()[-1], state(lake)
+    rows = cut(lake.read("chunks").drop("version"))
+    for broken, reason in ((rows.where("origin = 'artifact'"), "rows"), (rows.withColumn("vector", F.slice("vector", 1, 3)), "dimension"), (rows.where("origin = 'upload'"), "rows"), (rows.withColumn("vector", F.transform("vector", lambda x: F.lit(float("nan")))), "vectors"), (rows.withColumn("doc_id", F.lit("one")), "documents"), (rows.withColumn("chunk_index", F.col("chunk_index") + 1), "gap")):
+        lake.write("chunks", version, broken)
+        good, bad = lake.index(600, 80)
+        assert good.count() == 0 and [r.reason for r in bad.collect()] == [reason]
+    assert [r.reason for r in lake.index(500, 80)[1].collect()] == ["settings"]
+    assert cycle.run_cycle(spark, lake, messages, few).first().status == "done"
+    after = state(lake)
+    assert set(whole["index"]) < set(after["index"]) and after["broken"] == 0
 
 
 def test_failed_index_keeps_staging(spark, tmp_path, monkeypatch):
+    """Entries of a project whose index fails stay staged and come into the next cycle's artifact."""
     messages = spark.createDataFrame([("a", 0, "user", "q", False), ("a", 1, "assistant", "r", False)], MESSAGE)
-    made = cycle.consolidate(spark, messages, Settings())
-    monkeypatch.setattr(cycle.readers, "read_index", lambda *_: (made.chunks.where("false"), None))
-    assert cycle.commit(made, str(tmp_path), Settings()).first().status == "failed"
-    assert readers.read_staged(spark, str(tmp_path / "staging")).count() == 1
+    lake = Lake(spark, str(tmp_path))
+    check = cycle.check_index
+    monkeypatch.setattr(cycle, "check_index", lambda *x: check(*x).withColumn("reason", F.lit("rows")))
+    assert cycle.run_cycle(spark, lake, messages).first().status == "failed"
+    assert lake.read("staging").count() == 1 and lake.read("artifacts").count() == 0 and lake.read("chunks").count() == 0
+    monkeypatch.setattr(cycle, "check_index", check)
+    got = cycle.run_cycle(spark, lake, messages).first()
+    assert (got.items_in, got.items_out, got.status) == (0, 1, "done") and lake.read("staging").count() == 0 and lake.read("artifacts").count() == 1
+
+
+def test_questions_from_tag_to_consolidation(spark, tmp_path):
+    """Logged, written as lines, read again, consolidated: the same questions."""
+    messages = spark.createDataFrame(chat_rows("p", range(6)), MESSAGE)
+    tagged = chat.tag(chat.pairs(messages))
+    rows = chat.question_rows(tagged, F.lit("2024-01-01T00:00:00Z"))
+    writers.append_questions(rows, str(tmp_path / "log"))
+    parsed = qs.parse_log(readers.read_json_lines(spark, str(tmp_path / "log"), "p"))
+    got = sorted((r.question, r.topic, r.pair_id) for r in qs.consolidate(parsed).collect())
+    assert len(got) == 3 == parsed.count() and got == sorted((r.question, r.topic, r.pair_id) for r in qs.consolidate(rows).collect())
 
 
 def test_metadata_types_and_warnings(spark):
