@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.storage import fresh
+from memlake.llm.storage import fresh, materialize
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,8 @@ class BlobLedger:
         each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("nth"), F.col("kind").alias("kind"), s["end"].alias("end")))
         listed = F.transform(F.array_sort(F.flatten(F.collect_list(each))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
         blob, key = fresh(versions, "blob", "ledger_blob")
-        found = self.rows().where(current).groupBy(F.col("blob").alias(key)).agg(listed.alias(out))
+        # Written before it is joined: Spark splits a hot blob's versions only where nothing but shuffles stand in front of the join.
+        found = materialize(self.rows().where(current).groupBy(F.col("blob").alias(key)).agg(listed.alias(out)), "secret-findings")
         rest = [c for c in versions.columns if c not in (text, out)]
         rows = versions.select(*rest, address(F.col(text)).alias(blob))
         return rows.join(found, F.col(blob) == F.col(key), "left").select(*rest, out)
