@@ -18,10 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from memlake.functions import text as tx
 
-#: Queries that may be sent to all tasks at once; more are dealt over a grid of blocks.
-SENT_QUERIES = 8192
-#: Queries and items of a block of the grid, and of one product of matrices.
-QUERY_BLOCK, ITEM_BLOCK, PRODUCT = 8192, 65_536, (1024, 2048)
+#: Queries, and bytes of their vectors, that may be sent to all tasks at once; more are dealt over a grid of blocks.
+SENT_QUERIES, SENT_BYTES = 8192, 32 << 20
+#: Most queries and items of a block of the grid, bytes of the vectors of one, and queries and items of one product of matrices.
+QUERY_BLOCK, ITEM_BLOCK, BLOCK_BYTES, PRODUCT = 8192, 65_536, 64 << 20, (1024, 2048)
 HEADER_KEYS = ("memory_id", "source_document_id", "artifact_path", "entry_type", "source_agent", "source_scope", "current_scope", "semantic_handle")
 
 
@@ -42,83 +42,119 @@ def retrievable(queries: DataFrame) -> DataFrame:
 
 
 class _Best:
-    """The k best items of each query so far: rounded score down, then smallest item."""
+    """The k best items of each query so far: rounded score down, then smallest item.
 
-    def __init__(self, matrix: np.ndarray, keys: list, k: int):
-        self.matrix, self.keys, self.k = matrix, np.array(keys, object), k
+    Queries and items are multiplied label by label, so no pair of two labels is formed.
+    """
+
+    def __init__(self, matrix: np.ndarray, keys: list | None, k: int):
+        self.matrix, self.k = matrix, k
         self.scores = np.full((len(matrix), k), -np.inf)
         self.items = np.empty((len(matrix), k), object)
-
-    def add(self, items: list, vectors: np.ndarray, keys: list) -> None:
+        self._places: dict = {}
+        for at, key in enumerate(keys or ()):
+            self._places.setdefault(key, []).append(at)
+        self._places = {key: np.array(at) for key, at in self._places.items()} if keys is not None else {None: np.arange(len(matrix))}
+
+    def add(self, items: list, vectors: np.ndarray, keys: list | None) -> None:
+        if keys is None:
+            return self._add(self._places[None], items, vectors)
+        mine: dict = {}
+        for at, key in enumerate(keys):
+            if key in self._places:
+                mine.setdefault(key, []).append(at)
+        for key, at in mine.items():
+            self._add(self._places[key], [items[i] for i in at], vectors[at])
+
+    def _add(self, places: np.ndarray, items: list, vectors: np.ndarray) -> None:
         order = sorted(range(len(items)), key=items.__getitem__)
-        items, vectors, keys = np.array([items[i] for i in order], object), vectors[order], np.array([keys[i] for i in order], object)
-        for at in range(0, len(self.matrix), PRODUCT[0]):
-            rows = slice(at, at + PRODUCT[0])
+        items, vectors = np.array([items[i] for i in order], object), vectors[order]
+        n = min(self.k, len(items))
+        for at in range(0, len(places), PRODUCT[0]):
+            rows = places[at : at + PRODUCT[0]]
             score = np.round(self.matrix[rows] @ vectors.T, 9)
-            score[self.keys[rows, None] != keys[None, :]] = -np.inf
-            n = min(self.k, len(items))
             least = np.partition(score, len(items) - n, axis=1)[:, len(items) - n, None]
             above, tied = score > least, score == least
             take = above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= n - above.sum(axis=1, keepdims=True)))
             columns = np.nonzero(take)[1].reshape(len(score), n)
             score = np.take_along_axis(score, columns, axis=1)
             for q in np.flatnonzero(score.max(axis=1) >= self.scores[rows].min(axis=1)):
-                both = [*zip(-self.scores[at + q], self.items[at + q], strict=True), *zip(-score[q], items[columns[q]], strict=True)]
-                best = sorted((x for x in both if x[0] < np.inf))[: self.k]
-                self.scores[at + q, : len(best)] = [-x for x, _ in best]
-                self.items[at + q, : len(best)] = [x for _, x in best]
+                row = rows[q]
+                both = [*zip(-self.scores[row], self.items[row], strict=True), *zip(-score[q], items[columns[q]], strict=True)]
+                best = sorted(x for x in both if x[0] < np.inf)[: self.k]
+                self.scores[row, : len(best)] = [-x for x, _ in best]
+                self.items[row, : len(best)] = [x for _, x in best]
 
     def rows(self, ids: list) -> tuple[list, list, list]:
         q, k = np.nonzero(self.scores > -np.inf)
         return [ids[i] for i in q], self.items[q, k].tolist(), self.scores[q, k].tolist()
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+def _vectors(column: pa.Array, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), dims)
+
+
+def vector_fault(vector: Column, dims: int) -> Column:
+    """Why a vector cannot be searched: ``null``, ``length`` or ``value`` (a place that is null, NaN or infinite); null if it can."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(vector.isNull(), "null").when(F.size(vector) != dims, "length").when(~F.coalesce(good, F.lit(False)), "value")
+
+
+def vector_faults(rows: DataFrame, vector: str, dims: int) -> DataFrame:
+    """Rows (fault, n): how many rows a search of ``dims`` places leaves out, and why."""
+    found = rows.select(vector_fault(F.col(vector).cast("array<double>"), dims).alias("fault"))
+    return found.where("fault is not null").groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, by: str | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, by: str | None = None, dims: int | None = None) -> DataFrame:
     """Exact inner-product top-k: rows (query_id, item_id, ip, hit_rank), ip rounded to nine places.
 
     ``queries`` has query_id and qvec, ``items`` item_id and vector; with ``by`` only
     items with the same value of that column count.  Queries are sent to all tasks only
-    while there are at most ``SENT_QUERIES``; beyond that queries and items meet in a
-    grid of blocks of bounded size.  Ties go to the smallest item.  Null vectors are
-    left out.
+    while there are at most ``SENT_QUERIES`` of ``SENT_BYTES``; beyond that queries and items
+    meet in a grid of blocks of bounded bytes.  Ties go to the smallest item.  Vectors
+    have ``dims`` places, by default as most queries have; :func:`vector_faults` counts those
+    that are left out: nulls, other lengths, and vectors with a null, NaN or infinite place.
     """
-    key = F.col(by) if by else F.lit(0)
-    queries = queries.where(F.col("qvec").isNotNull()).select("query_id", F.col("qvec").cast("array<double>").alias("qvec"), key.alias("key"))
-    items = items.where(F.col("vector").isNotNull()).select("item_id", F.col("vector").cast("array<double>").alias("vector"), key.alias("key"))
+    columns = lambda df, key, vector: df.select(key, F.col(vector).cast("array<double>").alias(vector), *([F.col(by).alias("key")] if by else []))
+    queries, items = columns(queries, "query_id", "qvec"), columns(items, "item_id", "vector")
+    if dims is None:
+        dims = queries.agg(F.mode(F.size("qvec"), deterministic=True)).first()[0] or 0
+    queries, items = queries.where(vector_fault(F.col("qvec"), dims).isNull()), items.where(vector_fault(F.col("vector"), dims).isNull())
     schema = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("ip", T.DoubleType())])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
-    n = queries.limit(SENT_QUERIES + 1).count()
-    if n <= SENT_QUERIES:
-        sent = queries.collect()  # at most SENT_QUERIES rows
-        ids, keys, matrix = [r.query_id for r in sent], [r.key for r in sent], np.array([r.qvec for r in sent], np.float64) if sent else np.zeros((0, 0))
+    wide = max(1, 8 * dims)
+    most = min(SENT_QUERIES, max(1, SENT_BYTES // wide))
+    keys_of = lambda part: part.column("key").to_pylist() if by else None
+    sent = queries.limit(most + 1).toArrow()  # at most SENT_QUERIES rows and SENT_BYTES
+    if sent.num_rows <= most:
+        ids, keys = sent.column("query_id").to_pylist(), keys_of(sent)
+        matrix = _vectors(sent.column("qvec").combine_chunks(), dims)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(matrix, keys, k)
             for batch in batches if ids else ():
                 for at in range(0, batch.num_rows, PRODUCT[1]):
                     part = batch.slice(at, PRODUCT[1])
-                    best.add(part.column("item_id").to_pylist(), _vectors(part.column("vector")), part.column("key").to_pylist())
+                    best.add(part.column("item_id").to_pylist(), _vectors(part.column("vector"), dims), keys_of(part))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(best.rows(ids), arrow, strict=True)], schema=arrow)
 
         found = items.mapInArrow(scan, schema)
     else:
-        wide, high = -(-items.count() // ITEM_BLOCK) or 1, -(-queries.count() // QUERY_BLOCK)
+        q_block, i_block = (max(1, min(n, BLOCK_BYTES // wide)) for n in (QUERY_BLOCK, ITEM_BLOCK))
+        across, high = -(-items.count() // i_block) or 1, -(-queries.count() // q_block)
         cell = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        left = queries.select("*", cell("query_id", high).cast("int").alias("y"), every(wide).alias("x"))
-        right = items.select("*", cell("item_id", wide).cast("int").alias("x"), every(high).alias("y"))
+        left = queries.select("*", cell("query_id", high).cast("int").alias("y"), every(across).alias("x"))
+        right = items.select("*", cell("item_id", across).cast("int").alias("x"), every(high).alias("y"))
 
         def meet(q: pa.Table, rows: pa.Table) -> pa.Table:
             if not q.num_rows or not rows.num_rows:
                 return arrow.empty_table()
-            best = _Best(_vectors(q.column("qvec").combine_chunks()), q.column("key").to_pylist(), k)
+            best = _Best(_vectors(q.column("qvec").combine_chunks(), dims), keys_of(q), k)
             for at in range(0, rows.num_rows, PRODUCT[1]):
                 part = rows.slice(at, PRODUCT[1])
-                best.add(part.column("item_id").to_pylist(), _vectors(part.column("vector").combine_chunks()), part.column("key").to_pylist())
+                best.add(part.column("item_id").to_pylist(), _vectors(part.column("vector").combine_chunks(), dims), keys_of(part))
             return pa.table([pa.array(c, f.type) for c, f in zip(best.rows(q.column("query_id").to_pylist()), arrow, strict=True)], schema=arrow)
 
         found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, schema)

@@ -11,6 +11,7 @@ from memlake.operators import chat
 from memlake.operators import chunks as ck
 from memlake.operators import retrieval as rt
 from memlake.operators import stats
+from memlake.operators.steps import cut
 from memlake.plans import cycle
 from memlake.plans import inputs as i
 from memlake.plans.inputs import CHUNKS, PAIR_TEXT, PAIRS, WORDS, strip
@@ -74,7 +75,7 @@ _VROUTE = "CASE vec_id // 100 % 5 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'PROCEDURAL'
 _HITS = f"""{CHUNKS}, {_POLICY}, {_VECTORS}, q AS (SELECT vec_id AS query_id, v, CAST(greatest(0, ceil(6 * retrieval_multiplier)) AS INTEGER) AS per_source_k, p.* FROM vectors JOIN policy p ON route = {_VROUTE} WHERE vec_id % 100 = 0),
  h0 AS (SELECT query_id, CASE WHEN label % 4 = 0 THEN 'daily' ELSE 'ltm' END AS source, vec_id, {_IP} AS ip, per_source_k, min_score, max_keep, expansion_before, expansion_after FROM vectors i, q),
  h1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY ip DESC, vec_id) AS hit_rank FROM h0),
- hits AS (SELECT query_id, source, vec_id // 4 AS doc_id, CAST(vec_id % 4 AS INTEGER) AS chunk_index, 'v' || vec_id AS chunk, round((greatest(-1, least(1, 2 * ip)) + 1) / 2, 2) AS score, hit_rank, min_score, max_keep, expansion_before, expansion_after FROM h1 WHERE hit_rank <= per_source_k),
+ hits AS (SELECT query_id, source, vec_id // 4 AS doc_id, CAST(vec_id % 4 AS INTEGER) AS chunk_index, coalesce((SELECT c.chunk FROM chunks c WHERE c.doc_id = vec_id // 4 AND c.chunk_index = vec_id % 4), 'v' || vec_id) AS chunk, round((greatest(-1, least(1, 2 * ip)) + 1) / 2, 2) AS score, hit_rank, min_score, max_keep, expansion_before, expansion_after FROM h1 WHERE hit_rank <= per_source_k),
  ord AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE source WHEN 'daily' THEN 0 ELSE 1 END, hit_rank, doc_id, chunk_index) - 1 AS pos FROM hits),
  gated AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS rn0 FROM ord WHERE score > min_score),
  bon AS (SELECT *, CASE WHEN lag(doc_id) OVER w = doc_id AND abs(chunk_index - lag(chunk_index) OVER w) = 1 THEN 1 ELSE 0 END AS bonus FROM gated WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
@@ -95,8 +96,11 @@ def _hits(s, d):
     search = lambda cond, name: rt.top_k(q, v.where(cond), 15).withColumn("source", F.lit(name))
     hits = search(daily, "daily").unionByName(search(~daily, "ltm")).join(q.select("query_id", "per_source_k", "min_score", "max_keep", "expansion_before", "expansion_after"), "query_id").where(F.col("hit_rank") <= F.col("per_source_k"))
     item = F.col("item_id")
-    rows = hits.withColumns({"doc_id": F.floor(item / 4), "chunk_index": (item % 4).cast("int"), "chunk": F.concat(F.lit("v"), item.cast("string")), "score": F.round(vx.cosine_to_01(2 * F.col("ip")), 2)})
-    return rows, ck.chunk(i.documents(s, d), 600, 80)
+    rows = cut(hits.withColumns({"doc_id": F.floor(item / 4), "chunk_index": (item % 4).cast("int"), "score": F.round(vx.cosine_to_01(2 * F.col("ip")), 2)}))
+    # Only documents with a hit are cut into chunks: for the hits' own texts and their neighbours'.
+    near = cut(ck.chunk(i.documents(s, d).join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), 600, 80))
+    own = near.select("doc_id", "chunk_index", "chunk")
+    return rows.join(own, ["doc_id", "chunk_index"], "left").withColumn("chunk", F.coalesce("chunk", F.concat(F.lit("v"), item.cast("string")))), near
 
 
 def _kept(s, d):

@@ -82,6 +82,8 @@ def consolidated_questions(log: DataFrame, path: str, checkpoint: str) -> Stream
         aside = f"{path.rstrip('/')}_batches/{number}"
         kept.write.mode("overwrite").parquet(aside)
         spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_batches")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -97,24 +99,114 @@ def appended_chunks(documents: DataFrame, path: str, checkpoint: str, size: int,
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("project_id").trigger(availableNow=True).start()
 
 
-def turn_totals(invocations: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The rollup of each turn (see ``telemetry.turn_rollup``); a turn comes out once the watermark has passed its hour.
+TURN = "run_id string, turn_id long, invocations long, main_count long, helper_count long, main_total long, helper_prompt long, helper_completion long, provider_tokens long, estimated_tokens long, zero_tokens long, main_ttlt_ms long, turn_total long, turn_usage_source string"
+_CALL = ("invocation_id", "purpose", "total_tokens", "prompt_tokens", "completion_tokens", "usage_source", "ttlt_ms")
+_CALL_STATE = T.StructType([T.StructField(n, T.StringType() if n in ("purpose", "usage_source") else T.LongType()) for n in ("turn_id", "at", *_CALL)])
 
-    Repeated invocations count once.
+
+def _rollup(run: str, turn: int, calls: list[tuple]) -> tuple:
+    """The numbers of ``telemetry.turn_rollup`` for the calls of one turn."""
+    rows = [dict(zip(_CALL, c[2:], strict=True)) for c in calls]
+    main, rest = [r for r in rows if r["purpose"] == "main"], [r for r in rows if r["purpose"] != "main"]
+    total = lambda part, name: int(sum(r[name] or 0 for r in part))
+    source = {s: total([r for r in rows if r["usage_source"] == s], "total_tokens") for s in ("provider", "estimate", "zero_fallback")}
+    last = max(main, key=lambda r: r["invocation_id"])["ttlt_ms"] if main else None
+    used = "estimate" if source["estimate"] > 0 else "zero_fallback" if source["zero_fallback"] > 0 else "provider"
+    known, prompt = total(main, "total_tokens"), total(rest, "prompt_tokens")
+    return run, turn, len(rows), len(main), len(rest), known, prompt, total(rest, "completion_tokens"), source["provider"], source["estimate"], source["zero_fallback"], last, known + prompt, used
+
+
+class Turns(StatefulProcessor):
+    """Keeps the calls of a run's open turn; a turn comes out when the next one begins, or when its timer fires.
+
+    Repeated calls count once.  Calls of a turn that has come out are dropped.  State is
+    one turn's calls a run and the number of the last turn, and goes with a second timer.
+    """
+
+    def __init__(self, idle_ms: int, keep_ms: int):
+        self._idle, self._keep = idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._calls = handle.getListState("calls", _CALL_STATE)
+        self._last = handle.getValueState("last", T.StructType([T.StructField("turn_id", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        calls = [tuple(c) for c in self._calls.get()]
+        last = self._last.get()[0] if self._last.exists() else None
+        frame = pd.concat(rows).sort_values(["ts", "invocation_id"])
+        seen, out = {c[2] for c in calls}, []
+        at = frame["ts"].astype("datetime64[ms]").astype("int64")
+        for turn, ms, *call in zip(frame["turn_id"], at, *(frame[c] for c in _CALL), strict=True):
+            turn = int(turn)
+            if calls and turn > calls[0][0]:
+                last = calls[0][0]
+                out.append(_rollup(key[0], last, calls))
+                calls, seen = [], set()
+            if (last is not None and turn <= last) or (calls and turn < calls[0][0]) or call[0] in seen:
+                continue
+            seen.add(call[0])
+            calls.append((turn, int(ms), *(x if isinstance(x, str) else None if pd.isna(x) else int(x) for x in call)))
+        self._store(calls, last)
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        # Whatever the batch held, the open turn waits from its newest call on.
+        self._handle.registerTimer((max(c[1] for c in calls) if calls else int(at.max())) + (self._idle if calls else self._keep))
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in TURN.split(", ")])
+
+    def _store(self, calls: list[tuple], last: int | None) -> None:
+        if calls:
+            self._calls.put(calls)
+        else:
+            self._calls.clear()
+        if last is not None:
+            self._last.update((last,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        calls = [tuple(c) for c in self._calls.get()]
+        if calls:
+            self._store([], calls[0][0])
+            self._handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self._keep)
+            yield pd.DataFrame([_rollup(key[0], calls[0][0], calls)], columns=[f.split()[0] for f in TURN.split(", ")])
+        else:
+            self._last.clear()  # a run that has been silent for so long is forgotten
+
+    def close(self) -> None:
+        pass
+
+
+def turn_totals(invocations: DataFrame, late: str = "10 minutes", idle_ms: int = 3_600_000, keep_ms: int = 86_400_000) -> DataFrame:
+    """The rollup of each turn (see ``telemetry.turn_rollup``), once, however many hours it lasts.
+
+    A turn closes when its run's next turn begins or ``idle_ms`` of event time after its last
+    call; a run's last turn number is kept for ``keep_ms`` more.  Numbers are longs.
     """
-    once = invocations.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "turn_id", "invocation_id"])
-    return tm.turn_rollup(once, F.window("ts", "1 hour").alias("hour")).drop("hour")
+    columns = ["run_id", "turn_id", "ts", *_CALL]
+    kinds = {"run_id": "string", "purpose": "string", "usage_source": "string", "ts": "timestamp"}
+    rows = invocations.select(*(F.col(c).cast(kinds.get(c, "long")).alias(c) for c in columns)).withWatermark("ts", late)
+    return rows.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Turns(idle_ms, keep_ms), outputStructType=TURN, outputMode="Append", timeMode="EventTime")
 
 
 class Screen(StatefulProcessor):
-    """Telemetry events with verdicts, as ``telemetry.screen_calls`` gives them, over batches."""
+    """Telemetry events with verdicts, as ``telemetry.screen_calls`` gives them, over batches.
+
+    With ``idle_ms``, a run that has been silent for so long is over: its calls go and a
+    tombstone stays, for which every further event is late; so does an ended run's.  After
+    ``keep_ms`` more the tombstone goes too.
+    """
+
+    def __init__(self, idle_ms: int | None = None, keep_ms: int = 0):
+        self._idle, self._keep = idle_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._run = handle.getValueState("run", T.StructType([T.StructField("top", T.LongType()), T.StructField("over", T.BooleanType())]))
         self._calls = handle.getMapState("calls", T.StructType([T.StructField("invocation_id", T.LongType())]), T.StructType([T.StructField("ended", T.BooleanType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         top, over = self._run.get() if self._run.exists() else (None, False)
+        was_over = over
         frame = pd.concat(rows).sort_values("arrival")
         verdicts = []
         for kind, turn, call in zip(frame["kind"], frame["turn_id"], frame["invocation_id"], strict=True):
@@ -140,14 +232,35 @@ class Screen(StatefulProcessor):
         self._run.update((top, over))
         if over:
             self._calls.clear()  # nothing counts any more
+        if self._idle is not None and not was_over:
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            newest = int(frame["ts"].astype("datetime64[ms]").astype("int64").max())
+            self._handle.registerTimer(newest + (self._keep if over else self._idle))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._run.exists() and not self._run.get()[1]:
+            self._run.update((self._run.get()[0], True))
+            self._calls.clear()
+            self._handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self._keep)
+        else:
+            self._run.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def screened(events: DataFrame) -> DataFrame:
-    """Stream of telemetry events to rows (run_id, arrival, kind, verdict); a batch's events are in order of arrival."""
-    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Screen(), outputStructType="run_id string, arrival long, kind string, verdict string", outputMode="Append", timeMode="None")
+def screened(events: DataFrame, idle_ms: int | None = None, keep_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """Stream of telemetry events to rows (run_id, arrival, kind, verdict); a batch's events are in order of arrival.
+
+    With ``idle_ms``, events have a time ``ts``, and state of runs that never end goes (see :class:`Screen`).
+    """
+    schema = "run_id string, arrival long, kind string, verdict string"
+    if idle_ms is None:
+        return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Screen(), outputStructType=schema, outputMode="Append", timeMode="None")
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Screen(idle_ms, keep_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def appended_telemetry(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

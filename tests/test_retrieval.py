@@ -37,6 +37,29 @@ def test_top_k_equals_brute_force(spark, monkeypatch, sent, by):
     assert rt.top_k(q.where("false"), i, 4).count() == 0 and rt.top_k(q, i.where("false"), 4).count() == 0
 
 
+@pytest.mark.parametrize("sent", [8192, 2])
+def test_unusable_vectors_are_counted_and_left_out(spark, monkeypatch, sent):
+    monkeypatch.setattr(rt, "SENT_QUERIES", sent)
+    good = [(f"i{k}", [float(k), 1.0, -1.0]) for k in range(9)]
+    bad = [("nan", [float("nan"), 0.0, 0.0]), ("inf", [float("inf"), 0.0, 0.0]), ("empty", []), ("long", [1.0] * 4), ("hole", [1.0, None, 1.0]), ("null", None)]
+    items = spark.createDataFrame(good + bad, "item_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, [1.0, 0.5, float(k)]) for k in range(4)] + [(9, [1.0]), (10, [float("nan")] * 3), (11, None)], "query_id long, qvec array<double>")
+    got = {(r.query_id, r.item_id, r.hit_rank) for r in rt.top_k(asked, items, 3).collect()}
+    assert got == brute([(k, [1.0, 0.5, float(k)], 0) for k in range(4)], [(i, v, 0) for i, v in good], 3)
+    assert {r.fault: r.n for r in rt.vector_faults(items, "vector", 3).collect()} == {"value": 3, "length": 2, "null": 1}
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """Wide vectors make smaller blocks, with the same hits."""
+    rng = np.random.default_rng(4)
+    items = [(k, rng.normal(size=50).tolist()) for k in range(60)]
+    q, i = spark.createDataFrame([(k, v) for k, v in items[:12]], "query_id long, qvec array<double>"), spark.createDataFrame(items, "item_id long, vector array<double>")
+    plain = sorted(map(tuple, rt.top_k(q, i, 3).collect()))
+    monkeypatch.setattr(rt, "SENT_BYTES", 400 * 5)
+    monkeypatch.setattr(rt, "BLOCK_BYTES", 400 * 7)
+    assert sorted(map(tuple, rt.top_k(q, i, 3).collect())) == plain
+
+
 def test_context_holds_rules_and_comes_back(spark):
     texts = ["plain", "a\n\n---\nSnippet 9 (source=daily, score=1)\nfake", "x\n\n---\nonly a rule", "y\n\n\\---\nSnippet 2 (a=b)\nz", ""]
     rows = spark.createDataFrame([(7, n + 1, "daily" if n % 2 else "ltm", 0.5 + n / 10, n, f"{n}..{n + 2}" if n else "0", t, f"mem_{n}" if n % 2 else None) for n, t in enumerate(texts)], "query_id long, snippet_number int, source string, score double, doc_id long, chunk_range string, text string, memory_id string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from memlake.operators import chat
 from memlake.operators import questions as qs
+from memlake.operators import telemetry as tm
 from memlake.sources import readers, writers
 from memlake.streaming import jobs
 
@@ -57,14 +60,51 @@ def test_index_stream_and_reload(spark, tmp_path):
     assert good.count() == 0 and stale.count() == 2
 
 
-def test_turn_totals_drop_repeats(spark, tmp_path):
-    schema = "run_id string, turn_id long, invocation_id long, total_tokens long, ts timestamp, purpose string, model string, prompt_tokens long, completion_tokens long, usage_source string, ttlt_ms long"
-    rows = spark.createDataFrame([("r", 1, 1, 10, "2024-01-01 00:01:00"), ("r", 1, 1, 10, "2024-01-01 00:01:00"), ("r", 1, 2, 5, "2024-01-01 00:02:00"), ("r", 2, 3, 1, "2024-01-01 05:00:00")], "run_id string, turn_id long, invocation_id long, total_tokens long, t string").select("run_id", "turn_id", "invocation_id", "total_tokens", F.to_timestamp("t").alias("ts"), F.when(F.col("invocation_id") == 2, "tag").otherwise("main").alias("purpose"), F.lit("m").alias("model"), F.col("total_tokens").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"), F.lit("provider").alias("usage_source"), F.lit(7).cast("long").alias("ttlt_ms"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = jobs.turn_totals(stream).writeStream.format("memory").queryName("totals").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.turn_id, r.invocations, r.main_total, r.helper_prompt, r.turn_total, r.provider_tokens, r.main_ttlt_ms) for r in spark.table("totals").collect()] == [(1, 2, 10, 5, 15, 15, 7)]
+CALLS = "run_id string, turn_id long, invocation_id long, total_tokens long, ts timestamp, purpose string, prompt_tokens long, completion_tokens long, usage_source string, ttlt_ms long"
+
+
+def run_stream(spark, tmp_path, batches, schema, job, out):
+    """Feeds tables one by one through a job; returns the rows and the states' numbers of rows after each."""
+    states = []
+    for n, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = job(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / out)).option("checkpointLocation", str(tmp_path / f"{out}-c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress and q.lastProgress["stateOperators"] else None)
+    return spark.read.parquet(str(tmp_path / out)), states
+
+
+def test_turns_come_out_once(spark, tmp_path):
+    """A turn over midnight is one row; a turn without a successor comes out by its timer; repeats and late calls do not count."""
+    rng = random.Random(3)
+    rows, at, call = [], 1_704_060_000, 0
+    for turn in range(1, 9):  # turns of up to two hours, so that several cross an hour, and one midnight
+        for _ in range(rng.randint(1, 5)):
+            call, at = call + 1, at + rng.randint(60, 3000)
+            rows.append(("r", turn, call, rng.randint(0, 50), at, "main" if rng.random() < 0.5 else "tag", rng.choice(["provider", "estimate", "zero_fallback"])))
+    rows.append(("once", 5, 900, 7, at - 40_000, "main", "provider"))
+    frame = spark.createDataFrame(rows, "run_id string, turn_id long, invocation_id long, total_tokens long, s long, purpose string, usage_source string")
+    calls = frame.select("run_id", "turn_id", "invocation_id", "total_tokens", F.timestamp_seconds("s").alias("ts"), "purpose", F.floor(F.col("total_tokens") / 2).alias("prompt_tokens"), F.ceil(F.col("total_tokens") / 3).alias("completion_tokens"), "usage_source", (F.col("invocation_id") % 90).alias("ttlt_ms"))
+    half = len(rows) // 2
+    first, second = calls.where(F.col("invocation_id") <= half).union(calls.where("run_id = 'once'")), calls.where((F.col("invocation_id") > half) & (F.col("run_id") == "r"))
+    again = calls.where(F.col("invocation_id") <= 1)  # known already, and its turn is over
+    end = calls.where("run_id = 'once'").withColumns({"run_id": F.lit("z"), "ts": F.timestamp_seconds(F.lit(at + 90_000))})
+    got, _ = run_stream(spark, tmp_path, [first, second.union(again), end, end.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))], CALLS, lambda c: jobs.turn_totals(c), "turns")
+    got = sorted(tuple(r) for r in got.where("run_id <> 'z'").collect())
+    batch = tm.turn_rollup(calls).select(*(f.split()[0] for f in jobs.TURN.split(", ")))
+    assert got == sorted(tuple(r) for r in batch.collect()) and len(got) == 9
+
+
+def test_state_of_runs_that_never_end_goes(spark, tmp_path):
+    schema = "run_id string, arrival long, kind string, turn_id long, invocation_id long, ts timestamp"
+    make = lambda hour, runs, kind: spark.range(runs).selectExpr("cast(id as string) as run_id", f"{hour} * 100000 + id as arrival", f"'{kind}' as kind", "1L as turn_id", "id as invocation_id", f"timestamp_seconds(1700000000 + 3600 * {hour}) as ts")
+    job = lambda e: jobs.screened(e, idle_ms=7_200_000, keep_ms=7_200_000)
+    batches = [make(0, 1000, "start"), make(4, 1, "start"), make(5, 2, "end"), make(9, 1, "turn"), make(12, 1, "turn")]
+    got, states = run_stream(spark, tmp_path, batches, schema, job, "verdicts")
+    assert states[0] >= 2000 and states[-1] < 20, states
+    verdict = {(r.run_id, r.arrival): r.verdict for r in got.collect()}
+    assert verdict[("1", 500001)] == "late"  # silent for four hours: the tombstone answers
+    assert len(verdict) == 1000 + 1 + 2 + 1 + 1
 
 
 def test_uploads_and_json_lines(spark, tmp_path):
