@@ -198,8 +198,8 @@ def safe_relative(path: Column) -> Column:
 
 def compact_list(items: Column, cap: int = 2) -> Column:
     """Distinct without regard to case, order kept, at most ``cap``."""
-    kept = F.filter(F.transform(items, strip), lambda x: x != "")
-    return once(kept, lambda k: F.slice(F.filter(k, lambda x, i: F.array_position(F.transform(k, lambda y: F.lower(y)), F.lower(x)) == i + 1), 1, cap))
+    new = lambda done, x: (F.size(done) < cap) & (x != "") & ~F.exists(done, lambda y: F.lower(y) == F.lower(x))
+    return F.aggregate(F.transform(items, strip), F.array().cast("array<string>"), lambda done, x: F.when(new(done, x), F.concat(done, F.array(x))).otherwise(done))
 
 
 def public_tags(tags: Column) -> Column:

@@ -249,17 +249,37 @@ def regions_to_chunks(regions: DataFrame, size: int, overlap: int, text: str = "
     return rows.withColumn("fields", F.map_concat(F.map_filter(fields, lambda k, _: ~F.map_contains_key(kept, k)), kept)).drop("meta")
 
 
-def expand_entries(snippets: DataFrame, found: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Whole entry of each snippet: by path and id, else rebuilt from chunks, else its own text.
-
-    Adds ``expanded``, ``status`` and ``method``.  ``found`` has (artifact_path,
-    memory_id, text), ``rebuilt`` has (doc_id, text).
+def expand_entries(snippets: DataFrame, found: DataFrame, rebuilt: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Whole entry of each snippet by an ordered fallback of keyed lookups.
+
+    First the entry by (artifact_path, memory_id), then by the path in
+    ``source_document_id`` (what stands in front of ``::memory_id=``), then the document
+    rebuilt from its chunks, then the snippet's own text.  Paths that are absolute or climb
+    are no paths.  Adds ``expanded``, ``status`` (expanded, fallback, failed), ``method``
+    (artifact, source_document, chunks, original), ``reason`` (why no entry was found: path_unusable,
+    artifact_unknown, entry_not_found) and ``warning`` (path_mismatch where both paths are
+    there and differ).  ``found`` has (artifact_path, memory_id, text), ``rebuilt`` has
+    (doc_id, text), ``paths`` the artifact_path of every file, by default of those with entries.
     """
-    by_path = found.select("artifact_path", "memory_id", F.col("text").alias("entry_text"))
-    whole = rebuilt.select("doc_id", F.col("text").alias("doc_text"))
-    rows = snippets.join(by_path, ["artifact_path", "memory_id"], "left").join(whole, "doc_id", "left")
-    method = F.when(F.col("entry_text").isNotNull(), "artifact").when(F.col("doc_text").isNotNull(), "chunks").otherwise("original")
-    return rows.withColumn("method", method).withColumn("status", F.when(F.col("method") == "original", "unexpanded").otherwise("expanded")).withColumn("expanded", F.coalesce("entry_text", "doc_text", "text")).drop("entry_text", "doc_text")
+    if "source_document_id" not in snippets.columns:
+        snippets = snippets.withColumn("source_document_id", F.lit(None).cast("string"))
+    entry = found.groupBy("artifact_path", "memory_id").agg(F.min("text").alias("text"))
+    files = (paths if paths is not None else found).select("artifact_path").distinct()
+    behind = F.nullif(tx.strip(F.get(F.split("source_document_id", "::memory_id="), F.lit(0))), F.lit(""))
+    rows = snippets.withColumns({"_own": tx.safe_relative(F.col("artifact_path")), "_source": tx.safe_relative(behind)})
+    for path, text, known in (("_own", "_own_text", "_own_known"), ("_source", "_source_text", "_source_known")):
+        rows = rows.join(entry.select(F.col("artifact_path").alias(path), "memory_id", F.col("text").alias(text)), [path, "memory_id"], "left")
+        rows = rows.join(files.select(F.col("artifact_path").alias(path), F.lit(True).alias(known)), path, "left")
+    rows = rows.join(rebuilt.select("doc_id", F.col("text").alias("_doc_text")), "doc_id", "left")
+    miss = lambda path, known: F.when(F.col(path).isNull(), "path_unusable").when(F.col(known).isNull(), "artifact_unknown").otherwise("entry_not_found")
+    method = F.when(F.col("_own_text").isNotNull(), "artifact").when(F.col("_source_text").isNotNull(), "source_document").when(F.coalesce("_doc_text", F.lit("")) != "", "chunks").otherwise("original")
+    expanded = F.coalesce(tx.strip(F.col("_own_text")), tx.strip(F.col("_source_text")), F.nullif("_doc_text", F.lit("")), "text", F.lit(""))
+    rows = rows.withColumns({"method": method, "expanded": expanded})
+    status = F.when(F.col("method").isin("artifact", "source_document"), "expanded").when(F.col("expanded") != "", "fallback").otherwise("failed")
+    second = F.col("_source").isNotNull() & ~F.col("_source").eqNullSafe(F.col("_own"))
+    reason = F.when(~F.col("method").isin("artifact", "source_document"), F.when(second, miss("_source", "_source_known")).otherwise(miss("_own", "_own_known")))
+    rows = rows.withColumns({"status": status, "reason": reason, "warning": F.when(F.col("_own") != F.col("_source"), "path_mismatch")})
+    return rows.select(*snippets.columns, "method", "status", "expanded", "reason", "warning")
 
 
 def size_bounded(rows: DataFrame, text: str, most: int, notice: str = "\n[truncated]") -> DataFrame:

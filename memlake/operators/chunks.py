@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.functions import text as tx
+from memlake.operators.scans import MOST, Running, hot_groups, running, same_keys
+from memlake.operators.steps import cut
 
 
 class Embedder(Protocol):
@@ -82,11 +84,13 @@ def embed(rows: DataFrame, text: str, make: Callable[[], Embedder], vector: str
     return rows.mapInArrow(run, schema)
 
 
-def token_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str, budget: int) -> DataFrame:
+def token_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str, budget: int, most: int = MOST) -> DataFrame:
     """Batch number of each row: a new batch starts where the budget would be exceeded.
 
-    A running sum that resets is no window function; rows stream through a task in
-    order and one batch's sum is all that is held.
+    A batch that holds no token yet takes any row.  A running sum that resets is no window
+    function: rows of a group stream through a task in order and one batch's sum is all
+    that is held.  Groups of more than ``most`` rows are batched by :func:`_linked_batches`
+    instead, so that none is one task's work.
     """
     rows = rows.drop("batch_id")
     schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
@@ -105,7 +109,48 @@ def token_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str,
                 ids.append(number)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=schema.names)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    plain = lambda part: part.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    hot = hot_groups(rows, by, most)
+    if hot is None:
+        return plain(rows)
+    hot = cut(hot)
+    linked = _linked_batches(same_keys(rows, hot, by, "left_semi"), by, order, tokens, budget, most)
+    return plain(same_keys(rows, hot, by, "left_anti")).unionByName(linked)
+
+
+def _linked_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str, budget: int, most: int) -> DataFrame:
+    """The same numbers without a task a group.
+
+    With prefix sums, the row that would start the batch after one that starts here is
+    found by merging the sums with the sums at which budgets end, in one scan of both.
+    The true starts are those on the chain from the first row: each round doubles the
+    length of the links, and with them the starts known, so rounds grow with the logarithm
+    of a group's rows.
+    """
+    at = Running(sums={"_pos": F.lit(1), "_upto": F.col(tokens)}, inclusive=True)
+    placed = cut(running(rows, by, order[0], at, ties=tuple(order[1:]), most=most))
+    before = F.col("_upto") - F.col(tokens)
+    # Rows up to a sum come in front of the question that asks for it; it ends up with their number.
+    sums = placed.select(*by, F.col("_upto").alias("_sum"), F.lit(0).alias("_asks"), F.lit(None).cast("long").alias("_pos"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_before"))
+    asked = placed.select(*by, (before + budget).alias("_sum"), F.lit(1).alias("_asks"), "_pos", F.lit(0).alias("_one"), before.alias("_before"))
+    merged = running(sums.unionByName(asked), by, "_sum", Running(sums={"_fit": F.col("_one")}, inclusive=True), ties=("_asks",), most=most)
+    links = merged.where("_asks = 1").select(*by, "_pos", (F.col("_fit") + 1).alias("_next"), "_before")
+    # Where everything from here up to that row is empty, that row still fits, and the one behind it starts.
+    sum_before = placed.select(*by, F.col("_pos").alias("_next"), before.alias("_next_before"))
+    links = same_keys(links, sum_before, [*by, "_next"], "left").withColumn("_next", F.when(F.col("_next_before").isNull(), None).when(F.col("_next_before") > F.col("_before"), F.col("_next")).otherwise(F.col("_next") + 1))
+    links = cut(links.where("_next is not null").select(*by, "_pos", "_next"))
+    starts = cut(placed.where("_pos = 1").select(*by, "_pos"))
+    while True:
+        reached = same_keys(starts, links, [*by, "_pos"], "inner").select(*by, F.col("_next").alias("_pos"))
+        more = cut(starts.unionByName(reached).distinct())
+        if more.count() == starts.count():
+            break
+        starts = more
+        ahead = links.select(*by, F.col("_pos").alias("_next"), F.col("_next").alias("_after"))
+        links = cut(same_keys(links, ahead, [*by, "_next"], "inner").select(*by, "_pos", F.col("_after").alias("_next")))
+    marked = same_keys(placed, starts.withColumn("_start", F.lit(1)), [*by, "_pos"], "left")
+    numbered = running(marked, by, "_pos", Running(sums={"batch_id": F.coalesce("_start", F.lit(0))}, inclusive=True), most=most)
+    return numbered.withColumn("batch_id", F.col("batch_id") - 1).select(*rows.columns, "batch_id")
 
 
 def rebuild_text(chunks: DataFrame, by: list[str], index: str = "chunk_index", text: str = "chunk") -> DataFrame:

@@ -229,8 +229,8 @@ def prune(rows: DataFrame, column: str, how: Pruning | None = None, scorer: Scor
 
     ``result`` is a struct: original, changed, trimmed_side (none, front, end, both), matched
     prefixes of both sides, sentences removed in front, the span (start, stop) of the
-    original removed at the end, and whether a text was kept from becoming empty.  Null and
-    over-long texts pass as they are.
+    original removed at the end, whether a text was kept from becoming empty, and ``error``:
+    ``too_long`` for texts over the limit, which pass as they are, as nulls do.
     """
     how = how or Pruning()
     names = rows.columns
@@ -253,6 +253,7 @@ def prune(rows: DataFrame, column: str, how: Pruning | None = None, scorer: Scor
     result = F.struct(
         F.col("_original").alias("original"), (F.col("_take") & (front | end | (F.col(column) != F.col("_end")))).alias("changed"), side.alias("trimmed_side"), F.col("front_prefixes"), F.array_compact(F.array("end_prefix")).alias("end_prefixes"),
         F.size("front_prefixes").alias("front_units_removed"), F.when(end, F.struct(start.alias("start"), stop.alias("stop"))).alias("end_span_removed"), (F.col("front_blocked") | F.coalesce("end_blocked", F.lit(False))).alias("blocked_by_safety"),
+        F.when(F.col("_original").isNotNull() & ~F.col("_take"), "too_long").alias("error"),
     )
     return work.withColumn("result", result).withColumn(column, left).select(*names, "result")
 

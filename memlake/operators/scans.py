@@ -34,13 +34,13 @@ class Running:
     totals: dict[str, Column] = field(default_factory=dict)
 
 
-def _hot_groups(rows: DataFrame, by: list[str], most: int) -> DataFrame | None:
+def hot_groups(rows: DataFrame, by: list[str], most: int) -> DataFrame | None:
     """Groups of more than ``most`` rows, None if there is none."""
     hot = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*by)
     return None if hot.isEmpty() else hot
 
 
-def _same(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
     """Join on equal keys, where null equals null; the right keys go."""
     right = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
     on = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by]
@@ -53,14 +53,14 @@ def blocks_of(rows: DataFrame, by: list[str], order: str, most: int = MOST, bloc
     Quantiles of the order of the hot groups only are gathered (``blocks`` numbers a group)
     and written, so that both uses see the same.  Equal orders share a block.
     """
-    hot = _hot_groups(rows, by, most)
+    hot = hot_groups(rows, by, most)
     if hot is None:
         return None
     share = F.array(*(F.lit(k / blocks) for k in range(1, blocks)))
     keyed = rows.select(*by, F.col(order).alias("_order"))
-    edges = cut(_same(keyed, hot, by, "left_semi").groupBy(*by).agg(F.array_distinct(F.percentile_approx("_order", share, 10 * blocks)).alias("_edges")))
+    edges = cut(same_keys(keyed, hot, by, "left_semi").groupBy(*by).agg(F.array_distinct(F.percentile_approx("_order", share, 10 * blocks)).alias("_edges")))
     # Edges rise, so the number below an order is found by halving; the array is short.
-    placed = _same(rows, edges, by, "left")
+    placed = same_keys(rows, edges, by, "left")
     below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))
     return placed.withColumn("_block", F.greatest(below, F.lit(0))).drop("_edges")
 
@@ -91,7 +91,7 @@ def running(rows: DataFrame, by: list[str], order: str, want: Running, ties: tup
     carried = {f"_b_{n}": F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in want.sums} | {f"_b_{n}": F.max(f"_m_{n}").over(before) for n in want.maxima}
     carried |= {f"_b_{n}": F.lead(f"_f_{n}").over(order_) for n in want.leads} | {f"_b_{n}": F.lag(f"_l_{n}").over(order_) for n in want.lags} | {f"_t_{n}": F.sum(f"_s_{n}").over(all_) for n in want.totals}
     scanned = sums.select(*keys, *(e.alias(n) for n, e in carried.items()))
-    found = _same(frame.withColumns(local | edge), scanned, keys, "left")
+    found = same_keys(frame.withColumns(local | edge), scanned, keys, "left")
     final = {n: F.col(n) + F.col(f"_b_{n}") for n in want.sums} | {n: F.greatest(n, f"_b_{n}") for n in want.maxima}
     final |= {n: F.when(F.col("_last"), F.col(f"_b_{n}")["v"]).otherwise(F.col(n)) for n in want.leads} | {n: F.when(F.col("_first"), F.col(f"_b_{n}")["v"]).otherwise(F.col(n)) for n in want.lags}
     final |= {n: F.col(f"_t_{n}") for n in want.totals}

@@ -59,6 +59,39 @@ def retrieve(spark: SparkSession, documents: DataFrame, asked: DataFrame, pairs:
     return rt.collapse(rt.trim_overlap(rt.order_documents(rt.dedupe(rows)), settings.chunk_overlap, "n_text"), "n_text")
 
 
+#: Heading of a text's context, of a topic in it, what stands where nothing was found, and the route of topics.
+CONTEXT_HEAD, TOPIC_HEAD, NOTHING, TOPIC_ROUTE = "=== PROJECT RAG CONTEXT ===", "Topic Query: ", "(No relevant long-term memory found.)", "EXPLORATORY"
+
+
+def topic_context(spark: SparkSession, texts: DataFrame, documents: DataFrame, pairs: DataFrame, settings: Settings | None = None, policy: DataFrame | None = None) -> DataFrame:
+    """Context of every text (item_id, text) from the retrieval of each of its section topics, put together in order.
+
+    Topics are the titles and lists of :func:`text.section_topics`; all topics of all texts
+    are queries of one search.  Rows (item_id, topics, found, context): topics named, topics
+    with a hit, and the text; one without topics has only the heading.
+    """
+    named = cut(texts.select("item_id", F.posexplode_outer(tx.section_topics(tx.strip_open_questions(F.col("text")))).alias("at", "topic")))
+    # A query's id keeps its text and place apart, whatever their sizes.
+    asked = named.where("topic is not null").select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("at").cast("string")).alias("item_id"), F.col("topic").alias("text"))
+    hits = retrieve(spark, documents, asked, pairs, settings, policy, classify=lambda _: F.lit(TOPIC_ROUTE))
+    blocks = rt.context_block(hits.withColumn("score", F.round("score", 6))).select("query_id", "context")
+    keyed = named.withColumn("query_id", F.concat_ws(":", F.col("item_id").cast("string"), F.col("at").cast("string")))
+    part = F.when(F.col("context").isNotNull(), F.struct("at", F.concat(F.lit(TOPIC_HEAD), "topic", F.lit("\n"), "context", F.lit("\n")).alias("piece")))
+    rows = keyed.join(blocks, "query_id", "left").groupBy("item_id").agg(F.count("topic").alias("topics"), F.count("context").alias("found"), F.array_sort(F.collect_list(part)).alias("parts"))
+    body = F.array_join(F.transform("parts", lambda p: p["piece"]), "\n")
+    text = F.concat(F.lit(f"{CONTEXT_HEAD}\n"), F.when(F.col("topics") == 0, "").when(F.col("found") == 0, NOTHING + "\n").otherwise(F.concat(body, F.lit("\n"))))
+    return rows.select("item_id", "topics", "found", text.alias("context"))
+
+
+def latest_summary(summaries: DataFrame, items: DataFrame) -> DataFrame:
+    """Each project's summary (project_id, text) with the distinct research topics of its accepted items below it."""
+    topics = qs.research_topics(items).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_no", "topic"))), lambda t: F.concat(F.lit("Topic: "), t["topic"], F.lit("\n"))), "\n").alias("topics"))
+    base = tx.strip(F.coalesce("text", F.lit("")))
+    block = F.concat(F.lit("[RESEARCH]\n"), "topics")
+    rows = summaries.join(topics, "project_id", "full_outer")
+    return rows.select("project_id", F.when(F.col("topics").isNull(), base).when(base == "", block).otherwise(F.concat(base, F.lit("\n\n"), block)).alias("text"))
+
+
 @dataclass(frozen=True)
 class Cycle:
     """What one cycle of all projects makes; nothing is written until :func:`commit`."""

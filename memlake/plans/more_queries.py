@@ -81,7 +81,8 @@ def flt13(s, d):
 
 @query("flt14_has_content", rf"SELECT doc_id, doc_id % 2 = 1 AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*==='))) > 0 AS full_ FROM documents")
 def flt14(s, d):
-    body = F.concat(F.lit("=== HEAD\n \n=== TAIL"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("\n"), F.col("text"))).otherwise(""))
+    """Every line of the texts of even ids becomes a heading."""
+    body = F.concat(F.lit("=== HEAD\n \n=== TAIL\n"), F.when(F.col("doc_id") % 2 == 1, F.col("text")).otherwise(F.regexp_replace("text", "(?m)^", "=== ")))
     return table(s, d, "documents").select("doc_id", tx.has_content(body).alias("full_"))
 
 

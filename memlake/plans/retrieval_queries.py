@@ -216,10 +216,11 @@ def mem10(s, d):
 
 @query("mem13_topic_context")
 def mem13(s, d):
-    """Every topic of a text is a query of its own; one job answers all."""
-    topics = table(s, d, "benchmark").select("item_id", F.posexplode(tx.topics_list(F.col("text"))).alias("at", "topic"))
-    asked = topics.select((F.col("item_id") * 1_000_000 + F.col("at")).alias("item_id"), F.col("topic").alias("text"))
-    return rt.context_block(cycle.retrieve(s, i.documents(s, d), asked, i.pairs(s, d)).withColumn("score", F.round("score", 6)))
+    """Every text's words are section titles and topics; one job answers all topics of all texts."""
+    w = tx.words(F.col("text"))
+    summary = F.concat(F.lit("=== TOPIC: "), F.array_join(F.slice(w, 1, 6), " "), F.lit(" ===\n#topics: "), F.array_join(F.slice(w, 7, 3), " "), F.lit(", "), F.array_join(F.slice(w, 10, 100), " "), F.lit("\n"))
+    texts = table(s, d, "benchmark").select("item_id", summary.alias("text"))
+    return cycle.topic_context(s, texts, i.documents(s, d), i.pairs(s, d))
 
 
 # -- artifacts: documents rendered from the pairs, then parsed back -----------------------
@@ -266,12 +267,14 @@ def mem5(s, d):
     return ar.metadata(found, ["project_id", "memory_id"]).select("project_id", "memory_id", "key", F.array_join("values", "|").alias("vals"), "list")
 
 
-@query("mem5_warnings", "SELECT doc_id, CAST(2 AS INTEGER) AS line, 'fence' AS kind FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CAST(5 AS INTEGER), 'no_colon' FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, CAST(7 AS INTEGER), 'empty_key' FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'open_fence' FROM documents WHERE doc_id % 3 = 2")
+@query("mem5_warnings", r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))), ' ') AS x, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS i FROM documents WHERE doc_id % 5 <> 0)
+ SELECT doc_id, CAST(4 + i AS INTEGER) AS line, CASE WHEN instr(x, ':') = 0 THEN 'no_colon' ELSE 'empty_key' END AS kind FROM l WHERE x <> '' AND NOT starts_with(x, '- ') AND (instr(x, ':') = 0 OR trim(split_part(x, ':', 1), ' ') = '')
+ UNION ALL SELECT doc_id, CAST(2 AS INTEGER), CASE WHEN doc_id % 5 = 0 THEN 'fence' ELSE 'open_fence' END FROM documents WHERE doc_id % 5 < 2""")
 def mem5_warnings(s, d):
-    n, first = F.col("doc_id") % 3, F.get(F.split("text", "\n"), F.lit(0))
-    word = F.regexp_replace(first, "[^A-Za-z]", "x")
-    block = F.when(n == 0, "\n```json\n```").when(n == 1, F.concat(F.lit("\n```yaml\n"), word, F.lit("\nflag: TRUE\n: none\n```"))).otherwise("\n```yaml\na: b")
-    rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("## head\n### Metadata\n"), block).alias("text"))
+    """Every line of a text is a metadata line; some blocks have another fence, some none at the end."""
+    n = F.col("doc_id") % 5
+    block = F.concat(F.when(n == 0, "```json\n").otherwise("```yaml\n"), "text", F.when(n == 1, "").otherwise("\n```"))
+    rows = table(s, d, "documents").select("doc_id", F.concat(F.lit("## head\n### Metadata\n\n"), block).alias("text"))
     return ar.metadata_warnings(rows, ["doc_id"])
 
 
@@ -319,23 +322,32 @@ def agg14(s, d):
 
 
 def _expanded(s, d):
+    """Snippets of which some have a path that climbs, some another path in their document's id, and some an unknown entry."""
     found = ar.entries(_artifacts(s, d), ["project_id"], "content").select(F.col("project_id").alias("artifact_path"), "memory_id", "text")
     docs = i.documents(s, d).select("doc_id", "text")
-    snippets = _entries(s, d).select(F.col("project_id").alias("artifact_path"), F.when(F.col("pair_no") % 2 == 1, F.col("memory_id")).otherwise("missing").alias("memory_id"), (F.col("project_id").cast("long") * 7).alias("doc_id"), F.lit("own").alias("text"))
+    n, own = F.col("pair_no"), F.col("project_id")
+    snippets = _entries(s, d).select(
+        "pair_no", "project_id", F.when(n % 3 == 0, F.concat(F.lit("../"), own)).otherwise(own).alias("artifact_path"), F.concat(F.when(n % 4 == 0, F.concat(F.lit("other/"), own)).otherwise(own), F.lit("::memory_id=x")).alias("source_document_id"),
+        F.when(n % 2 == 1, F.col("memory_id")).otherwise("missing").alias("memory_id"), (own.cast("long") * 7).alias("doc_id"), F.lit("own").alias("text"),
+    )
     return ar.expand_entries(snippets, found, docs)
 
 
-_METHOD = "CASE WHEN pair_no % 2 = 1 THEN 'artifact' WHEN CAST(project_id AS BIGINT) * 7 IN (SELECT doc_id FROM documents) THEN 'chunks' ELSE 'original' END"
+_METHOD = "CASE WHEN pair_no % 2 = 1 THEN CASE WHEN pair_no % 3 = 0 THEN 'source_document' ELSE 'artifact' END WHEN CAST(project_id AS BIGINT) * 7 IN (SELECT doc_id FROM documents WHERE text <> '') THEN 'chunks' ELSE 'original' END"
 
 
-@query("join8_entry_expansion", f"WITH {PAIRS} SELECT project_id AS artifact_path, {_METHOD} AS method FROM pairs")
+@query("join8_entry_expansion", f"WITH {PAIRS} SELECT project_id, pair_no, {_METHOD} AS method, CASE WHEN pair_no % 2 = 1 THEN NULL WHEN pair_no % 4 = 0 THEN 'artifact_unknown' ELSE 'entry_not_found' END AS reason, CASE WHEN pair_no % 4 = 0 AND pair_no % 3 > 0 THEN 'path_mismatch' END AS warning FROM pairs")
 def join8(s, d):
-    return _expanded(s, d).select("artifact_path", "method")
+    return _expanded(s, d).select("project_id", "pair_no", "method", "reason", "warning")
 
 
-@query("agg13_expansion_summary", f"WITH {PAIRS}, m AS (SELECT {_METHOD} AS method, CAST(project_id AS BIGINT) * 7 AS doc_id FROM pairs) SELECT CASE WHEN method = 'original' THEN 'unexpanded' ELSE 'expanded' END AS status, method, count(*) AS n FROM m GROUP BY ALL")
+_LENGTH = "CASE WHEN method IN ('artifact', 'source_document') THEN NULL WHEN method = 'original' THEN 3 ELSE (SELECT length(text) FROM documents t WHERE t.doc_id = m.doc_id) END"
+
+
+@query("agg13_expansion_summary", f"WITH {PAIRS}, m AS (SELECT {_METHOD} AS method, CAST(project_id AS BIGINT) * 7 AS doc_id FROM pairs) SELECT CASE WHEN method IN ('chunks', 'original') THEN 'fallback' ELSE 'expanded' END AS status, method, count(*) AS n, count(*) FILTER (WHERE {_LENGTH} > 2000) AS truncated FROM m WHERE method IN ('chunks', 'original') GROUP BY ALL")
 def agg13(s, d):
-    return stats.expansion_summary(_expanded(s, d).withColumn("truncated", F.char_length("expanded") > 2000)).drop("truncated")
+    rows = _expanded(s, d).where("status = 'fallback'").withColumn("truncated", F.char_length("expanded") > 2000)
+    return stats.expansion_summary(rows)
 
 
 @query("ord6_size_bounded")

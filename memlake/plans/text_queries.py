@@ -158,9 +158,9 @@ def ord5(s, d):
     return table(s, d, "documents").select("doc_id", tx.trim_to_tokens(F.col("text"), 50).alias("v"))
 
 
-@query("ord7_compact_list", f"WITH w AS (SELECT item_id, unnest({W(x='text')}) AS w, generate_subscripts({W(x='text')}, 1) AS spot FROM benchmark), f AS (SELECT item_id, lower(w) AS k, arg_min(w, spot) AS w, min(spot) AS spot FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY spot) AS n FROM f) SELECT item_id, string_agg(w, ',' ORDER BY n) AS kinds FROM r WHERE n <= 2 GROUP BY item_id")
+@query("ord7_compact_list", f"WITH w AS (SELECT doc_id, unnest({W(x='text')}) AS w, generate_subscripts({W(x='text')}, 1) AS spot FROM documents), f AS (SELECT doc_id, lower(w) AS k, arg_min(w, spot) AS w, min(spot) AS spot FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS n FROM f) SELECT doc_id, string_agg(w, ',' ORDER BY n) AS kinds FROM r WHERE n <= 2 GROUP BY doc_id")
 def ord7(s, d):
-    return table(s, d, "benchmark").select("item_id", F.array_join(tx.compact_list(tx.words(F.col("text"))), ",").alias("kinds")).where("kinds <> ''")
+    return table(s, d, "documents").select("doc_id", F.array_join(tx.compact_list(tx.words(F.col("text"))), ",").alias("kinds")).where("kinds <> ''")
 
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -172,14 +172,17 @@ def vec1(s, d):
     return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("head"))
 
 
-@query("vec2_cosine01", "SELECT vec_id, round((greatest(-1.0, least(1.0, CAST(embedding[1] AS DOUBLE) * 3)) + 1) / 2, 6) AS v FROM embeddings")
+_PLACES = "SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings"
+
+
+@query("vec2_cosine01", f"SELECT vec_id, CAST(place AS INTEGER) AS place, round((greatest(-1.0, least(1.0, CAST(e AS DOUBLE) * 3)) + 1) / 2, 6) AS v FROM ({_PLACES})")
 def vec2(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.round(vx.cosine_to_01(F.get("embedding", F.lit(0)).cast("double") * 3), 6).alias("v"))
+    return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "e")).select("vec_id", "place", F.round(vx.cosine_to_01(F.col("e").cast("double") * 3), 6).alias("v"))
 
 
-@query("vec3_l2_cosine", "SELECT vec_id, round(CASE WHEN x >= 0 THEN greatest(greatest(0.0, least(1.0, 1 - x * x / 2)), greatest(0.0, least(1.0, 1 - x / 2))) ELSE 0.0 END, 6) AS v FROM (SELECT vec_id, CAST(embedding[2] AS DOUBLE) * 4 AS x FROM embeddings)")
+@query("vec3_l2_cosine", f"SELECT vec_id, CAST(place AS INTEGER) AS place, round(CASE WHEN x >= 0 THEN greatest(greatest(0.0, least(1.0, 1 - x * x / 2)), greatest(0.0, least(1.0, 1 - x / 2))) ELSE 0.0 END, 6) AS v FROM (SELECT vec_id, place, CAST(e AS DOUBLE) * 4 AS x FROM ({_PLACES}))")
 def vec3(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.round(vx.cosine_from_l2(F.get("embedding", F.lit(1)).cast("double") * 4), 6).alias("v"))
+    return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "e")).select("vec_id", "place", F.round(vx.cosine_from_l2(F.col("e").cast("double") * 4), 6).alias("v"))
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memlake.operators import chunks as ck
 from memlake.operators import scans
 
 
@@ -44,3 +45,23 @@ def test_a_hot_group_is_spread(spark, rows):
 
 def test_empty(spark, rows):
     assert scans.running(rows.where("false"), ["k"], "at", scans.Running(sums={"s": F.col("v")}), most=0).count() == 0
+
+
+def loop_batches(tokens, budget):
+    out, used, number = [], 0, 0
+    for k, n in enumerate(tokens):
+        if k and used + n > budget and used:
+            number, used = number + 1, 0
+        used += n
+        out.append(number)
+    return out
+
+
+def test_linked_batches_equal_the_loop(spark):
+    rng = random.Random(8)
+    groups = {f"g{k}": [rng.choice([0, 0, 1, 3, 7, 20, 60]) for _ in range(rng.randint(1, 400))] for k in range(4)} | {"zeros": [0] * 60 + [99, 0, 99], "one": [500]}
+    rows = spark.createDataFrame([(g, k * 2, n) for g, ns in groups.items() for k, n in enumerate(ns)], "g string, at long, tokens long")
+    want = {(g, k * 2): b for g, ns in groups.items() for k, b in enumerate(loop_batches(ns, 25))}
+    for most in (10**6, 50, 0):
+        got = {(r.g, r.at): r.batch_id for r in ck.token_batches(rows, ["g"], ["at"], "tokens", 25, most=most).collect()}
+        assert got == want
