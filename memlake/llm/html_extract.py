@@ -25,6 +25,13 @@ A host's first page is judged by that alone, the tree decides more with each pag
 there is no switch.  Branches below ``LEAST`` are removed from each page, inside articles
 too; a page with nothing above it keeps what comes within ``LEAST`` of its best.
 
+Reader comments vary as articles do.  They are told by a second presentation, that of
+sibling elements of one name, all positions taken together (a *row*): a row is removed
+from every page of its host if at least ``ROW_PAGES`` pages have it, it does repeat there, most
+of its elements have the same children, what stands in front of it is more main text than
+it holds, and next to none stands behind it.  Paragraphs, headings and parts of tables are
+no rows; a host's first pages have none.
+
 The tree is never built in one place: pages emit their nodes, copies of a page once, and
 counts are combined before the shuffle.  A host is reduced to its nodes of low importance.
 The join back to the pages may be split by AQE, so a host with a third of all pages is no
@@ -41,6 +48,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +61,8 @@ from pyspark.sql import types as T
 from memlake.llm.storage import bounded_batches, materialize, workspace
 
 PRIOR, CONTENT_PRIOR, LEAST, DAMPED = 8, 1, 0.5, 0.1
+#: Pages that must have a row, share of its elements that have equal children, and main text behind it against that in front.
+ROW_PAGES, ROW_SAME, ROW_BEHIND = 3, 0.6, 0.1
 #: The tree of all hosts, in place of a host's hash.
 ALL = 0
 #: Kinds of HTML elements.
@@ -62,6 +72,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NAMED = frozenset("nav footer aside form dialog menu fieldset".split())
 NEVER = frozenset("head audio video map frameset noframes".split())
 MAIN = frozenset(("article", "main"))
+ROWS = frozenset(("div", "li", "section", "dd"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form comment".split())
@@ -78,13 +89,15 @@ _hash = xxhash.xxh3_64_intdigest
 
 
 class _Node:
-    __slots__ = ("tag", "path", "above", "hidden", "named", "main", "kids", "equal", "texts")
+    __slots__ = ("tag", "path", "above", "hidden", "named", "main", "kids", "equal", "texts", "rows")
 
-    def __init__(self, tag: str, path: int, above: int, hidden: bool, named: bool, main: bool):
+    def __init__(self, tag: str, path: int, above: int, hidden: bool, named: bool, main: bool, rows: tuple[int, ...] = ()):
         self.tag, self.path, self.above, self.hidden, self.named, self.main = tag, path, above, hidden, named, main
         self.kids: list[str] = []
         self.equal: dict[str, int] = {}
         self.texts: list[str] = []
+        #: Rows of siblings that the element stands in, its own last.
+        self.rows = rows
 
 
 def _read(attrs: str) -> tuple[str, bool, bool]:
@@ -161,7 +174,7 @@ def walk(page: str) -> tuple[list[_Node], list[tuple[_Node, str]], bool]:
         named |= tag in NAMED or (tag == "header" and not top.main) or (tag == "article" and top.main and any(n.tag == "article" for n in stack))
         if tag in ("html", "body"):
             hidden = named = False
-        node = _Node(tag, _hash(f"{top.path}/{name}/{nth}"), top.path, top.hidden or hidden or tag in NEVER, top.named or named, top.main or main)
+        node = _Node(tag, _hash(f"{top.path}/{name}/{nth}"), top.path, top.hidden or hidden or tag in NEVER, top.named or named, top.main or main, (*top.rows, _hash(f"{top.path}|{name}")) if tag in ROWS else top.rows)
         has_main |= main and not node.hidden and not node.named
         if m["attrs"].endswith("/") and tag not in ("p", "div"):
             continue
@@ -180,12 +193,33 @@ def prior(node: _Node, has_main: bool) -> float:
 def chosen(page: str, low: dict[int, float] | None) -> str:
     """Main text of a page: blocks of importance ``LEAST`` or more, or its best ones; without ``low`` by HTML alone."""
     _, blocks, has_main = walk(page)
-    worth = [prior(n, has_main) if low is None else low.get(n.path, 1.0) for n, _ in blocks]
+    worth = [prior(n, has_main) if low is None else min(low.get(x, 1.0) for x in (n.path, *n.rows)) for n, _ in blocks]
     best = max(worth, default=1.0)
     bar = LEAST if best >= LEAST else LEAST * best
     return "\n".join(t for (_, t), w in zip(blocks, worth, strict=True) if w >= bar)
 
 
+def page_rows(nodes: list[_Node], blocks: list[tuple[_Node, str]], has_main: bool) -> list[tuple]:
+    """Rows of a page: (row, elements, their most usual children, how many have those, own characters, main characters in front and behind)."""
+    found: dict[int, Counter] = {}
+    for n in nodes:
+        if n.tag in ROWS:
+            found.setdefault(n.rows[-1], Counter())[_hash(" ".join(n.kids)) if n.kids else 0] += 1
+    upto, own, first, last = [0], Counter(), {}, {}
+    for at, (n, text) in enumerate(blocks):
+        upto.append(upto[-1] + len(text) * int(prior(n, has_main)))
+        for row in n.rows:
+            own[row] += len(text)
+            first.setdefault(row, at)
+            last[row] = at
+    rows = []
+    for row, layouts in found.items():
+        if row in first:
+            layout, same = min(layouts.items(), key=lambda x: (-x[1], x[0]))
+            rows.append((row, layouts.total(), layout, same, own[row], upto[first[row]], upto[-1] - upto[last[row] + 1]))
+    return rows
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host name of a url column, the whole value where there is none."""
     found = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -200,19 +234,24 @@ def style_rows(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, ends = [], [0]
+            found, ends, groups, group_ends = [], [0], [], [0]
             pages = batch.column("html").to_pylist()
             for page in pages:
-                nodes, _, has_main = walk(page)
+                nodes, blocks, has_main = walk(page)
+                groups += page_rows(nodes, blocks, has_main)
+                group_ends.append(len(groups))
                 found += [(n.path, n.above, _hash(" ".join(n.kids)) if n.kids else None, _hash("\n".join(n.texts)) if n.texts else None, prior(n, has_main)) for n in nodes]
                 ends.append(len(found))
             path, above, layout, content, by_html = zip(*found, strict=True) if found else ((),) * 5
             parts = [signed(path), signed(above), signed(layout), signed(content), pa.array(by_html, pa.float32())]
             nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["path", "above", "layout", "content", "by_html"]))
-            yield pa.RecordBatch.from_arrays([batch.column("site"), signed([_hash(p) for p in pages]), nodes], names=["site", "page", "nodes"])
+            row, n, kids, *numbers = zip(*groups, strict=True) if groups else ((),) * 7
+            parts = [signed(row), pa.array(n, pa.int64()), signed(kids), *(pa.array(x, pa.int64()) for x in numbers)]
+            rows = pa.ListArray.from_arrays(pa.array(group_ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["row", "n", "layout", "same", "own", "front", "behind"]))
+            yield pa.RecordBatch.from_arrays([batch.column("site"), signed([_hash(p) for p in pages]), nodes, rows], names=["site", "page", "nodes", "rows"])
 
     rows = bounded_batches(pages.select("site", F.coalesce("html", F.lit("")).alias("html")))
-    return rows.mapInArrow(run, "site long, page long, nodes array<struct<path long, above long, layout long, content long, by_html float>>")
+    return rows.mapInArrow(run, "site long, page long, nodes array<struct<path long, above long, layout long, content long, by_html float>>, rows array<struct<row long, n long, layout long, same long, own long, front long, behind long>>")
 
 
 def _entropy(nodes: DataFrame, kind: str) -> DataFrame:
@@ -222,10 +261,20 @@ def _entropy(nodes: DataFrame, kind: str) -> DataFrame:
     return sums.select("site", "path", "m", F.greatest(F.lit(0.0), F.ln("m") - F.col("s") / F.col("m")).alias("nats"))
 
 
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """Rows (site, path, worth 0) of what is a row of comments on its host (rows: site and a page's row)."""
+    by_layout = rows.groupBy("site", "row", "layout").agg(F.count(F.lit(1)).alias("pages"), *(F.sum(c).alias(c) for c in ("n", "same", "own", "front", "behind")))
+    # Pages whose most usual children are the host's most usual ones bring in all of theirs that have those.
+    whole = by_layout.groupBy("site", "row").agg(F.max("same").alias("same"), *(F.sum(c).alias(c) for c in ("pages", "n", "own", "front", "behind")))
+    told = (F.col("pages") >= ROW_PAGES) & (F.col("n") >= F.col("pages") + 2) & (F.col("same") >= ROW_SAME * F.col("n")) & (F.col("front") > F.col("own")) & (F.col("behind") <= ROW_BEHIND * F.col("front"))
+    return whole.where(told).select("site", F.col("row").alias("path"), F.lit(0.0).alias("worth"))
+
+
 def importance(pages: DataFrame) -> DataFrame:
-    """Rows (site, path, worth): importance of every node with text of every host (rows: ``site``, a hash, and ``html``)."""
+    """Rows (site, path, worth): importance of every node with text of every host, and 0 for rows of comments (rows: ``site``, a hash, and ``html``)."""
     with workspace(pages.sparkSession, "style-tree") as keep:
-        once = style_rows(pages).dropDuplicates(["site", "page"])  # copies of a page say nothing about a site
+        once = keep(style_rows(pages).dropDuplicates(["site", "page"]), "pages")  # copies of a page say nothing about a site
+        rows_of = once.select("site", F.explode("rows").alias("r")).select("site", "r.*")
         nodes = keep(once.select("site", F.explode("nodes").alias("n")).select("site", "n.*"), "nodes")
         # All hosts together are one more tree, of presentations only.
         both = nodes.unionByName(nodes.withColumn("site", F.lit(ALL)))
@@ -249,7 +298,7 @@ def importance(pages: DataFrame) -> DataFrame:
         content = mixed(more, F.col("varied"), CONTENT_PRIOR, (F.col("sum") + CONTENT_PRIOR) / (every + CONTENT_PRIOR))
         layout = mixed(more, F.col("lively"), PRIOR, mixed(every, F.col("usual"), PRIOR, F.col("by_html")))
         rows = text.join(pool, "path").select("site", "path", (content * layout).alias("worth"))
-        return materialize(rows, "style-importance")
+        return materialize(rows.unionByName(repeated_rows(rows_of)), "style-importance")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

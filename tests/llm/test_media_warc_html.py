@@ -212,3 +212,35 @@ def test_equal_siblings_are_judged_apart(spark):
     rows = [(k, "http://a.example/", last(k)) for k in range(6)] + [(10 + k, "http://b.example/", first(k)) for k in range(6)]
     got = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**{k: f"own text {k}" for k in range(6)}, **{10 + k: f"story {k}" for k in range(6)}}
+
+
+def comment_pages(layout, n, rng):
+    """Pages of a host with one to five reader comments behind the article, at its end, or as plain elements at the end of main."""
+    word = lambda k: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(k))
+    for k in range(n):
+        body = "".join(f"<p>{word(rng.randint(10, 60))}</p>" for _ in range(rng.randint(2, 6)))
+        some = "".join(f"<div class='comment'><b>{word(1)}</b><p>CMT {word(rng.randint(3, 15))}</p></div>" for _ in range(rng.randint(1, 5)))
+        some = f"<div class='comments'>{some}</div>"
+        if layout == 2:
+            some = some.replace("<p>", "").replace("</p>", "")
+        inside, behind = ("", some) if layout == 0 else (some, "")
+        main = "main" if layout == 2 else "article"
+        head = f"<html><body><nav>menu</nav><{main}><h1>{word(4)}</h1>{body}"
+        yield k, f"{head}{inside}</{main}>{behind}<footer>foot</footer></body></html>", head
+
+
+def test_reader_comments_go_and_articles_stay(spark):
+    rng, rows, want = random.Random(1), [], {}
+    word = lambda k: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(k))
+    for layout in range(3):
+        for k, page, head in comment_pages(layout, 30, rng):
+            rows.append((100 * layout + k, f"http://h{layout}/{k}", page))
+            want[100 * layout + k] = "\n".join(t for n, t in hx.walk(head)[1] if n.main)
+    for k in range(30):  # sections of one shape, and paragraphs that are divs, are the article
+        parts = [f"<section><h2>{word(3)}</h2><p>{word(30)}</p></section>", f"<div class=para>{word(30)}</div>"]
+        for host, part in enumerate(parts):
+            page = f"<html><body><article><h1>{word(4)}</h1><p>{word(8)}</p>{part * 1}{part.replace(part[-40:-20], word(4))}{part}</article></body></html>"
+            rows.append((300 + 100 * host + k, f"http://h{3 + host}/{k}", page))
+            want[300 + 100 * host + k] = "\n".join(t for n, t in hx.walk(page)[1] if n.main)
+    got = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
