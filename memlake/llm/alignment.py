@@ -82,7 +82,6 @@ class PieceIds:
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("tokens of this model cross the start of a word")
         self._space = self._model.piece_to_id("▁")
-        self._table = PieceTable(self._encode)
 
     def _encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # The model puts a space in front.  A line end is no part of a longer token: behind one, a piece stands as it does without a space.
@@ -143,15 +142,21 @@ class Alignment:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Text and pair (id of A, then of B in ``BITS`` bits) of every overlap: one for each end of either side."""
-        ends = np.union1d(self._a_ends, self._b_ends)
-        at_a, at_b = np.searchsorted(self._a_ends, ends), np.searchsorted(self._b_ends, ends)
-        text = np.searchsorted(np.cumsum(self.a_counts), at_a, side="right")
+        both = np.concatenate([self._a_ends << 1, self._b_ends << 1 | 1])
+        both.sort(kind="stable")  # two sorted runs: a merge
+        ends = both >> 1
+        last = np.flatnonzero(np.append(ends[1:] != ends[:-1], True)[: len(ends)])
+        of_b = np.cumsum(both & 1)[last]
+        # Ends up to the one before are the place of the token that this one is in.
+        before = lambda upto: np.concatenate([[0], upto[:-1]])[: len(upto)]
+        at_a, at_b = before(last + 1 - of_b), before(of_b)
+        text = np.repeat(np.arange(len(self.a_counts)), self.a_counts + self.b_counts - self.groups)
         return text, self.a[at_a].astype(np.int64) << BITS | self.b[at_b].astype(np.int64)
 
     def grouped(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens group by group, A's before B's: their ids, the mark behind each (0 comma, 1 bar, 2 semicolon, 3 nothing), and how many a text has."""
-        of = lambda n, cuts: np.searchsorted(cuts, np.arange(n))
-        order = np.argsort(np.concatenate([2 * of(len(self.a), self.cuts_a), 2 * of(len(self.b), self.cuts_b) + 1]), kind="stable")
+        of = lambda cuts: np.repeat(2 * np.arange(len(cuts)), np.diff(cuts, prepend=-1))
+        order = np.argsort(np.concatenate([of(self.cuts_a), of(self.cuts_b) + 1]), kind="stable")
         mark_a, mark_b = np.zeros(len(self.a), np.int8), np.zeros(len(self.b), np.int8)
         mark_a[self.cuts_a], mark_b[self.cuts_b] = 1, 2
         mark_b[np.cumsum(self.b_counts)[self.b_counts > 0] - 1] = 3
@@ -166,23 +171,32 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, x.spelling), np.int64, x.vocabulary) for x in (self.a, self.b))
         names = [f"{i}{mark}".encode() for i in range(max(self.a.vocabulary, self.b.vocabulary)) for mark in (",", "|", ";", "")]
         self._name_sizes = np.fromiter(map(len, names), np.int64, len(names))
+        self._table = PieceTable(self._encode)
         self._name_starts, self._names = np.cumsum(self._name_sizes) - self._name_sizes, np.frombuffer(b"".join(names), np.uint8)
 
     def align(self, texts: pa.Array) -> Alignment:
         """Alignment of a column; null and empty texts, and those that either side does not spell exactly, have no tokens."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         codes, counts, distinct = pieces(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())), ())
-        uses = np.bincount(codes, minlength=len(distinct))
         good = np.asarray(pc.binary_length(texts)) > 0
+        flat, starts, lengths = self._table.rows(distinct, np.bincount(codes, minlength=len(distinct)))
+        na = flat[starts].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
         sides = []
-        for side in (self.a, self.b):
-            flat, starts, lengths = side._table.rows(distinct, uses)
-            ids, n = ragged_take(flat, starts[codes], lengths[codes]), text_sums(lengths[codes], counts)
+        for begin, size in ((starts + 1, na), (starts + 1 + na, lengths - 1 - na)):
+            ids, n = ragged_take(flat, begin[codes], size[codes]), text_sums(size[codes], counts)
             good &= text_sums((ids == _BAD).astype(np.int64), n) == 0
             sides.append((ids, n))
         (a, na), (b, nb) = ((ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in sides)
         return Alignment(a, b, na, nb, self.a_sizes, self.b_sizes)
 
+    def _encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each piece: how many ids A has, those, and B's."""
+        (a, na), (b, nb) = self.a._encode(distinct), self.b._encode(distinct)
+        ends = np.cumsum(na), np.cumsum(nb)
+        begin = np.stack([np.arange(len(distinct)), len(distinct) + ends[0] - na, len(distinct) + len(a) + ends[1] - nb], axis=1).ravel()
+        size = np.stack([np.ones(len(distinct), np.int64), na, nb], axis=1).ravel()
+        return ragged_take(np.concatenate([na.astype(np.uint32), a.astype(np.uint32), b]), begin, size), 1 + na + nb
+
     def digests(self, found: Alignment) -> list[str]:
         """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of each text; without tokens the empty text."""
         ids, marks, counts = found.grouped()
