@@ -18,6 +18,8 @@ from memlake.operators.steps import cut
 
 #: Rows of a group that one task may order, and blocks that a larger group is cut into.
 MOST, BLOCKS = 1_000_000, 1024
+#: Bytes of a row at least, as Spark expects a plan's size.
+ROW_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,9 @@ class Running:
 
 
 def hot_groups(rows: DataFrame, by: list[str], most: int) -> DataFrame | None:
-    """Groups of more than ``most`` rows, None if there is none."""
+    """Groups of more than ``most`` rows, None if there is none; not counted where Spark expects less than that altogether."""
+    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most * ROW_BYTES:
+        return None
     hot = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*by)
     return None if hot.isEmpty() else hot
 

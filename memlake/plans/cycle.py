@@ -163,8 +163,8 @@ def consolidate(
     questions = cut(qs.consolidate(every_log))
     pair = tx.split_pair(F.col("text"))
     block = ar.metadata_block([("entry_type", F.lit("chat_pair")), ("current_scope", F.lit("daily")), ("day_sequence", F.col("day_sequence"))], [("topics", F.when(F.size("topics") > 0, F.col("topics")))])
-    rendered = entries.withColumn("block", ar.render_entry(F.col("memory_id"), F.lit("chat_pair"), F.coalesce("semantic_handle", F.lit("")), block, pair["user"], pair["assistant"]))
-    docs = ar.export(rendered, ["project_id"], "day_sequence", "block")
+    blocks = entries.withColumn("block", ar.render_entry(F.col("memory_id"), F.lit("chat_pair"), F.coalesce("semantic_handle", F.lit("")), block, pair["user"], pair["assistant"]))
+    docs = ar.export(blocks, ["project_id"], "day_sequence", "block")
     docs = docs.select("project_id", ar.artifact_name(F.col("project_id"), when).alias("name"), ar.ensure_header(ar.rescope(F.col("content")), F.col("project_id")).alias("content"))
     older = lake.read("artifacts").drop("version") if lake is not None else _no_rows(spark, "artifacts")
     # Only names are compared: a file of a name that is taken gets the next number.
@@ -173,7 +173,6 @@ def consolidate(
     rivals = rivals.where(F.startswith("taken", "stem") & F.expr("substring(taken, char_length(stem) + 1)").rlike(r"^(-\d+)?\.[^.]*$")).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     numbered = F.when(F.col("n").isNull(), F.col("name")).otherwise(F.concat(stem, F.lit("-"), (F.col("n") + 1).cast("string"), F.lit(".md")))
     artifacts = cut(docs.join(rivals, "project_id", "left").select("project_id", numbered.alias("name"), "content"))
-    found = ar.entries(artifacts, ["project_id", "name"], "content").where("copy = 1")
     given = uploads.select("project_id", "doc_id", "text") if uploads is not None else _no_rows(spark, "uploads")
     made = [artifact_chunks(artifacts, settings), upload_chunks(given, settings)]
     kept, broken = [], None
@@ -192,12 +191,16 @@ def consolidate(
     consumed = cut(chat.consumed(active, settings.pair_limit))
     left = messages.join(consumed, ["project_id", "id"], "left_anti")
     count = lambda df, name: df.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
-    columns = [count(messages, "items_in"), count(flushed, "flushed"), entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_out"), F.sum("tokens").alias("tokens")), count(found, "rendered"), count(chunks, "chunks"), count(questions, "questions"), count(left, "left")]
+    # Entries of the new artifact that came through; one that is indexed as a whole holds all of its own.
+    own = chunks.join(artifacts.select("project_id", F.col("name").alias("filename")), ["project_id", "filename"], "left_semi")
+    rendered = own.groupBy("project_id").agg(F.count_distinct("memory_id").alias("rendered"), F.bool_or(F.col("memory_id").isNull()).alias("whole"))
+    columns = [count(messages, "items_in"), count(flushed, "flushed"), entries.groupBy("project_id").agg(F.count(F.lit(1)).alias("items_out"), F.sum("tokens").alias("tokens")), rendered, count(chunks, "chunks"), count(questions, "questions"), count(left, "left")]
     everyone = _project_ids(messages, entries, questions, touched)
     rows = reduce(lambda a, b: a.join(b, "project_id", "left"), columns, everyone).fillna(0)
     # Every staged entry must be in the artifact, else the project has failed and keeps its staging.
-    status = F.when((F.col("items_out") == 0) & (F.col("chunks") == 0), "skipped").when(F.col("rendered") == F.col("items_out"), "done").otherwise("failed")
-    return Cycle(entries, new_log, questions, given, artifacts, chunks, consumed, left, rows.withColumn("status", status).drop("rendered"))
+    whole = F.coalesce("whole", F.lit(False)) | (F.col("rendered") == F.col("items_out"))
+    status = F.when((F.col("items_out") == 0) & (F.col("chunks") == 0), "skipped").when(whole, "done").otherwise("failed")
+    return Cycle(entries, new_log, questions, given, artifacts, chunks, consumed, left, rows.withColumn("status", status).drop("rendered", "whole"))
 
 
 def _and_more(rows: DataFrame, more: DataFrame | None) -> DataFrame:
