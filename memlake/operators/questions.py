@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
+from memlake.operators.scans import Running, running
 from memlake.operators.steps import cut
 
 #: Characters by which a contained key meets its container.
@@ -176,8 +177,9 @@ def research_topics(items: DataFrame, order: str = "idea_id") -> DataFrame:
     """Distinct recommended topics of a project, case aside, first seen first."""
     rows = items.select("project_id", order, F.posexplode("recommended_research").alias("at", "raw")).withColumn("topic", tx.strip("raw")).where("topic <> ''")
     first = F.row_number().over(Window.partitionBy("project_id", F.lower("topic")).orderBy(order, "at"))
-    seen = rows.withColumn("rn", first).where("rn = 1")
-    return seen.withColumn("topic_no", F.row_number().over(Window.partitionBy("project_id").orderBy(order, "at"))).select("project_id", "topic_no", "topic")
+    seen = rows.withColumn("rn", first).where("rn = 1").drop("rn")
+    numbered = running(seen, ["project_id"], order, Running(sums={"topic_no": F.lit(1)}, inclusive=True), ties=("at",))
+    return numbered.select("project_id", F.col("topic_no").cast("int").alias("topic_no"), "topic")
 
 
 def origin_ids(item_ids: Column, memory_id: Column, metadata_ids: Column) -> Column:
