@@ -4,17 +4,18 @@ Fixed cutoffs are replaced by fences that follow what is usual in a document's o
 language and source.  Each metric is summarised by a mergeable quantile sketch: a
 histogram over whole numbers cut to their ``BITS`` leading bits (relative error below
 2**-8).  Sketches of (language, source) merge, by adding counts, into sketches of a
-language and of everything.  The quartiles of a group are drawn to those of the wider
-one as if that were ``PRIOR`` documents more, so small groups lean on their language and
-the weight of their own grows smoothly with their size.  With quartiles a, b, c:
-
-* word length must lie in ``b - SPREAD * (b - a) .. b + SPREAD * (c - b)``;
-* symbols and repeated lines are rates from zero up, and most texts have none.  A text of
-  n words without any does not show a rate of 0, only one that is not much over 1 / n, so
-  the sketch holds (count + 1) / n; a document's own rate may be up to ``SPREAD * c``.
-  A source where a quarter of the documents or more have symbols by nature keeps them.
-
-No fence has a fixed part: each is ``SPREAD`` times a distance that the sketches hold.
+language and of everything.  What a group's sketch says is drawn to what the wider one's
+says as if that were ``PRIOR`` documents more, so small groups lean on their language and
+the weight of their own grows smoothly with their size.
+
+* Word length, with quartiles a, b, c, must lie in ``b - SPREAD * (b - a) .. b + SPREAD * (c - b)``.
+* Symbols and repeated lines are rates, and most texts have none.  A group's *usual rate* is
+  the share of its documents that show any, times the lower quartile of the rates that
+  those show: how many of them a word of the group brings, told by the moderate ones.  A
+  text of n words may have ``RATE_SPREAD * (usual rate * n + 1)``: as many times what its
+  group leads to expect, and one more since counts are whole.  The length of a group's texts
+  is not in it.  Where less than 1 / ``RATE_SPREAD`` of the documents have many, these are
+  over the fence; a source where more have them by nature keeps them.
 
 The sketches see all rows.  They are built by partial counts before one small
 shuffle, so a hot source costs no more than others; the thresholds are joined to
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from memlake.llm.storage import fresh, materialize
 
 WINDOW, BITS = 5, 9
-PRIOR, SPREAD = 100, 16
-#: Metric -> (what, of how many, units a whole, added to what in sketches, whether it has a lower fence too).
+PRIOR, SPREAD, RATE_SPREAD = 100, 16, 4
+#: Metric -> (what, of how many, units a whole, whether it is a rate from zero up).
 #: Word length in thousandths of a character; symbols and repeated lines per hundred thousand words.
-METRICS = {"word_length": ("word_chars", "n_words", 1000, 0, True), "symbols": ("n_symbols", "n_words", 100_000, 1, False), "dup_lines": ("n_dup_lines", "n_words", 100_000, 1, False)}
+METRICS = {"word_length": ("word_chars", "n_words", 1000, False), "symbols": ("n_symbols", "n_words", 100_000, True), "dup_lines": ("n_dup_lines", "n_words", 100_000, True)}
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
 
@@ -88,15 +89,15 @@ def features(df: DataFrame, text: str = "text", repeats: bool = True, name: str
     return df.withColumn(name, F.struct(*(F.col(f"{name}.w.{c}").alias(c) for c in own), *(F.col(f"{name}.{c}").alias(c) for c in ("n_symbols", "n_dup_lines"))))
 
 
-def _metric(metric: str, row: str, more: int = 0) -> Column:
-    part, whole, unit, _, _ = METRICS[metric]
-    return F.expr(f"({row}.{part} + {more}) * {unit} div {row}.{whole}")
+def _metric(metric: str, row: str) -> Column:
+    part, whole, unit, _ = METRICS[metric]
+    return F.expr(f"{row}.{part} * {unit} div {row}.{whole}")
 
 
 def sketches(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts by (lang, source, metric, bucket) of all documents with ten words or more."""
     rows = features(df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")), "text", repeats=False).where("_quality.n_words >= 10")
-    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _metric(m, "_quality", METRICS[m][3]).alias("v")) for m in METRICS)))
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _metric(m, "_quality").alias("v")) for m in METRICS)))
     cut = rows.select("lang", "source", values.alias("m")).select("lang", "source", "m.metric", F.expr(f"m.v - m.v % {_width('m.v')}").alias("bucket"))
     return cut.groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
@@ -106,37 +107,50 @@ def _width(v: str) -> str:
     return f"shiftleft(1L, greatest(0, length(bin({v})) - {BITS}))"
 
 
-def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """n and the quartiles' edges of each metric for each group of merged sketches.
+#: What is drawn from sketches to those of a wider group.
+_DRAWN = ("a", "b", "b_end", "c_end", "usual")
+
+
+def _summary(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """n, the quartiles' edges and the usual rate of each metric for each group of merged sketches.
 
     ``a`` and ``b`` begin the buckets of the first and second quartile, ``b_end`` and
     ``c_end`` end those of the second and third.
     """
-    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
+    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"), F.sum(F.expr("if(bucket > 0, n, 0)")).alias("shown"))
     whole = Window.partitionBy(*by, "metric")
-    run = merged.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("all", F.sum("n").over(whole))
-    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bucket")))
-    found = run.groupBy(*by, "metric").agg(F.max("all").alias("n"), *(at(k).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "c"))))
-    return found.select(*by, "metric", F.struct("n", "a", "b", F.expr(f"b + {_width('b')}").alias("b_end"), F.expr(f"c + {_width('c')}").alias("c_end")).alias("q"))
+    upto = lambda c: F.sum(c).over(whole.orderBy("bucket")).alias(f"upto_{c}")
+    run = merged.select(*by, "metric", "bucket", upto("n"), upto("shown"), F.sum("n").over(whole).alias("all"), F.sum("shown").over(whole).alias("some"))
+    at = lambda k: F.min(F.when(F.col("upto_n") * 4 >= F.col("all") * k, F.col("bucket")))
+    shown = F.min(F.when((F.col("bucket") > 0) & (F.col("upto_shown") * 4 >= F.col("some")), F.col("bucket"))).alias("rate")
+    found = run.groupBy(*by, "metric").agg(F.max("all").alias("n"), F.max("some").alias("some"), shown, *(at(k).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "c"))))
+    ends = [F.expr(f"{c} + {_width(c)}").alias(f"{c}_end") for c in "bc"]
+    return found.select(*by, "metric", F.struct("n", "a", "b", *ends, F.expr("coalesce(some * rate div n, 0)").alias("usual")).alias("q"))
 
 
 def _drawn(own: str, wider: str) -> Column:
-    """Quartiles of a group with those of a wider group as so many documents more."""
-    return F.struct(F.col(f"{own}.n").alias("n"), *(F.expr(f"({own}.n * {own}.{c} + {PRIOR} * {wider}.{c}) div ({own}.n + {PRIOR})").alias(c) for c in ("a", "b", "b_end", "c_end")))
+    """What a group's sketch says with that of a wider group as so many documents more."""
+    return F.struct(F.col(f"{own}.n").alias("n"), *(F.expr(f"({own}.n * {own}.{c} + {PRIOR} * {wider}.{c}) div ({own}.n + {PRIOR})").alias(c) for c in _DRAWN))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source): ``low_`` and ``high_`` of each metric."""
-    every = _quartiles(sketch, []).withColumnRenamed("q", "e")
-    language = _quartiles(sketch, ["lang"]).join(every, "metric").select(F.col("lang").alias("of"), F.col("metric").alias("same"), _drawn("q", "e").alias("l"))
-    rows = _quartiles(sketch, ["lang", "source"]).join(language, F.col("lang").eqNullSafe(F.col("of")) & (F.col("metric") == F.col("same")))
+    """One row for each (lang, source): ``low_`` and ``high_`` of word length, ``usual_`` of each rate."""
+    every = _summary(sketch, []).withColumnRenamed("q", "e")
+    language = _summary(sketch, ["lang"]).join(every, "metric").select(F.col("lang").alias("of"), F.col("metric").alias("same"), _drawn("q", "e").alias("l"))
+    rows = _summary(sketch, ["lang", "source"]).join(language, F.col("lang").eqNullSafe(F.col("of")) & (F.col("metric") == F.col("same")))
     rows = rows.select("lang", "source", "metric", _drawn("q", "l").alias("q"))
-    both = F.col("metric").isin([m for m, v in METRICS.items() if v[4]])
-    low = F.when(both, F.col("q.b") - (F.col("q.b_end") - F.col("q.a")) * SPREAD)
-    high = F.when(both, F.col("q.b") + (F.col("q.c_end") - F.col("q.b")) * SPREAD).otherwise(F.col("q.c_end") * SPREAD)
-    rows = rows.select("lang", "source", "metric", low.alias("low"), high.alias("high"))
-    pick = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
-    return rows.groupBy("lang", "source").agg(*(pick(c, m) for m in METRICS for c in ("low", "high")))
+    low, high = F.expr(f"q.b - (q.b_end - q.a) * {SPREAD}"), F.expr(f"q.b + (q.c_end - q.b) * {SPREAD}")
+    pick = lambda value, m: F.max(F.when(F.col("metric") == m, value))
+    limits = [pick(F.col("q.usual"), m).alias(f"usual_{m}") if rate else (pick(low, m).alias(f"low_{m}"), pick(high, m).alias(f"high_{m}")) for m, (_, _, _, rate) in METRICS.items()]
+    return rows.groupBy("lang", "source").agg(*(c for x in limits for c in (x if isinstance(x, tuple) else (x,))))
+
+
+def _inside(metric: str, row: str, limits: str) -> Column:
+    """Whether a document of one word or more is within the fences of a metric."""
+    part, whole, unit, rate = METRICS[metric]
+    if rate:
+        return F.expr(f"{row}.{part} * {unit} <= {RATE_SPREAD} * ({limits}.usual_{metric} * {row}.{whole} + {unit})")
+    return _metric(metric, row).between(F.col(f"{limits}.low_{metric}"), F.col(f"{limits}.high_{metric}"))
 
 
 def verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", quality: str = "_quality", base_failed: str = "base_failed", kept: str = "kept") -> DataFrame:
@@ -148,7 +162,6 @@ def verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str
     rows = features(df, text, name=quality).withColumn(base_failed, F.expr(f"{quality}.n_words < 10 or 100 * {quality}.n_repeat_words > 20 * {quality}.n_words"))
     rows = rows.join(known, F.col(lang).eqNullSafe(F.col(f"{limits}.lang")) & F.col(source).eqNullSafe(F.col(f"{limits}.source")), "left")
     inside = F.lit(True)
-    for m, (_, _, _, _, both) in METRICS.items():
-        value = _metric(m, quality)
-        inside &= F.when(F.col(f"{quality}.n_words") > 0, (value <= F.col(f"{limits}.high_{m}")) & (F.lit(not both) | (value >= F.col(f"{limits}.low_{m}"))))
+    for m in METRICS:
+        inside &= F.when(F.col(f"{quality}.n_words") > 0, _inside(m, quality, limits))
     return rows.withColumn(kept, ~F.col(base_failed) & F.coalesce(inside, F.lit(True))).drop(limits)

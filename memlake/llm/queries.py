@@ -146,15 +146,15 @@ def _width(v: str) -> str:
     return f"(1::BIGINT << greatest(0, length(bin({v})) - 9))"
 
 
-def _quartiles(by: str) -> str:
-    """Edges of the quartiles of merged sketches for groups of some columns, in SQL."""
+def _summary(by: str) -> str:
+    """Edges of the quartiles and usual rates of merged sketches for groups of some columns, in SQL."""
     keys = f"{by}, " if by else ""
-    return f"""SELECT {keys}metric, n, a, b, b + {_width("b")} AS b_end, c + {_width("c")} AS c_end FROM (SELECT {keys}metric, max(total)::BIGINT AS n, min(CASE WHEN upto * 4 >= total THEN bucket END) AS a, min(CASE WHEN upto * 4 >= total * 2 THEN bucket END) AS b, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS c
- FROM (SELECT {keys}metric, bucket, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM sketch GROUP BY {keys}metric, bucket)) GROUP BY {keys}metric)"""
+    return f"""SELECT {keys}metric, n, a, b, b + {_width("b")} AS b_end, c + {_width("c")} AS c_end, coalesce(some * rate // n, 0) AS usual FROM (SELECT {keys}metric, max(total)::BIGINT AS n, max(some)::BIGINT AS some, min(CASE WHEN bucket > 0 AND upto_shown * 4 >= some THEN bucket END) AS rate, min(CASE WHEN upto * 4 >= total THEN bucket END) AS a, min(CASE WHEN upto * 4 >= total * 2 THEN bucket END) AS b, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS c
+ FROM (SELECT {keys}metric, bucket, sum(n) OVER o AS upto, sum(shown) OVER o AS upto_shown, sum(n) OVER p AS total, sum(shown) OVER p AS some FROM (SELECT {keys}metric, bucket, sum(n) AS n, sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) AS shown FROM sketch GROUP BY {keys}metric, bucket) WINDOW p AS (PARTITION BY {keys}metric), o AS (PARTITION BY {keys}metric ORDER BY bucket)) GROUP BY {keys}metric)"""
 
 
 def _drawn(own: str, wider: str) -> str:
-    return ", ".join(f"({own}.n * {own}.{c} + 100 * {wider}.{c}) // ({own}.n + 100) AS {c}" for c in ("a", "b", "b_end", "c_end"))
+    return ", ".join(f"({own}.n * {own}.{c} + 100 * {wider}.{c}) // ({own}.n + 100) AS {c}" for c in ("a", "b", "b_end", "c_end", "usual"))
 
 
 QUALITY_SQL = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -163,14 +163,14 @@ QUALITY_SQL = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS
  again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
  cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
  f AS (SELECT l.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM l LEFT JOIN cov USING (doc_id)),
- m AS (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS metric, unnest([word_chars * 1000 // n_words, (n_symbols + 1) * 100000 // n_words, (n_dup_lines + 1) * 100000 // n_words]) AS v FROM f WHERE n_words >= 10),
+ m AS (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines']) AS metric, unnest([word_chars * 1000 // n_words, n_symbols * 100000 // n_words, n_dup_lines * 100000 // n_words]) AS v FROM f WHERE n_words >= 10),
  sketch AS (SELECT lang, source, metric, v - v % {_width("v")} AS bucket, count(*) AS n FROM m GROUP BY ALL),
- g AS ({_quartiles("lang, source")}), gl AS ({_quartiles("lang")}), ga AS ({_quartiles("")}),
+ g AS ({_summary("lang, source")}), gl AS ({_summary("lang")}), ga AS ({_summary("")}),
  l2 AS (SELECT gl.lang, gl.metric, {_drawn("gl", "ga")} FROM gl JOIN ga ON gl.metric = ga.metric),
  g2 AS (SELECT g.lang, g.source, g.metric, {_drawn("g", "l2")} FROM g JOIN l2 ON g.lang IS NOT DISTINCT FROM l2.lang AND g.metric = l2.metric),
- t AS (SELECT lang, source, max(CASE WHEN metric = 'word_length' THEN b - 16 * (b_end - a) END) AS wl, max(CASE WHEN metric = 'word_length' THEN b + 16 * (c_end - b) END) AS wh, max(CASE WHEN metric = 'symbols' THEN 16 * c_end END) AS sh, max(CASE WHEN metric = 'dup_lines' THEN 16 * c_end END) AS dh FROM g2 GROUP BY lang, source)
+ t AS (SELECT lang, source, max(CASE WHEN metric = 'word_length' THEN b - 16 * (b_end - a) END) AS wl, max(CASE WHEN metric = 'word_length' THEN b + 16 * (c_end - b) END) AS wh, max(CASE WHEN metric = 'symbols' THEN usual END) AS su, max(CASE WHEN metric = 'dup_lines' THEN usual END) AS du FROM g2 GROUP BY lang, source)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
- NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(word_chars * 1000 // n_words BETWEEN wl AND wh AND n_symbols * 100000 // n_words <= sh AND n_dup_lines * 100000 // n_words <= dh, true) AS kept
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(word_chars * 1000 // n_words BETWEEN wl AND wh AND n_symbols * 100000 <= 4 * (su * n_words + 100000) AND n_dup_lines * 100000 <= 4 * (du * n_words + 100000), true) AS kept
  FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source"""
 
 def _either_case(words: str) -> str:

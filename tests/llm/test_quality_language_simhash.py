@@ -50,6 +50,69 @@ def test_thresholds_follow_their_group(spark):
     assert all(got[k] for k in range(300)) and all(got[1000 + k] for k in range(300))
 
 
+def brute_verdicts(rows):
+    """doc_id -> kept, by sorted lists in place of sketches of merged counts."""
+    bucket = lambda v: v - v % (1 << max(0, v.bit_length() - quality.BITS))
+    width = lambda v: 1 << max(0, v.bit_length() - quality.BITS)
+    facts = {k: (base(text), lang, source) for k, text, lang, source in rows}
+
+    def summary(group, metric):
+        values = sorted(bucket(f[c] * unit // f[0]) for f in group)
+        n, some = len(values), sorted(v for v in values if v > 0)
+        first = lambda v, q: v[-(-len(v) * q // 4) - 1]
+        a, b, end = first(values, 1), first(values, 2), first(values, 3)
+        return n, (a, b, b + width(b), end + width(end), len(some) * first(some, 1) // n if some else 0)
+
+    limits = {}
+    for lang, source in {f[1:] for f in facts.values()}:
+        for metric, c, unit in (("word_length", 1, 1000), ("symbols", 2, 100_000), ("dup_lines", 3, 100_000)):
+            fit = [f for f in facts.values() if f[0][0] >= 10]
+            groups = [[f[0] for f in fit if want(f)] for want in (lambda f: True, lambda f: f[1] == lang, lambda f: f[1:] == (lang, source))]
+            if not groups[2]:
+                continue
+            _, drawn = summary(groups[0], metric)
+            for g in groups[1:]:
+                n, own = summary(g, metric)
+                drawn = tuple((n * x + quality.PRIOR * y) // (n + quality.PRIOR) for x, y in zip(own, drawn, strict=True))
+            limits[lang, source, metric] = drawn
+
+    def kept(k):
+        (n, chars, symbols, lines, repeats), lang, source = facts[k]
+        if n < 10 or 100 * repeats > 20 * n:
+            return False
+        a, b, b_end, c_end, _ = limits[lang, source, "word_length"]
+        within = b - quality.SPREAD * (b_end - a) <= chars * 1000 // n <= b + quality.SPREAD * (c_end - b)
+        usual = lambda m: limits[lang, source, m][4]
+        return within and all(x * 100_000 <= quality.RATE_SPREAD * (usual(m) * n + 100_000) for x, m in ((symbols, "symbols"), (lines, "dup_lines")))
+
+    return {k: kept(k) for k in facts}
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng, rows = random.Random(6), []
+    for k in range(400):
+        n, share = rng.choice([3, 12, 40, 200]), rng.choice([0, 0, 0, 0.1, 1])
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([4, 5, 6, 60 if k % 40 == 0 else 5]))) + ("#" * rng.choice([1, 3]) if rng.random() < share else "") for _ in range(n))
+        text += "".join(f"\nx{k} y" for _ in range(rng.choice([0, 0, 0, 2, 30])))
+        rows.append((k, text, rng.choice(["en", "de", None]), rng.choice(["news", "news", "code", None])))
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    want = brute_verdicts(rows)
+    assert got == want and 50 < sum(want.values()) < 350
+
+
+def test_rate_fences_follow_the_rate_not_the_length(spark):
+    """Groups of one rate and different lengths have one usual rate; groups of one length and different rates have not."""
+    rng, rows, k = random.Random(7), [], 0
+    for source, n, every in (("short", 20, 10), ("long", 2000, 10), ("rare", 200, 100), ("often", 200, 5)):
+        for d in range(400):
+            # One document in four shows symbols.
+            rows.append((k := k + 1, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + ("#" if d % 4 == 0 and w % every == 0 else "") for w in range(n)), source, source))
+    found = quality.thresholds(quality.sketches(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()
+    usual = {r.source: r.usual_symbols for r in found}
+    assert abs(usual["short"] - usual["long"]) <= 0.02 * usual["long"]
+    assert usual["rare"] < usual["long"] < usual["often"] and usual["often"] > 3 * usual["rare"]
+
+
 def test_sketches_merge(spark):
     rows = spark.createDataFrame([(k, " ".join(["abcdefgh"[: 3 + k % 5]] * 12), "en", f"s{k % 3}") for k in range(90)], "doc_id long, text string, lang string, source string")
     s = quality.sketches(rows)
