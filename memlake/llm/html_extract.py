@@ -33,9 +33,10 @@ it holds, and next to none stands behind it.  Paragraphs, headings and parts of
 no rows; a host's first pages have none.
 
 The tree is never built in one place: pages emit their nodes, copies of a page once, and
-counts are combined before the shuffle.  A host is reduced to its nodes of low importance.
-The join back to the pages may be split by AQE, so a host with a third of all pages is no
-single task's work.
+counts are combined before the shuffle.  A host of up to ``LISTED`` nodes of low importance
+sends them to its pages as one list; pages of other hosts look up their own nodes, so no
+row grows with a host.  The joins back to the pages may be split by AQE, so a host with a
+third of all pages is no single task's work.
 
 Defined results: a null or empty page has the empty text; a null or odd url counts as
 a host of its own name; an unfinished tag at the end is dropped; scripts, styles, heads,
@@ -86,6 +87,8 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\
 
 
 _hash = xxhash.xxh3_64_intdigest
+#: Nodes of low importance that a host may send to each of its pages as one list.
+LISTED = 1024
 
 
 class _Node:
@@ -226,8 +229,13 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.when(found != "", found).otherwise(url), F.lit(""))
 
 
+def page_hash(html: Column) -> Column:
+    """Hash of a page, by which copies are told."""
+    return F.xxhash64(F.coalesce(html, F.lit("")))
+
+
 def style_rows(pages: DataFrame) -> DataFrame:
-    """Rows (site, page, nodes) of all pages: hashes of host and page, and the page's elements with presentation and content."""
+    """Rows (site, page, nodes, rows) of all pages: hashes of host and page, the page's elements with presentation and content, and its rows."""
 
     def signed(values: list[int | None]) -> pa.Array:
         return pa.array([None if v is None else v - (v >> 63 << 64) for v in values], pa.int64())
@@ -248,9 +256,9 @@ def style_rows(pages: DataFrame) -> DataFrame:
             row, n, kids, *numbers = zip(*groups, strict=True) if groups else ((),) * 7
             parts = [signed(row), pa.array(n, pa.int64()), signed(kids), *(pa.array(x, pa.int64()) for x in numbers)]
             rows = pa.ListArray.from_arrays(pa.array(group_ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["row", "n", "layout", "same", "own", "front", "behind"]))
-            yield pa.RecordBatch.from_arrays([batch.column("site"), signed([_hash(p) for p in pages]), nodes, rows], names=["site", "page", "nodes", "rows"])
+            yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("page"), nodes, rows], names=["site", "page", "nodes", "rows"])
 
-    rows = bounded_batches(pages.select("site", F.coalesce("html", F.lit("")).alias("html")))
+    rows = bounded_batches(pages.select("site", page_hash(F.col("html")).alias("page"), F.coalesce("html", F.lit("")).alias("html")))
     return rows.mapInArrow(run, "site long, page long, nodes array<struct<path long, above long, layout long, content long, by_html float>>, rows array<struct<row long, n long, layout long, same long, own long, front long, behind long>>")
 
 
@@ -301,12 +309,35 @@ def importance(pages: DataFrame) -> DataFrame:
         return materialize(rows.unionByName(repeated_rows(rows_of)), "style-importance")
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (page_id, url, text): the main text of every page."""
+def _own_low(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """Rows (site, page, paths, worths): the nodes and rows of low importance that a page has itself."""
+    own = style_rows(pages).dropDuplicates(["site", "page"])
+    paths = F.array_union(F.transform("nodes", lambda n: n["path"]), F.transform("rows", lambda r: r["row"]))
+    found = own.select("site", "page", F.explode(paths).alias("path")).join(low, ["site", "path"])
+    return found.groupBy("site", "page").agg(F.collect_list("path").alias("paths"), F.collect_list("worth").alias("worths"))
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", listed: int = LISTED) -> DataFrame:
+    """Rows (page_id, url, text): the main text of every page.
+
+    Hosts of more than ``listed`` nodes of low importance are joined by the nodes of their pages; the result is the same.
+    """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html")).withColumn("site", F.xxhash64(host_of(F.col("url"))))
-    low = importance(rows).where(F.col("worth") < LEAST).groupBy("site").agg(F.collect_list("path").alias("paths"), F.collect_list("worth").alias("worths"))
-    low = materialize(low, "style-low").withColumnRenamed("site", "of")
-    joined = bounded_batches(rows.join(low, F.col("site") == F.col("of"), "left").select("page_id", "url", "html", "paths", "worths"))
+    low = importance(rows).where(F.col("worth") < LEAST)
+    few = low.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(few.where(F.col("n") > listed).select("site"), "style-large")
+    listing = low.join(large, "site", "left_anti").groupBy("site").agg(F.collect_list("path").alias("paths"), F.collect_list("worth").alias("worths"))
+    listing = materialize(listing, "style-low").withColumnRenamed("site", "of")
+    columns = ["page_id", "url", "html", "paths", "worths"]
+    if large.isEmpty():
+        joined = rows.join(listing, F.col("site") == F.col("of"), "left").select(*columns)
+    else:
+        rows = rows.withColumn("page", page_hash(F.col("html")))
+        far = rows.join(large, "site", "left_semi")
+        own = materialize(_own_low(far.select("site", "html"), low), "style-own").select(F.col("site").alias("of"), F.col("page").alias("same"), "paths", "worths")
+        near = rows.join(large, "site", "left_anti").join(listing, F.col("site") == F.col("of"), "left").select(*columns)
+        joined = near.unionByName(far.join(own, (F.col("site") == F.col("of")) & (F.col("page") == F.col("same")), "left").select(*columns))
+    joined = bounded_batches(joined)
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,10 +147,10 @@ def _width(v: str) -> str:
 
 
 def _summary(by: str) -> str:
-    """Edges of the quartiles and usual rates of merged sketches for groups of some columns, in SQL."""
+    """Edges of the quartiles and usual rates of merged sketches for groups of n_shown columns, in SQL."""
     keys = f"{by}, " if by else ""
-    return f"""SELECT {keys}metric, n, a, b, b + {_width("b")} AS b_end, c + {_width("c")} AS c_end, coalesce(some * rate // n, 0) AS usual FROM (SELECT {keys}metric, max(total)::BIGINT AS n, max(some)::BIGINT AS some, min(CASE WHEN bucket > 0 AND upto_shown * 4 >= some THEN bucket END) AS rate, min(CASE WHEN upto * 4 >= total THEN bucket END) AS a, min(CASE WHEN upto * 4 >= total * 2 THEN bucket END) AS b, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS c
- FROM (SELECT {keys}metric, bucket, sum(n) OVER o AS upto, sum(shown) OVER o AS upto_shown, sum(n) OVER p AS total, sum(shown) OVER p AS some FROM (SELECT {keys}metric, bucket, sum(n) AS n, sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) AS shown FROM sketch GROUP BY {keys}metric, bucket) WINDOW p AS (PARTITION BY {keys}metric), o AS (PARTITION BY {keys}metric ORDER BY bucket)) GROUP BY {keys}metric)"""
+    return f"""SELECT {keys}metric, n, a, b, b + {_width("b")} AS b_end, c + {_width("c")} AS c_end, coalesce(n_shown * rate // n, 0) AS usual FROM (SELECT {keys}metric, max(total)::BIGINT AS n, max(n_shown)::BIGINT AS n_shown, min(CASE WHEN bucket > 0 AND upto_shown * 4 >= n_shown THEN bucket END) AS rate, min(CASE WHEN upto * 4 >= total THEN bucket END) AS a, min(CASE WHEN upto * 4 >= total * 2 THEN bucket END) AS b, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS c
+ FROM (SELECT {keys}metric, bucket, sum(n) OVER o AS upto, sum(shown) OVER o AS upto_shown, sum(n) OVER p AS total, sum(shown) OVER p AS n_shown FROM (SELECT {keys}metric, bucket, sum(n) AS n, sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) AS shown FROM sketch GROUP BY {keys}metric, bucket) WINDOW p AS (PARTITION BY {keys}metric), o AS (PARTITION BY {keys}metric ORDER BY bucket)) GROUP BY {keys}metric)"""
 
 
 def _drawn(own: str, wider: str) -> str:

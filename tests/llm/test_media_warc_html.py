@@ -188,7 +188,10 @@ def test_importance_equals_brute_force(spark):
     want = naive_importance(pages)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     low = {k for k, v in want.items() if v < hx.LEAST}
-    texts = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, (h, p) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    table = spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in hx.main_text(table).collect()}
+    # Hosts too large for lists are joined by their pages' own nodes: all of them, and some.
+    assert all({r.page_id: r.text for r in hx.main_text(table, listed=n).collect()} == texts for n in (0, 3))
     assert low and all(texts[k] == hx.chosen(p, {path: v for (host, path), v in want.items() if host == h and (host, path) in low}) for k, (h, p) in enumerate(pages))
 
 
@@ -242,5 +245,6 @@ def test_reader_comments_go_and_articles_stay(spark):
             page = f"<html><body><article><h1>{word(4)}</h1><p>{word(8)}</p>{part * 1}{part.replace(part[-40:-20], word(4))}{part}</article></body></html>"
             rows.append((300 + 100 * host + k, f"http://h{3 + host}/{k}", page))
             want[300 + 100 * host + k] = "\n".join(t for n, t in hx.walk(page)[1] if n.main)
-    got = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == want
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for listed in (hx.LISTED, 0):
+        assert {r.page_id: r.text for r in hx.main_text(pages, listed=listed).collect()} == want
