@@ -61,8 +61,11 @@ def fingerprint(text: str | None) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(g, SEED) for g in grams])
-    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes, given as rows of eight bytes, highest first: zero where there are none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
@@ -111,7 +114,7 @@ def _tree(f: np.ndarray, heads: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
     return levels
 
 
-def near_pairs(fps: np.ndarray, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(fps: np.ndarray, run: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of distinct fingerprints within the radius, of the same run (upper node) each."""
     run = np.zeros(len(fps), np.int64) if run is None else run
     order = np.lexsort((gray_rank(fps), run))
@@ -127,7 +130,7 @@ def near_pairs(fps: np.ndarray, run: np.ndarray | None = None) -> tuple[np.ndarr
         once = u <= v
         u, v, pair, known = u[once], v[once], pair[once], known[once]
         apart = apart[pair] + np.bitwise_count((bits[u] ^ bits[v]) & mask[u] & mask[v] & ~known)
-        close = apart <= RADIUS
+        close = apart <= radius
         u, v, apart = u[close], v[close], apart[close]
     return order[u[u < v]], order[v[u < v]]
 
@@ -217,15 +220,20 @@ def _search(dealt: DataFrame) -> DataFrame:
         child = np.flatnonzero(root != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], names=["a", "b"])
 
+    return by_node(dealt.select("path", "bits", "id", "fp"), ["path", "bits"], walk, "a long, b long")
+
+
+def by_node(rows: DataFrame, node: list[str], walk: Callable[[pa.Table], pa.RecordBatch], schema: str, at_once: int = AT_ONCE) -> DataFrame:
+    """What ``walk`` makes of the rows of whole nodes, about ``at_once`` rows at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = pa.Table.from_batches([batch.slice(at, AT_ONCE)])
+            for at in range(0, batch.num_rows, at_once):
+                part = pa.Table.from_batches([batch.slice(at, at_once)])
                 held = part if held is None else pa.concat_tables([held, part])
                 # The last node may go on in the next part.
-                path, bits = held.column("path"), held.column("bits").to_numpy()
-                same = np.asarray(pc.equal(path, path[-1])) & (bits == bits[-1])
+                same = np.logical_and.reduce([np.asarray(pc.equal(held.column(c), held.column(c)[-1])) for c in node])
                 whole = len(same) - int(same[::-1].argmin()) if not same.all() else 0
                 if whole:
                     yield walk(held.slice(0, whole))
@@ -233,8 +241,7 @@ def _search(dealt: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield walk(held)
 
-    rows = dealt.select("path", "bits", "id", "fp").repartition("path", "bits").sortWithinPartitions("path", "bits")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.repartition(*node).sortWithinPartitions(*node).mapInArrow(run, schema)
 
 
 # -- components --------------------------------------------------------------------
