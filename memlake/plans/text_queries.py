@@ -109,7 +109,8 @@ def scl19(s, d):
 
 @query("scl21_capitalize", r"SELECT doc_id, '  ' || upper(substring(x, 1, 1)) || substring(x, 2) AS v FROM (SELECT doc_id, regexp_replace(lower(text), '^\s+', '') AS x FROM documents)")
 def scl21(s, d):
-    return table(s, d, "documents").select("doc_id", tx.capitalize_first(F.concat(F.lit("  "), F.regexp_replace(F.lower("text"), r"^\s+", ""))).alias("v"))
+    blank = r"[\t\n\f\r ]"  # what \s is in SQL
+    return table(s, d, "documents").select("doc_id", tx.capitalize_first(F.concat(F.lit("  "), F.regexp_replace(tx.lower_each(F.col("text")), f"^{blank}+", "")), blank).alias("v"))
 
 
 @query("scl22_resolution", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'answer_local' WHEN event_id % 4 = 1 THEN 'ignore' ELSE '' END AS v FROM events")

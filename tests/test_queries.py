@@ -47,3 +47,12 @@ def test_entry_lists_everything():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_capitals_are_single_letters_as_in_sql(spark, tmp_path):
+    texts = ["ßab", "  ßAB", "ŉa", "ﬁne", "ΐa", "ᾳa", "ΑΣ b ΑΣ", "İx aİ", "ẞa", "\x0bab", " \x0bab", "\t\n\f\r ab", " ab", "ǆa", "éa", "1a", "a\x00B", "", " ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["scl21_capitalize"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == con.execute(ORACLES["scl21_capitalize"] + " ORDER BY doc_id").fetchall()
