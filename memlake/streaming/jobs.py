@@ -19,6 +19,8 @@ from memlake.operators import telemetry as tm
 from memlake.sources.writers import append_telemetry
 
 ROLLED = "project_id string, user_id long, assistant_id long, user_text string, assistant_text string"
+#: Folders of a question table, by hash of the project.  Tables that exist hold the number: another one needs a new table.
+QUESTION_BUCKETS = 256
 _STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
 
@@ -63,25 +65,29 @@ def consolidated_questions(log: DataFrame, path: str, checkpoint: str) -> Stream
     """Question log to a latest-wins table: each batch is merged with the kept newest rows of its projects.
 
     ``log`` has project_id, line_no, ts, question, topic, resolution.  The table keeps
-    newest rows also where they are ``ignore``, so that they go on cancelling.
+    newest rows also where they are ``ignore``, so that they go on cancelling.  It lies in
+    ``QUESTION_BUCKETS`` folders, of which a batch rewrites those of its projects: its files
+    follow their bytes and not the number of projects.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("key", tx.question_key(F.col("question"), F.col("topic")))
+        bucket = F.pmod(F.xxhash64("project_id"), F.lit(QUESTION_BUCKETS)).cast("int")
+        rows = batch.withColumns({"key": tx.question_key(F.col("question"), F.col("topic")), "bucket": bucket})
         try:
             before = spark.read.schema(rows.schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no table
                 raise
         else:
-            rows = rows.unionByName(before.join(batch.select("project_id").distinct(), "project_id", "left_semi"))
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+            rows = rows.unionByName(before.where(F.col("bucket").isin(touched)))
         newest = Window.partitionBy("project_id", "key").orderBy(F.desc("ts"), F.desc("line_no"))
         kept = rows.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
         # Written apart first: a table is never overwritten from itself, and a batch that fails between can be repeated.
         aside = f"{path.rstrip('/')}_batches/{number}"
-        kept.write.mode("overwrite").parquet(aside)
-        spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+        kept.hint("rebalance", "bucket").write.mode("overwrite").parquet(aside)  # a bucket's rows side by side, a large bucket's in several files
+        spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_batches")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -90,7 +96,7 @@ def consolidated_questions(log: DataFrame, path: str, checkpoint: str) -> Stream
 
 def open_questions(spark: SparkSession, path: str) -> DataFrame:
     """The consolidated view of the table that :func:`consolidated_questions` keeps."""
-    return qs.consolidate(spark.read.parquet(path))
+    return qs.consolidate(spark.read.parquet(path).drop("bucket"))
 
 
 def appended_chunks(documents: DataFrame, path: str, checkpoint: str, size: int, overlap: int, dims: int) -> StreamingQuery:

@@ -46,6 +46,23 @@ def test_question_stream_equals_batch(spark, tmp_path):
     assert key(jobs.open_questions(spark, out)) == key(qs.consolidate(df))
 
 
+def test_question_table_has_buckets_and_no_folder_a_project(spark, tmp_path):
+    schema = "project_id string, line_no long, ts string, question string, topic string, resolution string"
+    many = [(f"{k:03}", k, "1", f"Q{k % 3}", "t", "answer_local") for k in range(600)] + [(None, 1, "1", "A", "t", "answer_local")]
+    later = [("007", 9, "2", "q1", "T", "ignore"), (None, 2, "1", "B", "t", "answer_local")]
+    out, files = tmp_path / "table", []
+    for rows in (many, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.consolidated_questions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(out), str(tmp_path / "c")).awaitTermination()
+        files.append({str(f) for f in out.rglob("*.parquet")})
+    assert max(map(len, files)) <= jobs.QUESTION_BUCKETS + 8
+    assert len(files[1] - files[0]) <= 2  # only the folders of the second batch's projects are written anew
+    got = jobs.open_questions(spark, str(out))
+    want = qs.consolidate(spark.createDataFrame(many + later, schema))
+    assert got.columns == [*want.columns] and sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert want.where("project_id = '007'").isEmpty() and want.where("project_id is null").count() == 2
+
+
 def test_index_stream_and_reload(spark, tmp_path):
     docs = spark.createDataFrame([("p", 1, "word " * 50), ("q", 2, "other text")], "project_id string, doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
