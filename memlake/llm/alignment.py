@@ -8,13 +8,15 @@ searched at once: each round probes one candidate of every open stretch.
 
 Links (token pairs whose byte ranges overlap) are counted over the corpus from the distinct
 pairs of each slice, and each slice gets the counts of just its own pairs back, so neither
-links nor the table of counts are ever sent anywhere whole.
+links nor the table of counts are ever sent anywhere whole.  A slice is written as many
+small rows, and its counts come back as small rows in front of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from memlake.llm.tokens import LibraryIds, PieceTable, pieces, slices, text_sums
 SLICE_BYTES = 1 << 20
 #: Tokens whose group text is built at once.
 RENDERED = 1 << 20
+#: Links, or pairs, of a row of the written slices.  Readers hold thousands of rows at once, so a row must be small.
+ROW_LINKS = 1 << 10
 #: Bits of an id in a pair.
 BITS = 20
 #: Stands for the ids of a piece whose tokens do not spell it.
@@ -44,16 +48,22 @@ class ByteIds(LibraryIds):
 
     def __init__(self, tokenizer_json: str):
         super().__init__(tokenizer_json)
-        from tokenizers import Tokenizer
-
-        self._literal = Tokenizer.from_file(tokenizer_json)
-        self._literal.no_truncation()
-        self._literal.no_padding()
-        self._literal.encode_special_tokens = True
+        self._file = tokenizer_json
         of = {c: b for b, c in enumerate(byte_alphabet())}
         spelled = ((self._tok.id_to_token(i) or "") for i in range(self.vocabulary))
         self.spelling = [bytes(of[c] for c in x) if all(c in of for c in x) else x.encode() for x in spelled]
 
+    @cached_property
+    def _literal(self):
+        """The tokenizer again, for pieces with special strings: few workers meet any."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self._file)
+        found.no_truncation()
+        found.no_padding()
+        found.encode_special_tokens = True
+        return found
+
     def _encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         named = np.fromiter((any(s in x for s in self.specials) for x in distinct), bool, len(distinct))
         ids, lengths = super()._encode([x for x, n in zip(distinct, named, strict=True) if not n])
@@ -226,8 +236,8 @@ def aligner(tokenizer_json: str, model_file: str) -> Aligner:
 Batches = Iterator[pa.RecordBatch]
 
 
-def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+def _lists(flat: np.ndarray | pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat if isinstance(flat, pa.Array) else pa.array(flat))
 
 
 def align(df: DataFrame, tokenizer_json: str, model_file: str, text: str = "text", out: str = "groups") -> DataFrame:
@@ -255,52 +265,74 @@ def align(df: DataFrame, tokenizer_json: str, model_file: str, text: str = "text
     return df.mapInArrow(run, schema)
 
 
-_SLICE = "part int, seq int, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, held array<int>, places array<int>, times array<int>, pairs array<long>, docs array<long>"
+#: Numbers of some texts of a slice: each one's links are ``held`` places of pairs and the times they occur.
+_TEXTS = "n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, held array<int>, places array<int>, times array<int>"
+#: Stands for the place in rows of texts, which hold no pairs.
+_NO_PLACE = -1
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    """How many neighbours make a run each, so that a run has not much more than ``ROW_LINKS``, or is one."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // ROW_LINKS)) + 1
+    return np.diff(np.concatenate([[0], edges, [len(sizes)]]))
 
 
 def _sliced(schema: pa.Schema, key: str, text: str, tokenizer_json: str, model_file: str) -> Callable[[Batches], Batches]:
-    """Texts to one row a slice: numbers of its texts, and its links as times of distinct pairs."""
+    """Texts to rows of their numbers and rows of each slice's distinct pairs, which its links name by their places."""
 
     def run(batches: Batches) -> Batches:
         both, task, seq = aligner(tokenizer_json, model_file), TaskContext.get().partitionId(), 0
+        kind = schema.field("texts").type
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 found = both.align(part.column(text))
-                n = part.num_rows
                 of, pair = found.links()
                 pairs, place = np.unique(pair, return_inverse=True)
-                held, times = np.unique(of * len(pairs) + place, return_counts=True)  # distinct pairs of each text
-                places = held % max(1, len(pairs))
-                row = [
-                    part.column(key).to_pylist(), task, seq, found.a_counts, found.b_counts, found.groups, np.bincount(of, minlength=n), both.digests(found),
-                    np.bincount(held // max(1, len(pairs)), minlength=n), places, times, pairs, np.bincount(places, minlength=len(pairs)),
-                ]
+                links, times = np.unique(of * len(pairs) + place, return_counts=True)  # distinct pairs of each text
+                places = links % max(1, len(pairs))
+                held = np.bincount(links // max(1, len(pairs)), minlength=part.num_rows)
+                # Rows of texts, then rows of pairs; both have lists of all columns, empty ones where they hold nothing.
+                n_texts, n_pairs = _runs(held + 1), _runs(np.ones(len(pairs), np.int64))
+                n_pairs = n_pairs[n_pairs > 0]
+                texts, of_pairs = np.concatenate([n_texts, 0 * n_pairs]), np.concatenate([0 * n_texts, n_pairs])
+                n_held = np.concatenate([text_sums(held, n_texts), 0 * n_pairs])
+                values = [(part.column(key), texts), *((x, texts) for x in (found.a_counts, found.b_counts, found.groups, np.bincount(of, minlength=part.num_rows), both.digests(found), held)), (places, n_held), (times, n_held)]
+                lists = [_lists(x if isinstance(x, pa.Array) else pa.array(x, f.type.value_type), n).cast(f.type) for (x, n), f in zip(values, kind, strict=True)]
+                rows = len(texts)
+                begin = np.concatenate([np.full(len(n_texts), _NO_PLACE), np.cumsum(n_pairs) - n_pairs])
+                columns = [np.full(rows, task), np.full(rows, seq), begin, pa.StructArray.from_arrays(lists, fields=list(kind)), _lists(pairs, of_pairs), _lists(np.bincount(places, minlength=len(pairs)), of_pairs)]
                 seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _summed(schema: pa.Schema, key: str) -> Callable[[Batches], Batches]:
-    """Slices with the counts of their pairs to one row a text."""
+def _summed(schema: pa.Schema) -> Callable[[Batches], Batches]:
+    """Slice by slice the counts of its pairs, then rows of its texts, to one row a text."""
 
     def run(batches: Batches) -> Batches:
-        flat = lambda batch, name, i: np.asarray(batch.column(name)[i].values)
+        now, counted, known = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                n_pairs, held = len(batch.column("pairs")[i]), flat(batch, "held", i).astype(np.int64)
-                count, best = np.zeros(n_pairs, np.int64), np.zeros(n_pairs, np.int64)
-                if n_pairs:
-                    back = batch.column("counted")[i].values
-                    at = np.asarray(back.field("place"))
-                    count[at], best[at] = np.asarray(back.field("n")), np.asarray(back.field("best")).astype(np.int64)
-                places, times = flat(batch, "places", i), flat(batch, "times", i).astype(np.int64)
-                of = np.repeat(np.arange(len(held)), held)
-                n_best, total = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
-                np.add.at(n_best, of, times * best[places])
-                np.add.at(total, of, times * count[places])
-                columns = [batch.column(name)[i].values for name in (key, "n_a", "n_b", "n_groups", "n_links")]
-                columns += [pa.array(n_best), pa.array(total), batch.column("digests")[i].values]
+            at = np.stack([np.asarray(batch.column(name)) for name in ("part", "seq")] + [np.asarray(batch.column("place")) == _NO_PLACE], axis=1)
+            edges = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
+                if a == b:
+                    continue
+                if now != tuple(at[a, :2]):
+                    now, counted, known = tuple(at[a, :2]), [], None
+                rows = batch.slice(a, b - a)
+                if not at[a, 2]:
+                    numbers = rows.column("counted").flatten()
+                    counted.append([np.asarray(numbers.field(name).cast(pa.int64())) for name in ("place", "n", "best")])
+                    continue
+                if known is None:  # the slice's counts are all there
+                    where, *numbers = (np.concatenate(x) for x in zip(*counted, strict=True)) if counted else np.zeros((3, 0), np.int64)
+                    order = np.argsort(where)
+                    known, counted = [x[order] for x in numbers], []
+                flat = lambda name, texts=rows.column("texts"): texts.field(name).flatten()
+                held, places, times = (np.asarray(flat(name)).astype(np.int64) for name in ("held", "places", "times"))
+                n, best = (text_sums(times * x[places], held) for x in known)
+                columns = [*map(flat, ("keys", "n_a", "n_b", "n_groups", "n_links")), pa.array(best), pa.array(n), flat("digests")]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -317,16 +349,19 @@ def link_statistics(df: DataFrame, tokenizer_json: str, model_file: str, key: st
     """
     rows = bounded_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = rows.schema["key"].dataType
-    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), *T.StructType.fromDDL(_SLICE).fields])
-    # Written once: what a slice is must not change between its two uses.
+    texts = T.StructType([T.StructField("keys", T.ArrayType(kind)), *T.StructType.fromDDL(_TEXTS).fields])
+    schema = T.StructType([*T.StructType.fromDDL("part int, seq int, place int").fields, T.StructField("texts", texts), *T.StructType.fromDDL("pairs array<long>, docs array<long>").fields])
+    # Written once: what a slice is must not change between its uses.
     sliced = materialize(rows.mapInArrow(_sliced(to_arrow_schema(schema), "key", "text", tokenizer_json, model_file), schema), "alignment")
-    own = sliced.select("part", "seq", F.explode(F.arrays_zip("pairs", "docs")).alias("p"))
+    own = sliced.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p"))
     counts = own.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.docs").alias("n"))
     counts = materialize(counts.withColumn("first", F.shiftright("pair", BITS)), "alignment")
     most = counts.groupBy("first").agg(F.max("n").alias("most"))  # one row an id of the vocabulary
     counts = counts.join(most, "first").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    asked = sliced.select("part", "seq", F.posexplode("pairs").alias("place", "pair"))
-    counted = asked.join(counts, "pair").groupBy("part", "seq").agg(F.collect_list(F.struct("place", "n", "best")).alias("counted"))
-    whole = sliced.drop("docs").join(counted, ["part", "seq"], "left")
+    asked = sliced.select("part", "seq", "place", F.posexplode("pairs").alias("at", "pair")).withColumn("place", F.col("place") + F.col("at"))
+    counted = asked.join(counts, "pair").repartition("part", "seq").groupBy("part", "seq", (F.col("place") - F.col("place") % ROW_LINKS).alias("begin"))
+    counted = counted.agg(F.collect_list(F.struct("place", "n", "best")).alias("counted")).withColumnRenamed("begin", "place")
+    whole = counted.unionByName(sliced.where(F.col("place") == _NO_PLACE).select("part", "seq", "place", "texts"), allowMissingColumns=True)
+    whole = whole.repartition("part", "seq").sortWithinPartitions("part", "seq", F.desc("place"))  # a slice's counts before its texts
     result = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string").fields])
-    return whole.mapInArrow(_summed(to_arrow_schema(result), "keys"), result)
+    return whole.mapInArrow(_summed(to_arrow_schema(result)), result)

@@ -122,3 +122,28 @@ def test_groups_column_and_empty_table(spark, docs, libraries):
             assert [(g.a, g.b) for g in r.groups] == plain(libraries, r.text)[0]
         assert r.kept == "x"
     assert al.link_statistics(docs.where("false"), A_FILE, B_FILE).count() == 0
+
+
+def values(x):
+    """Numbers and texts in a row, those in its lists included."""
+    return sum(map(values, x)) if isinstance(x, list | tuple) else 1
+
+
+def test_slices_are_written_in_small_rows(spark, monkeypatch, libraries):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(3000)])
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(60)] + ["", None, *random_texts(40, 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    written, keep = [], al.materialize
+    monkeypatch.setattr(al, "materialize", lambda frame, name: written.append(keep(frame, name)) or written[-1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = al.link_statistics(df, A_FILE, B_FILE)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a slice's rows come in several batches
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(k, *s) for k, s in enumerate(statistics(libraries, texts))]
+    rows = written[0].collect()
+    assert sum(map(values, rows)) > 40_000  # one slice
+    assert max(map(values, rows)) < 8_000
